@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainlake.llm import quality_rules, substring_dedup, token_counts, toxicity
+from chainlake.llm import importance, quality_rules, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")))
 
@@ -47,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op3_importance_sample": op3_importance_sample,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_toxicity": op8_toxicity,
         "op10_quality_rules": op10_quality_rules,
