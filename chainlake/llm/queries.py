@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainlake.llm import importance, quality_rules, substring_dedup, token_counts, toxicity
+from chainlake.llm import importance, quality_rules, substring_dedup, surrogates, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: A deployment sets its own key; this one makes the query repeatable.
+PII_KEY = b"chainlake demonstration key"
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_importance_sample": op3_importance_sample,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_toxicity": op8_toxicity,
+        "op9_surrogates": op9_surrogates,
         "op10_quality_rules": op10_quality_rules,
     }
 

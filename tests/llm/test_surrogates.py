@@ -1,0 +1,67 @@
+import random
+import re
+
+from chainlake.llm import surrogates as x
+
+KEY = b"tests"
+
+
+def p():
+    return x.Permuter(KEY)
+
+
+def test_permutations_are_one_to_one_without_fixed_points():
+    for n in (2, 3, 10, 97, 1000):
+        out = [p().move(i, n, "t") for i in range(n)]
+        assert sorted(out) == list(range(n)) and all(a != b for a, b in enumerate(out))
+
+
+def test_formats_stay():
+    r = random.Random(1)
+    seen = {}
+    for _ in range(300):
+        values = {
+            "email": f"ab.{r.randint(10, 99)}@mail{r.randint(1, 9)}.example.com",
+            "secret": "%040x" % r.getrandbits(160),
+            "ip": ".".join(str(r.randint(0, 255)) for _ in range(4)),
+            "phone": f"+1 ({r.randint(100, 999)}) 555-{r.randint(0, 9999):04d}",
+            "card": "4" + "".join(r.choice("0123456789") for _ in range(15)),
+            "name": r.choice(["Mary", "Иван", "Smith", "Μαρία", "O'Neil", "JOHN"]),
+        }
+        for kind, v in values.items():
+            s = x.MAKERS[kind](p(), v)
+            assert s != v and len(re.sub(r"\d+", "", s)) >= 0
+            assert seen.setdefault((kind, s), v) == v
+            if kind in ("secret", "phone", "card", "email"):
+                assert re.sub(r"[a-z]", "a", re.sub(r"\d", "9", s)) == re.sub(r"[a-z]", "a", re.sub(r"\d", "9", v)) or kind == "secret" and re.fullmatch("[0-9a-f]{40}", s)
+            if kind == "card":
+                assert x.luhn(s) == x.luhn(v) and s[0] == "4"
+            if kind == "ip":
+                assert x.entities(s).__next__() == ("ip", 0, len(s))
+    assert x.MAKERS["name"](p(), "Mary") in x.GIVEN["latin", "f"] and x.MAKERS["name"](p(), "Иван") in x.GIVEN["cyrillic", "m"]
+    assert x.MAKERS["ip"](p(), "10.1.2.3").startswith("10.")
+    assert x.MAKERS["phone"](p(), "+44 123-456-7890").startswith("+44 ")
+
+
+def test_every_entity_goes_and_the_rest_stays(spark):
+    entity = ["a.19@mail5.example.com", "+1 (743) 555-3824", "4111111111111111", "152.143.123.131", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "Smith"]
+    text = 'x {0}### (see {1}), {2}!! {3}. token = "{4}" Mr. {5} said; {0} again. Version 2.0, 1,234 and 12.5 and order 9807915762804491 stay'.format(*entity)
+    rows = [(1, text, 7, "en"), (2, None, 7, "en"), (3, "", 7, "en"), (4, "nothing here", 7, "en"), (5, "q" * 200_000 + " " + entity[0], 7, None), (1, text, 7, "en"), (None, entity[3], 7, "en")]
+    got = x.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, n_email long, lang string").repartition(3), KEY).collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "text", "lang", *[f"n_{k}" for k in x.KINDS]}
+    by = {g.doc_id: g for g in got}
+    assert by[2].text is None and by[3].text == "" and by[4].text == "nothing here" and by[2].n_email == 0
+    one = by[1]
+    assert not any(e in one.text for e in entity)
+    assert (one.n_email, one.n_phone, one.n_card, one.n_ip, one.n_secret, one.n_name) == (2, 1, 1, 1, 1, 1)
+    assert one.text.endswith("again. Version 2.0, 1,234 and 12.5 and order 9807915762804491 stay")
+    new = one.text.split()[1].rstrip("#")
+    assert one.text.count(new) == 2 and by[5].text.endswith(new)
+    assert by[None].text == re.search(r"!! (\S+)\. token", one.text)[1]
+
+
+def test_collision_check_and_empty_table(spark):
+    bad = spark.createDataFrame([("ip", "1", "9"), ("ip", "2", "9"), ("card", "3", "3"), ("card", "4", "5")], "kind string, value string, surrogate string")
+    assert sorted(r.surrogate for r in x.collisions(bad).collect()) == ["3", "9"]
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert x.pseudonymise(docs, KEY).count() == 0
