@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainlake.llm import importance, quality_rules, substring_dedup, surrogates, token_counts, toxicity
+from chainlake.llm import decontamination, importance, quality_rules, substring_dedup, surrogates, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
         "op3_importance_sample": op3_importance_sample,
+        "op4_decontamination": op4_decontamination,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_surrogates": op9_surrogates,
