@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from chainlake.llm import decontamination, importance, ngram_join, quality_rules, substring_dedup, surrogates, token_counts, toxicity
 
 
+#: Rows of whole texts that a task holds at a time.
+TEXTS_AT_ONCE = 1_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,6 +1,6 @@
 """Removal of repeated passages by a log-structured index of window fingerprints.
 
-Every 13-word window of a text has a 64-bit fingerprint and 16 check bits of a second, independent
+Every 13-word window of a text has a 56-bit fingerprint and 16 check bits of a second, independent
 hash. Tasks turn the texts they read into immutable runs: sorted fingerprints, each with the
 smallest document that starts it, dealt into buckets by the fingerprint's leading bits. Runs of a
 bucket, new and historical, are merge-joined; equal fingerprints count only where the check bits
@@ -22,14 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainlake.llm import shared
-from chainlake.llm.words import runs, words
+from chainlake.llm.words import Words, runs, words
 
 WINDOW = 13
 #: Windows that a task sorts at a time.
-RUN = 3_000_000
+RUN = 600_000
+PRINT_BITS = 56
 RUN_SCHEMA = "bucket int, doc_id long, prints binary, docs binary, checks binary"
 
 
+def _prints(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    at, prints = w.windows(window, 1)
+    return at, prints >> np.uint64(64 - PRINT_BITS)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """The values' bytes, lowest bytes of all first: what barely changes lies together and compresses."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
@@ -69,6 +75,7 @@ def _to_runs(bits: int, window: int):
 
     def flush(parts: list) -> pa.RecordBatch:
         prints, checks, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order, at, first = _first_of(prints, checks, docs)
         owner = np.repeat(first, np.diff(np.append(at, len(order))))
         rows = []
@@ -80,7 +87,7 @@ def _to_runs(bits: int, window: int):
             cut = np.flatnonzero(np.diff(d, prepend=d[0] - 1))
             rows += [(int(i) & ((1 << bits) - 1), int(i), np.unique(x).tobytes(), None, None) for i, x in zip(d[cut], np.split(p, cut[1:]), strict=True)]
         p, c = prints[order][at], checks[order][at]
-        edges = np.searchsorted(p, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+        edges = np.searchsorted(p, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(PRINT_BITS - bits)) if bits else []
         for k, (x, y, z) in enumerate(zip(np.split(p, edges), np.split(first, edges), np.split(c, edges), strict=True)):
             if len(x):
                 rows.append((k, None, *_pack(x, y, z)))
@@ -92,38 +99,37 @@ def _to_runs(bits: int, window: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, offsets, data in runs(batch.column(1)):
                 w = words(offsets, data, (1, 2))
-                at, prints = w.windows(window, 1)
+                at, prints = _prints(w, window)
                 if len(at):
                     checks = (w.windows(window, 2)[1] >> np.uint64(48)).astype(np.uint16)
                     parts.append((prints, checks, ids[lo:hi].astype(np.int64)[w.doc()[at]]))
                     n += len(at)
                 if n > RUN:
-                    yield flush(parts)
-                    parts, n = [], 0
+                    full, parts, n = parts, [], 0
+                    yield flush(full)
         if parts:
             yield flush(parts)
 
     return run
 
 
-def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, check bits, documents and block numbers of a bucket's blocks."""
-    p, c, d, k = [], [], [], []
-    for i, (prints, docs, checks) in enumerate(zip(*(table.column(x) for x in ("prints", "docs", "checks")), strict=True)):
+def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, check bits and documents of a bucket's blocks."""
+    p, c, d = [], [], []
+    for prints, docs, checks in zip(*(table.column(x) for x in ("prints", "docs", "checks")), strict=True):
         if docs.as_py() is not None:
             p.append(np.cumsum(_unplanes(prints.as_py(), np.uint64)))
             c.append(_unplanes(checks.as_py(), np.uint16))
             d.append(_unplanes(docs.as_py(), np.int64))
-            k.append(np.full(len(d[-1]), i))
     if not p:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in (p, c, d, k))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    return np.concatenate(p), np.concatenate(c), np.concatenate(d)
 
 
 def _merge(table: pa.Table) -> pa.Table:
     """Of a bucket's runs: (doc_id, prints) of the windows that start in a smaller document too."""
     known = table.filter(pc.is_valid(table.column("doc_id"))).select(["doc_id", "prints"])
-    prints, checks, docs, _ = _blocks(table)
+    prints, checks, docs = _blocks(table)
     order, at, first = _first_of(prints, checks, docs)
     repeat = docs[order] > np.repeat(first, np.diff(np.append(at, len(order))))
     d, p = docs[order][repeat], prints[order][repeat]
@@ -136,7 +142,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def _compacted(table: pa.Table) -> pa.Table:
     """A bucket's runs as one run of distinct fingerprints."""
-    prints, checks, docs, _ = _blocks(table)
+    prints, checks, docs = _blocks(table)
     order, at, first = _first_of(prints, checks, docs)
     row = (table.column("bucket")[0].as_py(), None, *_pack(prints[order][at], first, checks[order][at]))
     return pa.Table.from_batches([_batch([row] if len(at) else [])])
@@ -149,7 +155,7 @@ def _digest(window: int):
             n_words, n_removed, kept = [], [], []
             for lo, hi, offsets, data in runs(batch.column(1)):
                 w = words(offsets, data)
-                at, prints = w.windows(window)
+                at, prints = _prints(w, window)
                 edges = np.searchsorted(at, w.first)
                 for i in range(hi - lo):
                     text = data[offsets[i] : offsets[i + 1]].tobytes()
@@ -196,7 +202,7 @@ class SubstringIndex:
 
     @staticmethod
     def bits_for(docs: DataFrame) -> int:
-        return max(3, (2 * docs.rdd.getNumPartitions() - 1).bit_length())
+        return max(6, (2 * docs.rdd.getNumPartitions() - 1).bit_length())
 
     def ingest(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_text) for each row of `docs` (doc_id, text).

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2 << 20
+PIECE = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,7 +53,9 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -106,7 +108,7 @@ def _scan(data: np.ndarray, bounds: np.ndarray, seeds, lower: bool):
     if len(start):
         tail = data[start[0] :]
         tail = _LOWER[tail] if lower else tail
-        place = np.arange(len(tail)) - np.repeat(start - start[0], np.diff(np.append(start, len(data))))
+        place = np.arange(len(tail), dtype=np.int32) - np.repeat((start - start[0]).astype(np.int32), np.diff(np.append(start, len(data))))
     for seed in seeds:
         if len(start):
             h = np.add.reduceat(_TABLES[seed][tail] * _power(seed, int(place.max()) + 1)[place], start - start[0])
@@ -142,7 +144,7 @@ def words(offsets: np.ndarray, data: np.ndarray, seeds=(1,), lower: bool = False
     return Words(np.searchsorted(start, offsets), start, end, joined, data)
 
 
-def runs(column: pa.Array, limit: int = 4 * PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, offsets, bytes): whole texts, together about `limit` bytes."""
     offsets, data = utf8(column)
     lo, n = 0, len(offsets) - 1
