@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chainlake.llm import decontamination, importance, ngram_join, quality_rules, substring_dedup, surrogates, token_counts, toxicity
+from chainlake.llm import decontamination, importance, mixing, ngram_join, quality_rules, substring_dedup, surrogates, token_counts, toxicity
 
 
 #: Rows of whole texts that a task holds at a time.
@@ -36,6 +37,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Wanted shares of tokens by domain.
+MIX_SHARES = {"good": 0.85, "toxic": 0.08, "low": 0.07}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "low").alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), domains(_table(spark, sf_dir, "labels")), MIX_SHARES)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.substring_dedup(_table(spark, sf_dir, "documents")))
 
@@ -75,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_importance_sample": op3_importance_sample,
         "op4_decontamination": op4_decontamination,
+        "op6_mixing": op6_mixing,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_surrogates": op9_surrogates,
