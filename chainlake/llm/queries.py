@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm import decontamination, importance, mixing, ngram_join, quality_rules, substring_dedup, surrogates, token_counts, toxicity
+from chainlake.llm import decontamination, importance, licences, mixing, ngram_join, quality_rules, substring_dedup, surrogates, token_counts, toxicity
 
 
 #: Rows of whole texts that a task holds at a time.
@@ -37,6 +37,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(_table(spark, sf_dir, "documents"))
+
+
 #: Wanted shares of tokens by domain.
 MIX_SHARES = {"good": 0.85, "toxic": 0.08, "low": 0.07}
 
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_importance_sample": op3_importance_sample,
         "op4_decontamination": op4_decontamination,
+        "op5_licence_scan": op5_licence_scan,
         "op6_mixing": op6_mixing,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_toxicity": op8_toxicity,
