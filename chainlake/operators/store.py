@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from chainlake.operators.shaping import BUCKET
 
@@ -39,13 +38,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
-    """The table at `path`; where there is none yet, an empty one like `like`."""
-    try:
+    """The table at `path`; given `like`, with its schema, and empty where there is no table yet."""
+    if like is None:
         return spark.read.parquet(path)
-    except AnalysisException:
-        if like is None or exists(spark, path):
-            raise
-        return like.limit(0)
+    return spark.read.schema(like.schema).parquet(path) if exists(spark, path) else like.limit(0)
 
 
 def new_rows(df: DataFrame, stored: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
