@@ -58,7 +58,7 @@ def _integer(kind: str, w: Column) -> Column:
     if bits <= 64 and not isinstance(target, T.StringType):
         value = F.conv(digits, 16, 10).cast("decimal(20,0)")
         if signed:
-            value = F.when(F.substring(digits, 1, 1) >= "8", value - F.lit(1 << bits).cast("decimal(20,0)")).otherwise(value)
+            value = F.when(F.substring(digits, 1, 1) >= "8", value - F.lit(str(1 << bits)).cast("decimal(20,0)")).otherwise(value)
         return value.cast(target)
     if not signed:
         return wide.to_decimal_text(F.lpad(digits, WORD, "0"))
@@ -128,11 +128,11 @@ def value(param: Param, body: Column, topics: list[Column]) -> Column:
 
 
 def values(definition: Definition, body: Column, topics: list[Column], params: tuple[Param, ...] | None = None) -> list[Column]:
-    """A column p_<name> for each parameter, and p_<name>_hex for integers that don't fit a long."""
+    """A column p_<name> for each parameter, and p_<name>_hex (sortable) for unsigned integers that don't fit a long."""
     out = []
     for p in definition.params if params is None else params:
         out.append(value(p, body, topics).alias(p.column))
-        if re.fullmatch(r"u?int\d+", p.kind) and isinstance(spark_type(p.kind), T.StringType):
+        if re.fullmatch(r"uint\d+", p.kind) and isinstance(spark_type(p.kind), T.StringType):
             out.append((strip(topics[p.slot]) if p.indexed else word(body, p.slot)).alias(f"{p.column}_hex"))
     return out
 

@@ -62,8 +62,11 @@ def _text(groups: Column) -> Column:
 
 
 def to_decimal_text(hex64: Column) -> Column:
-    """Decimal text of 64 hex digits; values below 2**64 take a short way."""
-    return F.when(F.substring(hex64, 1, 48) == "0" * 48, F.conv(F.substring(hex64, 49, 16), 16, 10)).otherwise(_text(_groups(limbs(hex64))))
+    """Decimal text of 64 hex digits; values below 2**64, and below 10**38, take shorter ways."""
+    half = lambda at: F.conv(F.substring(hex64, at, 16), 16, 10).cast("decimal(20,0)")
+    medium = (half(33) * F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(38,0)") + half(49)
+    short = F.when(F.substring(hex64, 1, 48) == "0" * 48, F.conv(F.substring(hex64, 49, 16), 16, 10))
+    return short.when(hex64 <= LARGEST_38, medium.cast("string")).when(hex64.isNotNull(), _text(_groups(limbs(hex64))))
 
 
 def negated_text(hex64: Column) -> Column:
@@ -76,6 +79,11 @@ def signed_text(hex64: Column) -> Column:
     return F.when(F.substring(hex64, 1, 1) >= "8", F.concat(F.lit("-"), negated_text(hex64))).otherwise(to_decimal_text(hex64))
 
 
+def in_hex(value: int) -> str | None:
+    """The 64 hex digits of a constant that has them."""
+    return f"{value:064x}" if 0 <= value < 1 << 256 else None
+
+
 def wide_sum(hex64: Column) -> Column:
     """Aggregate: decimal text of the exact sum, null over no rows. Partial sums per limb; up to 2**31 rows."""
     sums = [F.sum(limb(hex64, i)) for i in range(8)]
@@ -113,12 +121,15 @@ def fits38(hex64: Column) -> Column:
 
 def order_key(text: Column) -> Column:
     """Text that sorts as the integers in decimal text do; null where the text is no integer."""
-    body = F.ltrim(F.regexp_replace(text, "^[+-]", ""), F.lit("0"))
-    minus = text.startswith("-") & (body != "")
-    size = F.length(body)
-    up = F.concat(F.lit("1"), F.lpad(size.cast("string"), 4, "0"), body)
-    down = F.concat(F.lit("0"), F.lpad((F.lit(9999) - size).cast("string"), 4, "0"), F.translate(body, "0123456789", "9876543210"))
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), F.when(minus, down).otherwise(up))
+
+    def of(t: Column) -> Column:
+        return _let(F.ltrim(F.ltrim(t, F.lit("+-")), F.lit("0")), lambda body: F.when(t.startswith("-") & (body != ""), _down(body)).otherwise(F.concat(F.lit("1"), F.lpad(F.length(body).cast("string"), 4, "0"), body)))
+
+    return _let(text, lambda t: F.when(t.rlike(r"^[+-]?[0-9]+$"), of(t)))
+
+
+def _down(body: Column) -> Column:
+    return F.concat(F.lit("0"), F.lpad((F.lit(9999) - F.length(body)).cast("string"), 4, "0"), F.translate(body, "0123456789", "9876543210"))
 
 
 def integer_key(text: str) -> str | None:

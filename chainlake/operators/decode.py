@@ -34,8 +34,11 @@ def _params(definitions: list[Definition], key: str, body: Column, topics: list[
 
 
 def _long(rows: DataFrame, registry: list[Definition], owners: DataFrame, key: str, body: Column, topics: list[Column], base: list[str]) -> DataFrame:
-    owned = rows.join(F.broadcast(owners.withColumnRenamed("key", key)), key)  # a row for each definition in the ABIs
-    return owned.select("table_name", "contract", "name", *base, _params(registry, key, body, topics).alias("params"))
+    # the parameters depend on the key alone: decoded once a row, before it is repeated for every owner
+    known = rows.where(F.col(key).isin(sorted({d.key for d in registry}))).withColumn("_body", body)
+    known = known.withColumn("_params", _params(registry, key, F.col("_body"), topics))
+    owned = known.join(F.broadcast(owners.withColumnRenamed("key", key)), key)  # a row for each definition in the ABIs
+    return owned.select("table_name", "contract", "name", *base, F.col("_params").alias("params"))
 
 
 def decode_events(raw: DataFrame, registry: list[Definition]) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlake.functions.wide import integer_key, order_key
+from chainlake.functions.wide import in_hex, integer_key, order_key
 from chainlake.sources.abi import snake_case
 
 
@@ -20,22 +21,30 @@ class Rule:
     contract: str | None = None
 
 
+OPS = {
+    "eq": operator.eq, "neq": operator.ne, "gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le,
+}
+
+
 def compare(text: Column, op: str, value: str) -> Column:
     """Integers, of any size, as numbers; other text by bytes; unknown ops pass."""
     if op == "contains":
         return text.contains(value)
+    if op not in OPS:
+        return F.lit(True)
     key = integer_key(value)
-    number, plain = (order_key(text), F.lit(key)) if key else (None, None)
+    if key is None:
+        return OPS[op](text, F.lit(value))
+    pair = lambda t: F.struct(order_key(t).alias("number"), t.alias("text"))
+    held = lambda p: F.when(p["number"].isNotNull(), OPS[op](p["number"], F.lit(key))).otherwise(OPS[op](p["text"], F.lit(value)))
+    return F.transform(F.array(pair(text)), held).getItem(0)  # a decoded value is computed once
 
-    def both(f) -> Column:
-        by_text = f(text, F.lit(value))
-        return by_text if number is None else F.when(number.isNotNull(), f(number, plain)).otherwise(by_text)
 
-    ops = {
-        "eq": lambda a, b: a == b, "neq": lambda a, b: a != b, "gt": lambda a, b: a > b,
-        "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b,
-    }
-    return both(ops[op]) if op in ops else F.lit(True)
+def compare_hex(hex64: Column, op: str, value: int) -> Column:
+    """An unsigned integer by its 64 hex digits, which sort as the numbers do."""
+    if (constant := in_hex(value)) is not None:
+        return OPS[op](hex64, F.lit(constant))
+    return F.when(hex64.isNotNull(), F.lit(bool(OPS[op](0, value))))
 
 
 def field(name: str, columns: list[str]) -> str | None:
@@ -53,7 +62,9 @@ def condition(rules: list[Rule], contract: str, event: str, columns: list[str])
         holds = F.lit(True)
         for name, op, value in r.conditions:
             c = field(name, columns)
-            if c:
+            if c and f"{c}_hex" in columns and op in OPS and integer_key(value):
+                holds = holds & F.coalesce(compare_hex(F.col(f"{c}_hex"), op, int(value)), F.lit(True))
+            elif c:
                 holds = holds & F.coalesce(compare(F.col(c).cast("string"), op, value), F.lit(True))
         out = out | holds
     return out
