@@ -12,6 +12,7 @@ from chainlake.operators import accounts, decode, factory, filters, progress, qu
 from chainlake.plans.contracts import EVENTS, FACTORIES, FACTORY_ADDRESS, FUNCTIONS, GENESIS, RULES
 from chainlake.plans.lenses import lens, with_lenses
 from chainlake.sources import ingest
+from chainlake.sources.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -591,6 +592,38 @@ def stream_messages(spark, sf):
     return children.unionByName(rest)
 
 
+@query(f"SELECT block_number, log_index, a AS p_from, CAST(cents AS VARCHAR) AS p_value FROM ({_PURCHASE}) WHERE event_type = 'purchase'")
+def export_csv(spark, sf):
+    folder = new_folder(spark, "csv")
+    sinks.export_csv({"transfers": _transfers(spark, sf).select("block_number", "log_index", "p_from", "p_value")}, folder)
+    return spark.read.schema("block_number long, log_index int, p_from string, p_value string").option("header", True).csv(f"{folder}/transfers")
+
+
+@query("SELECT block_number, log_index FROM fx_raw_events WHERE block_number < 10100000")
+def compact(spark, sf):
+    """Stored, then the closed buckets written anew."""
+    stored, clustered = new_folder(spark, "stored"), new_folder(spark, "compacted")
+    store.insert_new(lens(spark, sf, "fx_raw_events"), stored, ["chain_id", "block_number", "tx_index", "log_index"])
+    store.compact(spark, stored, 10_100_000, clustered)
+    return spark.read.parquet(clustered).select("block_number", "log_index")
+
+
+@query("SELECT block_number, log_index FROM fx_raw_events WHERE block_number NOT BETWEEN 10000900 AND 10001000")
+def delete_range_stored(spark, sf):
+    """The same deletion as delete_range, on a stored table."""
+    stored = new_folder(spark, "stored")
+    store.insert_new(lens(spark, sf, "fx_raw_events"), stored, ["chain_id", "block_number", "tx_index", "log_index"])
+    store.delete_range(spark, stored, 1, 10_000_900, 10_001_000)
+    return spark.read.parquet(stored).select("block_number", "log_index")
+
+
+@query("SELECT count(*) FILTER (WHERE regexp_full_match(address, '0x[0-9a-f]{40}')) AS addresses, count(*) FILTER (WHERE regexp_full_match(event_type, '[A-Za-z_][A-Za-z0-9_]*')) AS names FROM (SELECT r.address, e.event_type FROM fx_raw_events r JOIN events e ON e.event_id = (r.block_number - 10000835) * 10 + r.log_index)")
+def valid_names(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type")
+    raw = lens(spark, sf, "fx_raw_events").withColumn("event_id", (F.col("block_number") - GENESIS) * 10 + F.col("log_index"))
+    return raw.join(events, "event_id").agg(F.count_if(abi_words.valid_address(F.col("address"))).alias("addresses"), F.count_if(abi_words.valid_identifier(F.col("event_type"))).alias("names"))
+
+
 # -- reorganisations
 
 
