@@ -130,10 +130,16 @@ def _names(sql: str, among) -> list[str]:
     return [n for n in among if re.search(rf"\b{n}\b", sql)]
 
 
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """The table; one that is a single small file is dealt out, so that its rows are decoded in parallel."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lens(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The lens as a DataFrame over the Parquet tables of `sf_dir`."""
     sql = LENSES[name]
-    inputs = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _names(sql, TABLES)}
+    inputs = {t: _table(spark, f"{sf_dir}/{t}.parquet") for t in _names(sql, TABLES)}
     inputs |= {n: lens(spark, sf_dir, n) for n in _names(sql, LENSES)}
     for n in inputs:
         sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: UTC buckets, runtime re-planning of skewed joins, Arrow batches of a bounded number of rows.
+#: UTC buckets, runtime re-planning of skewed joins, Arrow batches of a bounded number of rows, and no call sites kept for Columns (they make long expressions slow to build).
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
