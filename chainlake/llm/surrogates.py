@@ -10,8 +10,10 @@ the key is stirred again if anything is found.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,18 +38,41 @@ KINDS = ("email", "secret", "ip", "phone", "card", "name")
 
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _NAMES = "|".join(sorted((n for group in GIVEN.values() for n in group), key=lambda n: (-len(n), n)))
+#: An assigned secret: within quotes all of the line up to the closing one, else up to a space, a quote, a tag or the next
+#: assignment. Addresses are entities of their own; short values need a digit or a sign.
+_BARE = r"""[^\s"'`]"""
+_SIGNED = r"[\d@#$%^&*+=~]"
+_VALUE = (
+    r"""(?!["'`]?(?:[\w.%+-]{1,64}@[\w-]+\.[\w-]|(?:\d{1,3}\.){3}\d{1,3}(?![\w.])|\w+://))"""
+    rf"""(?:"(?=[^"\n]{{8}}|[^"\n]{{0,6}}{_SIGNED})(?P<double>(?:\\.|[^"\\\n])+)(?=")|'(?=[^'\n]{{8}}|[^'\n]{{0,6}}{_SIGNED})(?P<single>(?:\\.|[^'\\\n])+)(?=')"""
+    rf"""|["'`]?(?={_BARE}{{8}}|{_BARE}{{0,6}}{_SIGNED})(?P<value>(?:[^\s"'`,;&|<]++|(?![,;&|][\w-]+[=:]|</?[A-Za-z!])[,;&|<])+))"""
+)
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}(?<![-_.]))"
-    r"|(?P<assigned>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\W{0,3}[=:]\s{0,3}[\"']?))(?P<value>[A-Za-z0-9_+/-]{8,512})"
-    r"|(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,126}(?<![-_.]))"
+    r"|(?P<assigned>(?i:(?<![^\W_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\W{0,3}[=:]\s{0,3}))" + _VALUE +
+    r"|(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
+    r"|(?P<abroad>(?<![\w+.,/-])(?:\+[1-9]|00[1-9]\d{0,2}[ ./-](?=\(?\d)\(?\d)(?:(?:[ ]?\(|\)[ ./-]?|[ ]?/[ ]?|[ .-])?\d){7,15}(?!\w))"
+    r"|(?P<trunk>(?<![\w+.,/-])(?!\d\d[./-]\d\d[./-]\d{4})(?=\(?\d(?:\)?[ ./-]?\d){8,10}(?![ ./-]?\w))(?:\(0[1-9]\d{0,3}\)[ ./-]?|0[1-9]\d{0,3}[ ./-])\d{2,8}(?:[ ./-]\d{2,8}){0,4}(?![ ./-]?\d))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w]|-\d))"
-    rf"|(?:\b(?P<title>{_TITLE})\b\.?[ ])(?P<titled>[^\W\d_][\w'’-]{{1,40}}(?:[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]{{1,40}})?)"
-    rf"|(?P<given>\b(?:{_NAMES}))(?P<family>[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]{{1,40}})"
+    rf"|(?:\b(?P<title>{_TITLE})\b\.?[ ])(?P<titled>[^\W\d_][\w'’-]+(?:[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]+)?)"
+    rf"|(?P<given>\b(?:{_NAMES}))(?P<family>[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]+)"
 )
-#: Texts without any of these hold no entity.
-HINT = r"@|[0-9]|(?i:token|secret|passw|key)|\b(?:" + _TITLE + "|" + _NAMES + r")\b"
+#: Texts without any of these hold no entity. Word bounds are left out, as they differ between the two engines.
+HINT = r"@|\p{Nd}|[a-f]{32}|[A-F]{32}|(?i:token|secret|passw|key)|" + _TITLE + "|" + _NAMES
+
+
+#: Characters that are permuted together.
+BLOCK = 512
+
+
+@functools.lru_cache(maxsize=4096)
+def _alike(c: str, classes: tuple[str, ...]) -> str:
+    """Letters or digits near `c` and of its category, none of which is in a class: the class of those outside all."""
+    kind = unicodedata.category(c)
+    near = [chr(x) for x in range(ord(c) & ~63, (ord(c) & ~63) + 64)] if kind in ("Ll", "Lo", "Nd") else []
+    return "".join(d for d in near if unicodedata.category(d) == kind and len(d.upper()) == 1 and d.upper().lower() == d and not any(d in chars for chars in classes))
 
 
 class Permuter:
@@ -85,10 +110,25 @@ class Permuter:
         step = 1 + self._round(t, 99, 0, 64) % (n - 1)
         return self._feistel((self._feistel(x, n, t, False) + step) % n, n, t, True)
 
-    def text(self, value: str, classes: tuple[str, ...], tweak: str) -> str:
-        """Every character that is in a class replaced by one of its class and case, all together."""
+    def text(self, value: str, classes: tuple[str, ...], tweak: str, others: bool = True) -> str:
+        """Every character that is in a class replaced by one of its class and case, all together.
+
+        With `others`, letters and digits of other scripts are replaced by those near them. Long values go by
+        blocks, each under a tweak of all before it, so that values stay one to one.
+        """
+        if len(value) > BLOCK:
+            out, before = [], hashlib.blake2b(key=self.key, digest_size=16)
+            for i in range(0, len(value), BLOCK):
+                part = value[i : i + BLOCK]
+                out.append(self.text(part, classes, f"{tweak} {before.hexdigest()}", others))
+                before.update(part.lower().encode("utf-8", "surrogatepass"))
+            return "".join(out)
         size = {c: len(chars) for chars in classes for c in chars}
-        places = [next(((chars, chars.index(c.lower()), c != c.lower()) for chars in classes if c.lower() in size and c.lower() in chars), None) for c in value]
+        places = []
+        for c in value:
+            low = c.lower()
+            chars = next((chars for chars in classes if low in chars), "") if low in size else _alike(low, classes) if others and len(low) == 1 else ""
+            places.append((chars, chars.index(low), c != low) if low in chars and chars else None)
         n, x = 1, 0
         for p in places:
             if p:
@@ -150,7 +190,7 @@ def _ip(p: Permuter, value: str) -> str:
 
 def _phone(p: Permuter, value: str) -> str:
     """The country's code and the exchange 555, which no one has, stay."""
-    head = re.match(r"\+\d{1,3}[ .-]?", value)
+    head = re.match(r"(?:\+|00(?=[1-9]))\d{1,3}[ .-]?|\(?0(?=[1-9])", value)
     code, rest = (head[0], value[head.end() :]) if head else ("", value)
     digits = [i for i, c in enumerate(rest) if c.isdigit()]
     fictional = "".join(rest[i] for i in digits[3:6]) == "555"
@@ -169,7 +209,8 @@ def _card(p: Permuter, value: str) -> str:
     digits = "".join(c for c in value if c.isdigit())
     standing = luhn(digits)
     body = digits[0] + p.text(digits[1:-1], _DIGITS, f"card {digits[0]} {standing}")
-    body += next(d for d in "0123456789" if luhn(body + d) == standing)
+    zero = ord(digits[-1]) - int(digits[-1])
+    body += next(d for d in map(chr, range(zero, zero + 10)) if luhn(body + d) == standing)
     out = iter(body)
     return "".join(next(out) if c.isdigit() else c for c in value)
 
@@ -185,9 +226,10 @@ def _name(p: Permuter, value: str) -> str:
             new = GIVEN[group][p.move(i, len(GIVEN[group]), "given " + " ".join(group))]
             out.append(new.upper() if part.isupper() else new.lower() if part.islower() else new)
         else:
-            new = p.text(part, LETTERS, "name")
+            others = not any(c in chars for c in part.lower() for chars in LETTERS)
+            new = p.text(part, LETTERS, "name", others)
             while new.lower() in _WHO:  # a family name doesn't turn into a given name
-                new = p.text(new, LETTERS, "name")
+                new = p.text(new, LETTERS, "name", others)
             out.append(new)
     return " ".join(out)
 
@@ -204,19 +246,25 @@ def entities(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of the entities of a text, from left to right, not overlapping."""
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
-        if kind == "value":
-            yield "secret", *m.span("value")
+        if kind in ("double", "single", "value"):
+            start, value = m.start(kind), m[kind] if kind != "value" else m[kind].rstrip(".,;:!?)]}>")
+            if any(c.isalnum() for c in value) and (len(value) >= 8 or re.search(_SIGNED, value)):
+                yield "secret", start, start + len(value)
         elif kind == "hex":
             yield "secret", *m.span()
         elif kind == "titled":
             yield "name", *m.span("titled")
         elif kind == "family":
             yield "name", *m.span()
+        elif kind in ("abroad", "trunk"):
+            yield "phone", *m.span()
         elif kind != "card" or _is_card(m[0]):
             yield kind, *m.span()
 
 
 def _canonical(kind: str, value: str) -> str:
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
     return value.lower() if kind == "email" else value
 
 
@@ -227,12 +275,12 @@ def _found(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordB
         for text in batch.column(0).filter(pc.match_substring_regex(batch.column(0), HINT)):
             t = text.as_py()
             seen.update((kind, t[a:b]) for kind, a, b in entities(t))
-        rows = sorted(seen)
+        rows = sorted((k, v) for k, v in seen if MAKERS[k](permuter, v) != v)  # equal: no character to change
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([_canonical(k, v) for k, v in rows], pa.string()), pa.array([_canonical(k, MAKERS[k](permuter, v)) for k, v in rows], pa.string())], ["kind", "value", "surrogate"])
 
 
 def surrogate_table(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
-    """(kind, value, surrogate), a row for each distinct entity of all texts."""
+    """(kind, value, surrogate), a row for each distinct entity of all texts that has a character to change."""
     return docs.select(column).mapInArrow(lambda batches: _found(batches, key), "kind string, value string, surrogate string").distinct()
 
 

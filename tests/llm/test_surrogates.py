@@ -65,3 +65,58 @@ def test_collision_check_and_empty_table(spark):
     assert sorted(r.surrogate for r in x.collisions(bad).collect()) == ["3", "9"]
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert x.pseudonymise(docs, KEY).count() == 0
+
+
+def replaced(text):
+    p_, parts, last = p(), [], 0
+    for kind, a, b in x.entities(text):
+        parts += [text[last:a], x.MAKERS[kind](p_, text[a:b])]
+        last = b
+    return "".join(parts) + text[last:]
+
+
+def test_hint_finds_every_text_with_an_entity():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    family = {"latin": "García", "cyrillic": "Петров", "greek": "Παπαδόπουλος"}
+    texts = [f"dijo {n} {family[script]} ayer" for (script, _), names in x.GIVEN.items() for n in names]
+    texts += [f"so {t} Ñandú said" for group in x.TITLES.values() for t in group]
+    texts += ["a@b.de", "Password: geheimnis", "abcdefab" * 4, "ABCDEFAB" * 5, "api-key = qwertzuiop", "+٤٩ ٣٠ ١٢٣٤٥٦٧", "ring 020 7946 0958"]
+    assert all(list(x.entities(t)) for t in texts if "٤" not in t)
+    hinted = pc.match_substring_regex(pa.array(texts), x.HINT).to_pylist()
+    assert [t for t, h in zip(texts, hinted) if not h] == []
+
+
+def test_names_without_digits_go_and_corefer(spark):
+    rows = [(1, "dijo José García ayer"), (2, "José García, 7 años"), (3, "Вчера Иван Петров пришёл"), (4, "Ο Νίκος Παπαδόπουλος ήρθε"), (5, "Herr 王伟 und Mr й"), (6, "to почта@пример.рф")]
+    got = {r.doc_id: r for r in x.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert all(got[i].n_name >= 1 for i in range(1, 6)) and got[6].n_email == 1
+    assert not any(w in got[i].text for i, w in ((1, "García"), (1, "José"), (3, "Иван"), (3, "Петров"), (4, "Νίκος"), (5, "王伟"), (6, "почта")))
+    assert " ".join(got[1].text.split()[1:3]) == " ".join(got[2].text.split()[:2]).rstrip(",")
+
+
+def test_secrets_go_to_their_true_end():
+    long = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(70_000))
+    jwt = "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"
+    for shape, value in [("token={}", long[:700]), ("token={}", long), ('secret: "{}",', jwt), ("api_key={}.", jwt), ("DB_PASSWORD={}", "p@ss(w0rd)!x$9.zz"), ("password = '{}';", "correct horse battery staple"), ("password: {}", "hunt3r"), ("key {}", "ab12" * 60)]:
+        new = replaced(shape.format(value))
+        head, tail = shape.split("{}")
+        assert new.startswith(head) and new.endswith(tail) and len(new) == len(shape.format(value))
+        middle = new[len(head) : len(new) - len(tail)]
+        same = sum(a == b for a, b in zip(middle, value) if a.isalnum())
+        assert middle[-40:] != value[-40:] and same <= len(value) / 3, shape
+    assert replaced("u?token=abcd1234efgh&user=bob").endswith("&user=bob") and replaced("<b>token: abcd1234efgh</b>").endswith("</b>")
+    assert replaced("Token: ________ and password: bob@mail.example.com").startswith("Token: ________ and") and [k for k, *_ in x.entities("password: bob@mail.example.com")] == ["email"]
+    a, b = long[:512] + "a" * 600, long[:512] + "b" * 600
+    assert x.MAKERS["secret"](p(), a) != x.MAKERS["secret"](p(), b)
+
+
+def test_international_phone_groupings():
+    for value in ["+49 30 1234567", "+33 1 23 45 67 89", "+34 912 34 56 78", "+442071234567", "+44 (0)20 7123 4567", "+49 (0) 30 / 12345-67", "0049 30 1234567", "01 23 45 67 89", "(020) 7123 4567", "0171 1234567", "+44 123-456-7890", "(743) 555-3824"]:
+        (found,) = list(x.entities(f"ring {value}, please"))
+        assert found == ("phone", 5, 5 + len(value)), value
+        new = x.MAKERS["phone"](p(), value)
+        assert new != value and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", value)
+    for text in ["on 01-02-2003 and 01.02.2003", "0.0012345678", "ISBN 0-306-40615-2", "1,234,567.89", "2024-11-28 10:20:30"]:
+        assert list(x.entities(text)) == [], text
