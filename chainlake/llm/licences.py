@@ -1,14 +1,17 @@
 """Licence scan: a trained paragraph classifier whose predictions templates confirm. No Python runs on the executors.
 
-A paragraph (a line) is described by its word 1- and 2-grams. Sparse logistic regression over
+A paragraph is a line, or the fewest consecutive lines around it that together hold a template (wrapped
+notices). It is described by its word 1- and 2-grams. Sparse logistic regression over
 hashed grams tells licence families and an unknown class apart; a second, one-dimensional
 regression on held-back paragraphs calibrates the probability that a paragraph is a known licence at all. A family counts
-only if the paragraph also holds most grams of one of that family's templates, so paragraphs that
-lack every cue word of the templates need no scoring.
+only if the paragraph also holds most grams of one of that family's templates with its telling words, so
+lines that lack every anchor word of the templates need no joining.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -37,17 +40,35 @@ UNKNOWN = [
     "See the license file for details", "Licensed under terms to be announced", "This work is licensed under an agreement with the owner", "The driver holds a licence", "Copyright law is a branch of law",
     "Released under the old name", "Permission to enter was not granted", "He was licensed to practise in the county", "The public domain of the region", "Redistribution of wealth and use of land",
 ]
-#: A paragraph without any of these holds no template's grams to the needed share.
+#: Words that a template's paragraph must hold if the template does, and words that speak against a family (fixed values).
+TELLING = "mit apache gnu lesser affero bsd mozilla cc cc0 nc sa noncommercial sharealike".split()
+FOREIGN = {"GPL-3.0": "affero lesser library".split(), "CC-BY": "nc sa nd noncommercial sharealike noderivatives noderivs".split()}
+#: Lines that speak of licences; they count as cues whether or not they hold a template.
 CUES = r"(?i)licen[cs]e|copyright|permission is hereby|redistribut|cc0|public domain|reproduced without"
 WORDS = r"([\p{L}\p{N}]+(?:[.][\p{N}]+)*)"
 #: Share of a template's grams that a paragraph must hold.
 CONFIRM = 0.75
+#: Lines before and after an anchor that may belong to its notice, and the characters of each that are looked at.
+AROUND, NEAREST = 6, 1_000
 FEATURES = 1 << 12
 #: The most distinct cue paragraphs, and the most other paragraphs, that the classifier is fitted on, by hash order.
 MAX_CUE, MAX_OTHER, OTHER_DOCS = 20_000, 5_000, 1_000
 #: Held-back paragraphs of either side without which the classifier's own odds stand; the sides weigh alike.
 LEAST_HELD_BACK = 10
 FAMILIES = list(TEMPLATES)
+_COMMON = set("the of and to in a is are with that any this under by be for or it not no may as an all on from use you modify work terms form source following without part".split())
+
+
+def anchors() -> list[str]:
+    """Words of which every set of lines holds one that holds CONFIRM of a template's grams."""
+    chosen: set[str] = {"license", "licensed", "copyright", "permission", "redistribution"}
+    for text in (t for group in TEMPLATES.values() for t in group):
+        words = re.findall(r"[^\W_]+(?:[.]\d+)*", text.lower())
+        grams = {(w,) for w in words} | set(zip(words, words[1:]))
+        left = lambda without: sum(not without & set(g) for g in grams)  # noqa: B023, E731
+        while left(chosen) >= CONFIRM * len(grams):
+            chosen.add(min(set(words) - chosen, key=lambda w: (w in _COMMON, left(chosen | {w}), -len(w), w)))  # noqa: B023
+    return sorted(chosen)
 
 
 def _grams(paragraph: Column) -> Column:
@@ -64,16 +85,56 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def _held(grams: Column, known: dict[int, list[list[str]]]) -> Column:
-    """Of each class from 1, the largest share of a template's grams that `grams` holds."""
+    """Of each class from 1, the largest share of a template's grams that `grams` holds, 0 without its telling words."""
     share = lambda t: F.size(F.array_intersect(grams, F.array(*map(F.lit, t)))) / F.lit(float(len(t)))
-    best = [F.greatest(*[share(t) for t in known[k]], F.lit(0.0)) for k in sorted(known)]
+
+    def told(k: int, t: list[str]) -> Column:
+        held = share(t)
+        if tell := [w for w in TELLING if w in t]:
+            held = F.when(F.size(F.array_intersect(grams, F.array(*map(F.lit, tell)))) == len(tell), held).otherwise(F.lit(0.0))
+        if against := FOREIGN.get(FAMILIES[k - 1]):
+            held = F.when(F.arrays_overlap(grams, F.array(*map(F.lit, against))), F.lit(0.0)).otherwise(held)
+        return held
+
+    best = [F.greatest(*[told(k, t) for t in known[k]], F.lit(0.0)) for k in sorted(known)]
     return F.array(*best)
 
 
-def paragraphs(docs: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(id, n_paragraphs, cues): lines with a word, and those of them with a cue."""
-    lines = F.split(F.coalesce(F.col(column), F.lit("")), "\n")
-    return docs.select(F.col(id_column).alias("_id"), F.size(F.filter(lines, lambda x: x.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_paragraphs"), F.filter(lines, lambda x: x.rlike(CUES)).alias("cues"))
+def _known(templates: DataFrame) -> dict[int, list[list[str]]]:
+    """The grams of each class's templates."""
+    known: dict[int, list[list[str]]] = {}
+    for r in templates.where("class > 0").collect():  # the fixed templates
+        known.setdefault(r["class"], []).append(r["grams"])
+    return known
+
+
+def paragraphs(docs: DataFrame, known: dict[int, list[list[str]]], id_column: str, column: str) -> DataFrame:
+    """(id, n_paragraphs, cues): lines with a word, and the paragraphs of lines with a cue or in a notice."""
+    anchor = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, anchors())) + r")(?![\p{L}\p{N}])|" + CUES[4:]
+    word = r"[\p{L}\p{N}]"
+    near = lambda x, end: F.transform(x, lambda y: F.right(y, F.lit(NEAREST)) if end else F.left(y, F.lit(NEAREST)))
+    spot = lambda lines: lambda x, i: F.when(
+        x.rlike(anchor), F.struct(x.alias("line"), near(F.slice(lines, F.greatest(i - AROUND + 1, F.lit(1)), F.least(i, F.lit(AROUND))), True).alias("before"), near(F.slice(lines, i + 2, F.lit(AROUND)), False).alias("after"))
+    )
+    split = F.split(F.coalesce(F.col(column), F.lit("")), "\n")
+    spots = F.transform(F.array(split), lambda lines: F.filter(F.transform(lines, spot(lines)), lambda x: x.isNotNull())).getItem(0)
+
+    def holds(text: Column) -> Column:
+        return F.transform(F.array(_grams(text)), lambda g: F.array_max(_held(g, known)) >= CONFIRM).getItem(0)
+
+    reach = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(((a, b) for a in range(AROUND + 1) for b in range(AROUND + 1) if a + b), key=lambda x: (sum(x), x))])
+
+    def paragraph(p: Column) -> Column:
+        join = lambda before, after: F.concat_ws("\n", before, F.array(p["line"]), after)
+        n, m = F.size(p["before"]), F.size(p["after"])
+        within = F.filter(reach, lambda r: (r["a"] <= n) & (r["b"] <= m))
+        some = lambda r: join(F.slice(p["before"], n - r["a"] + 1, r["a"]), F.slice(p["after"], F.lit(1), r["b"]))
+        shortest = F.get(F.filter(F.transform(within, some), holds), F.lit(0))
+        own = F.when(p["line"].rlike(CUES), p["line"])
+        return F.when(holds(p["line"]), p["line"]).when(holds(join(p["before"], p["after"])), F.coalesce(shortest, own)).otherwise(own)
+
+    rows = docs.select(F.col(id_column).alias("_id"), F.size(F.filter(split, lambda x: x.rlike(word))).cast("long").alias("n_paragraphs"), spots.alias("spots"))
+    return rows.select("_id", "n_paragraphs", F.filter(F.transform("spots", paragraph), lambda x: x.isNotNull()).alias("cues"))
 
 
 class LicenceModel:
@@ -81,25 +142,26 @@ class LicenceModel:
         self.classifier, self.calibration, self.known = classifier, calibration, known
 
     def _margins(self, rows: DataFrame) -> DataFrame:
-        """Adds class (the likeliest family from 1), and margin: its log odds against unknown."""
+        """Adds shares, class (the likeliest family from 1, of the confirmed ones if any), and margin: its log odds against unknown."""
         hashed = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="hashed").transform(rows)
-        raw = self.classifier.transform(hashed).withColumn("raw", vector_to_array("rawPrediction"))
+        raw = self.classifier.transform(hashed.withColumn("shares", _held(F.col("grams"), self.known))).withColumn("raw", vector_to_array("rawPrediction"))
         families = F.slice("raw", 2, len(FAMILIES))
-        return raw.withColumn("class", F.array_position(families, F.array_max(families)).cast("int")).withColumn("margin", F.array_max(families) - F.get("raw", F.lit(0))).drop("hashed", "rawPrediction", "probability", "prediction", "raw")
+        confirmed = F.zip_with(families, F.col("shares"), lambda x, held: F.when(held >= CONFIRM, x))
+        best = F.coalesce(F.array_max(confirmed), F.array_max(families))
+        place = F.when(F.array_max(confirmed).isNotNull(), F.array_position(confirmed, F.array_max(confirmed))).otherwise(F.array_position(families, F.array_max(families)))
+        return raw.withColumn("class", place.cast("int")).withColumn("margin", best - F.get("raw", F.lit(0))).drop("hashed", "rawPrediction", "probability", "prediction", "raw")
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """`rows` with grams, and: class, chance (calibrated, that the paragraph is of a known family), held (share of its template's grams)."""
         slope, shift = self.calibration
         out = self._margins(rows).withColumn("chance", 1 / (1 + F.exp(-(F.col("margin") * slope + shift))))
-        return out.withColumn("held", F.get(_held(F.col("grams"), self.known), F.col("class") - 1))
+        return out.withColumn("held", F.get("shares", F.col("class") - 1)).drop("shares")
 
 
 def fit(spark: SparkSession, cues: DataFrame, others: DataFrame) -> LicenceModel:
     """From templates, paragraphs with cues (labelled by the template they hold, or unknown) and others (unknown)."""
     templates = _templates(spark).withColumn("grams", _grams(F.col("paragraph")))
-    known: dict[int, list[list[str]]] = {}
-    for r in templates.where("class > 0").collect():  # the fixed templates
-        known.setdefault(r["class"], []).append(r["grams"])
+    known = _known(templates)
     cues = cues.select("paragraph").distinct().orderBy(F.xxhash64("paragraph"), "paragraph").limit(MAX_CUE).withColumn("grams", _grams(F.col("paragraph")))
     shares = _held(F.col("grams"), known)
     named = F.when(F.array_max(shares) >= CONFIRM, F.array_position(shares, F.array_max(shares))).otherwise(F.lit(0)).cast("int")
@@ -132,7 +194,8 @@ def licence_scan(docs: DataFrame, id_column: str = "doc_id", column: str = "text
     no paragraphs. Rows of equal id (null included) share their families. Other columns are ignored.
     """
     spark = docs.sparkSession
-    split = stored(paragraphs(docs, id_column, column), "cues")
+    known = _known(_templates(spark).withColumn("grams", _grams(F.col("paragraph"))))
+    split = stored(paragraphs(docs, known, id_column, column), "cues")
     cues = split.where(F.size("cues") > 0).select("_id", F.explode("cues").alias("paragraph"))
     some = docs.select(F.col(id_column).alias("_id"), F.col(column).alias("_text")).orderBy(F.xxhash64("_id", F.lit(5))).limit(OTHER_DOCS)
     others = some.select(F.explode(F.split("_text", "\n")).alias("paragraph")).where(f"paragraph rlike '[a-zA-Z]' and not paragraph rlike '{CUES}'").limit(MAX_OTHER)

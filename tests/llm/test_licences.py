@@ -28,3 +28,34 @@ def test_empty_table_and_plan(spark):
     out = x.licence_scan(docs)
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+
+
+def test_wrapped_notices_of_every_family(spark):
+    import textwrap
+
+    long = {f: max(ts, key=len) for f, ts in x.TEMPLATES.items()}
+    other = "The quick report on rivers and lakes of the county was printed in spring."
+    rows, want = [], {}
+    for width in (24, 40, 72):
+        for mark in ("", " * ", "# "):
+            for f, notice in long.items():
+                lines = textwrap.wrap(f"{notice}.", width)
+                want[len(rows)] = f
+                rows.append((len(rows), "\n".join(mark + y for y in [other, *lines, other])))
+    two = "\n".join([other, *textwrap.wrap(long["MIT"], 40), *textwrap.wrap(long["BSD"], 40)])
+    rows += [(9000, "You may not use this file except in compliance with the Apache\nLicense."), (9001, two), (9002, other)]
+    rows += [(9003, "modify\nit under the terms of the GNU General Public License as published by\nsomeone"), (9004, "Licensed under the Eclipse Public License, Version 2.0"), (9005, "Licensed under the Educational Community License, Version 2.0")]
+    got = {g.doc_id: g for g in x.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, want[i], tuple(got[i].families)) for i in want if got[i].families != [want[i]]} == set()
+    assert got[9000].families == ["Apache-2.0"] and got[9001].families == ["BSD", "MIT"] and got[9002].n_cues == 0
+    assert "AGPL-3.0" not in got[9003].families and got[9004].families == got[9005].families == []
+
+
+def test_every_gram_set_that_confirms_holds_an_anchor():
+    import re
+
+    chosen = set(x.anchors())
+    for t in (t for group in x.TEMPLATES.values() for t in group):
+        words = re.findall(r"[^\W_]+(?:[.]\d+)*", t.lower())
+        grams = {(w,) for w in words} | set(zip(words, words[1:]))
+        assert sum(not chosen & set(g) for g in grams) < x.CONFIRM * len(grams)
