@@ -11,6 +11,7 @@ a pattern of placeholders aren't.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ WINDOW = 10
 SHORTEST = 5
 #: Tokens that a match must cover, or the whole item where that is shorter.
 COVER = 13
-#: A window counts only if more of its tokens than this share are literal.
+#: A window matches by its template only if more of its tokens than this share are literal; others match by their own tokens.
 LITERAL = 0.5
 #: Up to so many item windows (8 bytes each) are sent to the tasks to drop other windows before the join; beyond, all windows go into the join.
 FILTER_WINDOWS = 2_000_000
@@ -39,6 +40,8 @@ UNITS = (
 
 _U = np.uint64
 _NUMBER, _NAME, _UNIT = _U(1), _U(2), _U(3)
+#: Sets the prints of windows of own tokens apart from those of templates.
+_OWN = _U(0x5851F42D4C957F2D)
 _UPPER, _LOWER_LETTER, _DIGIT, _EDGE, _BREAK = (np.zeros(256, bool) for _ in range(5))
 _UPPER[65:91] = True
 _LOWER_LETTER[97:123] = True
@@ -114,8 +117,12 @@ def _templates(offsets: np.ndarray, data: np.ndarray, opening: bool = True) -> t
     return w, own
 
 
-def _windows(lengths: list[int], wanted: dict[int, np.ndarray] | None, opening: bool = True):
-    """Texts to (id, size, print, place, n_tokens, slots): their windows, all or those with a wanted print."""
+def _windows(lengths: list[int], wanted: dict[int, np.ndarray] | None, opening: bool = True, items: bool = False):
+    """Texts to (id, size, print, place, n_tokens, slots): their windows, all or those with a wanted print.
+
+    Windows of few literals are there by their own tokens, all of which are then slots. Of texts all windows
+    are there so as well, as it depends on a text's sentences what passes for a name.
+    """
     sieves = {}
     for n in lengths if wanted is not None else []:
         sieves[n] = np.zeros(1 << 20, bool)
@@ -129,15 +136,18 @@ def _windows(lengths: list[int], wanted: dict[int, np.ndarray] | None, opening:
                 slot = np.isin(w.hashes[1], [_NUMBER, _NAME, _UNIT])
                 total = np.concatenate([[0], np.cumsum(slot)])
                 doc, counts = w.doc(), w.counts
-                for n in lengths:
-                    at, h = w.windows(n)
+                whole = replace(w, hashes={1: own})
+                for n, exact in ((n, exact) for n in lengths for exact in (False, True)):
+                    at, h = (whole if exact else w).windows(n)
+                    h = h ^ _OWN if exact else h
                     if wanted is not None:
                         look = sieves[n][(h >> _U(44)).astype(np.int64)]
                         at, h = at[look], h[look]
                         look = np.isin(h, wanted[n])
                         at, h = at[look], h[look]
-                    literal = total[at + n] - total[at] < n * (1 - LITERAL)
-                    at, h = at[literal], h[literal]
+                    if items or not exact:
+                        literal = total[at + n] - total[at] < n * (1 - LITERAL)
+                        at, h = at[literal != exact], h[literal != exact]
                     if not len(at):
                         continue
                     ids.append(batch.column(0).take(pa.array(doc[at] + lo)))
@@ -145,8 +155,8 @@ def _windows(lengths: list[int], wanted: dict[int, np.ndarray] | None, opening:
                     prints.append(h.view(np.int64))
                     places.append((at - w.first[doc[at]]).astype(np.int32))
                     tokens.append(counts[doc[at]].astype(np.int32))
-                    held = np.flatnonzero(slot)
-                    a, b = total[at], total[at + n]
+                    held = np.arange(len(own)) if exact else np.flatnonzero(slot)
+                    a, b = (at, at + n) if exact else (total[at], total[at + n])
                     ends.append(b - a)
                     flat.append(own[held[np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange((b - a).sum())]])
             if not ids:
@@ -170,7 +180,7 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", column
     of = lambda df, name: schema.format(df.schema[name].dataType.simpleString())
     lengths = list(range(SHORTEST, WINDOW + 1))
     # an item may stand within a sentence of a text: its first token then passes for a name
-    both = [items.mapInArrow(_windows(lengths, None, opening), of(items, "_item")) for opening in (True, False)]
+    both = [items.mapInArrow(_windows(lengths, None, opening, True), of(items, "_item")) for opening in (True, False)]
     wanted_rows = both[0].union(both[1]).distinct().where((F.col("size") == F.least("n_tokens", F.lit(WINDOW)))).select(F.col("id").alias("item_id"), "size", "print", F.col("place").alias("item_place"), F.col("n_tokens").alias("n_item_tokens"), F.col("slots").alias("item_slots"))
     sizes = {r["size"]: r["count"] for r in wanted_rows.groupBy("size").count().collect()}  # at most WINDOW rows
     lengths = sorted(sizes) or [WINDOW]

@@ -45,3 +45,17 @@ def test_large_benchmarks_join_every_window(spark, monkeypatch):
     want = run(spark, docs, ITEMS)
     monkeypatch.setattr(decontamination, "FILTER_WINDOWS", 0)
     assert run(spark, docs, ITEMS) == want
+
+
+def test_items_of_many_slots_match_by_their_own_tokens(spark, monkeypatch):
+    from chainlake.llm import decontamination
+
+    dense = "Anna has 3 apples, Peter 4, Maria 5: how many together?"
+    table = "12 14 16 18 and 22 24 26 28 30 32 34 36"
+    items = [(1, dense), (2, table)]
+    docs = [(1, dense), (2, f"some words before. {dense} and after"), (3, dense.replace("3", "7")), (4, f"so it is {table} there"), (5, table.replace("2", "5")), (6, f"the word that {dense}")]
+    got = run(spark, docs, items)
+    assert {i for i, g in got.items() if g.contaminated} == {1, 2, 4, 6}
+    assert not any(g.reworded for g in got.values())
+    monkeypatch.setattr(decontamination, "FILTER_WINDOWS", 0)
+    assert run(spark, docs, items) == got
