@@ -1,24 +1,28 @@
 """Removal of repeated passages by a log-structured index of window fingerprints.
 
-Every 13-word window of a text has a 56-bit fingerprint and 16 check bits of a second, independent
-hash. Tasks turn the texts they read into immutable runs: sorted fingerprints, each with the
-smallest document that starts it, dealt into buckets by the fingerprint's leading bits. Runs of a
-bucket, new and historical, are merge-joined; equal fingerprints count only where the check bits
-agree too. What a task already knows (a window repeated within its own run) isn't sent again, so
-a passage that a third of all documents share costs one entry a run. An index kept on disk takes
-further batches without reading older texts, and is compacted when it has many runs.
+Every 13-word window of a text has a 56-bit fingerprint. A batch of documents becomes one immutable
+run: a table bucketed by the fingerprint's leading bits, each bucket holding the batch's distinct
+fingerprints in order, each with the smallest document that starts it. Beside it stands the batch's
+text log, bucketed by doc_id. A new run is merge-joined with each older one, bucket by bucket and
+without moving either. Equal fingerprints are only candidates: their words, taken from the text logs,
+are compared, and where one fingerprint stands for different words the words decide. Runs are
+compacted when there are many, and a manifest in the shared folder lets a later session go on. What a
+task knows already (a window repeated within the texts it has read) isn't sent again, so a passage
+that a third of all documents share costs one entry a task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlake.llm import shared
@@ -28,7 +32,13 @@ WINDOW = 13
 #: Windows that a task sorts at a time.
 RUN = 600_000
 PRINT_BITS = 56
-RUN_SCHEMA = "bucket int, doc_id long, prints binary, docs binary, checks binary"
+#: Window texts that are put together at a time when words are compared.
+COMPARED = 1 << 15
+#: Batches, in ascending order of doc_id, that one call over a whole table is cut into, and the runs after which they are compacted.
+BATCHES, COMPACT_AT = 3, 2
+#: kind 0: fingerprints and first documents of a run; 1: windows of doc_id that a smaller document starts; 2: windows of doc_id that larger ones repeat.
+RUN_SCHEMA = "bucket int, kind int, doc_id long, prints binary, docs binary"
+_RUN, _REPEAT, _OWNER = 0, 1, 2
 
 
 def _prints(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,51 +56,55 @@ def _unplanes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _pack(prints: np.ndarray, docs: np.ndarray, checks: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    return _planes(np.diff(prints, prepend=np.uint64(0))), _planes(docs), _planes(checks)
+def _block(bucket: int, prints: np.ndarray, docs: np.ndarray) -> tuple:
+    return bucket, _RUN, None, _planes(np.diff(prints, prepend=np.uint64(0))), _planes(docs)
 
 
-def _first_of(prints: np.ndarray, checks: np.ndarray, docs: np.ndarray):
-    """Order by fingerprint, first place of each distinct one, and its smallest document, all in that order."""
+def _first_of(prints: np.ndarray, docs: np.ndarray):
+    """Order by fingerprint, first place of each distinct one, and its smallest document, all in that order.
+
+    The stable sort merges stretches that are in order already, so blocks put end to end are merged.
+    """
     order = np.argsort(prints, kind="stable")
-    p, c = prints[order], checks[order]
-    same = np.zeros(len(p), bool)
-    same[1:] = p[1:] == p[:-1]
-    if (same[1:] & (c[1:] != c[:-1])).any():
-        order = np.lexsort((checks, prints))
-        p, c = prints[order], checks[order]
-        same[1:] = (p[1:] == p[:-1]) & (c[1:] == c[:-1])
-    at = np.flatnonzero(~same)
+    p = prints[order]
+    at = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
     return order, at, np.minimum.reduceat(docs[order], at) if len(at) else docs[:0]
 
 
+def _by_doc(docs: np.ndarray, prints: np.ndarray, kind: int, bucket: int | None, bits: int) -> list[tuple]:
+    """A row for each document with its fingerprints."""
+    if not len(docs):
+        return []
+    by = np.argsort(docs, kind="stable")
+    docs, prints = docs[by], prints[by]
+    cut = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    return [(int(d) & ((1 << bits) - 1) if bucket is None else bucket, kind, int(d), np.unique(p).tobytes(), None) for d, p in zip(docs[cut], np.split(prints, cut[1:]), strict=True)]
+
+
+def _merged(prints: np.ndarray, docs: np.ndarray, bucket: int | None, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """Distinct fingerprints in order, their smallest documents, and rows for the repeats and their owners."""
+    order, at, first = _first_of(prints, docs)
+    owner = np.repeat(first, np.diff(np.append(at, len(order))))
+    p, d = prints[order], docs[order]
+    again = d > owner
+    rows = _by_doc(d[again], p[again], _REPEAT, bucket, bits) + _by_doc(owner[again], p[again], _OWNER, bucket, bits)
+    return p[at], first, rows
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
     columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "doc_id", "prints", "docs", "checks"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "kind", "doc_id", "prints", "docs"])
 
 
-def _to_runs(bits: int, window: int):
-    """Texts to rows of RUN_SCHEMA: blocks of a run (doc_id null), and windows known to be repeats (docs null)."""
+def _to_blocks(bits: int, window: int):
+    """Texts to rows of RUN_SCHEMA: sorted blocks by bucket, and what repeats within the texts at hand."""
 
     def flush(parts: list) -> pa.RecordBatch:
-        prints, checks, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        order, at, first = _first_of(prints, checks, docs)
-        owner = np.repeat(first, np.diff(np.append(at, len(order))))
-        rows = []
-        known = docs[order] > owner
-        if known.any():
-            d, p = docs[order][known], prints[order][known]
-            by = np.argsort(d, kind="stable")
-            d, p = d[by], p[by]
-            cut = np.flatnonzero(np.diff(d, prepend=d[0] - 1))
-            rows += [(int(i) & ((1 << bits) - 1), int(i), np.unique(x).tobytes(), None, None) for i, x in zip(d[cut], np.split(p, cut[1:]), strict=True)]
-        p, c = prints[order][at], checks[order][at]
+        prints, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        p, first, rows = _merged(prints, docs, None, bits)
         edges = np.searchsorted(p, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(PRINT_BITS - bits)) if bits else []
-        for k, (x, y, z) in enumerate(zip(np.split(p, edges), np.split(first, edges), np.split(c, edges), strict=True)):
-            if len(x):
-                rows.append((k, None, *_pack(x, y, z)))
+        rows += [_block(k, x, y) for k, (x, y) in enumerate(zip(np.split(p, edges), np.split(first, edges), strict=True)) if len(x)]
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +112,10 @@ def _to_runs(bits: int, window: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, offsets, data in runs(batch.column(1)):
-                w = words(offsets, data, (1, 2))
+                w = words(offsets, data)
                 at, prints = _prints(w, window)
                 if len(at):
-                    checks = (w.windows(window, 2)[1] >> np.uint64(48)).astype(np.uint16)
-                    parts.append((prints, checks, ids[lo:hi].astype(np.int64)[w.doc()[at]]))
+                    parts.append((prints, ids[lo:hi].astype(np.int64)[w.doc()[at]]))
                     n += len(at)
                 if n > RUN:
                     full, parts, n = parts, [], 0
@@ -113,68 +126,123 @@ def _to_runs(bits: int, window: int):
     return run
 
 
-def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, check bits and documents of a bucket's blocks."""
-    p, c, d = [], [], []
-    for prints, docs, checks in zip(*(table.column(x) for x in ("prints", "docs", "checks")), strict=True):
-        if docs.as_py() is not None:
+def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and documents of a bucket's blocks, each block in order."""
+    p, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for kind, prints, docs in zip(*(table.column(x) for x in ("kind", "prints", "docs")), strict=True):
+        if kind.as_py() == _RUN:
             p.append(np.cumsum(_unplanes(prints.as_py(), np.uint64)))
-            c.append(_unplanes(checks.as_py(), np.uint16))
             d.append(_unplanes(docs.as_py(), np.int64))
-    if not p:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64)
-    return np.concatenate(p), np.concatenate(c), np.concatenate(d)
+    return np.concatenate(p), np.concatenate(d)
+
+
+def _to_run(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A bucket's blocks of one batch, or of several runs, as one block; rows on documents stay and are added to."""
+        bucket = table.column("bucket")[0].as_py()
+        kinds = np.array(table.column("kind"))
+        p, first, rows = _merged(*_blocks(table), bucket, bits)
+        known = table.filter(pa.array(kinds != _RUN)).select(["bucket", "kind", "doc_id", "prints", "docs"])
+        made = pa.Table.from_batches([_batch(rows + ([_block(bucket, p, first)] if len(p) else []))])
+        return pa.concat_tables([known.cast(made.schema), made])
+
+    return run
+
 
+def _two_runs(bits: int):
+    to_run = _to_run(bits)
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Of a bucket's runs: (doc_id, prints) of the windows that start in a smaller document too."""
-    known = table.filter(pc.is_valid(table.column("doc_id"))).select(["doc_id", "prints"])
-    prints, checks, docs = _blocks(table)
-    order, at, first = _first_of(prints, checks, docs)
-    repeat = docs[order] > np.repeat(first, np.diff(np.append(at, len(order))))
-    d, p = docs[order][repeat], prints[order][repeat]
-    by = np.argsort(d, kind="stable")
-    d, p = d[by], p[by]
-    cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, int)
-    found = pa.table([pa.array(d[cut], pa.int64()), pa.array([x.tobytes() for x in np.split(p, cut[1:])] if len(d) else [], pa.binary())], ["doc_id", "prints"])
-    return pa.concat_tables([known.cast(found.schema), found])
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        return to_run(pa.concat_tables([one, two]))
+
+    return run
+
+
+def _merge_join(bits: int):
+    def run(old: pa.Table, new: pa.Table) -> pa.Table:
+        """Merge join of a bucket of an older run and of the new one: the new documents' repeats, and the older ones that own them."""
+        (p, d), (q, e) = _blocks(old), _blocks(new)
+        at = np.minimum(np.searchsorted(p, q), max(len(p) - 1, 0))
+        hit = p[at] == q if len(p) else np.zeros(len(q), bool)
+        return pa.Table.from_batches([_batch(_by_doc(e[hit], q[hit], _REPEAT, 0, bits) + _by_doc(d[at[hit]], q[hit], _OWNER, 0, bits))])
+
+    return run
 
 
-def _compacted(table: pa.Table) -> pa.Table:
-    """A bucket's runs as one run of distinct fingerprints."""
-    prints, checks, docs = _blocks(table)
-    order, at, first = _first_of(prints, checks, docs)
-    row = (table.column("bucket")[0].as_py(), None, *_pack(prints[order][at], first, checks[order][at]))
-    return pa.Table.from_batches([_batch([row] if len(at) else [])])
+def _spaced(w: Words, n_bytes: int, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words one space apart, and where each begins (and the next would)."""
+    size = w.end - w.start
+    start = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(int(start[-1]), 32, np.uint8)
+    place = np.repeat(start[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+    source = np.repeat(w.start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+    out[place] = data[source]
+    return out, start
+
+
+def _slices(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """text[begin[i]:end[i]] of each i."""
+    size = end - begin
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    index = np.repeat(begin - offsets[:-1], size) + np.arange(int(offsets[-1]))
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text[index])])
+
+
+def _evidence(window: int):
+    """(doc_id, text, list of fingerprints) to (print, words, doc_id) of the windows with those fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            for lo, hi, offsets, data in runs(batch.column(1)):
+                w = words(offsets, data)
+                at, prints = _prints(w, window)
+                edges = np.searchsorted(at, w.first)
+                look = np.zeros(len(at), bool)
+                for i in range(hi - lo):
+                    here = slice(edges[i], edges[i + 1])
+                    look[here] = np.isin(prints[here], np.frombuffer(b"".join(wanted[lo + i].as_py()), np.uint64))
+                at, prints, docs = at[look], prints[look], ids[lo:hi].astype(np.int64)[w.doc()[at[look]]]
+                text, start = _spaced(w, len(data), data)
+                for k in range(0, len(at), COMPARED):
+                    part = slice(k, k + COMPARED)
+                    yield pa.RecordBatch.from_arrays([pa.array(prints[part].view(np.int64)), _slices(text, start[at[part]], start[at[part] + window] - 1), pa.array(docs[part])], ["print", "words", "doc_id"])
+
+    return run
 
 
 def _digest(window: int):
+    """(doc_id, text, fingerprints that go, but not these, windows' words that go) to (doc_id, n_words, n_removed, kept_text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(2)
+            found, but, exact = batch.column(2), batch.column(3), batch.column(4)
             n_words, n_removed, kept = [], [], []
             for lo, hi, offsets, data in runs(batch.column(1)):
                 w = words(offsets, data)
                 at, prints = _prints(w, window)
                 edges = np.searchsorted(at, w.first)
                 for i in range(hi - lo):
-                    text = data[offsets[i] : offsets[i + 1]].tobytes()
-                    repeats = found[lo + i].as_py()
-                    split = text.split()
-                    n = gone = 0
+                    split = data[offsets[i] : offsets[i + 1]].tobytes().split()
+                    repeats, by_words = found[lo + i].as_py() or [], set(exact[lo + i].as_py() or [])
+                    start, gone, left = np.zeros(0, np.int64), 0, split
                     if repeats and edges[i + 1] > edges[i]:
                         here = slice(edges[i], edges[i + 1])
-                        start = at[here][np.isin(prints[here], np.frombuffer(b"".join(repeats), np.uint64))] - w.first[i]
+                        gone_prints = np.frombuffer(b"".join(repeats), np.uint64)
+                        if not_these := but[lo + i].as_py():
+                            gone_prints = np.setdiff1d(gone_prints, np.array(not_these, np.int64).view(np.uint64))
+                        start = at[here][np.isin(prints[here], gone_prints)] - w.first[i]
+                    if by_words:
+                        more = [k for k in range(len(split) - window + 1) if b" ".join(split[k : k + window]) in by_words]
+                        start = np.concatenate([start, np.array(more, np.int64)])
+                    if len(start):
                         cover = np.zeros(len(split) + 1, np.int64)
                         np.add.at(cover, start, 1)
                         np.add.at(cover, np.minimum(start + window, len(split)), -1)
                         stay = np.cumsum(cover)[: len(split)] == 0
                         gone = int(len(split) - stay.sum())
-                        left = list(compress(split, stay)) if gone else split
-                    else:
-                        left = split
-                    n = len(split)
-                    n_words.append(n)
+                        left = list(compress(split, stay))
+                    n_words.append(len(split))
                     n_removed.append(gone)
                     kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
@@ -188,21 +256,76 @@ def _sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+class Stored:
+    """A table in the shared folder, bucketed by one column."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, column: str, bits: int):
+        self.path, self.name = path, f"chainlake_{path.rpartition('/')[2].replace('-', '_')}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet CLUSTERED BY ({column}) INTO {1 << bits} BUCKETS LOCATION '{path}'")
+        self.rows = spark.table(self.name)
+
+    @classmethod
+    def write(cls, rows: DataFrame, folder: str, kind: str, schema: str, column: str, bits: int) -> Stored:
+        """Rows of a bucket should come from one task."""
+        spark, path = rows.sparkSession, f"{folder}/chainlake-{kind}-{uuid.uuid4().hex}"
+        name = f"chainlake_{path.rpartition('/')[2].replace('-', '_')}"
+        rows.write.bucketBy(1 << bits, column).format("parquet").option("path", path).option("compression", "zstd").saveAsTable(name)
+        return cls(spark, path, schema, column, bits)
+
+    def forget(self) -> None:
+        shared.forget(self.rows)
+        self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+TEXT_SCHEMA, HELD_SCHEMA = "doc_id long, text string", "doc_id long, kind int, prints binary"
+
+
 class SubstringIndex:
-    """Window fingerprints of all documents seen so far, as immutable sorted runs in a shared folder.
+    """Window fingerprints and texts of all documents seen so far, as immutable tables in a shared folder.
 
     Batches must come in ascending order of doc_id for `ingest` to give what one call over all
     documents gives. bits: 2 ** bits buckets, the same for the index's whole life; `bits_for`
     suggests it from the number of input partitions, so that a bucket stays a few MB.
     """
 
-    def __init__(self, bits: int, window: int = WINDOW, most_runs: int = 8):
-        self.bits, self.window, self.most_runs = bits, window, most_runs
-        self.runs: list[DataFrame] = []
+    def __init__(self, bits: int, window: int = WINDOW, most_runs: int = 8, folder: str | None = None):
+        self.bits, self.window, self.most_runs, self.folder = bits, window, most_runs, folder
+        self.runs: list[Stored] = []
+        self.texts: list[Stored] = []
+        self.clashes: list[str] = []
+        self._version = 0
 
     @staticmethod
     def bits_for(docs: DataFrame) -> int:
-        return max(6, (2 * docs.rdd.getNumPartitions() - 1).bit_length())
+        return max(3, (2 * docs.rdd.getNumPartitions() - 1).bit_length())
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> SubstringIndex:
+        """The index whose manifest is in `folder`, as its last ingest or compaction left it."""
+        last = spark.read.schema("version long, state string").json(f"{folder}/manifest").orderBy(F.desc("version")).first()
+        state = json.loads(last.state)
+        index = cls(state["bits"], state["window"], state["most_runs"], folder)
+        index._version, index.clashes = last.version, state["clashes"]
+        index._settings(spark)
+        index.runs = [Stored(spark, path, RUN_SCHEMA, "bucket", index.bits) for path in state["runs"]]
+        index.texts = [Stored(spark, path, TEXT_SCHEMA, "doc_id", index.bits) for path in state["texts"]]
+        return index
+
+    def _publish(self, spark: SparkSession) -> None:
+        """Append the present state to the manifest; readers take the newest."""
+        self._version += 1
+        state = {"bits": self.bits, "window": self.window, "most_runs": self.most_runs, "runs": [r.path for r in self.runs], "texts": [t.path for t in self.texts], "clashes": self.clashes}
+        spark.createDataFrame([(self._version, json.dumps(state))], "version long, state string").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+
+    def _settings(self, spark: SparkSession) -> None:
+        """Shuffle files of a finished step go, as its result is stored; enough buckets are allowed."""
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        if 1 << self.bits > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+            spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(1 << self.bits))
 
     def ingest(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_text) for each row of `docs` (doc_id, text).
@@ -210,39 +333,87 @@ class SubstringIndex:
         A word goes if a window that covers it also starts in a document with a smaller doc_id,
         in this batch or an earlier one. Null texts have no words; rows without doc_id keep all
         their words and remove none elsewhere; rows of equal doc_id don't remove each other's.
-        keep: whether the batch becomes a run of the index.
+        keep: whether the batch becomes part of the index.
         """
+        spark = docs.sparkSession
+        self._settings(spark)
+        self.folder = self.folder or f"{shared.folder(spark)}/chainlake-index-{uuid.uuid4().hex}"
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        new = docs.where("doc_id is not null").mapInArrow(_to_runs(self.bits, self.window), RUN_SCHEMA)
+        log = Stored.write(docs.repartition(1 << self.bits, "doc_id"), self.folder, "texts", TEXT_SCHEMA, "doc_id", self.bits)
+        blocks = log.rows.where("doc_id is not null").mapInArrow(_to_blocks(self.bits, self.window), RUN_SCHEMA)
+        new = Stored.write(blocks.groupBy("bucket").applyInArrow(_to_run(self.bits), RUN_SCHEMA), self.folder, "run", RUN_SCHEMA, "bucket", self.bits)
+        by_bucket = lambda run: run.rows.where("kind = 0").groupBy("bucket")
+        joined = [by_bucket(old).cogroup(by_bucket(new)).applyInArrow(_merge_join(self.bits), RUN_SCHEMA) for old in self.runs]
+        held = _union([new.rows.where("kind > 0"), *joined]).select("doc_id", "kind", "prints")
+        held = Stored.write(held.repartition(1 << self.bits, "doc_id"), self.folder, "held", HELD_SCHEMA, "doc_id", self.bits)
+        repeats = self._verified(held.rows, [t.rows for t in self.texts] + [log.rows])
+        out = log.rows.join(repeats, log.rows.doc_id == F.col("_id"), "left").select("doc_id", "text", "prints", "but", "exact").mapInArrow(_digest(self.window), "doc_id long, n_words long, n_removed long, kept_text string")
         if keep:
-            new = shared.stored(new, "windows")
-        both = new
-        for old in self.runs:
-            both = both.unionByName(old)
-        repeats = both.groupBy("bucket").applyInArrow(_merge, "doc_id long, prints binary")
-        repeats = repeats.groupBy("doc_id").agg(F.collect_list("prints").alias("prints")).select(F.col("doc_id").alias("_id"), "prints")
-        out = docs.join(repeats, docs.doc_id == F.col("_id"), "left").select("doc_id", "text", "prints").mapInArrow(_digest(self.window), "doc_id long, n_words long, n_removed long, kept_text string")
-        if keep:
-            out = shared.stored(out, "kept")
-            self.runs.append(shared.stored(new.where("doc_id is null"), "run"))
+            self.runs.append(new)
+            self.texts.append(log)
             if len(self.runs) > self.most_runs:
                 self.compact()
+            else:
+                self._publish(spark)
         return out
 
+    def _verified(self, held: DataFrame, logs: list[DataFrame]) -> DataFrame:
+        """(_id, prints, but, exact) of the documents with repeats.
+
+        prints: fingerprints of repeated windows; but: those of them that stand for different words
+        in different places; exact: the words of the windows among these that do repeat.
+        """
+        spark = held.sparkSession
+        by_doc = held.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("prints").alias("prints"))
+        found = _union([log.join(by_doc, log.doc_id == F.col("_id")).select("doc_id", "text", "prints") for log in logs]).mapInArrow(_evidence(self.window), "print long, words binary, doc_id long")
+        different = found.select("print", "words").distinct()
+        older = [spark.read.parquet(path) for path in self.clashes]
+        if older:
+            different = _union([different, *[c.select("print", "words") for c in older]]).distinct()
+        clashing = shared.stored(different.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "clashing")
+        repeats = held.where("kind = 1").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("prints").alias("prints"))
+        if not clashing.limit(1).count():
+            return repeats.select("_id", "prints", F.array().cast("array<bigint>").alias("but"), F.array().cast("array<binary>").alias("exact"))
+        mine = shared.stored(found.join(clashing, "print"), "doubtful")
+        first = _union([mine.groupBy("print", "words").agg(F.min("doc_id").alias("first")), *older]).groupBy("print", "words").agg(F.min("first").alias("first"))
+        path = f"{self.folder}/chainlake-clash-{uuid.uuid4().hex}"
+        first.write.parquet(path)
+        self.clashes = [path]  # it holds the older ones
+        exact = mine.join(spark.read.parquet(path), ["print", "words"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("words").alias("exact"))
+        doubtful = mine.groupBy("doc_id").agg(F.collect_set("print").alias("but"))
+        sure = doubtful.join(exact, "doc_id", "left")
+        return repeats.join(sure, repeats["_id"] == sure["doc_id"], "left").select("_id", "prints", "but", "exact")
+
     def compact(self) -> None:
-        """Merge all runs into one."""
-        every = self.runs[0]
-        for run in self.runs[1:]:
-            every = every.unionByName(run)
-        merged = shared.stored(every.groupBy("bucket").applyInArrow(_compacted, RUN_SCHEMA), "run")
-        for run in self.runs:
-            shared.forget(run)
-        self.runs = [merged]
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One call over all of `docs`: see SubstringIndex.ingest."""
-    return SubstringIndex(SubstringIndex.bits_for(docs), window).ingest(docs, keep=False)
+        """Merge all runs into one, publish it, and delete the merged ones; no result of `ingest` reads runs."""
+        spark, old = self.runs[0].rows.sparkSession, self.runs
+        merged = old[0].rows.where("kind = 0")
+        for run in old[1:]:
+            merged = merged.groupBy("bucket").cogroup(run.rows.where("kind = 0").groupBy("bucket")).applyInArrow(_two_runs(self.bits), RUN_SCHEMA).where("kind = 0")
+        self.runs = [Stored.write(merged, self.folder, "run", RUN_SCHEMA, "bucket", self.bits)]
+        self._publish(spark)
+        for run in old:
+            run.forget()
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) of all of `docs`, through an index that takes them in batches by doc_id.
+
+    See SubstringIndex.ingest for null texts, null and equal ids; rows without doc_id go with the
+    first batch. An empty table gives an empty table; other columns are ignored.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)]).alias("c")).first().c if batches > 1 else []
+    cuts = sorted(set(cuts or []))
+    index = SubstringIndex(SubstringIndex.bits_for(docs), window)
+    out = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        id_ = F.col("doc_id")
+        within = F.lit(True) if low is None and high is None else id_.isNull() | (id_ <= high) if low is None else id_ > low if high is None else (id_ > low) & (id_ <= high)
+        out.append(index.ingest(docs.where(within)))
+        if len(index.runs) == COMPACT_AT and high is not None:
+            index.compact()
+    return _union(out)
 
 
 def digests(kept: DataFrame) -> DataFrame:

@@ -59,3 +59,35 @@ def test_batches_and_compaction_equal_one_call(spark):
 
 def test_empty_table(spark):
     assert substring_dedup(frame(spark, [])).count() == 0
+
+
+def test_a_later_session_goes_on(spark, tmp_path):
+    rows = sorted((x for x in corpus() if x[0] is not None), key=lambda x: x[0])
+    index = SubstringIndex(3, most_runs=2, folder=f"file://{tmp_path}/index")
+    got = []
+    for a, b in ((0, 10), (10, 25), (25, 40), (40, len(rows))):
+        got += map(tuple, digests(index.ingest(frame(spark, rows[a:b]))).collect())
+        for stored in (*index.runs, *index.texts):
+            spark.sql(f"DROP TABLE {stored.name}")  # as in a session that hasn't seen them
+        index = SubstringIndex.open(spark, f"file://{tmp_path}/index")
+    assert sorted(got, key=str) == brute(rows) and len(index.runs) == 2 and len(index.texts) == 4
+
+
+def test_words_decide_where_fingerprints_clash(spark, monkeypatch):
+    """Fingerprints of 9 bits stand for many windows each."""
+    from chainlake.llm import substring_dedup as x
+
+    monkeypatch.setattr(x, "PRINT_BITS", 9)
+    monkeypatch.setattr(x, "_prints", lambda w, n: (lambda at, p: (at, p >> x.np.uint64(55)))(*w.windows(n, 1)))
+    rows = [r for r in corpus() if r[0] is None or r[0] != 103]
+    got = x.digests(x.substring_dedup(frame(spark, rows).repartition(3), batches=3)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_older_runs_are_not_shuffled(spark):
+    rows = sorted((x for x in corpus() if x[0] is not None), key=lambda x: x[0])
+    index = SubstringIndex(3)
+    index.ingest(frame(spark, rows[:30]))
+    a, b = index.runs[0], index.runs[0]
+    joined = a.rows.groupBy("bucket").cogroup(b.rows.groupBy("bucket")).applyInArrow(lambda x, y: x, "bucket int, kind int, doc_id long, prints binary, docs binary")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
