@@ -4,7 +4,8 @@ Each kind of entity is mapped by a keyed permutation of the values of its own fo
 fixed points: digits stay digits, a card keeps its check digit's standing, an address stays private or
 public, a given name is replaced by one of the same gender and script, other names by letters of
 their own class and script. One value has one surrogate wherever it occurs, so mentions still
-corefer, and two values of a format never share one. `collisions` checks that over the corpus, and
+corefer, and two values of a format never share one; a given or family name that stands alone follows
+a full mention in the same text. `collisions` checks distinctness over the corpus, and
 the key is stirred again if anything is found.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -34,7 +36,7 @@ GIVEN = {
 TITLES = {"m": "Mr Herr Señor Monsieur Sir".split(), "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme".split(), "": "Dr Prof".split()}
 #: Letters by script: vowels, then consonants (fixed values).
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
-KINDS = ("email", "secret", "ip", "phone", "card", "name")
+KINDS = ("email", "secret", "ip", "phone", "card", "iban", "name")
 
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _NAMES = "|".join(sorted((n for group in GIVEN.values() for n in group), key=lambda n: (-len(n), n)))
@@ -52,6 +54,8 @@ PATTERN = re.compile(
     r"|(?P<assigned>(?i:(?<![^\W_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\W{0,3}[=:]\s{0,3}))" + _VALUE +
     r"|(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d))"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f:]{0,38}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d))"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))"
     r"|(?P<abroad>(?<![\w+.,/-])(?:\+[1-9]|00[1-9]\d{0,2}[ ./-](?=\(?\d)\(?\d)(?:(?:[ ]?\(|\)[ ./-]?|[ ]?/[ ]?|[ .-])?\d){7,15}(?!\w))"
     r"|(?P<trunk>(?<![\w+.,/-])(?!\d\d[./-]\d\d[./-]\d{4})(?=\(?\d(?:\)?[ ./-]?\d){8,10}(?![ ./-]?\w))(?:\(0[1-9]\d{0,3}\)[ ./-]?|0[1-9]\d{0,3}[ ./-])\d{2,8}(?:[ ./-]\d{2,8}){0,4}(?![ ./-]?\d))"
@@ -174,7 +178,20 @@ def _private(x: int) -> int:
     return 1 if a == 10 else 2 if a == 127 else 3 if a == 172 and 16 <= b < 32 else 4 if (a, b) == (192, 168) else 0
 
 
+def _ip6(value: str) -> int | None:
+    try:
+        return int(ipaddress.IPv6Address(value))
+    except ValueError:
+        return None
+
+
 def _ip(p: Permuter, value: str) -> str:
+    """Of the newer kind, the first group (its scope) stays; all eight are written out."""
+    if ":" in value:
+        x = _ip6(value)
+        y = x >> 112 << 112 | p.move(x & ((1 << 112) - 1), 1 << 112, f"ip {x >> 112}")
+        out = ":".join(f"{y >> 16 * i & 0xFFFF:x}" for i in reversed(range(8)))
+        return out.upper() if value.upper() == value and any(c.isalpha() for c in value) else out
     x = int.from_bytes(bytes(map(int, value.split("."))), "big")
     ranges = {1: (10 << 24, 24), 2: (127 << 24, 24), 3: (172 << 24 | 16 << 16, 20), 4: (192 << 24 | 168 << 16, 16)}
     kind = _private(x)
@@ -215,6 +232,20 @@ def _card(p: Permuter, value: str) -> str:
     return "".join(next(out) if c.isdigit() else c for c in value)
 
 
+def _iban_rest(value: str) -> int:
+    """The remainder by 97: 1 for a valid number."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
+def _iban(p: Permuter, value: str) -> str:
+    """The country and the spacing stay; the check digits follow from the rest."""
+    plain = value.replace(" ", "")
+    body = p.text(plain[4:], _WORDS, f"iban {plain[:2]}", False)
+    check = 98 - _iban_rest(plain[:2] + "00" + body)
+    out = iter(f"{plain[:2]}{check:02d}{body}")
+    return "".join(c if c == " " else next(out) for c in value)
+
+
 _WHO = {name.lower(): (group, i) for group, names in GIVEN.items() for i, name in enumerate(names)}
 
 
@@ -226,15 +257,14 @@ def _name(p: Permuter, value: str) -> str:
             new = GIVEN[group][p.move(i, len(GIVEN[group]), "given " + " ".join(group))]
             out.append(new.upper() if part.isupper() else new.lower() if part.islower() else new)
         else:
-            others = not any(c in chars for c in part.lower() for chars in LETTERS)
-            new = p.text(part, LETTERS, "name", others)
+            new = p.text(part, LETTERS, "name")
             while new.lower() in _WHO:  # a family name doesn't turn into a given name
-                new = p.text(new, LETTERS, "name", others)
+                new = p.text(new, LETTERS, "name")
             out.append(new)
     return " ".join(out)
 
 
-MAKERS: dict[str, Callable[[Permuter, str], str]] = {"email": _email, "secret": _secret, "ip": _ip, "phone": _phone, "card": _card, "name": _name}
+MAKERS: dict[str, Callable[[Permuter, str], str]] = {"email": _email, "secret": _secret, "ip": _ip, "phone": _phone, "card": _card, "iban": _iban, "name": _name}
 
 
 def _is_card(value: str) -> bool:
@@ -242,10 +272,17 @@ def _is_card(value: str) -> bool:
     return luhn("".join(c for c in value if c.isdigit())) == 0
 
 
-def entities(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of the entities of a text, from left to right, not overlapping."""
-    for m in PATTERN.finditer(text):
-        kind = m.lastgroup
+def _whole_name(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without a possessive ending or a mark at its end."""
+    name = text[start:end]
+    name = re.sub(r"['’]s$", "", name).rstrip("'’-")
+    return start, start + len(name)
+
+
+def _spans(text: str) -> Iterator[tuple[str, int, int]]:
+    at = 0
+    while m := PATTERN.search(text, at):
+        kind, at = m.lastgroup, m.end()
         if kind in ("double", "single", "value"):
             start, value = m.start(kind), m[kind] if kind != "value" else m[kind].rstrip(".,;:!?)]}>")
             if any(c.isalnum() for c in value) and (len(value) >= 8 or re.search(_SIGNED, value)):
@@ -253,18 +290,51 @@ def entities(text: str) -> Iterator[tuple[str, int, int]]:
         elif kind == "hex":
             yield "secret", *m.span()
         elif kind == "titled":
-            yield "name", *m.span("titled")
+            yield "name", *_whole_name(text, *m.span("titled"))
         elif kind == "family":
-            yield "name", *m.span()
+            yield "name", *_whole_name(text, *m.span())
         elif kind in ("abroad", "trunk"):
             yield "phone", *m.span()
+        elif kind == "ip6":
+            if _ip6(m[0]) is not None and m[0].count(":") > 2:
+                yield "ip", *m.span()
+        elif kind == "iban":
+            plain = m[0].replace(" ", "")
+            if len(plain) <= 34 and _iban_rest(plain) == 1:
+                yield kind, *m.span()
+            else:
+                at = m.start() + 4  # what follows may be something else
         elif kind != "card" or _is_card(m[0]):
             yield kind, *m.span()
 
 
+_NAME_WORD = re.compile(r"[^\W\d_][\w'’-]+")
+
+
+def entities(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of the entities of a text, from left to right, not overlapping.
+
+    Beside what the pattern finds: the parts of each name found, wherever they stand alone.
+    """
+    found = list(_spans(text))
+    parts = {part for kind, a, b in found if kind == "name" for part in text[a:b].split(" ")}
+    alone, k = [], 0
+    for m in _NAME_WORD.finditer(text) if parts else ():
+        a, b = _whole_name(text, *m.span())
+        if text[a:b] not in parts:
+            continue
+        while k < len(found) and found[k][2] <= a:
+            k += 1
+        if k == len(found) or b <= found[k][1]:
+            alone.append(("name", a, b))
+    yield from sorted(found + alone, key=lambda e: e[1]) if alone else found
+
+
 def _canonical(kind: str, value: str) -> str:
     if kind == "ip":
-        return ".".join(str(int(x)) for x in value.split("."))
+        return str(ipaddress.IPv6Address(value)) if ":" in value else ".".join(str(int(x)) for x in value.split("."))
+    if kind == "iban":
+        return value.replace(" ", "")
     return value.lower() if kind == "email" else value
 
 
@@ -294,7 +364,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_column: str = "doc_id", column:
 
     All other columns stay as they are; a column that is named like a count is replaced by it. A
     null text stays null with counts 0; an empty one stays empty. Equal values get equal
-    surrogates in every row. The corpus is scanned once for collisions before the replacement;
+    surrogates in every row, repeated rows and rows without id included. The corpus is scanned once for collisions before the replacement;
     any makes a new key from the old one. Values that have no character to change stay.
     """
     for attempt in range(tries):

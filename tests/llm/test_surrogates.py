@@ -120,3 +120,60 @@ def test_international_phone_groupings():
         assert new != value and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", value)
     for text in ["on 01-02-2003 and 01.02.2003", "0.0012345678", "ISBN 0-306-40615-2", "1,234,567.89", "2024-11-28 10:20:30"]:
         assert list(x.entities(text)) == [], text
+
+
+def test_no_text_stops_the_corpus(spark):
+    odd = ["Dr 王小明 came.", "password=________ x", "mail _@example.com", "Dr ßß and Mr ٣٣", "Mrs Änne Größe met Herr Müller", "token=@@@@@@@@@", "السيد Dr محمد علي", "::::: 1::2 fe80::1%eth0", "XX00 1234 5678 9012"]
+    got = x.pseudonymise(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), KEY).collect()
+    by = {g.doc_id: g.text for g in got}
+    assert len(got) == len(odd) and by[1] == odd[1]
+    for i, words in {0: ["王", "小", "明"], 4: ["Änne", "Größe", "Müller"], 6: ["محمد"]}.items():
+        assert not any(w in by[i] for w in words), by[i]
+
+
+def test_lone_mentions_follow_the_full_one():
+    text = "James Smith met James and Smith's friend; Mr. O'Neil knew Smith. O'Neil left, James's hat and a smith stayed, Smithson too."
+    new = replaced(text)
+    given, family = new.split()[:2]
+    assert given in x.GIVEN["latin", "m"] and "James " not in new and "Smith " not in new
+    assert new == text.replace("James", given).replace("Smithson", "#").replace("Smith", family).replace("#", "Smithson").replace("O'Neil", new.split("Mr. ")[1].split()[0])
+
+
+def test_ip6_and_iban():
+    for value in ("2001:db8:0:0:0:ff00:42:8329", "2001:db8::ff00:42:8329", "FE80::1234:5678:9ABC:DEF0"):
+        ((kind, a, b),) = list(x.entities(f"from {value}, then"))
+        assert (kind, a, b) == ("ip", 5, 5 + len(value))
+        new = x.MAKERS["ip"](p(), value)
+        assert x._ip6(new) is not None and x._ip6(new) != x._ip6(value) and new.split(":")[0] == value.split(":")[0] and [e[0] for e in x.entities(new)] == ["ip"]
+    assert x.MAKERS["ip"](p(), "2001:db8::ff00:42:8329") == x.MAKERS["ip"](p(), "2001:db8:0:0:0:ff00:42:8329")
+    for value in ("DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR1420041010050500013M02606"):
+        ((kind, a, b),) = list(x.entities(f"to {value}."))
+        assert (kind, a, b) == ("iban", 3, 3 + len(value))
+        new = x.MAKERS["iban"](p(), value)
+        assert new != value and new[:2] == value[:2] and x._iban_rest(new.replace(" ", "")) == 1 and [c == " " for c in new] == [c == " " for c in value]
+    assert x.MAKERS["iban"](p(), "DE89 3704 0044 0532 0130 00").replace(" ", "") == x.MAKERS["iban"](p(), "DE89370400440532013000")
+    for text in ("at 10:20:30 and 1:2", "std::vector<a::b>", "aa:bb", "DE00 1234 5678 9012 3456 78", "12:34:56:78:9a:bc"):
+        assert [e for e in x.entities(text) if e[0] in ("ip", "iban")] == [], text
+
+
+def test_equals_a_plain_map_over_the_corpus(spark):
+    """One map from values to surrogates explains every text, and no two values share a surrogate."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    old = {r.doc_id: r.text for r in docs.collect()}
+    new = {r.doc_id: r for r in x.pseudonymise(docs, KEY).collect()}
+    by_value, by_surrogate, n = {}, {}, 0
+    for i, t in old.items():
+        at, out = 0, new[i].text
+        place = 0
+        for kind, a, b in x.entities(t):
+            place += a - at
+            assert out[place - (a - at) : place] == t[at:a]
+            value, k = t[a:b], place
+            surrogate = out[k : k + (b - a)] if kind not in ("ip",) else re.match(r"[0-9A-Fa-f:.]+", out[k:])[0].rstrip(".:")
+            if kind == "name" and not out[k:].startswith(surrogate + t[b : b + 1]):
+                surrogate = re.match(r"[\w'’ -]+?(?=" + re.escape(t[b : b + 2]) + ")", out[k:])[0] if t[b : b + 2] else out[k:]
+            assert by_value.setdefault((kind, value), surrogate) == surrogate
+            assert by_surrogate.setdefault((kind, surrogate.lower() if kind == "email" else surrogate), value.lower() if kind == "email" else value) == (value.lower() if kind == "email" else value)
+            place, at, n = k + len(surrogate), b, n + 1
+        assert out[place:] == t[at:]
+    assert n > 20 and sum(sum(new[i][f"n_{k}"] for k in x.KINDS) for i in new) == n
