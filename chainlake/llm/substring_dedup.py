@@ -4,8 +4,9 @@ Every 13-word window of a text has a 56-bit fingerprint. A batch of documents be
 run: a table bucketed by the fingerprint's leading bits, each bucket holding the batch's distinct
 fingerprints in order, each with the smallest document that starts it. Beside it stands the batch's
 text log, bucketed by doc_id. A new run is merge-joined with each older one, bucket by bucket and
-without moving either. Equal fingerprints are only candidates: their words, taken from the text logs,
-are compared, and where one fingerprint stands for different words the words decide. Runs are
+without moving either. Equal fingerprints are only candidates: the text logs give a second,
+independent 64-bit hash of their words, which must be the same in all places (120 bits in all); where
+it isn't, the words themselves are compared and decide. Runs are
 compacted when there are many, and a manifest in the shared folder lets a later session go on. What a
 task knows already (a window repeated within the texts it has read) isn't sent again, so a passage
 that a third of all documents share costs one entry a task.
@@ -32,7 +33,7 @@ WINDOW = 13
 #: Windows that a task sorts at a time.
 RUN = 600_000
 PRINT_BITS = 56
-#: Window texts that are put together at a time when words are compared.
+#: Windows whose words are put together at a time where they are compared.
 COMPARED = 1 << 15
 #: Batches, in ascending order of doc_id, that one call over a whole table is cut into, and the runs after which they are compacted.
 BATCHES, COMPACT_AT = 3, 2
@@ -122,6 +123,7 @@ def _to_blocks(bits: int, window: int):
                     yield flush(full)
         if parts:
             yield flush(parts)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -188,20 +190,23 @@ def _slices(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(text[index])])
 
 
-def _evidence(window: int):
-    """(doc_id, text, list of fingerprints) to (print, words, doc_id) of the windows with those fingerprints."""
+def _evidence(window: int, whole: bool):
+    """(doc_id, text, list of fingerprints) of the windows with those fingerprints: print, and a second hash or (whole) words and doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for lo, hi, offsets, data in runs(batch.column(1)):
-                w = words(offsets, data)
+                w = words(offsets, data, (1,) if whole else (1, 2))
                 at, prints = _prints(w, window)
                 edges = np.searchsorted(at, w.first)
                 look = np.zeros(len(at), bool)
                 for i in range(hi - lo):
                     here = slice(edges[i], edges[i + 1])
                     look[here] = np.isin(prints[here], np.frombuffer(b"".join(wanted[lo + i].as_py()), np.uint64))
+                if not whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(prints[look].view(np.int64)), pa.array(w.windows(window, 2)[1][look].view(np.int64))], ["print", "other"])
+                    continue
                 at, prints, docs = at[look], prints[look], ids[lo:hi].astype(np.int64)[w.doc()[at[look]]]
                 text, start = _spaced(w, len(data), data)
                 for k in range(0, len(at), COMPARED):
@@ -347,7 +352,7 @@ class SubstringIndex:
         held = _union([new.rows.where("kind > 0"), *joined]).select("doc_id", "kind", "prints")
         held = Stored.write(held.repartition(1 << self.bits, "doc_id"), self.folder, "held", HELD_SCHEMA, "doc_id", self.bits)
         repeats = self._verified(held.rows, [t.rows for t in self.texts] + [log.rows])
-        out = log.rows.join(repeats, log.rows.doc_id == F.col("_id"), "left").select("doc_id", "text", "prints", "but", "exact").mapInArrow(_digest(self.window), "doc_id long, n_words long, n_removed long, kept_text string")
+        out = log.rows.join(repeats.hint("shuffle_hash"), log.rows.doc_id == F.col("_id"), "left").select("doc_id", "text", "prints", "but", "exact").mapInArrow(_digest(self.window), "doc_id long, n_words long, n_removed long, kept_text string")
         if keep:
             self.runs.append(new)
             self.texts.append(log)
@@ -365,16 +370,20 @@ class SubstringIndex:
         """
         spark = held.sparkSession
         by_doc = held.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("prints").alias("prints"))
-        found = _union([log.join(by_doc, log.doc_id == F.col("_id")).select("doc_id", "text", "prints") for log in logs]).mapInArrow(_evidence(self.window), "print long, words binary, doc_id long")
-        different = found.select("print", "words").distinct()
+        by_doc = by_doc.hint("shuffle_hash")  # a bucket's fingerprints are small; texts needn't be sorted
+        texts = _union([log.join(by_doc, log.doc_id == F.col("_id")).select("doc_id", "text", "prints") for log in logs])
+        hashed = texts.mapInArrow(_evidence(self.window, False), "print long, other long")
+        hashed = hashed.groupBy("print").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+        clashing = hashed.where("least <> most").select("print")
         older = [spark.read.parquet(path) for path in self.clashes]
         if older:
-            different = _union([different, *[c.select("print", "words") for c in older]]).distinct()
-        clashing = shared.stored(different.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "clashing")
+            clashing = _union([clashing, *[c.select("print") for c in older]]).distinct()
+        clashing = shared.stored(clashing, "clashing")
         repeats = held.where("kind = 1").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("prints").alias("prints"))
         if not clashing.limit(1).count():
             return repeats.select("_id", "prints", F.array().cast("array<bigint>").alias("but"), F.array().cast("array<binary>").alias("exact"))
-        mine = shared.stored(found.join(clashing, "print"), "doubtful")
+        mine = texts.mapInArrow(_evidence(self.window, True), "print long, words binary, doc_id long")
+        mine = shared.stored(mine.join(clashing, "print"), "doubtful")
         first = _union([mine.groupBy("print", "words").agg(F.min("doc_id").alias("first")), *older]).groupBy("print", "words").agg(F.min("first").alias("first"))
         path = f"{self.folder}/chainlake-clash-{uuid.uuid4().hex}"
         first.write.parquet(path)
