@@ -1,9 +1,12 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Base metrics come from each whole text. Instead of fixed cutoffs, each of four ratios is held
-against fences taken from mergeable quantile sketches of its own language and source; groups too
-small to tell fall back on their language, then on the whole corpus. The sketches are aggregates
-with partial results per task, so a hot source is no more than many partial sketches.
+against a fence taken from mergeable quantile sketches of its own language and source: the upper
+quartile and a multiple of the distance between the quartiles, whatever these are. What is held
+against it is the lower bound of the text's ratio, as a count of a few says little of a rate: so
+short texts aren't judged on noise, and groups of which most texts have none of a kind need no least
+fence. The sketches are aggregates with partial results per task, so a hot source is no more than
+many partial sketches.
 """
 
 from __future__ import annotations
@@ -16,11 +19,13 @@ from chainlake.llm.shared import stored
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Ratio: the least distance of its fence above the upper quartile.
-RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.4, "upper_ratio": 0.15, "bang_ratio": 0.3}
+#: Ratio: what it counts, and of how many.
+RATIOS = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "_lines"), "upper_ratio": ("_upper", "word_chars"), "bang_ratio": ("_bangs", "n_words")}
 ACCURACY = 10_000
-SMALLEST_GROUP = 100
-SPREADS = 6.0
+#: Distances between the quartiles that a fence stands above the upper one.
+SPREADS = 1.5
+#: Standard deviations of a count (its square root) that are taken off for the lower bound.
+DOUBT = 2.0
 SHORT_WORDS, LONG_WORDS = 10, 20
 
 
@@ -49,8 +54,9 @@ def _repeat_words() -> Column:
 
 
 def base_metrics(docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """`keys` and, of each whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
-    and the ratios of RATIOS. A null text has no words; an empty text has ratios 0."""
+    """`keys` and, of each whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    the lower bounds of the ratios of RATIOS, and _<ratio>, the ratios themselves. A null text has no
+    words; an empty text has ratios 0."""
     text = F.coalesce(F.col(column), F.lit(""))
     out = docs.select(*keys, text.alias("_t")).withColumn("words", F.array_remove(F.split("_t", SPACES), ""))
     out = out.withColumn("n_words", F.size("words").cast("long")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -69,42 +75,34 @@ def base_metrics(docs: DataFrame, keys: list[str], column: str = "text") -> Data
         count(UPPER).alias("_upper"),
         count("!").alias("_bangs"),
     )
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    least = lambda n: F.greatest(n - F.lit(DOUBT) * F.sqrt(n), F.lit(0.0))
     return out.select(
         *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ratio("n_symbols", "word_chars").alias("symbol_ratio"), ratio("n_dup_lines", "_lines").alias("dup_line_ratio"),
-        ratio("_upper", "word_chars").alias("upper_ratio"), ratio("_bangs", "n_words").alias("bang_ratio"),
+        *[ratio(least(F.col(n)), F.col(of)).alias(r) for r, (n, of) in RATIOS.items()], *[ratio(F.col(n), F.col(of)).alias(f"_{r}") for r, (n, of) in RATIOS.items()],
     )
 
 
 def fences(metrics: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, level, n, a fence for each ratio) of every language and source, language, and all rows.
-
-    level is 0 for a language and source, 1 for a language (source null), 3 for all rows.
-    """
-    quartiles = [F.percentile_approx(r, [0.25, 0.75], ACCURACY).alias(r) for r in RATIOS]
-    sketched = metrics.rollup(lang, source).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *quartiles)
-    upper = [(F.get(r, F.lit(1)) + F.greatest(F.lit(slack), SPREADS * (F.get(r, F.lit(1)) - F.get(r, F.lit(0))))).alias(r) for r, slack in RATIOS.items()]
-    return sketched.select(lang, source, "level", "n", *upper)
+    """(lang, source, <ratio>_fence for each ratio) of every language and source."""
+    quartiles = [F.percentile_approx(f"_{r}", [0.25, 0.75], ACCURACY).alias(r) for r in RATIOS]
+    low, high = (lambda r: F.get(r, F.lit(0))), (lambda r: F.get(r, F.lit(1)))
+    sketched = metrics.groupBy(lang, source).agg(*quartiles)
+    return sketched.select(lang, source, *[(high(r) + SPREADS * (high(r) - low(r))).alias(f"{r}_fence") for r in RATIOS])
 
 
 def quality_rules(docs: DataFrame, id_column: str = "doc_id", column: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row for each row of `docs`: id, the base metrics, base_failed, kept, the ratios and their fences.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated 5-word windows.
-    kept: not base_failed, and no ratio above its fence. Null languages or sources are a group of
-    their own. Ties and repeated rows get the same verdict; an empty table gives an empty table.
-    Other columns of the input are ignored, whatever their names.
+    kept: not base_failed, and no ratio's lower bound (the column of that name) above its fence. Null
+    languages or sources are a group of their own. Ties and repeated rows get the same verdict; an
+    empty table gives an empty table. Other columns of the input are ignored, whatever their names.
     """
     plain = docs.select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(source).alias("_source"), F.col(column).alias("_text"))
     metrics = stored(base_metrics(plain, ["_id", "_lang", "_source"], "_text"), "metrics")
-    limits = stored(fences(metrics, "_lang", "_source"), "fences")
-    own, by_lang, overall = (limits.where(F.col("level") == k).select("_lang", "_source", *[F.when(F.col("n") >= (SMALLEST_GROUP if k < 3 else 0), F.col(r)).alias(f"_{k}_{r}") for r in RATIOS]) for k in (0, 1, 3))
-    out = metrics.alias("m")
-    out = out.join(own.alias("o"), F.col("m._lang").eqNullSafe(F.col("o._lang")) & F.col("m._source").eqNullSafe(F.col("o._source")), "left").select("m.*", "o.*").drop(F.col("o._lang"), F.col("o._source")).alias("m")
-    out = out.join(by_lang.drop("_source").alias("o"), F.col("m._lang").eqNullSafe(F.col("o._lang")), "left").select("m.*", "o.*").drop(F.col("o._lang"))
-    out = out.crossJoin(F.broadcast(overall.drop("_lang", "_source")))  # a single row
-    out = out.select("*", *[F.coalesce(f"_0_{r}", f"_1_{r}", f"_3_{r}").alias(f"{r}_fence") for r in RATIOS])
+    limits = stored(fences(metrics, "_lang", "_source"), "fences").withColumnsRenamed({"_lang": "_of_lang", "_source": "_of_source"})
+    out = metrics.join(limits, F.col("_lang").eqNullSafe(F.col("_of_lang")) & F.col("_source").eqNullSafe(F.col("_of_source")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     within = F.lit(True)
     for r in RATIOS:

@@ -90,11 +90,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op10_sql() -> str:
     """Base metrics by list functions; fences by exact discrete quartiles, which the sketches equal on small groups."""
     r = quality_rules
-    fence = lambda k, x: f"CASE WHEN {k}.n >= {r.SMALLEST_GROUP if k != 'g' else 0} THEN {k}.{x}_q3 + greatest({r.RATIOS[x]}, {r.SPREADS} * ({k}.{x}_q3 - {k}.{x}_q1)) END"
-    quartiles = ", ".join(f"quantile_disc({x}, 0.25) AS {x}_q1, quantile_disc({x}, 0.75) AS {x}_q3" for x in r.RATIOS)
-    fences = ", ".join(f"coalesce({fence('o', x)}, {fence('l', x)}, {fence('g', x)}) AS {x}_fence" for x in r.RATIOS)
+    of = {"n_symbols": "n_symbols", "n_dup_lines": "n_dup_lines", "_upper": "n_upper", "_bangs": "n_bangs", "word_chars": "word_chars", "_lines": "n_lines", "n_words": "n_words"}
+    ratios = ", ".join(f"coalesce({of[n]} / nullif({of[d]}, 0), 0) AS r_{x}, coalesce(greatest({of[n]} - {r.DOUBT} * sqrt({of[n]}), 0.0) / nullif({of[d]}, 0), 0) AS {x}" for x, (n, d) in r.RATIOS.items())
+    quartile = lambda x, q: f"quantile_disc(r_{x}, {q})"
+    fences = ", ".join(f"{quartile(x, 0.75)} + {r.SPREADS} * ({quartile(x, 0.75)} - {quartile(x, 0.25)}) AS {x}_fence" for x in r.RATIOS)
     within = " AND ".join(f"{x} <= {x}_fence" for x in r.RATIOS)
-    ratios = ", ".join(f"{x}, {x}_fence" for x in r.RATIOS)
+    columns = ", ".join(f"{x}, {x}_fence" for x in r.RATIOS)
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 x AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
@@ -102,11 +103,11 @@ d AS (SELECT doc_id, s FROM x GROUP BY ALL HAVING count(*) > 1),
 p AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT x.doc_id, unnest(range(i, i + 5)) AS k FROM x JOIN d USING (doc_id, s)) GROUP BY doc_id),
 b AS (SELECT w.doc_id, lang, source, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, coalesce(p.n, 0) AS n_repeat_words FROM w LEFT JOIN p ON w.doc_id = p.doc_id),
-m AS (SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_ratio, coalesce((len(lines) - len(list_distinct(lines))) / nullif(len(lines), 0), 0) AS dup_line_ratio,
-  coalesce((length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) / nullif(word_chars, 0), 0) AS upper_ratio, coalesce((length(t) - length(replace(t, '!', ''))) / nullif(n_words, 0), 0) AS bang_ratio FROM b),
-o AS (SELECT lang, source, count(*) AS n, {quartiles} FROM m GROUP BY lang, source), l AS (SELECT lang, count(*) AS n, {quartiles} FROM m GROUP BY lang), g AS (SELECT count(*) AS n, {quartiles} FROM m),
-f AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {fences} FROM m JOIN o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source JOIN l ON m.lang IS NOT DISTINCT FROM l.lang CROSS JOIN g)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept, {ratios} FROM f
+c AS (SELECT *, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(replace(t, '!', '')) AS n_bangs FROM b),
+m AS (SELECT *, {ratios} FROM c), g AS (SELECT lang, source, {fences} FROM m GROUP BY lang, source),
+f AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, g.* EXCLUDE (lang, source) FROM m JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept, {columns} FROM f
 """
 
 
