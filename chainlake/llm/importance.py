@@ -1,9 +1,11 @@
 """Quality selection by importance resampling.
 
 Two bag-of-n-grams models over hashed features, one of target texts (those labelled good) and one
-of all raw texts, give each text the log ratio of its probabilities. A sample without replacement
-in proportion to those ratios is the top k of log ratio plus Gumbel noise. Features are words,
-word pairs and pairs of word shapes (case, length, marks, digits, repetition).
+of all raw texts, give each text the log ratio of its probabilities. The features of a text aren't
+independent, so a long one counts as EVIDENCE of them at its mean ratio: weights then don't grow with
+length, and good texts differ by no more than the noise does. A sample without replacement in
+proportion to the weights is the top k of log weight plus Gumbel noise. Features are words, word pairs
+and pairs of word shapes (case, length, marks, digits, repetition).
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import stored
+from chainlake.llm.shared import least_by_hash, stored
 from chainlake.llm.words import mix, runs, words
 
 #: Buckets of each of the three kinds of feature.
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
+#: The most features that a text's log ratio counts for.
+EVIDENCE = 32
 #: The most labelled texts that the target model is fitted on, by hash order of their id.
 MAX_TARGET = 20_000
 #: The share of target texts whose weight the sample's size is meant to reach.
@@ -114,13 +118,14 @@ def gumbel(id_column: str | Column, seed: int = SEED) -> Column:
 def importance_sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "quality", size: int | None = None, seed: int = SEED) -> DataFrame:
     """(id, n_features, log_weight, key, kept) of every row of `docs`.
 
-    key is log_weight plus Gumbel noise; kept marks the `size` largest keys, ties with the last
+    log_weight is the sum of the log ratios of a text's features, scaled down to EVIDENCE of them; key is log_weight plus Gumbel noise; kept marks the `size` largest keys, ties with the last
     one included. Without a size it is the number of texts whose log_weight is no less than that
     of TARGET_SHARE of a quarter of the target texts, which the model isn't fitted on. Null and empty texts have no features and log_weight 0.
     Without target labels every log_weight is 0 and all rows are kept. Rows of equal id have equal
     noise. An empty table gives an empty table; other columns are ignored.
     """
-    target = labels.where((F.col(label) == 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(MAX_TARGET)
+    target = labels.where((F.col(label) == 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id")).distinct()
+    target = least_by_hash(target, "_id", MAX_TARGET)
     fitted = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(4)) > 0  # the others set the sample's size
     target = F.broadcast(stored(target, "target").withColumn("is_target", fitted))  # at most MAX_TARGET ids
     plain = docs.select(F.col(id_column).alias("_id"), F.col(column).alias("_text")).join(target, "_id", "left").select("_id", "is_target", "_text")
@@ -133,7 +138,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_
             for lo, hi, offsets, data in runs(batch.column(2)):
                 doc, bucket = _buckets(offsets, data)
                 n.append(np.bincount(doc, minlength=hi - lo))
-                w.append(np.bincount(doc, weights=ratios.value[bucket], minlength=hi - lo))
+                w.append(np.bincount(doc, weights=ratios.value[bucket], minlength=hi - lo) * np.minimum(1, EVIDENCE / np.maximum(n[-1], 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(np.concatenate(w) if w else [], pa.float64())], ["_id", "is_target", "n_features", "log_weight"])
 
     kind = plain.schema["_id"].dataType.simpleString()

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainlake.llm.importance import BUCKETS, _buckets
-from chainlake.llm.shared import stored
+from chainlake.llm.shared import least_by_hash, stored
 from chainlake.llm.words import runs, words
 
 #: Dimensions of the classifier: hashed words, then hashed pairs of word shapes.
@@ -84,7 +84,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_colum
     """
     place = F.array_position(F.array(*map(F.lit, domains)), F.col(label)) - 1
     known = labels.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), place.alias("label")).where("label >= 0").groupBy("_id").agg(F.min("label").cast("double").alias("label"))
-    known = F.broadcast(stored(known.orderBy(F.xxhash64("_id"), "_id").limit(most), "labelled"))  # at most `most` ids
+    known = F.broadcast(stored(least_by_hash(known, "_id", most), "labelled"))  # at most `most` ids
     rows = docs.select(F.col(id_column).alias("_id"), F.col(column).alias("_text")).join(known, "_id").select("label", "_text")
     rows = stored(rows.mapInArrow(_vectors, "label double, features array<double>").coalesce(6), "vectors")
     size = WORD_FEATURES + SHAPE_FEATURES

@@ -36,6 +36,22 @@ def forget(df: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def least_by_hash(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """The `most` rows with the least hash of `column` (ties by the value): any row is as likely as any other.
+
+    A bound on the hash that a few more rows meet is set first, so that tasks don't each send `most` rows to one place.
+    """
+    hashed = F.xxhash64(column)
+    share = 2 * most / max(rows.count(), 1)
+    while share < 1:
+        within = rows.where(hashed < int((share - 0.5) * 2**64))
+        if within.count() >= most:
+            rows = within
+            break
+        share *= 2
+    return rows.orderBy(hashed, column).limit(most)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for each node of the edges (a, b): root is the smallest node reachable.
 

@@ -18,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import stored
+from chainlake.llm.shared import least_by_hash, stored
 from chainlake.llm.words import runs, utf8, words
 
 #: Fixed starting list; the learned one extends it to the corpus at hand.
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: s
     Rows with a null label or id don't count; an id labelled twice counts by its largest label.
     """
     known = labels.where(F.col(label).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).alias("_id")).agg(F.max(label).cast("int").alias("label"))
-    known = F.broadcast(stored(known.orderBy(F.xxhash64("_id"), "_id").limit(most), "known"))  # at most `most` ids
+    known = F.broadcast(stored(least_by_hash(known, "_id", most), "known"))  # at most `most` ids
     rows = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(column), F.lit("")).alias("_text")).join(known, "_id")
     rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("_id", F.lit(8)), F.lit(5))), "labelled")
     total = rows.agg(F.sum("label").alias("p"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("part") >= 2, F.struct("part", "label"))).alias("kinds")).first()

@@ -51,3 +51,44 @@ def test_kth_largest(spark, seed):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for k in (1, 7, 250, 500):
         assert x.kth_largest(df, "v", k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_weights_equal_plain_models(spark):
+    """Counts, smoothing, ratios and sums once more in plain Python."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from chainlake.llm.words import utf8
+
+    rows, labels = corpus(200)
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, kept string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {g.doc_id: g for g in x.importance_sample(docs.repartition(3), known, size=50).collect()}
+    good = [i for i, q in labels if q == 1]
+    fitted = {r.i for r in spark.createDataFrame([(i,) for i in good], "i long").selectExpr("i", f"pmod(xxhash64(i, {x.SEED}), 4) > 0 AS f").where("f").collect()}
+    features = {i: x._buckets(*utf8(pa.array([t])))[1].tolist() for i, t, _ in rows}
+    raw, target = Counter(f for v in features.values() for f in v), Counter(f for i in fitted for f in features[i])
+    kind = lambda f: f // x.BUCKETS
+    total = lambda c: [sum(n for f, n in c.items() if kind(f) == k) for k in range(3)]
+    all_raw, all_target, weight = total(raw), total(target), x.SMOOTHING * x.BUCKETS
+
+    def ratio(f):
+        q = (raw[f] + x.SMOOTHING) / (all_raw[kind(f)] + weight)
+        return math.log((target[f] + weight * q) / (all_target[kind(f)] + weight) / q)
+
+    for i, v in features.items():
+        want = sum(map(ratio, v)) * min(1, x.EVIDENCE / max(len(v), 1))
+        assert math.isclose(got[i].log_weight, want, rel_tol=1e-9, abs_tol=1e-9) and got[i].n_features == len(v)
+
+
+def test_sampling_rates_follow_the_weights(spark):
+    """Gumbel top-k takes rows as often as drawing one after the other in proportion to the weights does."""
+    weights, k, trials = [1.0, 2.0, 4.0, 8.0], 2, 4000
+    df = spark.range(trials).selectExpr("id AS trial").crossJoin(spark.createDataFrame([(i, math.log(w)) for i, w in enumerate(weights)], "i int, lw double"))
+    key = df.selectExpr("trial", "i", "lw", "trial * 10 + i AS id").withColumn("key", x.F.col("lw") + x.gumbel("id"))
+    taken = key.groupBy("trial").agg(x.F.slice(x.F.sort_array(x.F.collect_list(x.F.struct("key", "i")), False), 1, k).alias("top")).select(x.F.explode("top.i").alias("i")).groupBy("i").count().collect()
+    got = {r.i: r["count"] / trials for r in taken}
+    total = sum(weights)
+    for i, w in enumerate(weights):
+        want = w / total + sum(v / total * w / (total - v) for j, v in enumerate(weights) if j != i)
+        assert abs(got[i] - want) < 0.03
