@@ -293,12 +293,14 @@ class SubstringIndex:
     """Window fingerprints and texts of all documents seen so far, as immutable tables in a shared folder.
 
     Batches must come in ascending order of doc_id for `ingest` to give what one call over all
-    documents gives. bits: 2 ** bits buckets, the same for the index's whole life; `bits_for`
-    suggests it from the number of input partitions, so that a bucket stays a few MB.
+    documents gives. bits: fingerprints are dealt into 2 ** bits groups, which meet in memory, eight to
+    a file; the same for the index's whole life. `bits_for` suggests it from the number of input
+    partitions, so that a group stays a few MB.
     """
 
     def __init__(self, bits: int, window: int = WINDOW, most_runs: int = 8, folder: str | None = None):
         self.bits, self.window, self.most_runs, self.folder = bits, window, most_runs, folder
+        self.files = max(bits - 3, 0)
         self.runs: list[Stored] = []
         self.texts: list[Stored] = []
         self.clashes: list[str] = []
@@ -306,7 +308,7 @@ class SubstringIndex:
 
     @staticmethod
     def bits_for(docs: DataFrame) -> int:
-        return max(3, (2 * docs.rdd.getNumPartitions() - 1).bit_length())
+        return max(3, (8 * docs.rdd.getNumPartitions() - 1).bit_length())
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> SubstringIndex:
@@ -316,8 +318,8 @@ class SubstringIndex:
         index = cls(state["bits"], state["window"], state["most_runs"], folder)
         index._version, index.clashes = last.version, state["clashes"]
         index._settings(spark)
-        index.runs = [Stored(spark, path, RUN_SCHEMA, "bucket", index.bits) for path in state["runs"]]
-        index.texts = [Stored(spark, path, TEXT_SCHEMA, "doc_id", index.bits) for path in state["texts"]]
+        index.runs = [Stored(spark, path, RUN_SCHEMA, "bucket", index.files) for path in state["runs"]]
+        index.texts = [Stored(spark, path, TEXT_SCHEMA, "doc_id", index.files) for path in state["texts"]]
         return index
 
     def _publish(self, spark: SparkSession) -> None:
@@ -329,8 +331,8 @@ class SubstringIndex:
     def _settings(self, spark: SparkSession) -> None:
         """Shuffle files of a finished step go, as its result is stored; enough buckets are allowed."""
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-        if 1 << self.bits > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
-            spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(1 << self.bits))
+        if 1 << self.files > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+            spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(1 << self.files))
 
     def ingest(self, docs: DataFrame, keep: bool = True) -> DataFrame:
         """(doc_id, n_words, n_removed, kept_text) for each row of `docs` (doc_id, text).
@@ -344,13 +346,13 @@ class SubstringIndex:
         self._settings(spark)
         self.folder = self.folder or f"{shared.folder(spark)}/chainlake-index-{uuid.uuid4().hex}"
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        log = Stored.write(docs.repartition(1 << self.bits, "doc_id"), self.folder, "texts", TEXT_SCHEMA, "doc_id", self.bits)
+        log = Stored.write(docs.repartition(1 << self.files, "doc_id"), self.folder, "texts", TEXT_SCHEMA, "doc_id", self.files)
         blocks = log.rows.where("doc_id is not null").mapInArrow(_to_blocks(self.bits, self.window), RUN_SCHEMA)
-        new = Stored.write(blocks.groupBy("bucket").applyInArrow(_to_run(self.bits), RUN_SCHEMA), self.folder, "run", RUN_SCHEMA, "bucket", self.bits)
+        new = Stored.write(blocks.groupBy("bucket").applyInArrow(_to_run(self.bits), RUN_SCHEMA), self.folder, "run", RUN_SCHEMA, "bucket", self.files)
         by_bucket = lambda run: run.rows.where("kind = 0").groupBy("bucket")
         joined = [by_bucket(old).cogroup(by_bucket(new)).applyInArrow(_merge_join(self.bits), RUN_SCHEMA) for old in self.runs]
         held = _union([new.rows.where("kind > 0"), *joined]).select("doc_id", "kind", "prints")
-        held = Stored.write(held.repartition(1 << self.bits, "doc_id"), self.folder, "held", HELD_SCHEMA, "doc_id", self.bits)
+        held = Stored.write(held.repartition(1 << self.files, "doc_id"), self.folder, "held", HELD_SCHEMA, "doc_id", self.files)
         repeats = self._verified(held.rows, [t.rows for t in self.texts] + [log.rows])
         out = log.rows.join(repeats.hint("shuffle_hash"), log.rows.doc_id == F.col("_id"), "left").select("doc_id", "text", "prints", "but", "exact").mapInArrow(_digest(self.window), "doc_id long, n_words long, n_removed long, kept_text string")
         if keep:
@@ -399,7 +401,7 @@ class SubstringIndex:
         merged = old[0].rows.where("kind = 0")
         for run in old[1:]:
             merged = merged.groupBy("bucket").cogroup(run.rows.where("kind = 0").groupBy("bucket")).applyInArrow(_two_runs(self.bits), RUN_SCHEMA).where("kind = 0")
-        self.runs = [Stored.write(merged, self.folder, "run", RUN_SCHEMA, "bucket", self.bits)]
+        self.runs = [Stored.write(merged, self.folder, "run", RUN_SCHEMA, "bucket", self.files)]
         self._publish(spark)
         for run in old:
             run.forget()
