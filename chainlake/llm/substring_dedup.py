@@ -348,7 +348,7 @@ class SubstringIndex:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         log = Stored.write(docs.repartition(1 << self.files, "doc_id"), self.folder, "texts", TEXT_SCHEMA, "doc_id", self.files)
         blocks = log.rows.where("doc_id is not null").mapInArrow(_to_blocks(self.bits, self.window), RUN_SCHEMA)
-        new = Stored.write(blocks.groupBy("bucket").applyInArrow(_to_run(self.bits), RUN_SCHEMA), self.folder, "run", RUN_SCHEMA, "bucket", self.files)
+        new = Stored.write(blocks.repartition(1 << self.files, "bucket").groupBy("bucket").applyInArrow(_to_run(self.bits), RUN_SCHEMA), self.folder, "run", RUN_SCHEMA, "bucket", self.files)
         by_bucket = lambda run: run.rows.where("kind = 0").groupBy("bucket")
         joined = [by_bucket(old).cogroup(by_bucket(new)).applyInArrow(_merge_join(self.bits), RUN_SCHEMA) for old in self.runs]
         held = _union([new.rows.where("kind > 0"), *joined]).select("doc_id", "kind", "prints")
