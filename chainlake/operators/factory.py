@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlake.functions import abi_words as abi
@@ -24,19 +24,24 @@ class Factory:
 CHILD = ("chain_id", "factory_address", "child_address", "contract_name", "created_at_block", "created_at_tx_hash", "created_at_log_index")
 
 
+def _watched(spark: SparkSession, factories: list[Factory]) -> DataFrame:
+    """A row for each named parameter of each factory: where its word is."""
+    rows = [(f.address.lower(), f.event.key, f.child_contract, p.indexed, p.slot) for f in factories for p in resolve_slots(f.event, list(f.params))]
+    return spark.createDataFrame(rows, "factory_address string, topic0 string, contract_name string, indexed boolean, slot int")
+
+
 def discover_children(logs: DataFrame, factories: list[Factory]) -> DataFrame:
-    """A row of CHILD for each named parameter of each factory log; data too short gives none."""
-    body, topics = abi.strip(F.col("data")), [F.col(f"topic{i}") for i in range(3)] + [F.col("topic3") if "topic3" in logs.columns else F.lit(None)]
-    found = F.array().cast("array<struct<contract_name:string,child_address:string>>")
-    wanted = F.lit(False)
-    for f in factories:
-        own = (F.lower("address") == f.address.lower()) & (F.col("topic0") == f.event.key)
-        wanted = wanted | own
-        for p in resolve_slots(f.event, list(f.params)):
-            child = F.struct(F.lit(f.child_contract).alias("contract_name"), abi.value(p, body, topics).alias("child_address"))
-            found = F.concat(found, F.when(own, F.array(child)).otherwise(F.array().cast("array<struct<contract_name:string,child_address:string>>")))
-    out = logs.where(wanted).select("chain_id", F.lower("address").alias("factory_address"), F.col("block_number").alias("created_at_block"), F.col("tx_hash").alias("created_at_tx_hash"), F.col("log_index").alias("created_at_log_index"), F.explode(found).alias("c"))
-    return out.select("*", "c.*").where("child_address is not null").select(*CHILD)
+    """A row of CHILD for each named parameter of each factory log; data too short gives none.
+
+    The factories are a broadcast table, as large as the configuration, so that the plan doesn't grow with them.
+    """
+    topics = [abi.strip(F.col(c)) if c in logs.columns else F.lit(None).cast("string") for c in ("topic1", "topic2", "topic3")]
+    body = abi.strip(F.col("data"))
+    found = logs.withColumn("factory_address", F.lower("address")).join(F.broadcast(_watched(logs.sparkSession, factories)), ["factory_address", "topic0"])
+    begin = F.col("slot") * abi.WORD
+    word = F.when(F.col("indexed"), F.get(F.array(*topics), F.col("slot") - 1)).when(F.length(body) >= begin + abi.WORD, F.substr(body, begin + 1, F.lit(abi.WORD)))
+    out = found.select("chain_id", "factory_address", abi.address(word).alias("child_address"), "contract_name", F.col("block_number").alias("created_at_block"), F.col("tx_hash").alias("created_at_tx_hash"), F.col("log_index").alias("created_at_log_index"))
+    return out.where("child_address is not null").select(*CHILD)
 
 
 def dedup_children(children: DataFrame) -> DataFrame:
@@ -80,11 +85,21 @@ def prune_children(children: DataFrame, from_block: int) -> DataFrame:
     return children.where(F.col("created_at_block") < from_block)
 
 
+#: Addresses that are sent to every task (about 100 bytes each); larger sets are joined by shuffles.
+BROADCAST_ADDRESSES = 500_000
+
+
 def filter_traces(traces: DataFrame, addresses: DataFrame | None) -> DataFrame:
-    """Traces from or to an address in the set; no set keeps all. `address` must be distinct."""
+    """Traces from or to an address in the set; no set keeps all.
+
+    A set of up to BROADCAST_ADDRESSES is sent to the tasks. A larger one is joined by key, first the senders, then
+    the receivers of what is left, as semi joins, of which hot addresses can be split.
+    """
     if addresses is None:
         return traces
-    a = addresses.select(F.lower("address").alias("_from")).withColumn("_is_from", F.lit(True))
-    b = addresses.select(F.lower("address").alias("_to")).withColumn("_is_to", F.lit(True))
-    out = traces.join(a, traces.from_address == F.col("_from"), "left").join(b, traces.to_address == F.col("_to"), "left")
-    return out.where("_is_from or _is_to").select(*[traces[c] for c in traces.columns])
+    own = addresses.select(F.lower("address").alias("_own")).where("_own is not null").distinct()
+    if own.limit(BROADCAST_ADDRESSES + 1).count() <= BROADCAST_ADDRESSES:
+        own = F.broadcast(own)
+    sends, gets = F.col("from_address") == F.col("_own"), F.col("to_address") == F.col("_own")
+    rest = traces.join(own, sends, "left_anti")
+    return traces.join(own, sends, "left_semi").unionByName(rest.join(own, gets, "left_semi"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chainlake.operators.shaping import BUCKET
 from chainlake.sources.keccak import keccak256
 
 KEY = ["chain_id", "block_number"]
@@ -60,15 +61,21 @@ def bloom_may_contain(blocks: DataFrame, addresses: list[str]) -> DataFrame:
 
 
 def missing_blocks(spark: SparkSession, blocks: DataFrame, low: int, high: int) -> DataFrame:
-    """Block numbers of an inclusive range that `blocks` lacks."""
-    return spark.range(low, high + 1).toDF("block_number").join(blocks.select("block_number"), "block_number", "left_anti")
+    """(chain_id, block_number) of an inclusive range that a chain of `blocks` lacks."""
+    chains = F.broadcast(blocks.select("chain_id").distinct())  # a row for each chain
+    return spark.range(low, high + 1).toDF("block_number").join(chains).select(*KEY).join(blocks.select(*KEY), KEY, "left_anti")
 
 
 def gap_ranges(blocks: DataFrame) -> DataFrame:
     """(chain_id, first, last) of the missing runs between a chain's stored blocks.
 
-    Only each block's neighbour matters, and blocks are few beside logs; one sort per chain.
+    Neighbours are looked for within buckets of block numbers, so that no chain is sorted in one place; between
+    buckets only their first and last blocks are.
     """
-    after = F.lead("block_number").over(Window.partitionBy("chain_id").orderBy("block_number"))
-    gaps = blocks.select("chain_id", "block_number").distinct().withColumn("next", after).where("next > block_number + 1")
+    b = blocks.select("chain_id", "block_number", F.floor(F.col("block_number") / BUCKET).alias("_bucket")).distinct()
+    after = F.lead("block_number").over(Window.partitionBy("chain_id", "_bucket").orderBy("block_number"))
+    inner = b.select("chain_id", "block_number", after.alias("next"))
+    edges = b.groupBy("chain_id", "_bucket").agg(F.min("block_number").alias("low"), F.max("block_number").alias("block_number"))  # two numbers a bucket
+    outer = edges.select("chain_id", "block_number", F.lead("low").over(Window.partitionBy("chain_id").orderBy("_bucket")).alias("next"))
+    gaps = inner.unionByName(outer).where("next > block_number + 1")
     return gaps.select("chain_id", (F.col("block_number") + 1).alias("first"), (F.col("next") - 1).alias("last"))

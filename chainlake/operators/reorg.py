@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainlake.operators.store import append, delete_range, exists, with_bucket
+from chainlake.operators.store import append, delete_range, exists, insert_new
 
 #: Blocks after which a chain's block is final, by chain id (fixed values); others have DEFAULT_FINALITY.
 FINALITY = {
@@ -30,10 +30,10 @@ def common_ancestor(stored: DataFrame, canonical: DataFrame, max_depth: int | No
     Only the newest `max_depth` stored blocks are looked at. ancestor is null if none of them matches.
     """
     keys = ["chain_id", "block_number"]
+    if max_depth is not None:
+        stored = known_window(stored, max_depth)
     tips = stored.groupBy("chain_id").agg(F.max("block_number").alias("tip"))
     own = stored.join(F.broadcast(tips), "chain_id")  # a row for each chain
-    if max_depth is not None:
-        own = own.where(F.col("block_number") > F.col("tip") - max_depth)
     both = own.select(*keys, "tip", "block_hash").join(canonical.select(*keys, F.col("block_hash").alias("true_hash")), keys, "left")
     found = both.groupBy("chain_id", "tip").agg(F.max(F.when(F.col("block_hash") == F.col("true_hash"), F.col("block_number"))).alias("ancestor"))
     above = both.join(F.broadcast(found.select("chain_id", "ancestor")), "chain_id").where("ancestor is null or block_number > ancestor")
@@ -47,11 +47,22 @@ def conservative_ancestor(stored: DataFrame, depth: int) -> DataFrame:
 
 
 def known_window(blocks: DataFrame, depth: int, from_block: int | None = None) -> DataFrame:
-    """Each chain's newest `depth` blocks, those from `from_block` on dropped first. Block numbers are consecutive, so the tip's number tells."""
+    """Each chain's newest `depth` blocks, whatever numbers are missing, those from `from_block` on dropped first.
+
+    A task hands on no more than `depth` blocks of a chain (the rank's limit is applied before the shuffle).
+    """
     if from_block is not None:
         blocks = blocks.where(F.col("block_number") < from_block)
-    tips = blocks.groupBy("chain_id").agg(F.max("block_number").alias("_tip"))
-    return blocks.join(F.broadcast(tips), "chain_id").where(F.col("block_number") > F.col("_tip") - depth).drop("_tip")
+    newest = Window.partitionBy("chain_id").orderBy(F.desc("block_number"), "block_hash")
+    return blocks.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= depth).drop("_n")
+
+
+def chain_difference(stored: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(chain_id, block_number, block_hash, true_hash, state) of every number of either chain: same, replaced, only stored (orphan) or only canonical (absent)."""
+    own = stored.select("chain_id", "block_number", "block_hash")
+    both = own.join(canonical.select("chain_id", "block_number", F.col("block_hash").alias("true_hash")), ["chain_id", "block_number"], "full_outer")
+    state = F.when(F.col("true_hash").isNull(), "orphan").when(F.col("block_hash").isNull(), "absent").when(F.col("block_hash") == F.col("true_hash"), "same").otherwise("replaced")
+    return both.withColumn("state", state)
 
 
 def with_finality(blocks: DataFrame, tips: DataFrame | None = None) -> DataFrame:
@@ -73,15 +84,24 @@ def rewritten(stored: DataFrame, replay: DataFrame, chain_id: int, ancestor: int
     return kept.unionByName(replay.where((F.col("chain_id") == chain_id) & inside))
 
 
-def rewrite_reorg(spark: SparkSession, store: dict[str, str], chain_id: int, ancestor: int, tip: int, replay: dict[str, DataFrame], refresh: Callable[[], None] | None = None) -> None:
-    """Repair stored tables {name: path}: delete (ancestor, tip] everywhere, append the replay, refresh rollups.
+def rewrite_reorg(
+    spark: SparkSession, store: dict[str, str], chain_id: int, ancestor: int, tip: int, replay: dict[str, DataFrame] = {}, refresh: Callable[[], None] | None = None, messages: str | None = None, last: str | None = None
+) -> None:
+    """Repair stored tables {name: path}: note the reorganisation, delete (ancestor, tip] everywhere, append the replay, refresh rollups.
 
+    Children that were created in deleted blocks go with them, as their table holds block_number too. messages:
+    a table that gets a row (chain_id, ancestor, tip, depth), once. last: the name of the table that tells
+    whether a repair is needed; it is repaired after all others, so that an attempt that fails is made again.
     Refuses to go below what is final. Every step can be repeated after a failure: the deletion
     removes what an earlier attempt has appended.
     """
     if tip - ancestor > FINALITY.get(chain_id, DEFAULT_FINALITY):
         raise ValueError(f"blocks {ancestor + 1} to {tip} of chain {chain_id} are final in part")
-    for name, path in store.items():
+    if messages:
+        row = spark.range(1).select(F.lit(chain_id).cast("int").alias("chain_id"), F.lit(ancestor).cast("bigint").alias("block_number"), F.lit(tip).cast("bigint").alias("tip"), F.lit(tip - ancestor).cast("bigint").alias("depth"))
+        insert_new(row, messages, ["chain_id", "block_number", "tip"])
+    for name in sorted(store, key=lambda n: n == last):
+        path = store[name]
         if exists(spark, path):
             delete_range(spark, path, chain_id, ancestor + 1, tip)
         if name in replay:
@@ -89,14 +109,3 @@ def rewrite_reorg(spark: SparkSession, store: dict[str, str], chain_id: int, anc
             append(rows, path)
     if refresh:
         refresh()
-
-
-def reorg_pairs(blocks: DataFrame) -> DataFrame:
-    """Numbers that are stored with more than one hash, with those hashes."""
-    return blocks.groupBy("chain_id", "block_number").agg(F.sort_array(F.collect_set("block_hash")).alias("hashes")).where(F.size("hashes") > 1)
-
-
-def newest_by_number(blocks: DataFrame, order: str) -> DataFrame:
-    """Of each number, the block that came last by `order`."""
-    w = Window.partitionBy("chain_id", "block_number").orderBy(F.desc(order), "block_hash")
-    return with_bucket(blocks).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "block_bucket")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chainlake.operators.shaping import BUCKET
+from chainlake.operators.store import exists, replace_partitions
+
 #: Interval: (seconds, table suffix). Weeks start on Monday.
 INTERVALS = {
     "15m": (900, "_15m"), "30m": (1_800, "_30m"), "1h": (3_600, "_hourly"), "4h": (14_400, "_4h"), "1d": (86_400, "_daily"), "1w": (604_800, "_weekly"),
@@ -53,6 +56,27 @@ def _replaced(stored: DataFrame, new: DataFrame, start: int, end: int | None) ->
     return stored.where(old if end is None else old | (F.unix_timestamp("bucket") >= end)).unionByName(new)
 
 
+def refresh_stored(spark: SparkSession, events: DataFrame, path: str, interval: str, from_seconds: int, metrics: list[tuple[str, Column | str]] = (), blocks: DataFrame | None = None) -> None:
+    """Recompute the buckets from that of `from_seconds` on in a stored rollup, which is partitioned by chain_id and bucket_date.
+
+    Only the days from that bucket's on are rewritten. blocks: headers, whose times give the first block
+    that is needed, so that older partitions of `events` aren't read.
+    """
+    width, origin = INTERVALS[interval][0], MONDAY if interval == "1w" else 0
+    start = from_seconds - (from_seconds - origin) % width
+    start -= start % 86_400  # whole days, as they are partitions
+    if blocks is not None:
+        first = blocks.where(F.col("block_timestamp") >= start).agg(F.min("block_number")).first()[0]
+        events = events.where(F.col("block_number") >= (first or 0))
+        if "block_bucket" in events.columns:
+            events = events.where(F.col("block_bucket") >= (first or 0) // BUCKET)
+    new = rollup(touched(events, interval, start), interval, metrics).withColumn("bucket_date", F.to_date("bucket"))
+    there = exists(spark, path)
+    day = F.to_date(F.timestamp_seconds(F.lit(start)))
+    hit = spark.read.parquet(path).where(F.col("bucket_date") >= day) if there else new
+    replace_partitions(spark, new, path, ["chain_id", "bucket_date"], hit)
+
+
 def coarsen(rolled: DataFrame, to: str, sums: list[str] = ()) -> DataFrame:
     """A coarser rollup from a finer one, of what adds up: event_count and the given metrics."""
     bucket = F.timestamp_seconds(bucket_start(F.unix_timestamp("bucket"), to)).alias("bucket")
@@ -74,12 +98,17 @@ def snapshot_every(events: DataFrame, blocks: DataFrame, n: int, columns: list[s
     return spans.select("chain_id", "address", F.explode(F.sequence("_slot", "_end", F.lit(n).cast("bigint"))).alias("block_number"), "_v.*")
 
 
-def metrics_by_chain(blocks: DataFrame, events: DataFrame, traces: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(chain_id, metric, label, value): counters of blocks, events, traces and account events, and the tip."""
+def metrics_by_chain(blocks: DataFrame, events: DataFrame, traces: DataFrame, accounts: DataFrame, reorgs: DataFrame | None = None, workers: DataFrame | None = None) -> DataFrame:
+    """(chain_id, metric, label, value): counters of blocks, events, traces, account events and reorganisations, and the gauges current and tip."""
 
     def counted(df: DataFrame, metric: str, label: Column) -> DataFrame:
         return df.groupBy("chain_id", label.alias("label")).agg(F.count("*").alias("value")).select("chain_id", F.lit(metric).alias("metric"), "label", "value")
 
     tip = blocks.groupBy("chain_id").agg(F.max("block_number").alias("value")).select("chain_id", F.lit("tip").alias("metric"), F.lit("").alias("label"), "value")
     none = F.lit("")
+    gauge = lambda df, metric, column: df.groupBy("chain_id").agg(F.max(column).cast("bigint").alias("value")).select("chain_id", F.lit(metric).alias("metric"), F.lit("").alias("label"), "value")
+    if reorgs is not None:
+        tip = tip.unionByName(counted(reorgs, "reorgs", none))
+    if workers is not None:
+        tip = tip.unionByName(gauge(workers, "current", "current_block"))
     return counted(blocks, "blocks", none).unionByName(counted(events, "events", none)).unionByName(counted(traces, "traces", F.col("call_type"))).unionByName(counted(accounts, "account_events", F.col("event_type"))).unionByName(tip)

@@ -35,9 +35,10 @@ def stats(df: DataFrame, keys: tuple[str, ...] = ("chain_id",)) -> DataFrame:
 
 
 def present(df: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(block_number, present) of the given block numbers."""
-    have = df.select("block_number").distinct().withColumn("present", F.lit(True))
-    return blocks.select("block_number").join(have, "block_number", "left").select("block_number", F.coalesce("present", F.lit(False)).alias("present"))
+    """The given blocks (block_number, and chain_id if it is there) with present: without chain_id, whether any chain has the number."""
+    keys = [c for c in ("chain_id", "block_number") if c in blocks.columns]
+    have = df.select(*keys).distinct().withColumn("present", F.lit(True))
+    return blocks.select(*keys).join(have, keys, "left").select(*keys, F.coalesce("present", F.lit(False)).alias("present"))
 
 
 def address_set(*frames: DataFrame) -> DataFrame:

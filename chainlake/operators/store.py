@@ -6,6 +6,8 @@ partitions (dynamic partition overwrite) and touch only those that change.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,12 +60,14 @@ def insert_new(df: DataFrame, path: str, keys: list[str], order: list[str] | Non
 
     Only the buckets of the batch are read: both the bucket range and the anti-join's keys reach the scan.
     """
-    spark = df.sparkSession
+    append(new_rows(df, of_buckets(df.sparkSession, df, path), keys, order), path)
+
+
+def of_buckets(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """The stored rows of the block buckets that `df` has rows of; the range reaches the scan as a partition filter."""
     span = with_bucket(df).agg(F.min("block_bucket").alias("low"), F.max("block_bucket").alias("high")).first()
-    if span.low is None:
-        return
     stored = read(spark, path, with_bucket(df))
-    append(new_rows(df, stored.where(F.col("block_bucket").between(span.low, span.high)), keys, order), path)
+    return stored.limit(0) if span.low is None else stored.where(F.col("block_bucket").between(span.low, span.high))
 
 
 def conflicts(df: DataFrame, stored: DataFrame, keys: list[str]) -> int:
@@ -74,8 +78,7 @@ def conflicts(df: DataFrame, stored: DataFrame, keys: list[str]) -> int:
 
 def insert_strict(df: DataFrame, path: str, keys: list[str], on_conflict: str = "fail") -> str:
     """Append the batch as it is if no key conflicts; else fail, skip it, or insert_new ("fallback"). Returns what was done."""
-    stored = read(df.sparkSession, path, with_bucket(df))
-    if conflicts(df, stored, keys) == 0:
+    if conflicts(df, of_buckets(df.sparkSession, df, path), keys) == 0:
         append(df, path)
         return "inserted"
     if on_conflict == "fail":
@@ -90,26 +93,48 @@ def without_range(df: DataFrame, chain_id: int, low: int, high: int, block: str
     return df.where((F.col("chain_id") != chain_id) | ~F.col(block).between(low, high))
 
 
+def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, columns: list[str], hit: DataFrame) -> None:
+    """Replace the partitions in `hit` (a row of `columns` for each) by `rows`, which may come from the same table.
+
+    The rows are written aside first, in a folder of their own; partitions without rows are dropped.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
+    rows.write.partitionBy(*columns).parquet(aside)
+    wanted = {tuple(r) for r in hit.select(*columns).distinct().collect()}  # the partitions that are replaced
+    kept = spark.read.schema(rows.schema).parquet(aside)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    full = {tuple(r) for r in kept.select(*columns).distinct().collect()}
+    for gone in wanted - full:
+        fs.delete(fs_path("/".join([path.rstrip("/"), *[f"{c}={v}" for c, v in zip(columns, gone, strict=True)]])), True)
+    fs.delete(fs_path(aside), True)
+
+
 def delete_range(spark: SparkSession, path: str, chain_id: int, low: int, high: int) -> None:
     """Remove an inclusive block range: the buckets it touches are rewritten, and dropped where nothing stays."""
     stored = spark.read.parquet(path)
     hit = stored.where((F.col("chain_id") == chain_id) & F.col("block_bucket").between(low // BUCKET, high // BUCKET))
-    left = without_range(hit, chain_id, low, high)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    aside = f"{path.rstrip('/')}__rewrite"
-    left.write.mode("overwrite").partitionBy(*LAYOUT).parquet(aside)  # read before its source is replaced
-    kept = spark.read.schema(stored.schema).parquet(aside)
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAYOUT).parquet(path)
-    full = {r.block_bucket for r in kept.select("block_bucket").distinct().collect()}  # buckets of the range
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for bucket in range(low // BUCKET, high // BUCKET + 1):
-        if bucket not in full:
-            fs.delete(fs_path(f"{path}/chain_id={chain_id}/block_bucket={bucket}"), True)
-    fs.delete(fs_path(aside), True)
+    replace_partitions(spark, without_range(hit, chain_id, low, high), path, LAYOUT, hit)
 
 
-def compact(spark: SparkSession, path: str, older_than: int, to: str) -> None:
-    """Write the buckets whose blocks are all below `older_than`, clustered by bucket, address and newest block first, to `to`."""
+def delete_everywhere(spark: SparkSession, tables: dict[str, str], chain_id: int, low: int, high: int) -> list[str]:
+    """delete_range of every stored table {name: path} of a deployment: raw, decoded, traces, accounts, children. Returns the names of those there are."""
+    there = [name for name in sorted(tables) if exists(spark, tables[name])]
+    for name in there:
+        delete_range(spark, tables[name], chain_id, low, high)
+    return there
+
+
+def compact(spark: SparkSession, path: str, older_than: int, to: str | None = None) -> None:
+    """Rewrite the buckets whose blocks are all below `older_than`, clustered by bucket, address and newest block first; elsewhere if `to` is given.
+
+    A large bucket is cut by ranges of address and block among several tasks.
+    """
     old = spark.read.parquet(path).where(F.col("block_bucket") < older_than // BUCKET)
     order = [c for c in ("address", "from_address") if c in old.columns][:1]
-    old.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT, *order, F.desc("block_number")).write.mode("overwrite").partitionBy(*LAYOUT).parquet(to)
+    clustered = old.repartitionByRange(*LAYOUT, *order, "block_number").sortWithinPartitions(*LAYOUT, *order, F.desc("block_number"))
+    if to:
+        clustered.write.mode("overwrite").partitionBy(*LAYOUT).parquet(to)
+    else:
+        replace_partitions(spark, clustered, path, LAYOUT, old)

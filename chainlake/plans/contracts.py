@@ -17,7 +17,6 @@ def _event(name: str, inputs: str, indexed: int) -> dict:
     return {"type": "event", "name": name, "inputs": _inputs(inputs, indexed)}
 
 
-SWAP = _event("Swap", "address sender, address to, uint256 amount0In, uint256 amount1In, uint256 amount0Out, uint256 amount1Out", 2)
 ABIS = {
     "Token": [_event("Transfer", "address from, address to, uint256 value", 2), _event("Approval", "address owner, address spender, uint256 value", 2)],
     "Pair": [

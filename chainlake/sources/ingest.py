@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainlake.functions.abi_words import hex_quantity, hex_u256
+from chainlake.sources.scratch import new_folder
 
 LOG = "address string, topics array<string>, data string, blockNumber string, blockHash string, transactionHash string, transactionIndex string, logIndex string, blockTimestamp string"
 HEADER = "number string, hash string, parentHash string, timestamp string, logsBloom string"
@@ -83,7 +84,8 @@ def ingest_flat_traces(rows: DataFrame, chain_id: int, column: str = "json") ->
 def flatten_call_tree(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """One row for each call of nested call JSON: keys, trace_path, call_type, from, to, input, output, value, error.
 
-    Each level is one explode of the level above; the loop ends where no call has children, so
+    Each level is one explode of the level above, which has been written to the shared folder: the
+    source is read once for the top level, and no level is derived twice. The loop ends where no call has children, so
     depth is bounded by the data only. A call's path holds its ancestors' places and its own.
     """
     call = "type string, `from` string, `to` string, input string, output string, value string, error string, calls string"
@@ -92,9 +94,12 @@ def flatten_call_tree(rows: DataFrame, column: str, keys: list[str]) -> DataFram
     while True:
         levels.append(level.select(*keys, "trace_path", F.lower(F.coalesce("c.type", F.lit("call"))).alias("call_type"), F.lower("c.from").alias("from_address"), F.lower("c.to").alias("to_address"), F.coalesce("c.input", F.lit("0x")).alias("input"), F.coalesce("c.output", F.lit("0x")).alias("output"), F.coalesce("c.value", F.lit("0x0")).alias("value"), F.col("c.error").alias("error")))
         inner = level.where("c.calls is not null and c.calls <> '[]'")
-        if inner.limit(1).count() == 0:
+        below = inner.select(*keys, "trace_path", F.posexplode(F.from_json("c.calls", f"array<struct<{_struct(call)}>>")).alias("i", "c")).withColumn("trace_path", F.array_append("trace_path", F.col("i"))).drop("i")
+        path = new_folder(rows.sparkSession, "calls")
+        below.write.parquet(path)
+        level = rows.sparkSession.read.schema(below.schema).parquet(path)
+        if level.limit(1).count() == 0:
             return reduce(DataFrame.unionByName, levels)
-        level = inner.select(*keys, "trace_path", F.posexplode(F.from_json("c.calls", f"array<struct<{_struct(call)}>>")).alias("i", "c")).withColumn("trace_path", F.array_append("trace_path", F.col("i"))).drop("i")
 
 
 def _struct(ddl: str) -> str:
