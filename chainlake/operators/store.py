@@ -39,6 +39,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
     """The table at `path`; given `like`, with its schema, and empty where there is no table yet."""
     if like is None:
@@ -70,6 +75,13 @@ def of_buckets(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return stored.limit(0) if span.low is None else stored.where(F.col("block_bucket").between(span.low, span.high))
 
 
+def of_buckets_from(spark: SparkSession, df: DataFrame, path: str, depth: int) -> DataFrame:
+    """The stored rows from `depth` blocks below the lowest of `df` on."""
+    low = df.agg(F.min("block_number")).first()[0]
+    stored = read(spark, path, with_bucket(df)).drop("block_bucket") if low is None else read(spark, path, with_bucket(df)).where(F.col("block_bucket") >= max(low - depth, 0) // BUCKET).drop("block_bucket")
+    return stored.select(*df.columns)
+
+
 def conflicts(df: DataFrame, stored: DataFrame, keys: list[str]) -> int:
     """Keys of the batch that are stored already or come twice in it."""
     twice = df.groupBy(*keys).count().where("count > 1").select(*keys)

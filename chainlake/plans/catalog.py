@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 TRACE_KEY = ["chain_id", "block_number", "tx_index", "trace_address"]
 TRANSFER, APPROVAL, SWAP = (next(d.key for d in EVENTS if d.name == n) for n in ("Transfer", "Approval", "Swap"))
+PAIR_CREATED = next(d.key for d in EVENTS if d.name == "PairCreated")
 NOTE = next(d.key for d in EVENTS if d.name == "Note")
 PAD = "'0x' || lpad(lower(hex({})), 40, '0')"
 
@@ -219,7 +222,34 @@ def bloom_may_contain(spark, sf):
 
 @query("SELECT block_number FROM (SELECT CAST(unnest(range(10000835, 10020000)) AS BIGINT) AS block_number) EXCEPT SELECT block_number FROM fx_blocks WHERE block_number % 41 <> 0")
 def missing_blocks(spark, sf):
-    return quality.missing_blocks(spark, _damaged(spark, sf)[0], GENESIS, 10_019_999)
+    return quality.missing_blocks(spark, _damaged(spark, sf)[0], GENESIS, 10_019_999).select("block_number")
+
+
+def _two_chains(spark, sf) -> DataFrame:
+    """Chain 1 lacks every third block, chain 2 every fifth."""
+    b = lens(spark, sf, "fx_blocks")
+    return b.where("block_number % 3 <> 0").unionByName(b.where("block_number % 5 <> 0").withColumn("chain_id", F.lit(2)))
+
+
+_TWO_CHAINS = "WITH two AS (SELECT * FROM fx_blocks WHERE block_number % 3 <> 0 UNION ALL SELECT * REPLACE (CAST(2 AS INT) AS chain_id) FROM fx_blocks WHERE block_number % 5 <> 0)"
+
+
+@query(_TWO_CHAINS + "SELECT CAST(c AS INT) AS chain_id, n AS block_number FROM (SELECT unnest([1, 2]) AS c), (SELECT CAST(unnest(range(10000835, 10001335)) AS BIGINT) AS n) EXCEPT SELECT chain_id, block_number FROM two")
+def missing_blocks_by_chain(spark, sf):
+    return quality.missing_blocks(spark, _two_chains(spark, sf), GENESIS, GENESIS + 499)
+
+
+@query(_TWO_CHAINS + """, b AS (SELECT chain_id, block_number, lead(block_number) OVER (PARTITION BY chain_id ORDER BY block_number) AS n FROM two)
+SELECT chain_id, block_number + 1 AS first, n - 1 AS last FROM b WHERE n > block_number + 1""")
+def gap_ranges_by_chain(spark, sf):
+    return quality.gap_ranges(_two_chains(spark, sf))
+
+
+@query(_TWO_CHAINS + """, w AS (SELECT CAST(c AS INT) AS chain_id, n AS block_number FROM (SELECT unnest([1, 2, 3]) AS c), (SELECT CAST(10000835 + unnest(range(0, 3000, 7)) AS BIGINT) AS n))
+SELECT w.chain_id, w.block_number, two.block_number IS NOT NULL AS present FROM w LEFT JOIN two USING (chain_id, block_number)""")
+def blocks_present_by_chain(spark, sf):
+    chains = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("chain_id")
+    return shaping.present(_two_chains(spark, sf), spark.range(GENESIS, GENESIS + 3000, 7).select(chains, F.col("id").alias("block_number")))
 
 
 @query("""WITH b AS (SELECT block_number, lead(block_number) OVER (ORDER BY block_number) AS n FROM fx_blocks WHERE block_number % 41 <> 0)
@@ -262,6 +292,15 @@ def decode_events(spark, sf):
     return decode.decode_events(lens(spark, sf, "fx_raw_events"), EVENTS).select("table_name", "block_number", "log_index")
 
 
+@query(f"""SELECT o.table_name, block_number, log_index, CASE event_type WHEN 'purchase' THEN a || ' ' || b || ' ' || cents WHEN 'signup' THEN a || ' ' || b || ' ' || (CAST(cents AS HUGEINT) * 1208925819614629174706176)
+WHEN 'click' THEN a || ' ' || cents || ' ' || event_id || ' 0 ' || user_id || ' ' || b ELSE (event_id % 200 - 100) || ' view-' || user_id || ' ' || lpad(lower(hex(event_id % 65536)), 8, '0') || ' ' || (event_id % 3 = 0) || ' [' || user_id || ', ' || event_id || ']' END AS params
+FROM (SELECT *, CASE event_type WHEN 'purchase' THEN '{TRANSFER}' WHEN 'signup' THEN '{APPROVAL}' WHEN 'click' THEN '{SWAP}' WHEN 'view' THEN '{NOTE}' END AS topic0 FROM ({_PURCHASE})) e JOIN {_OWNERS} ON e.topic0 = o.topic0""")
+def decode_events_values(spark, sf):
+    """The long form with every parameter of every event, in the order of its definition."""
+    long = decode.decode_events(lens(spark, sf, "fx_raw_events"), EVENTS)
+    return long.select("table_name", "block_number", "log_index", F.array_join(F.map_values("params"), " ").alias("params"))
+
+
 @query(f"SELECT block_number, log_index, a AS p_from, b AS p_to, CAST(cents AS VARCHAR) AS p_value FROM ({_PURCHASE}) WHERE event_type = 'purchase'")
 def decode_events_params(spark, sf):
     long = decode.decode_events_first(lens(spark, sf, "fx_raw_events"), EVENTS).where("name = 'Transfer'")
@@ -325,6 +364,16 @@ def rebuild(spark, sf):
     return out
 
 
+@query(f"""SELECT CASE event_type WHEN 'purchase' THEN 'event_token_transfer' WHEN 'signup' THEN 'event_token_approval' WHEN 'view' THEN 'event_board_note' ELSE 'event_pair_swap' END AS table_name, rows FROM ({_KEPT})
+UNION ALL SELECT 'event_pair_transfer', rows FROM ({_KEPT}) WHERE event_type = 'purchase' UNION ALL SELECT 'event_factory_pair_created', count(*) FROM supplier""")
+def rebuild_all(spark, sf):
+    """Every definition, the factory's and the one that two contracts share included."""
+    created = lens(spark, sf, "fx_factory_logs")
+    raw = lens(spark, sf, "fx_raw_events").unionByName(created.withColumn("topic3", F.lit(None).cast("string")).withColumn("block_hash", F.lit("0x")).withColumn("block_timestamp", F.lit(0).cast("bigint")))
+    parts = [df.groupBy(F.lit(name).alias("table_name")).agg(F.count("*").alias("rows")) for name, df in decode.rebuild(raw, EVENTS, RULES).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(f"SELECT block_number, log_index, CAST(cents AS VARCHAR) AS p_value FROM ({_PURCHASE}) WHERE event_type = 'purchase' AND cents >= 10000")
 def apply_filters_integers(spark, sf):
     table = decode.event_table(lens(spark, sf, "fx_raw_events"), EVENTS, "Token", "Transfer")
@@ -468,6 +517,26 @@ def rollup_wide_values(spark, sf):
     return rollup.rollup(table, "1w", _metrics()[:1] + _metrics()[3:4]).select("address", _stamp("bucket"), "total", "most")
 
 
+@query(f"""SELECT address, {_bucket("1d")} AS bucket, string_agg(DISTINCT CAST(c AS VARCHAR), ',' ORDER BY CAST(c AS VARCHAR)) AS amounts, CAST(sum(c) AS BIGINT) // nullif(CAST(sum(c % 2) AS BIGINT), 0) AS per_odd
+FROM (SELECT *, CAST('0x' || ltrim(substr(data, 3), '0') AS BIGINT) AS c FROM fx_raw_events WHERE topic0 = '{TRANSFER}') GROUP BY address, bucket""")
+def rollup_lists_and_nulls(spark, sf):
+    """array_agg and nullif in metrics."""
+    metrics = [("amounts", "array_join(array_sort(array_distinct(array_agg(p_value))), ',')"), ("per_odd", "sum(cast(p_value AS bigint)) div nullif(sum(cast(p_value AS bigint) % 2), 0)")]
+    return rollup.rollup(_transfers(spark, sf), "1d", metrics).select("address", _stamp("bucket"), "amounts", "per_odd")
+
+
+@query(f"""SELECT block_number, log_index, CAST(-CAST(cents AS HUGEINT) * 1208925819614629174706176 AS VARCHAR) AS negated, CAST(CAST(cents AS HUGEINT) * 1208925819614629174706176 AS VARCHAR) AS value,
+CAST(cents AS HUGEINT) * 1208925819614629174706176 < CAST(1208925819614629174706176 AS HUGEINT) * 10000 AS small FROM ({_PURCHASE}) WHERE event_type = 'signup'""")
+def wide_values(spark, sf):
+    """Negative 256-bit values from their two's complement, values that fit 38 digits, and comparison by digits."""
+    table = decode.event_table(lens(spark, sf, "fx_raw_events"), EVENTS, "Token", "Approval")
+    digits, zeros = F.col("p_value_hex"), "0" * 20  # the values are multiples of 2 ** 80, and their rest fits a long
+    cents = F.conv(F.substring(digits, 29, 16), 16, 10).cast("bigint")
+    complement = F.concat(F.lit("f" * 28), F.lower(F.lpad(F.hex(-cents), 16, "f")), F.lit(zeros))
+    negated = F.when(cents == 0, F.lit("0")).otherwise(wide.signed_text(complement))
+    return table.select("block_number", "log_index", negated.alias("negated"), wide.fits38(digits).cast("string").alias("value"), (digits < f"{10_000:044x}{zeros}").alias("small"))
+
+
 def _stale(spark, sf) -> tuple[DataFrame, DataFrame]:
     events = lens(spark, sf, "fx_raw_events").where("topic0 is not null")
     return events, rollup.rollup(events, "1h").withColumn("event_count", F.col("event_count") + 1)
@@ -490,6 +559,17 @@ def refresh_rollup_from(spark, sf):
     return rollup.refresh_rollup_from(events, stored, "1h", 1_704_340_200).select("address", _stamp("bucket"), "event_count")
 
 
+@query(f"""SELECT address, bucket, n + CASE WHEN h >= 1704326400 THEN 0 ELSE 1 END AS event_count
+FROM (SELECT address, {_bucket("1h")} AS bucket, {_HOUR} AS h, count(*) AS n FROM fx_raw_events WHERE topic0 IS NOT NULL GROUP BY ALL)""")
+def refresh_rollup_stored(spark, sf):
+    """A stored rollup of which the days from 2024-01-04 on are recomputed; the day's partitions before stay as they are."""
+    events, stale = _stale(spark, sf)
+    path = new_folder(spark, "rollup")
+    stale.withColumn("bucket_date", F.to_date("bucket")).write.partitionBy("chain_id", "bucket_date").parquet(path)
+    rollup.refresh_stored(spark, events, path, "1h", 1_704_340_200, blocks=lens(spark, sf, "fx_blocks"))
+    return spark.read.parquet(path).select("address", _stamp("bucket"), "event_count")
+
+
 @query(f"SELECT address, {_bucket('1d')} AS bucket, count(*) AS event_count FROM fx_raw_events WHERE topic0 IS NOT NULL GROUP BY ALL")
 def coarsen(spark, sf):
     return rollup.coarsen(rollup.rollup(lens(spark, sf, "fx_raw_events").where("topic0 is not null"), "1h"), "1d").select("address", _stamp("bucket"), "event_count")
@@ -519,6 +599,15 @@ def metrics_by_chain(spark, sf):
     return rollup.metrics_by_chain(lens(spark, sf, "fx_blocks"), lens(spark, sf, "fx_raw_events"), lens(spark, sf, "fx_traces"), own)
 
 
+@query(f"""SELECT chain_id, 'reorgs' AS metric, '' AS label, count(*) AS value FROM (SELECT 1 AS chain_id FROM fx_stored_blocks s JOIN fx_blocks b USING (block_number) WHERE s.block_hash <> b.block_hash) GROUP BY ALL
+UNION ALL SELECT chain_id, 'current', '', max(current_block) FROM fx_workers GROUP BY ALL UNION ALL SELECT chain_id, 'tip', '', max(block_number) FROM fx_blocks GROUP BY ALL""")
+def metrics_of_sync(spark, sf):
+    """The counter of reorganisations and the gauges."""
+    replaced = reorg.chain_difference(lens(spark, sf, "fx_stored_blocks"), lens(spark, sf, "fx_blocks")).where("state = 'replaced'")
+    out = rollup.metrics_by_chain(lens(spark, sf, "fx_blocks"), lens(spark, sf, "fx_raw_events"), lens(spark, sf, "fx_traces"), accounts.account_tx_events(lens(spark, sf, "fx_transactions"), lens(spark, sf, "fx_tracked")), replaced, lens(spark, sf, "fx_workers"))
+    return out.where("metric in ('reorgs', 'current', 'tip')")
+
+
 # -- views, writes, sinks
 
 
@@ -571,6 +660,53 @@ def insert_strict(spark, sf):
     return spark.range(1).select(F.lit(n).cast("bigint").alias("conflicts"))
 
 
+@query(f"""SELECT 'first' AS batch, block_number, tx_index, trace_address FROM fx_traces WHERE block_number % 5 = 0 GROUP BY ALL
+UNION ALL SELECT 'fallback', block_number, tx_index, trace_address FROM fx_traces WHERE block_number % 5 > 0 AND block_number % 3 = 0 GROUP BY ALL UNION ALL SELECT 'inserted', block_number, tx_index, trace_address FROM fx_traces WHERE block_number % 5 > 0 AND block_number % 3 = 1 GROUP BY ALL""")
+def insert_strict_stored(spark, sf):
+    """What three batches leave in the table: one that falls back, one that is skipped, one without conflicts."""
+    t = store.first_by_key(lens(spark, sf, "fx_traces").select(*TRACE_KEY, "value"), TRACE_KEY)
+    path = new_folder(spark, "strict")
+    batches = {"first": ("block_number % 5 = 0", "fail"), "fallback": ("block_number % 5 = 0 or block_number % 3 = 0", "fallback"), "skipped": ("block_number % 3 < 2", "skip"), "inserted": ("block_number % 5 > 0 and block_number % 3 = 1", "fail")}
+    done = [store.insert_strict(t.where(rows).withColumn("batch", F.lit(name)), path, TRACE_KEY, how) for name, (rows, how) in batches.items()]
+    if done != ["inserted", "fallback", "skipped", "inserted"]:
+        raise AssertionError(done)
+    return spark.read.parquet(path).select("batch", "block_number", "tx_index", "trace_address")
+
+
+@query(f"""SELECT 'raw_events' AS what, count(*) AS rows, CAST(sum(block_number) AS BIGINT) AS total FROM fx_raw_events WHERE block_number NOT BETWEEN 10000900 AND 10001000
+UNION ALL SELECT 'transfers', count(*), CAST(sum(block_number) AS BIGINT) FROM fx_raw_events WHERE topic0 = '{TRANSFER}' AND block_number NOT BETWEEN 10000900 AND 10001000
+UNION ALL SELECT 'traces', count(*), CAST(sum(block_number) AS BIGINT) FROM fx_traces WHERE block_number NOT BETWEEN 10000900 AND 10001000
+UNION ALL SELECT 'accounts', count(*), CAST(sum(block_number) AS BIGINT) FROM ({_TX_EVENTS}) WHERE block_number NOT BETWEEN 10000900 AND 10001000""")
+def delete_everywhere(spark, sf):
+    folder = new_folder(spark, "deployment")
+    made = {"raw_events": lens(spark, sf, "fx_raw_events"), "transfers": _transfers(spark, sf), "traces": lens(spark, sf, "fx_traces"), "accounts": accounts.account_tx_events(lens(spark, sf, "fx_transactions"), lens(spark, sf, "fx_tracked"))}
+    for name, df in made.items():
+        store.append(df, f"{folder}/{name}")
+    left = store.delete_everywhere(spark, {n: f"{folder}/{n}" for n in [*made, "never_made"]}, 1, 10_000_900, 10_001_000)
+    parts = [spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("what"), F.count("*").alias("rows"), F.sum("block_number").alias("total")) for n in left]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT block_number, log_index FROM fx_raw_events")
+def compact_in_place(spark, sf):
+    stored = new_folder(spark, "stored")
+    store.append(lens(spark, sf, "fx_raw_events"), stored)
+    store.compact(spark, stored, 10_100_000)
+    return spark.read.parquet(stored).select("block_number", "log_index")
+
+
+@query(f"SELECT 'old' AS deployment, count(*) AS rows FROM fx_raw_events WHERE topic0 = '{TRANSFER}' UNION ALL SELECT 'new', count(*) FROM fx_raw_events WHERE topic0 = '{SWAP}'")
+def cutover(spark, sf):
+    """One reader's view, before and after it is pointed to another deployment."""
+    out = []
+    for name, topic in (("old", TRANSFER), ("new", SWAP)):
+        table = f"deployment_{name}_{uuid.uuid4().hex}"
+        lens(spark, sf, "fx_raw_events").where(F.col("topic0") == topic).write.option("path", new_folder(spark, "deployment")).saveAsTable(table)
+        views.cutover(spark, "chainlake_readers", {"events": table})
+        out.append(spark.table("chainlake_readers.events").agg(F.count("*").alias("rows")).select(F.lit(name).alias("deployment"), "rows").first())
+    return spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(r.deployment).alias("deployment"), F.lit(r.rows).cast("bigint").alias("rows")) for r in out])).alias("r")).select("r.*")
+
+
 @query("SELECT block_number, log_index FROM fx_raw_events WHERE block_number NOT BETWEEN 10000900 AND 10001000")
 def delete_range(spark, sf):
     return store.without_range(lens(spark, sf, "fx_raw_events"), 1, 10_000_900, 10_001_000).select("block_number", "log_index")
@@ -592,6 +728,17 @@ def stream_messages(spark, sf):
     return children.unionByName(rest)
 
 
+@query(f"""SELECT 'events:1' AS key, 'live_block' AS type, CAST(block_number AS VARCHAR) AS value FROM fx_blocks UNION ALL SELECT 'events:1', 'factory_child', child_address FROM ({_CHILDREN})
+UNION ALL SELECT 'control:1', 'reorg', CAST(max(block_number) - 7 AS VARCHAR) FROM fx_blocks UNION ALL SELECT 'events:1', 'event_batch', CAST(count(*) AS VARCHAR) FROM fx_raw_events WHERE topic0 = '{TRANSFER}' GROUP BY block_number
+UNION ALL SELECT 'control:' || chain_id, 'sync_status', CASE WHEN bool_or(status = 'live') THEN 'live' ELSE 'historical' END FROM fx_workers GROUP BY chain_id""")
+def stream_message_bodies(spark, sf):
+    """All five kinds, read back from their bodies."""
+    batches = _transfers(spark, sf).groupBy("chain_id", "block_number").agg(F.count("*").alias("events"))
+    out = sinks.stream_messages(batches, lens(spark, sf, "fx_blocks"), reorg.common_ancestor(lens(spark, sf, "fx_stored_blocks"), lens(spark, sf, "fx_blocks")), progress.sync_status(lens(spark, sf, "fx_workers"), lens(spark, sf, "fx_blocks")), factory.discover_children(lens(spark, sf, "fx_factory_logs"), FACTORIES))
+    body = F.from_json("value", "type string, block_number string, child_address string, ancestor string, events string, mode string")
+    return out.select("key", body.alias("b")).select("key", "b.type", F.coalesce("b.mode", "b.ancestor", "b.child_address", "b.events", "b.block_number").alias("value"))
+
+
 @query(f"SELECT block_number, log_index, a AS p_from, CAST(cents AS VARCHAR) AS p_value FROM ({_PURCHASE}) WHERE event_type = 'purchase'")
 def export_csv(spark, sf):
     folder = new_folder(spark, "csv")
@@ -650,6 +797,22 @@ def known_window(spark, sf):
     return reorg.known_window(lens(spark, sf, "fx_blocks"), 20, 10_000_900).select("block_number", "block_hash")
 
 
+@query("SELECT block_number, block_hash FROM fx_blocks WHERE block_number % 3 = 0 ORDER BY block_number DESC LIMIT 20")
+def known_window_with_gaps(spark, sf):
+    return reorg.known_window(lens(spark, sf, "fx_blocks").where("block_number % 3 = 0"), 20).select("block_number", "block_hash")
+
+
+@query("SELECT CAST(1 AS INT) AS chain_id, min(block_number) - 1 AS ancestor FROM (SELECT block_number FROM fx_blocks WHERE block_number % 3 = 0 ORDER BY block_number DESC LIMIT 20)")
+def conservative_ancestor_with_gaps(spark, sf):
+    return reorg.conservative_ancestor(lens(spark, sf, "fx_stored_blocks").where("block_number % 3 = 0"), 20)
+
+
+@query("""SELECT coalesce(s.block_number, b.block_number) AS block_number, CASE WHEN b.block_hash IS NULL THEN 'orphan' WHEN s.block_hash IS NULL THEN 'absent' WHEN s.block_hash = b.block_hash THEN 'same' ELSE 'replaced' END AS state
+FROM (SELECT * FROM fx_stored_blocks WHERE block_number % 4 > 0) s FULL JOIN (SELECT * FROM fx_blocks WHERE block_number % 6 > 0) b ON s.block_number = b.block_number""")
+def chain_difference(spark, sf):
+    return reorg.chain_difference(lens(spark, sf, "fx_stored_blocks").where("block_number % 4 > 0"), lens(spark, sf, "fx_blocks").where("block_number % 6 > 0")).select("block_number", "state")
+
+
 @query("SELECT block_number, 65 AS finality, (SELECT max(block_number) FROM fx_blocks) - block_number >= 65 AS is_final FROM fx_blocks")
 def with_finality(spark, sf):
     return reorg.with_finality(lens(spark, sf, "fx_blocks")).select("block_number", "finality", "is_final")
@@ -668,6 +831,19 @@ def rewrite_reorg(spark, sf):
     return out.select("block_number", "log_index", "origin")
 
 
+@query("""WITH t AS (SELECT max(block_number) AS tip FROM fx_blocks) SELECT block_number, log_index, CASE WHEN block_number > tip - 7 THEN 'replayed' ELSE 'stored' END AS origin FROM fx_raw_events, t
+UNION ALL SELECT tip - 7, 7, 'message' FROM t""")
+def rewrite_reorg_stored(spark, sf):
+    """The same repair of stored tables, and its message."""
+    found = reorg.common_ancestor(lens(spark, sf, "fx_stored_blocks"), lens(spark, sf, "fx_blocks"), 64).first()
+    raw, folder = lens(spark, sf, "fx_raw_events"), new_folder(spark, "repaired")
+    store.append(raw.withColumn("origin", F.lit("stored")), f"{folder}/raw_events")
+    for _ in range(2):  # a repeated repair changes nothing
+        reorg.rewrite_reorg(spark, {"raw": f"{folder}/raw_events"}, 1, found.ancestor, found.tip, {"raw": raw.withColumn("origin", F.lit("replayed"))}, messages=f"{folder}/reorgs")
+    message = spark.read.parquet(f"{folder}/reorgs").select("block_number", F.col("depth").cast("int").alias("log_index"), F.lit("message").alias("origin"))
+    return spark.read.parquet(f"{folder}/raw_events").select("block_number", "log_index", "origin").unionByName(message)
+
+
 # -- progress
 
 

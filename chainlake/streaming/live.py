@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chainlake.operators import decode, factory, store
+from chainlake.operators import decode, factory, reorg, rollup, store
 from chainlake.operators.filters import Rule, condition
 from chainlake.operators.rollup import INTERVALS
+from chainlake.operators.shaping import BUCKET
 from chainlake.operators.store import with_bucket
 from chainlake.sources.abi import Definition
 
@@ -67,38 +66,143 @@ def stream_rollup(stream: DataFrame, interval: str, delay: str, metrics: list[tu
     return out.select("chain_id", "address", F.col("window.start").alias("bucket"), "event_count", "tx_count", *[name for name, _ in metrics])
 
 
-REORG = "chain_id int, block_number long, parent_hash string, stored_hash string"
-WINDOW_STATE = "numbers array<long>, hashes array<string>"
+BLOCK_KEY = ["chain_id", "block_number"]
 
 
-def detect_reorgs(blocks: DataFrame, depth: int) -> DataFrame:
-    """(chain_id, block_number, parent_hash, stored_hash) of blocks that don't continue the newest `depth` known ones.
+def _one_of_each(blocks: DataFrame) -> DataFrame:
+    """One row of each number: of several, the one that another block of the batch names as its parent, else the least hash."""
+    named = blocks.select("chain_id", (F.col("block_number") - 1).alias("block_number"), F.col("parent_hash").alias("block_hash"), F.lit(0).alias("_other")).distinct()
+    marked = blocks.join(named, [*BLOCK_KEY, "block_hash"], "left").withColumn("_other", F.coalesce("_other", F.lit(1)))
+    return store.first_by_key(marked, BLOCK_KEY, ["_other", "block_hash"]).select(*blocks.columns)
 
-    State per chain is those numbers and hashes. A block replaces the known ones from its number on.
+
+def _off_chain(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """(chain_id, block_number, parent_hash, stored_hash) of blocks whose parent isn't the block before them, which is looked for in the batch first."""
+    before = lambda df: df.select("chain_id", (F.col("block_number") + 1).alias("block_number"), F.col("block_hash").alias("stored_hash"))
+    parents = before(blocks).unionByName(before(known.join(blocks, BLOCK_KEY, "left_anti")))
+    return blocks.select(*BLOCK_KEY, "parent_hash").join(parents, BLOCK_KEY).where("parent_hash <> stored_hash")
+
+
+def detect_reorgs(stream: DataFrame, folder: str, depth: int, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append to `folder`/reorgs (chain_id, block_number, parent_hash, stored_hash) of blocks that don't continue the known ones.
+
+    Known are the newest `depth` blocks of each chain; a batch's blocks replace those from its lowest number on. They
+    are joined by number, so that a long backlog is spread over tasks, and kept in a table for each
+    batch: a batch that is replayed starts from the one before it.
+    """
+    columns = ("chain_id", "block_number", "block_hash", "parent_hash")
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        blocks = _one_of_each(rows.select(*columns)).persist()
+        try:
+            known = store.read(spark, f"{folder}/known/{number - 1}", blocks)
+            store.insert_new(_off_chain(blocks, known), f"{folder}/reorgs", BLOCK_KEY)
+            lowest = F.broadcast(blocks.groupBy("chain_id").agg(F.min("block_number").alias("_low")))  # a row for each chain
+            below = known.join(lowest, "chain_id", "left").where("_low is null or block_number < _low").drop("_low")
+            reorg.known_window(below.unionByName(blocks), depth).write.mode("overwrite").parquet(f"{folder}/known/{number}")
+            store.remove(spark, f"{folder}/known/{number - 2}")
+        finally:
+            blocks.unpersist()
+
+    return _started(stream, batch, checkpoint, trigger or {"availableNow": True})
+
+
+LOG_OF_BLOCK = "array<struct<tx_index:int,log_index:int,block_hash:string,tx_hash:string,address:string,topic0:string,topic1:string,topic2:string,topic3:string,data:string>>"
+
+
+def live_sync(
+    stream: DataFrame, folder: str, registry: list[Definition], rules: list[Rule], factories: list[factory.Factory], checkpoint: str, depth: int = 64, interval: str = "1h", sinks: Callable[[dict[str, DataFrame]], None] | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Follow chains block by block, reorganisations included. The stream has a row for each block: chain_id,
+    block_number, block_hash, parent_hash, block_timestamp and logs (LOG_OF_BLOCK).
+
+    Each batch: logs whose hash isn't their header's go to `rejected`. Where blocks don't continue the
+    stored chain, or replace stored blocks, everything above the common ancestor is deleted from all tables
+    (children that were created there too) and a row goes to `reorgs`; then blocks, logs, decoded events, factory
+    children and their events are inserted, and the rollup is refreshed from the ancestor's time on.
+    If the batch doesn't reach down to the fork, the whole known window goes, as it may be orphaned, and
+    the source has to send it again. Every write is by key, and blocks are repaired last, so a replayed batch
+    ends in the same state.
     """
+    tables = {n: f"{folder}/{n}" for n in ("blocks", "raw_events", "factory_children", "child_events", *(d.table for d in registry))}
+
+    def repair(spark, blocks: DataFrame, stored: DataFrame) -> list[int]:
+        """Times from which rollups are out of date."""
+        since = []
+        known = reorg.known_window(stored, depth)
+        replaced = blocks.select(*BLOCK_KEY, "block_hash").join(known.select(*BLOCK_KEY, F.col("block_hash").alias("_old")), BLOCK_KEY).where("block_hash <> _old")
+        lost = _off_chain(blocks, known).groupBy("chain_id").agg(F.min("block_number").alias("lost"))
+        fork = replaced.groupBy("chain_id").agg(F.min("block_number").alias("fork"))
+        window = known.groupBy("chain_id").agg(F.min("block_number").alias("low"), F.max("block_number").alias("tip"))
+        for r in fork.join(lost, "chain_id", "full_outer").join(window, "chain_id").collect():  # a row for each chain that forks
+            final = r.tip - reorg.FINALITY.get(r.chain_id, reorg.DEFAULT_FINALITY)
+            ancestor = r.fork - 1 if r.lost is None else max(r.low - 1, final)
+            if ancestor < r.tip:
+                since += [x.t for x in [known.where((F.col("chain_id") == r.chain_id) & (F.col("block_number") > ancestor)).agg(F.min("block_timestamp").alias("t")).first()] if x.t is not None]
+                reorg.rewrite_reorg(spark, tables, r.chain_id, ancestor, r.tip, messages=f"{folder}/reorgs", last="blocks")
+        return since
 
-    def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        numbers, hashes = state.get if state.exists else ([], [])
-        known = dict(zip(numbers, hashes, strict=True))
-        rows = pd.concat(list(frames)).sort_values("block_number")
-        found = []
-        for n, own, parent in zip(rows["block_number"], rows["block_hash"], rows["parent_hash"], strict=True):
-            before = known.get(n - 1)
-            if before is not None and before != parent:
-                found.append((key[0], n, parent, before))
-            for k in [k for k in known if k >= n]:
-                del known[k]
-            known[n] = own
-        kept = sorted(known)[-depth:]
-        state.update((kept, [known[k] for k in kept]))
-        yield pd.DataFrame(found, columns=["chain_id", "block_number", "parent_hash", "stored_hash"])
-
-    return blocks.select("chain_id", "block_number", "block_hash", "parent_hash").groupBy("chain_id").applyInPandasWithState(check, REORG, WINDOW_STATE, "append", GroupStateTimeout.NoTimeout)
+    def batch(rows: DataFrame, _id: int) -> None:
+        spark = rows.sparkSession
+        rows = _one_of_each(rows).persist()
+        try:
+            first = rows.agg(F.min("block_timestamp").alias("t")).first()
+            if first.t is None:
+                return
+            blocks = rows.drop("logs")
+            logs = rows.select(*BLOCK_KEY, F.col("block_hash").alias("_head"), "block_timestamp", F.explode("logs").alias("l")).select(*BLOCK_KEY, "_head", "block_timestamp", "l.*")
+            wrong = F.coalesce((F.col("block_hash") != "") & (F.col("_head") != "") & (F.col("block_hash") != F.col("_head")), F.lit(False))
+            store.insert_new(logs.where(wrong).drop("_head"), f"{folder}/rejected", [*EVENT_KEY, "block_hash"])
+            logs = logs.where(~wrong).drop("_head").withColumn("address", F.lower("address")).select(*EVENT_KEY, "block_hash", "block_timestamp", "tx_hash", "address", "topic0", "topic1", "topic2", "topic3", "data")
+            since = repair(spark, blocks, store.of_buckets_from(spark, blocks, tables["blocks"], depth))
+            store.insert_new(logs, tables["raw_events"], EVENT_KEY)
+            made = {}
+            for d in registry:
+                table = decode.event_table(logs, registry, d.contract, d.name)
+                made[d.table] = table.where(condition(rules, d.contract, d.name, table.columns))
+                store.insert_new(made[d.table], tables[d.table], EVENT_KEY)
+            _follow_children(logs, folder, factories, factory.child_signatures(registry, factories))
+            store.insert_new(blocks, tables["blocks"], BLOCK_KEY)
+            raw = spark.read.parquet(tables["raw_events"]) if store.exists(spark, tables["raw_events"]) else None
+            if raw is not None:
+                rollup.refresh_stored(spark, raw, f"{folder}/rollup{INTERVALS[interval][1]}", interval, min([first.t, *since]), blocks=spark.read.parquet(tables["blocks"]))
+            if sinks:
+                sinks(made)
+        finally:
+            rows.unpersist()
+
+    return _started(stream, batch, checkpoint, trigger or {"availableNow": True})
 
 
 CHILD_KEY = ["chain_id", "child_address"]
 
 
+def _follow_children(rows: DataFrame, folder: str, factories: list[factory.Factory], signatures: list[str]) -> None:
+    """Bring factory_children and child_events up to date with logs that raw_events has taken in already.
+
+    New children get their events of earlier batches from raw_events, of which only the buckets from the oldest
+    creation on are read, and nothing where there are none. The children are stored last: a replay finds them new
+    again until their events are in.
+    """
+    spark = rows.sparkSession
+    found = factory.dedup_children(factory.discover_children(rows, factories))
+    as_stored = found.withColumn("block_number", F.col("created_at_block"))
+    known = store.read(spark, f"{folder}/factory_children", with_bucket(as_stored))
+    new = store.new_rows(as_stored, known, CHILD_KEY).persist()
+    try:
+        events = factory.child_events(rows, known.select(*as_stored.columns), signatures)
+        oldest = new.agg(F.min("created_at_block")).first()[0]
+        if oldest is not None:
+            raw = store.read(spark, f"{folder}/raw_events", with_bucket(rows)).where(F.col("block_bucket") >= oldest // BUCKET)
+            events = events.unionByName(factory.child_events(raw.select(*rows.columns), new, signatures))
+        store.insert_new(events, f"{folder}/child_events", EVENT_KEY)
+        if oldest is not None:
+            store.append(new, f"{folder}/factory_children")
+    finally:
+        new.unpersist()
+
+
 def stream_children(stream: DataFrame, folder: str, factories: list[factory.Factory], registry: list[Definition], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keep raw_events, factory_children and child_events under `folder` up to date.
 
@@ -108,20 +212,10 @@ def stream_children(stream: DataFrame, folder: str, factories: list[factory.Fact
     signatures = factory.child_signatures(registry, factories)
 
     def batch(rows: DataFrame, _id: int) -> None:
-        spark = rows.sparkSession
         rows = rows.persist()
         try:
             store.insert_new(rows, f"{folder}/raw_events", EVENT_KEY)
-            found = factory.dedup_children(factory.discover_children(rows, factories))
-            as_stored = found.withColumn("block_number", F.col("created_at_block"))
-            known = store.read(spark, f"{folder}/factory_children", with_bucket(as_stored))
-            new = store.new_rows(as_stored, known, CHILD_KEY).persist()
-            raw = store.read(spark, f"{folder}/raw_events", with_bucket(rows)).select(*rows.columns)
-            backfill = factory.child_events(raw, new, signatures)
-            current = factory.child_events(rows, known.select(*as_stored.columns), signatures)
-            store.insert_new(backfill.unionByName(current), f"{folder}/child_events", EVENT_KEY)
-            store.append(new, f"{folder}/factory_children")  # last: a replay finds the children new again until their events are in
-            new.unpersist()
+            _follow_children(rows, folder, factories, signatures)
         finally:
             rows.unpersist()
 
