@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlake.llm import shared
-from chainlake.llm.words import Words, runs, words
+from chainlake.llm.words import Words, mix, runs, words
 
 WINDOW = 13
 #: Windows that a task sorts at a time.
@@ -37,8 +37,11 @@ PRINT_BITS = 56
 COMPARED = 1 << 15
 #: Batches, in ascending order of doc_id, that one call over a whole table is cut into, and the runs after which they are compacted.
 BATCHES, COMPACT_AT = 3, 2
-#: kind 0: fingerprints and first documents of a run; 1: windows of doc_id that a smaller document starts; 2: windows of doc_id that larger ones repeat.
-RUN_SCHEMA = "bucket int, kind int, doc_id long, prints binary, docs binary"
+#: Characters of all texts to each group of fingerprints, about.
+GROUP = 4_000_000
+#: kind 0: fingerprints and first documents of a run; 1: windows of docs that smaller documents start; 2: windows of docs that larger
+#: ones repeat. The latter two are dealt by document: part.
+RUN_SCHEMA = "bucket int, kind int, part int, prints binary, docs binary"
 _RUN, _REPEAT, _OWNER = 0, 1, 2
 
 
@@ -72,38 +75,56 @@ def _first_of(prints: np.ndarray, docs: np.ndarray):
     return order, at, np.minimum.reduceat(docs[order], at) if len(at) else docs[:0]
 
 
-def _by_doc(docs: np.ndarray, prints: np.ndarray, kind: int, bucket: int | None, bits: int) -> list[tuple]:
-    """A row for each document with its fingerprints."""
-    if not len(docs):
-        return []
-    by = np.argsort(docs, kind="stable")
-    docs, prints = docs[by], prints[by]
-    cut = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-    return [(int(d) & ((1 << bits) - 1) if bucket is None else bucket, kind, int(d), np.unique(p).tobytes(), None) for d, p in zip(docs[cut], np.split(prints, cut[1:]), strict=True)]
+def _by_part(docs: np.ndarray, prints: np.ndarray, kind: int, bucket: int | None, parts: int) -> list[tuple]:
+    """A row for each part of the documents with their fingerprints. Without a bucket, rows are spread over some."""
+    part = (mix(docs.view(np.uint64)) & np.uint64(parts - 1)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    part, docs, prints = part[by], docs[by], prints[by]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    split = lambda x: np.split(x, cut[1:]) if len(cut) else []
+    return [(int(k) if bucket is None else bucket, kind, int(k), p.tobytes(), d.tobytes()) for k, p, d in zip(part[cut], split(prints), split(docs), strict=True)]
 
 
-def _merged(prints: np.ndarray, docs: np.ndarray, bucket: int | None, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+def _merged(prints: np.ndarray, docs: np.ndarray, bucket: int | None, parts: int) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
     """Distinct fingerprints in order, their smallest documents, and rows for the repeats and their owners."""
     order, at, first = _first_of(prints, docs)
     owner = np.repeat(first, np.diff(np.append(at, len(order))))
     p, d = prints[order], docs[order]
     again = d > owner
-    rows = _by_doc(d[again], p[again], _REPEAT, bucket, bits) + _by_doc(owner[again], p[again], _OWNER, bucket, bits)
+    rows = _by_part(d[again], p[again], _REPEAT, bucket, parts) + _by_part(owner[again], p[again], _OWNER, bucket, parts)
     return p[at], first, rows
 
 
+def _by_doc(table: pa.Table) -> pa.Table:
+    """Rows of a part to (doc_id, kind, prints), one for each document and kind."""
+    out: list[tuple] = []
+    kinds = np.array(table.column("kind"))
+    for kind in (_REPEAT, _OWNER):
+        own = table.filter(pa.array(kinds == kind))
+        docs, prints = (np.frombuffer(b"".join(own.column(c).to_pylist()), t) for c, t in (("docs", np.int64), ("prints", np.uint64)))
+        if len(docs):
+            by = np.lexsort((prints, docs))
+            docs, prints = docs[by], prints[by]
+            new = np.r_[True, (docs[1:] != docs[:-1]) | (prints[1:] != prints[:-1])]
+            docs, prints = docs[new], prints[new]
+            cut = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+            out += [(int(d), kind, p.tobytes()) for d, p in zip(docs[cut], np.split(prints, cut[1:]), strict=True)]
+    columns = list(zip(*out, strict=True)) or [()] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "kind", "prints"])
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "kind", "doc_id", "prints", "docs"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "kind", "part", "prints", "docs"])
 
 
-def _to_blocks(bits: int, window: int):
+def _to_blocks(bits: int, window: int, n_parts: int):
     """Texts to rows of RUN_SCHEMA: sorted blocks by bucket, and what repeats within the texts at hand."""
 
     def flush(parts: list) -> pa.RecordBatch:
         prints, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        p, first, rows = _merged(prints, docs, None, bits)
+        p, first, rows = _merged(prints, docs, None, n_parts)
         edges = np.searchsorted(p, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(PRINT_BITS - bits)) if bits else []
         rows += [_block(k, x, y) for k, (x, y) in enumerate(zip(np.split(p, edges), np.split(first, edges), strict=True)) if len(x)]
         return _batch(rows)
@@ -138,21 +159,21 @@ def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(p), np.concatenate(d)
 
 
-def _to_run(bits: int):
+def _to_run(parts: int):
     def run(table: pa.Table) -> pa.Table:
         """A bucket's blocks of one batch, or of several runs, as one block; rows on documents stay and are added to."""
         bucket = table.column("bucket")[0].as_py()
         kinds = np.array(table.column("kind"))
-        p, first, rows = _merged(*_blocks(table), bucket, bits)
-        known = table.filter(pa.array(kinds != _RUN)).select(["bucket", "kind", "doc_id", "prints", "docs"])
+        p, first, rows = _merged(*_blocks(table), bucket, parts)
+        known = table.filter(pa.array(kinds != _RUN)).select(["bucket", "kind", "part", "prints", "docs"])
         made = pa.Table.from_batches([_batch(rows + ([_block(bucket, p, first)] if len(p) else []))])
         return pa.concat_tables([known.cast(made.schema), made])
 
     return run
 
 
-def _two_runs(bits: int):
-    to_run = _to_run(bits)
+def _two_runs(parts: int):
+    to_run = _to_run(parts)
 
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
         return to_run(pa.concat_tables([one, two]))
@@ -160,13 +181,13 @@ def _two_runs(bits: int):
     return run
 
 
-def _merge_join(bits: int):
+def _merge_join(parts: int):
     def run(old: pa.Table, new: pa.Table) -> pa.Table:
         """Merge join of a bucket of an older run and of the new one: the new documents' repeats, and the older ones that own them."""
         (p, d), (q, e) = _blocks(old), _blocks(new)
         at = np.minimum(np.searchsorted(p, q), max(len(p) - 1, 0))
         hit = p[at] == q if len(p) else np.zeros(len(q), bool)
-        return pa.Table.from_batches([_batch(_by_doc(e[hit], q[hit], _REPEAT, 0, bits) + _by_doc(d[at[hit]], q[hit], _OWNER, 0, bits))])
+        return pa.Table.from_batches([_batch(_by_part(e[hit], q[hit], _REPEAT, 0, parts) + _by_part(d[at[hit]], q[hit], _OWNER, 0, parts))])
 
     return run
 
@@ -294,21 +315,22 @@ class SubstringIndex:
 
     Batches must come in ascending order of doc_id for `ingest` to give what one call over all
     documents gives. bits: fingerprints are dealt into 2 ** bits groups, which meet in memory, eight to
-    a file; the same for the index's whole life. `bits_for` suggests it from the number of input
-    partitions, so that a group stays a few MB.
+    a file; the same for the index's whole life. `bits_for` suggests it from the length of all texts, so
+    that a group stays a few MB.
     """
 
     def __init__(self, bits: int, window: int = WINDOW, most_runs: int = 8, folder: str | None = None):
         self.bits, self.window, self.most_runs, self.folder = bits, window, most_runs, folder
         self.files = max(bits - 3, 0)
+        self.parts = 1 << self.files
         self.runs: list[Stored] = []
         self.texts: list[Stored] = []
         self.clashes: list[str] = []
         self._version = 0
 
     @staticmethod
-    def bits_for(docs: DataFrame) -> int:
-        return max(3, (8 * docs.rdd.getNumPartitions() - 1).bit_length())
+    def bits_for(characters: int) -> int:
+        return max(3, (characters // GROUP).bit_length())
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> SubstringIndex:
@@ -346,13 +368,13 @@ class SubstringIndex:
         self._settings(spark)
         self.folder = self.folder or f"{shared.folder(spark)}/chainlake-index-{uuid.uuid4().hex}"
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        log = Stored.write(docs.repartition(1 << self.files, "doc_id"), self.folder, "texts", TEXT_SCHEMA, "doc_id", self.files)
-        blocks = log.rows.where("doc_id is not null").mapInArrow(_to_blocks(self.bits, self.window), RUN_SCHEMA)
-        new = Stored.write(blocks.repartition(1 << self.files, "bucket").groupBy("bucket").applyInArrow(_to_run(self.bits), RUN_SCHEMA), self.folder, "run", RUN_SCHEMA, "bucket", self.files)
+        log = Stored.write(docs.repartition(self.parts, "doc_id"), self.folder, "texts", TEXT_SCHEMA, "doc_id", self.files)
+        blocks = log.rows.where("doc_id is not null").mapInArrow(_to_blocks(self.bits, self.window, self.parts), RUN_SCHEMA)
+        new = Stored.write(blocks.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(_to_run(self.parts), RUN_SCHEMA), self.folder, "run", RUN_SCHEMA, "bucket", self.files)
         by_bucket = lambda run: run.rows.where("kind = 0").groupBy("bucket")
-        joined = [by_bucket(old).cogroup(by_bucket(new)).applyInArrow(_merge_join(self.bits), RUN_SCHEMA) for old in self.runs]
-        held = _union([new.rows.where("kind > 0"), *joined]).select("doc_id", "kind", "prints")
-        held = Stored.write(held.repartition(1 << self.files, "doc_id"), self.folder, "held", HELD_SCHEMA, "doc_id", self.files)
+        joined = [by_bucket(old).cogroup(by_bucket(new)).applyInArrow(_merge_join(self.parts), RUN_SCHEMA) for old in self.runs]
+        held = _union([new.rows.where("kind > 0"), *joined]).repartition(self.parts, "part").groupBy("part").applyInArrow(_by_doc, HELD_SCHEMA)
+        held = Stored.write(held.repartition(self.parts, "doc_id"), self.folder, "held", HELD_SCHEMA, "doc_id", self.files)
         repeats = self._verified(held.rows, [t.rows for t in self.texts] + [log.rows])
         out = log.rows.join(repeats.hint("shuffle_hash"), log.rows.doc_id == F.col("_id"), "left").select("doc_id", "text", "prints", "but", "exact").mapInArrow(_digest(self.window), "doc_id long, n_words long, n_removed long, kept_text string")
         if keep:
@@ -400,7 +422,7 @@ class SubstringIndex:
         spark, old = self.runs[0].rows.sparkSession, self.runs
         merged = old[0].rows.where("kind = 0")
         for run in old[1:]:
-            merged = merged.groupBy("bucket").cogroup(run.rows.where("kind = 0").groupBy("bucket")).applyInArrow(_two_runs(self.bits), RUN_SCHEMA).where("kind = 0")
+            merged = merged.groupBy("bucket").cogroup(run.rows.where("kind = 0").groupBy("bucket")).applyInArrow(_two_runs(self.parts), RUN_SCHEMA).where("kind = 0")
         self.runs = [Stored.write(merged, self.folder, "run", RUN_SCHEMA, "bucket", self.files)]
         self._publish(spark)
         for run in old:
@@ -414,9 +436,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
     first batch. An empty table gives an empty table; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)]).alias("c")).first().c if batches > 1 else []
-    cuts = sorted(set(cuts or []))
-    index = SubstringIndex(SubstringIndex.bits_for(docs), window)
+    known = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, max(batches, 2))]).alias("cuts"), F.sum(F.length("text")).alias("characters")).first()
+    cuts = sorted(set(known.cuts or [])) if batches > 1 else []
+    index = SubstringIndex(SubstringIndex.bits_for(known.characters or 0), window)
     out = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         id_ = F.col("doc_id")

@@ -89,5 +89,5 @@ def test_older_runs_are_not_shuffled(spark):
     index = SubstringIndex(3)
     index.ingest(frame(spark, rows[:30]))
     a, b = index.runs[0], index.runs[0]
-    joined = a.rows.groupBy("bucket").cogroup(b.rows.groupBy("bucket")).applyInArrow(lambda x, y: x, "bucket int, kind int, doc_id long, prints binary, docs binary")
+    joined = a.rows.groupBy("bucket").cogroup(b.rows.groupBy("bucket")).applyInArrow(lambda x, y: x, a.rows.schema)
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
