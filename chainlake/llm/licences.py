@@ -2,10 +2,13 @@
 
 A paragraph is a line, or the fewest consecutive lines around it that together hold a template (wrapped
 notices). It is described by its word 1- and 2-grams. Sparse logistic regression over
-hashed grams tells licence families and an unknown class apart; a second, one-dimensional
-regression on held-back paragraphs calibrates the probability that a paragraph is a known licence at all. A family counts
-only if the paragraph also holds most grams of one of that family's templates with its telling words, so
-lines that lack every anchor word of the templates need no joining.
+hashed grams tells licence families and an unknown class apart. It learns families from variations of
+their notices (words left out, others put in front and behind), and the unknown class from sentences and from
+the corpus's own paragraphs that are far from every template, so its labels don't come from the rule that
+confirms predictions. A second, one-dimensional regression on held-back rows of both kinds calibrates the
+probability that a paragraph is a known licence at all. A family counts only if the paragraph also holds
+most grams of one of that family's templates with its telling words, so lines that lack every anchor word
+of the templates need no joining.
 """
 
 from __future__ import annotations
@@ -18,21 +21,23 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import stored
+from chainlake.llm.shared import least_by_hash, stored
 
 #: Notices by family. Families are classes; a family's notices are its templates.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "You may not use this file except in compliance with the Apache License"],
+    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "You may not use this file except in compliance with the Apache License", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "LGPL": ["Licensed under the GNU Lesser General Public License", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3", "modify it under the terms of the GNU Affero General Public License"],
-    "BSD": ["Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD": ["Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC0": ["Released under CC0 1.0 Universal", "dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication license"],
+    "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "Unlicense": ["Released under the Unlicense", "This is free and unencumbered software released into the public domain"],
     "proprietary": ["Copyright, all rights reserved", "No part of this publication may be reproduced without the prior written permission of the copyright owner"],
 }
 #: Sentences on licences that name none (fixed values).
@@ -41,7 +46,7 @@ UNKNOWN = [
     "Released under the old name", "Permission to enter was not granted", "He was licensed to practise in the county", "The public domain of the region", "Redistribution of wealth and use of land",
 ]
 #: Words that a template's paragraph must hold if the template does, and words that speak against a family (fixed values).
-TELLING = "mit apache gnu lesser affero bsd mozilla cc cc0 nc sa noncommercial sharealike".split()
+TELLING = "mit isc unlicense unencumbered apache gnu lesser affero bsd mozilla cc cc0 nc sa noncommercial sharealike".split()
 FOREIGN = {"GPL-3.0": "affero lesser library".split(), "CC-BY": "nc sa nd noncommercial sharealike noderivatives noderivs".split()}
 #: Lines that speak of licences; they count as cues whether or not they hold a template.
 CUES = r"(?i)licen[cs]e|copyright|permission is hereby|redistribut|cc0|public domain|reproduced without"
@@ -53,8 +58,12 @@ AROUND, NEAREST = 6, 1_000
 FEATURES = 1 << 12
 #: The most distinct cue paragraphs, and the most other paragraphs, that the classifier is fitted on, by hash order.
 MAX_CUE, MAX_OTHER, OTHER_DOCS = 20_000, 5_000, 1_000
-#: Held-back paragraphs of either side without which the classifier's own odds stand; the sides weigh alike.
-LEAST_HELD_BACK = 10
+#: Variations of each notice that the classifier learns from; every fourth calibrates. In each about a LEFT_OUT-th of the words is missing.
+VARIATIONS, LEFT_OUT = 40, 8
+#: Paragraphs of the corpus that hold less than this share of every template are of the unknown class; others that aren't sure stay out of the fit.
+FAR = 0.5
+#: Words that may stand around a notice (fixed values).
+AROUND_WORDS = "file code project copy text page note see also here our all rights contact author version date 2024 http www com".split()
 FAMILIES = list(TEMPLATES)
 _COMMON = set("the of and to in a is are with that any this under by be for or it not no may as an all on from use you modify work terms form source following without part".split())
 
@@ -84,12 +93,25 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.class", "r.paragraph")
 
 
-def _held(grams: Column, known: dict[int, list[list[str]]]) -> Column:
-    """Of each class from 1, the largest share of a template's grams that `grams` holds, 0 without its telling words."""
+def _variations(templates: DataFrame) -> DataFrame:
+    """(class, paragraph, back): each template many times, with words left out, and others before and after."""
+    words = F.split("paragraph", " ")
+    draw = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n))
+    some = lambda seed: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(F.array(*map(F.lit, AROUND_WORDS)), (draw(len(AROUND_WORDS), F.col("paragraph"), F.col("v"), i, F.lit(seed)) + 1).cast("int")))
+    many = templates.select("class", "paragraph", F.explode(F.sequence(F.lit(0), F.lit(VARIATIONS - 1))).alias("v"))
+    kept = F.filter(words, lambda w, i: (F.col("v") == 0) | (draw(LEFT_OUT, F.col("paragraph"), F.col("v"), i) > 0))
+    before, after = (F.when(draw(2, F.col("paragraph"), F.col("v"), F.lit(k)) == 0, some(k)).otherwise(F.array().cast("array<string>")) for k in (1, 2))
+    return many.select("class", F.array_join(F.concat(before, kept, after), " ").alias("paragraph"), (F.col("v") % 4 == 3).alias("back"))
+
+
+def _held(grams: Column, known: dict[int, list[list[str]]], telling: bool = True) -> Column:
+    """Of each class from 1, the largest share of a template's grams that `grams` holds; with `telling`, 0 without its telling words."""
     share = lambda t: F.size(F.array_intersect(grams, F.array(*map(F.lit, t)))) / F.lit(float(len(t)))
 
     def told(k: int, t: list[str]) -> Column:
         held = share(t)
+        if not telling:
+            return held
         if tell := [w for w in TELLING if w in t]:
             held = F.when(F.size(F.array_intersect(grams, F.array(*map(F.lit, tell)))) == len(tell), held).otherwise(F.lit(0.0))
         if against := FOREIGN.get(FAMILIES[k - 1]):
@@ -159,16 +181,14 @@ class LicenceModel:
 
 
 def fit(spark: SparkSession, cues: DataFrame, others: DataFrame) -> LicenceModel:
-    """From templates, paragraphs with cues (labelled by the template they hold, or unknown) and others (unknown)."""
-    templates = _templates(spark).withColumn("grams", _grams(F.col("paragraph")))
-    known = _known(templates)
-    cues = cues.select("paragraph").distinct().orderBy(F.xxhash64("paragraph"), "paragraph").limit(MAX_CUE).withColumn("grams", _grams(F.col("paragraph")))
-    shares = _held(F.col("grams"), known)
-    named = F.when(F.array_max(shares) >= CONFIRM, F.array_position(shares, F.array_max(shares))).otherwise(F.lit(0)).cast("int")
-    others = others.select("paragraph").withColumn("grams", _grams(F.col("paragraph"))).withColumn("class", F.lit(0))
-    rows = cues.withColumn("class", named).select("class", "paragraph", "grams").unionByName(others.select("class", "paragraph", "grams"))
-    back = F.pmod(F.xxhash64("paragraph", F.lit(3)), F.lit(4)) == 0
-    rows = rows.withColumn("back", back).unionByName(templates.select("class", "paragraph", "grams").withColumn("back", F.lit(False)))
+    """From variations of the templates, and paragraphs with cues that are far from every template, and others (both unknown)."""
+    templates = _templates(spark)
+    known = _known(templates.withColumn("grams", _grams(F.col("paragraph"))))
+    cues = least_by_hash(cues.select("paragraph").distinct(), "paragraph", MAX_CUE).withColumn("grams", _grams(F.col("paragraph")))
+    far = cues.where(F.array_max(_held(F.col("grams"), known, False)) < FAR).select("paragraph", "grams")
+    unknown = far.unionByName(others.select("paragraph").withColumn("grams", _grams(F.col("paragraph"))))
+    unknown = unknown.select(F.lit(0).alias("class"), "grams", (F.pmod(F.xxhash64("paragraph", F.lit(3)), F.lit(4)) == 0).alias("back"))
+    rows = unknown.unionByName(_variations(templates).select("class", _grams(F.col("paragraph")).alias("grams"), "back"))
     rows = stored(rows.withColumn("label", F.col("class").cast("double")).select("label", "grams", "back").coalesce(4), "paragraphs")
     counts = {r.label: r["count"] for r in rows.where("not back").groupBy("label").count().collect()}  # a row for each class
     weight = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, sum(counts.values()) / len(counts) / n)]), F.col("label"))  # classes weigh alike
@@ -177,11 +197,10 @@ def fit(spark: SparkSession, cues: DataFrame, others: DataFrame) -> LicenceModel
     classifier.setFeaturesCol("hashed")
     model = LicenceModel(classifier, (1.0, 0.0), known)
     held_back = model._margins(rows.where("back")).select((F.col("label") > 0).cast("double").alias("label"), array_to_vector(F.array("margin")).alias("features"))
-    sides = {r.label: r["count"] for r in held_back.groupBy("label").count().collect()}
-    if len(sides) == 2 and min(sides.values()) >= LEAST_HELD_BACK:
-        even = held_back.withColumn("weight", F.when(F.col("label") == 1, F.lit(1 / sides[1.0])).otherwise(F.lit(1 / sides[0.0])) * max(sides.values()))
-        line = LogisticRegression(maxIter=50, regParam=1e-3, weightCol="weight").fit(even)
-        model.calibration = (float(line.coefficients[0]), float(line.intercept))
+    sides = {r.label: r["count"] for r in held_back.groupBy("label").count().collect()}  # both: variations of notices and of sentences are always there
+    even = held_back.withColumn("weight", F.when(F.col("label") == 1, F.lit(1 / sides[1.0])).otherwise(F.lit(1 / sides[0.0])) * max(sides.values()))
+    line = LogisticRegression(maxIter=50, regParam=1e-3, weightCol="weight").fit(even)
+    model.calibration = (float(line.coefficients[0]), float(line.intercept))
     return model
 
 
@@ -197,9 +216,10 @@ def licence_scan(docs: DataFrame, id_column: str = "doc_id", column: str = "text
     known = _known(_templates(spark).withColumn("grams", _grams(F.col("paragraph"))))
     split = stored(paragraphs(docs, known, id_column, column), "cues")
     cues = split.where(F.size("cues") > 0).select("_id", F.explode("cues").alias("paragraph"))
-    some = docs.select(F.col(id_column).alias("_id"), F.col(column).alias("_text")).orderBy(F.xxhash64("_id", F.lit(5))).limit(OTHER_DOCS)
-    others = some.select(F.explode(F.split("_text", "\n")).alias("paragraph")).where(f"paragraph rlike '[a-zA-Z]' and not paragraph rlike '{CUES}'").limit(MAX_OTHER)
-    model = fit(spark, cues, others)
+    ids = F.broadcast(least_by_hash(docs.select(F.col(id_column).alias("_id")).where("_id is not null").distinct(), "_id", OTHER_DOCS))
+    some = docs.select(F.col(id_column).alias("_id"), F.col(column).alias("_text")).join(ids, "_id", "left_semi")
+    others = stored(some.select(F.explode(F.split("_text", "\n")).alias("paragraph")).where(f"paragraph rlike '[a-zA-Z]' and not paragraph rlike '{CUES}'").distinct(), "others")
+    model = fit(spark, cues, least_by_hash(others, "paragraph", MAX_OTHER))
     scored = model.predict(cues.withColumn("grams", _grams(F.col("paragraph"))))
     sure = (F.col("chance") >= 0.5) & (F.col("held") >= CONFIRM)
     name = F.when(sure, F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("class")))

@@ -59,3 +59,24 @@ def test_every_gram_set_that_confirms_holds_an_anchor():
         words = re.findall(r"[^\W_]+(?:[.]\d+)*", t.lower())
         grams = {(w,) for w in words} | set(zip(words, words[1:]))
         assert sum(not chosen & set(g) for g in grams) < x.CONFIRM * len(grams)
+
+
+def test_standard_notices_and_held_out_wording(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {0}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    texts = {
+        "GPL-3.0": [gnu.format(""), "Code here is licensed under the GNU General Public License, version 3 only, as said."],
+        "LGPL": [gnu.format("Lesser "), "All of it is licensed under the GNU Lesser General Public License by the authors"],
+        "AGPL-3.0": [gnu.format("Affero "), "Licensed as a whole under the GNU Affero General Public License, version 3 or later"],
+        "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin the Software without restriction", "It was released by us under the MIT License"],
+        "Apache-2.0": ["# Licensed under the Apache License, Version 2.0 (the License);\n# you may not use this file except in compliance with the License.", "Everything is licensed under the Apache License, Version 2.0, January 2004"],
+        "BSD": ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"],
+        "ISC": ["Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"],
+        "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    }
+    rows = [(f, t) for f, ts in texts.items() for t in ts]
+    unknown = ["See the licence of the vendor before use.", "Licensed under the rules of the club, all members agree.", "Copyright terms are explained elsewhere in this book.", "She held a driving licence and a public permit."]
+    docs = [(i, f"Some words of the story came first.\n\n{t}\n\nThen others followed it.") for i, t in enumerate([t for _, t in rows] + unknown)]
+    got = {g.doc_id: g for g in x.licence_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(f, tuple(got[i].families)) for i, (f, _) in enumerate(rows) if got[i].families != [f] and f not in ("GPL-3.0",)] == []
+    assert all(got[i].families == ["GPL-3.0"] for i in range(2)), [got[i].families for i in range(2)]
+    assert all(got[len(rows) + k].families == [] and got[len(rows) + k].n_unknown >= 1 for k in range(len(unknown)))
