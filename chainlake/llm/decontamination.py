@@ -2,7 +2,7 @@
 
 Texts and benchmark items become token templates: letters lowered, edge marks dropped, and
 numbers, names and units replaced by typed placeholders. Windows of templates are hash-joined
-with the items' windows. Matches of a text and an item that lie on one diagonal are put together,
+with the items' windows, of which a Bloom filter lets the tasks drop most others before the join. Matches of a text and an item that lie on one diagonal are put together,
 and their slots must agree: what fills one slot value of the item must be one value of the text
 throughout. So a question with other numbers or names is found, while texts that merely share
 a pattern of placeholders aren't.
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainlake.llm.shared import stored
 from chainlake.llm.surrogates import GIVEN
 from chainlake.llm.words import Words, mix, runs, utf8, words
 
@@ -28,8 +29,11 @@ SHORTEST = 5
 COVER = 13
 #: A window matches by its template only if more of its tokens than this share are literal; others match by their own tokens.
 LITERAL = 0.5
-#: Up to so many item windows (8 bytes each) are sent to the tasks to drop other windows before the join; beyond, all windows go into the join.
-FILTER_WINDOWS = 2_000_000
+#: Item windows that the Bloom filter's size follows, at BITS bits each (32 MB at most); with more of them it lets more pass, and the join decides as ever.
+FILTER_WINDOWS = 16_000_000
+BITS, PROBES = 16, 4
+#: Bytes of the filter that are merged at a time.
+PAGE = 4096
 #: Unit words (fixed values).
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -117,16 +121,43 @@ def _templates(offsets: np.ndarray, data: np.ndarray, opening: bool = True) -> t
     return w, own
 
 
-def _windows(lengths: list[int], wanted: dict[int, np.ndarray] | None, opening: bool = True, items: bool = False):
-    """Texts to (id, size, print, place, n_tokens, slots): their windows, all or those with a wanted print.
+_PROBES = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, PROBES, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def _places(h: np.ndarray, probe: int, log_bits: int) -> np.ndarray:
+    return ((h * _PROBES[probe]) >> _U(64 - log_bits)).astype(np.int64)
+
+
+def _bloom(prints: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits, log of their number) of the filter of a column of prints. Tasks send the pages they touch, which are merged page by page."""
+    log_bits = max(15, (BITS * min(prints.count(), FILTER_WINDOWS)).bit_length())
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((1 << log_bits) // 8, np.uint8)
+        for batch in batches:
+            for probe in range(PROBES):
+                at = _places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), probe, log_bits)
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        pages = bits.reshape(-1, PAGE)
+        at = np.flatnonzero(pages.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([pages[i].tobytes() for i in at], pa.binary())], ["page", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        every = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(-1, PAGE)
+        return pa.table([table.column("page")[:1], pa.array([np.bitwise_or.reduce(every, 0).tobytes()], pa.binary())], ["page", "bits"])
+
+    out = np.zeros((1 << log_bits) // 8, np.uint8)
+    for r in prints.mapInArrow(mark, "page int, bits binary").groupBy("page").applyInArrow(merge, "page int, bits binary").collect():  # at most the filter's pages
+        out[r.page * PAGE : (r.page + 1) * PAGE] = np.frombuffer(r.bits, np.uint8)
+    return out, log_bits
+
+
+def _windows(lengths: list[int], sieve: tuple | None, opening: bool = True, items: bool = False):
+    """Texts to (id, size, print, place, n_tokens, slots): their windows, all or those that the sieve (broadcast bits, log of their number) lets pass.
 
     Windows of few literals are there by their own tokens, all of which are then slots. Of texts all windows
     are there so as well, as it depends on a text's sentences what passes for a name.
     """
-    sieves = {}
-    for n in lengths if wanted is not None else []:
-        sieves[n] = np.zeros(1 << 20, bool)
-        sieves[n][(wanted[n] >> _U(44)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,10 +171,9 @@ def _windows(lengths: list[int], wanted: dict[int, np.ndarray] | None, opening:
                 for n, exact in ((n, exact) for n in lengths for exact in (False, True)):
                     at, h = (whole if exact else w).windows(n)
                     h = h ^ _OWN if exact else h
-                    if wanted is not None:
-                        look = sieves[n][(h >> _U(44)).astype(np.int64)]
-                        at, h = at[look], h[look]
-                        look = np.isin(h, wanted[n])
+                    for probe in range(PROBES) if sieve else ():
+                        bit = _places(h, probe, sieve[1])
+                        look = (sieve[0].value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
                         at, h = at[look], h[look]
                     if items or not exact:
                         literal = total[at + n] - total[at] < n * (1 - LITERAL)
@@ -182,14 +212,14 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", column
     # an item may stand within a sentence of a text: its first token then passes for a name
     both = [items.mapInArrow(_windows(lengths, None, opening, True), of(items, "_item")) for opening in (True, False)]
     wanted_rows = both[0].union(both[1]).distinct().where((F.col("size") == F.least("n_tokens", F.lit(WINDOW)))).select(F.col("id").alias("item_id"), "size", "print", F.col("place").alias("item_place"), F.col("n_tokens").alias("n_item_tokens"), F.col("slots").alias("item_slots"))
+    wanted_rows = stored(wanted_rows, "items")
     sizes = {r["size"]: r["count"] for r in wanted_rows.groupBy("size").count().collect()}  # at most WINDOW rows
     lengths = sorted(sizes) or [WINDOW]
-    wanted = None
-    if sum(sizes.values()) <= FILTER_WINDOWS:
-        rows = wanted_rows.select("size", "print").distinct().toPandas()  # at most FILTER_WINDOWS
-        wanted = {n: np.sort(rows.loc[rows["size"] == n, "print"].to_numpy(np.int64).view(np.uint64)) for n in lengths}
-    found = docs.mapInArrow(_windows(lengths, wanted), of(docs, "_id")).drop("n_tokens")
-    hits = found.join(wanted_rows, ["size", "print"]).withColumn("shift", F.col("place") - F.col("item_place"))
+    bits, log_bits = _bloom(wanted_rows.select("print"))
+    found = docs.mapInArrow(_windows(lengths, (docs.sparkSession.sparkContext.broadcast(bits), log_bits)), of(docs, "_id")).drop("n_tokens")
+    # a window that many items share meets the texts' once
+    folded = wanted_rows.groupBy("size", "print").agg(F.collect_list(F.struct("item_id", "item_place", "n_item_tokens", "item_slots")).alias("of"))
+    hits = found.join(folded, ["size", "print"]).select("id", "size", "place", "slots", F.explode("of").alias("i")).select("id", "size", "place", "slots", "i.*").withColumn("shift", F.col("place") - F.col("item_place"))
     pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     diagonal = hits.groupBy("id", "item_id", "shift").agg(
         F.max("n_item_tokens").alias("n_item_tokens"),

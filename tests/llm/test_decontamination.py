@@ -59,3 +59,88 @@ def test_items_of_many_slots_match_by_their_own_tokens(spark, monkeypatch):
     assert not any(g.reworded for g in got.values())
     monkeypatch.setattr(decontamination, "FILTER_WINDOWS", 0)
     assert run(spark, docs, items) == got
+
+
+def tokens(text, opening):
+    """(own, template) of each token, in plain Python."""
+    import string
+
+    from chainlake.llm import decontamination as x
+    from chainlake.llm.surrogates import GIVEN
+
+    names = {n.lower() for group in GIVEN.values() for n in group}
+    solid = lambda c: c not in string.punctuation.replace("$", "").replace("%", "") and not c.isspace()
+    kept = [(i, c) for i, c in enumerate(text) if solid(c) or c.isspace() or 0 < i < len(text) - 1 and solid(text[i - 1]) and solid(text[i + 1])]
+    words, now = [], []
+    for i, c in [*kept, (len(text), " ")]:
+        if c.isspace():
+            words += [now] if now else []
+            now = []
+        else:
+            now.append((i, c))
+    out, last, before = [], 0, False
+    for k, word in enumerate(words):
+        raw = "".join(c for _, c in word)
+        own = raw.lower()
+        opens = opening if k == 0 else any(c in "!.:?\n" for c in text[last : word[0][0]])
+        number = any(c.isdigit() for c in raw) and all(c.isdigit() or c in string.punctuation for c in raw)
+        title = raw[0] in string.ascii_uppercase and len(raw) > 1 and raw[1] in string.ascii_lowercase
+        unit = own in x.UNITS and (before and not opens or len(raw) > 3)
+        out.append((own, "#number" if number else "#unit" if unit else "#name" if title and not opens or own in names else own))
+        last, before = word[-1][0] + 1, number
+    return out
+
+
+def plain(docs, items):
+    """{doc: items that contaminate it}, every window of every pair compared."""
+    from itertools import product
+
+    def windows(text, opening, sizes, item):
+        t = tokens(text, opening)
+        for n in sizes:
+            for i in range(len(t) - n + 1):
+                w = t[i : i + n]
+                slots = [k for k in range(n) if w[k][1].startswith("#")]
+                literal = len(slots) < n / 2
+                if literal:
+                    yield n, i, ("t", *(b for _, b in w)), tuple(w[k][0] for k in slots)
+                if not literal or not item:
+                    yield n, i, ("o", *(a for a, _ in w)), tuple(a for a, _ in w)
+
+    found = {}
+    for (d, text), (i, item) in product(docs, items):
+        n_item = len(tokens(item or "", True))
+        if n_item < 5:
+            continue
+        size = min(n_item, 10)
+        mine = {w for opening in (True, False) for w in windows(item, opening, [size], True)}
+        diagonals = {}
+        for (n, a, key, slots), (_, b, other, have) in product(mine, windows(text or "", True, [size], False)):
+            if key == other:
+                places, pairs = diagonals.setdefault(b - a, (set(), set()))
+                places |= set(range(a, a + n))
+                pairs |= set(zip(slots, have, strict=True))
+        if any(len({p for p, _ in pairs}) == len(pairs) and len(places) >= min(13, n_item) for places, pairs in diagonals.values()):
+            found.setdefault(d, set()).add(i)
+    return found
+
+
+def test_equals_plain_comparison(spark):
+    r = random.Random(7)
+    words = ["bread", "water", "the", "coins", "many", "sold", "left", "every", "green", "slowly", "were", "bags"]
+    word = lambda: r.choice([*words, *words, str(r.randint(1, 60)), r.choice(["Mary", "Peter", "Quentin"]), r.choice(["kg", "dollars", "minutes"])])
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + r.choice([".", "?", "!", ""])
+    items = [(i, sentence(r.choice([4, 6, 9, 12, 20, 30]))) for i in range(14)] + [(50, None), (51, "")]
+    docs = []
+    for d in range(90):
+        i, text = r.choice(items[:14])
+        part = text.split()
+        if d % 3 == 1:
+            swap = {str(n): str(n + 100) for n in range(61)} | {"Mary": "Peter", "Peter": "Mary", "kg": "minutes"}
+            part = [swap.get(w, w) for w in part]
+        if d % 3 == 2 and len(part) > 6:
+            part[r.randrange(len(part))] = word()
+        docs.append((d, f"{sentence(r.randint(0, 12))} {' '.join(part)} {sentence(r.randint(0, 12))}"))
+    want = plain(docs, items)
+    got = {d: set(g.item_ids) for d, g in run(spark, docs, items).items() if g.contaminated}
+    assert got == want and 20 < len(want) < 80
