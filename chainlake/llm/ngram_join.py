@@ -31,10 +31,8 @@ POSITIONS = 64
 LEVELS, MORE_LEVELS, ROUNDS = 3, 2, 3
 SMALL = 100
 BLOCK = 256
-#: Chance of a second position at a node: 1 / SIMILARITY positions are expected.
-SECOND = 1 / SIMILARITY - 1
-#: Least share of equal positions for texts to be neighbours, over three standard deviations below the threshold.
-NEIGHBOUR = 0.64
+#: Standard deviations below the threshold at which the share of equal positions still makes texts neighbours.
+MARGIN = 3.2
 
 _U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(11))
@@ -42,12 +40,37 @@ _XORS = _RANDOM.integers(0, 2**63, POSITIONS, dtype=np.uint64) * _U(2)
 _ODDS = _RANDOM.integers(0, 2**63, POSITIONS, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, levels: int = LEVELS + MORE_LEVELS) -> int:
-    """Runs until two texts of that similarity share a bucket `levels` deep with that probability."""
-    meet = 1.0
-    for _ in range(levels):
-        meet = (1 - SECOND) * similarity * meet + SECOND * (1 - (1 - similarity * meet) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+def second_chance(similarity: float) -> float:
+    """Chance of a second position at a node: 1 / similarity positions are expected."""
+    return min(1.0, 1 / similarity - 1)
+
+
+def neighbour_share(similarity: float) -> float:
+    """Least share of equal positions for texts to be neighbours."""
+    return max(0.0, similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / POSITIONS))
+
+
+def expected_recall(runs: int, similarity: float = SIMILARITY, levels: int = LEVELS + ROUNDS * MORE_LEVELS) -> float:
+    """Probability that two texts of that similarity become neighbours in buckets `levels` deep.
+
+    All runs share the positions, so the number of equal ones is drawn once; too few of them, and the pair is missed.
+    """
+    second, out = second_chance(similarity), 0.0
+    for k in range(POSITIONS + 1):
+        share, meet = k / POSITIONS, 1.0
+        if share < neighbour_share(similarity):
+            continue
+        for _ in range(levels):
+            meet = (1 - second) * share * meet + second * (1 - (1 - share * meet) ** 2)
+        out += math.comb(POSITIONS, k) * similarity**k * (1 - similarity) ** (POSITIONS - k) * (1 - (1 - meet) ** runs)
+    return out
+
+
+def runs_needed(similarity: float = SIMILARITY, recall: float = RECALL, levels: int = LEVELS + ROUNDS * MORE_LEVELS) -> int:
+    """Runs until that recall is expected in the deepest buckets, which those of hot texts are."""
+    if expected_recall(1_000, similarity, levels) < recall:
+        raise ValueError(f"a recall of {recall} at similarity {similarity} needs more than {POSITIONS} positions")
+    return next(n for n in range(1, 1_001) if expected_recall(n, similarity, levels) >= recall)
 
 
 def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +113,13 @@ def _sketch(n: int):
     return run
 
 
-def _children(nodes: np.ndarray, owners: np.ndarray, sketches: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def _children(nodes: np.ndarray, owners: np.ndarray, sketches: np.ndarray, levels: int, second_chance: float) -> tuple[np.ndarray, np.ndarray]:
     """(node, owner) `levels` below the given ones."""
     for _ in range(levels):
         first = (mix(nodes ^ _U(0xA0761D6478BD642F)) % _U(POSITIONS)).astype(np.int64)
         second = (mix(nodes ^ _U(0xE7037ED1A0B428DB)) % _U(POSITIONS - 1)).astype(np.int64)
         second += second >= first
-        both = (mix(nodes ^ _U(0x8EBC6AF09C88C6E3)) >> _U(32)).astype(np.float64) < SECOND * 2**32
+        both = (mix(nodes ^ _U(0x8EBC6AF09C88C6E3)) >> _U(32)).astype(np.float64) < second_chance * 2**32
         down = lambda place, of: mix(nodes[of] * _U(0x9E3779B97F4A7C15) + mix((place[of].astype(np.uint64) << _U(32)) + sketches[owners[of], place[of]]))  # noqa: B023, E731
         every = np.ones(len(nodes), bool)
         nodes, owners = np.concatenate([down(first, every), down(second, both)]), np.concatenate([owners, owners[both]])
@@ -107,7 +130,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.uint32).reshape(len(column), POSITIONS)
 
 
-def _paths(n_runs: int):
+def _paths(n_runs: int, second: float):
     """(rep, sketch) to (node, rep) at level LEVELS of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,19 +138,23 @@ def _paths(n_runs: int):
             if not batch.num_rows:
                 continue
             roots = mix(np.arange(1, n_runs + 1, dtype=np.uint64))
-            nodes, owners = _children(np.repeat(roots, batch.num_rows), np.tile(np.arange(batch.num_rows), n_runs), _matrix(batch.column(1)), LEVELS)
+            nodes, owners = _children(np.repeat(roots, batch.num_rows), np.tile(np.arange(batch.num_rows), n_runs), _matrix(batch.column(1)), LEVELS, second)
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column(0).take(pa.array(owners))], ["node", "rep"])
 
     return run
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deeper(second: float):
     """(node, rep, sketch) to (node, rep) MORE_LEVELS below."""
-    for batch in batches:
-        if batch.num_rows:
-            nodes = batch.column(0).to_numpy().view(np.uint64)
-            nodes, owners = _children(nodes, np.arange(len(nodes)), _matrix(batch.column(2)), MORE_LEVELS)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column(1).take(pa.array(owners))], ["node", "rep"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                nodes = batch.column(0).to_numpy().view(np.uint64)
+                nodes, owners = _children(nodes, np.arange(len(nodes)), _matrix(batch.column(2)), MORE_LEVELS, second)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column(1).take(pa.array(owners))], ["node", "rep"])
+
+    return run
 
 
 def _root(parent: dict[int, int], x: int) -> int:
@@ -137,7 +164,7 @@ def _root(parent: dict[int, int], x: int) -> int:
     return x
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(share: float):
     """(node, rep, sketch) in order of node to edges (a, b) that join each bucket's neighbours."""
 
     def edges(nodes: np.ndarray, reps: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
@@ -146,7 +173,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = np.flatnonzero(nodes[d:] == nodes[:-d])
             if not len(same):
                 break
-            near = same[(sketches[same] == sketches[same + d]).sum(1) >= NEIGHBOUR * POSITIONS]
+            near = same[(sketches[same] == sketches[same + d]).sum(1) >= share * POSITIONS]
             for i in near.tolist():
                 x, y = _root(parent, i), _root(parent, i + d)
                 if x != y:
@@ -155,17 +182,20 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     b.append(reps[i + d])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2)))
-        now = tuple(np.concatenate(x) for x in zip(held, now, strict=True)) if held else now
-        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
-        yield edges(*(x[:cut] for x in now))
-        held = tuple(x[cut:] for x in now)
-    if held:
-        yield edges(*held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2)))
+            now = tuple(np.concatenate(x) for x in zip(held, now, strict=True)) if held else now
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
+            yield edges(*(x[:cut] for x in now))
+            held = tuple(x[cut:] for x in now)
+        if held:
+            yield edges(*held)
+
+    return run
 
 
 def _sets(n: int):
@@ -240,14 +270,14 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", column: str = "text",
     known = sketched.where("id is not null and n_shingles > 0")
     classes = shared.stored(known.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("sketch").alias("sketch")), "classes")
     sketches = classes.select("rep", "sketch")
-    nodes = sketches.mapInArrow(_paths(runs_needed(similarity, recall)), "node long, rep long")
+    nodes = sketches.mapInArrow(_paths(runs_needed(similarity, recall), second_chance(similarity)), "node long, rep long")
     edges = []
     for level in range(ROUNDS + 1):
         nodes = nodes.distinct()
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         members = shared.stored(nodes.join(sizes, "node"), "buckets")
         small = members.where(F.col("n") <= SMALL).select("node", "rep").join(sketches, "rep").select("node", "rep", "sketch")
-        edges.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_neighbours, "a long, b long"))
+        edges.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_neighbours(neighbour_share(similarity)), "a long, b long"))
         large = members.where(F.col("n") > SMALL).select("node", "rep")
         if not large.limit(1).count():
             break
@@ -255,7 +285,7 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", column: str = "text",
             least = large.groupBy("node").agg(F.min("rep").alias("b"))
             edges.append(large.join(least, "node").select(F.col("rep").alias("a"), "b"))
         else:
-            nodes = large.join(sketches, "rep").select("node", "rep", "sketch").mapInArrow(_deeper, "node long, rep long")
+            nodes = large.join(sketches, "rep").select("node", "rep", "sketch").mapInArrow(_deeper(second_chance(similarity)), "node long, rep long")
     every = edges[0]
     for more in edges[1:]:
         every = every.unionByName(more)

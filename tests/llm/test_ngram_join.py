@@ -80,3 +80,28 @@ def test_odd_tables(spark):
 
 def test_runs_for_recall():
     assert x.runs_needed(0.8, 0.995) > x.runs_needed(0.8, 0.9) > x.runs_needed(0.95, 0.9)
+
+
+def test_recall_at_the_threshold_in_hot_buckets(spark, monkeypatch):
+    """Pairs of similarity 0.8 to 0.83 among texts that share a boilerplate, all walked to the deepest level."""
+    monkeypatch.setattr(x, "SMALL", 2)
+    r = random.Random(12)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(250):
+        base = shared + [f"t{i}x{j}" for j in range(140)]
+        copy = list(base)
+        for j in range(4):
+            copy[70 + 30 * j] = f"u{i}x{j}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.83
+    got = run(spark, rows)
+    assert sum(got[2 * i + 1][0] == 2 * i for i in range(250)) >= 0.985 * 250
+    assert all(got[k][0] // 2 == k // 2 for k in got)
+
+
+def test_expected_recall_is_that_of_the_deepest_level():
+    n = x.runs_needed()
+    assert x.expected_recall(n) >= x.RECALL > x.expected_recall(n - 1)
+    assert x.neighbour_share(0.6) < 0.6 - 0.15 and x.second_chance(0.5) == 1.0
