@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -68,7 +69,7 @@ _PLAIN, _SQUEEZED = _lower_table(32, False), _lower_table(0, True)
 
 
 def _stream(offsets: np.ndarray, data: np.ndarray, squeezed: bool):
-    """Words after lowering: punctuation parts words, or is read through (disguised letters restored)."""
+    """Words after lowering: ASCII punctuation parts words, or is read through (disguised letters restored)."""
     changed = (_SQUEEZED if squeezed else _PLAIN)[data]
     if squeezed:
         keep = changed != 0
@@ -77,9 +78,13 @@ def _stream(offsets: np.ndarray, data: np.ndarray, squeezed: bool):
     return words(offsets, changed)
 
 
+def _plain(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, with a space for each mark, in any script: the words that a lexicon is learned from."""
+    return pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}\p{N}\s]", " ")
+
+
 def _prints(terms: list[str]) -> np.ndarray:
-    offsets, data = utf8(pa.array(terms, pa.string()))
-    return np.unique(_stream(offsets, data, False).hashes[1])
+    return np.unique(words(*utf8(_plain(pa.array(terms, pa.string())))).hashes[1])
 
 
 def _sum(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -94,11 +99,12 @@ def features(docs: DataFrame, learned: list[str], keys: list[str], column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _lo, _hi, offsets, data in runs(batch.column(width)):
-                w, z = _stream(offsets, data, False), _stream(offsets, data, True)
-                h = w.hashes[1]
+            for lo, hi, offsets, data in runs(batch.column(width)):
+                texts = batch.column(width).slice(lo, hi - lo)
+                v, w, z = words(*utf8(_plain(texts))), _stream(offsets, data, False), _stream(*utf8(pc.utf8_lower(texts)), True)
+                h = v.hashes[1]
                 hit, more, you = np.isin(h, fixed), np.isin(h, extra), np.isin(h, second)
-                any_hit, doc = hit | more, w.doc()
+                any_hit, doc = hit | more, v.doc()
                 at, near = np.flatnonzero(you), np.zeros(len(h), bool)
                 for d in range(-NEAR, NEAR + 1):
                     to = at + d
@@ -106,7 +112,7 @@ def features(docs: DataFrame, learned: list[str], keys: list[str], column: str =
                     to, fro = to[ok], at[ok]
                     near[to[doc[to] == doc[fro]]] = True
                 disguised = _sum(np.isin(z.hashes[1], fixed) | np.isin(z.hashes[1], extra), z.first)
-                n = w.counts
+                n = v.counts
                 per_word = lambda flags, edges: _sum(flags, edges) / np.maximum(n, 1)  # noqa: B023, E731
                 size = np.maximum(np.diff(offsets), 1)
                 letters = np.maximum(_sum(_LETTER[data], offsets), 1)
@@ -117,11 +123,11 @@ def features(docs: DataFrame, learned: list[str], keys: list[str], column: str =
                 caps = np.concatenate([[0], np.cumsum(upper)])
                 letter = np.concatenate([[0], np.cumsum(_LETTER[data])])
                 shout = (caps[w.end] - caps[w.start] == letter[w.end] - letter[w.start]) & (w.end - w.start > 2) & upper[w.start]
-                hits, learnt = _sum(hit, w.first), _sum(more, w.first)
+                hits, learnt = _sum(hit, v.first), _sum(more, v.first)
                 out.append(np.column_stack([
-                    np.log1p(n), hits / np.maximum(n, 1), np.log1p(hits), learnt / np.maximum(n, 1), np.log1p(learnt), per_word(near & any_hit, w.first), per_word(you, w.first),
+                    np.log1p(n), hits / np.maximum(n, 1), np.log1p(hits), learnt / np.maximum(n, 1), np.log1p(learnt), per_word(near & any_hit, v.first), per_word(you, v.first),
                     _sum(upper, offsets) / letters, per_word(shout, w.first), per_word(data == 33, offsets), per_word(data == 63, offsets), _sum(_PUNCTUATION[data], offsets) / size,
-                    _sum(_DIGIT[data], offsets) / size, np.maximum(disguised - _sum(any_hit, w.first), 0) / np.maximum(n, 1), _sum(same, offsets) / letters,
+                    _sum(_DIGIT[data], offsets) / size, np.maximum(disguised - _sum(any_hit, v.first), 0) / np.maximum(n, 1), _sum(same, offsets) / letters,
                 ]))
             flat = np.concatenate(out).reshape(-1) if out else np.zeros(0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32)), pa.array(flat))
@@ -161,16 +167,8 @@ class ToxicityModel:
             return plain.select(F.col("_id").alias(id_column), F.lit(self.prior).alias("score"))
         rows = features(plain, self.learned, ["_id"], "_text").withColumn("features", array_to_vector("features"))
         margins = self.trees.transform(rows).select("_id", vector_to_array("rawPrediction")[1].alias("margin"))
-        edges, values = (list(map(float, v)) for v in (self.calibration.boundaries, self.calibration.predictions))
-        return margins.select(F.col("_id").alias(id_column), _between(F.col("margin"), edges, values).alias("score"))
-
-
-def _between(x, edges: list[float], values: list[float]):
-    """The calibration's piecewise line as a Column, from 0 to 1."""
-    line = F.lit(values[0])
-    for a, b, p, q in zip(edges, edges[1:], values, values[1:], strict=False):
-        line = F.when(x > a, F.lit(p) + (F.lit(q - p) * F.least((x - a) / (b - a), F.lit(1.0)) if b > a else F.lit(q - p))).otherwise(line)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), line))
+        scores = self.calibration.transform(margins)
+        return scores.select(F.col("_id").alias(id_column), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction"))).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> ToxicityModel:

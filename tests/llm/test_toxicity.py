@@ -39,3 +39,11 @@ def test_without_usable_labels(spark):
     got = x.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert got[0].score == 0.5
     assert x.toxicity(docs.limit(0), spark.createDataFrame([(1, 0)], "doc_id long, toxic int")).count() == 0
+
+
+def test_words_are_found_beside_any_mark_and_in_any_case(spark):
+    texts = ["¡Idiota!", "“idiot”", "ESTÚPIDO", "„Trottel“…", "eres un idiota", "you IDIOT!!", "«imbécile»", "M0R0N", "a house by the sea"]
+    got = x.features(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), [], ["i"]).collect()
+    hit, disguised = x.FEATURES.index("hit_rate"), x.FEATURES.index("obfuscated_rate")
+    by = {g.i: g.features for g in got}
+    assert [i for i in range(7) if by[i][hit] == 0] == [] and by[7][disguised] > 0 and by[8][hit] == by[8][disguised] == 0
