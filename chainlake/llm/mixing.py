@@ -127,16 +127,18 @@ def fit_rates(posteriors: DataFrame, targets: list[float], steps: int = STEPS, t
 
 
 def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], id_column: str = "doc_id", column: str = "text", label: str = "domain", tokens: float | None = None) -> DataFrame:
-    """(id, n_tokens, p_<domain>..., rate) of every row of `docs`.
+    """(id, n_tokens, p_<domain>..., rate, reached_<domain>...) of every row of `docs`.
 
     shares: the wanted share of tokens of each domain; tokens: their sum, by default the number of
     tokens in `docs`. Documents with equal posteriors get equal rates. Null and empty texts have 0
     tokens, the classifier's posterior of a text without words, and the rate that follows from it.
-    Targets that no nonnegative rates reach are met as nearly as the steps get. An empty table
+    Targets that no nonnegative rates reach are met as nearly as the steps get: reached_<domain>, the same
+    in each row, is the share of tokens that the rates give the domain in expectation. An empty table
     gives an empty table; other columns are ignored.
     """
     domains = list(shares)
     found = stored(fit_domains(docs, labels, domains, id_column, column, label).posteriors(docs, id_column, column), "posteriors")
     total = found.agg(F.sum("n_tokens")).first()[0] or 0 if tokens is None else tokens
-    rate, _ = fit_rates(found, [total * x / sum(shares.values()) for x in shares.values()])
-    return found.select(id_column, "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"))
+    rate, totals = fit_rates(found, [total * x / sum(shares.values()) for x in shares.values()])
+    reached = totals / max(totals.sum(), 1e-300)
+    return found.select(id_column, "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"), *[F.lit(float(x)).alias(f"reached_{d}") for d, x in zip(domains, reached, strict=True)])
