@@ -2,14 +2,15 @@
 
 Tier one is a broadcast table of the corpus's most frequent pre-tokens and their lengths in
 tokens; tier two encodes what is not in it, through a cache that each Python worker keeps
-between tasks. Texts never leave the task that read them: no pre-token is shuffled. The frequent
-pre-tokens come from mergeable counters of a fixed number of entries per task, over all texts;
-they decide only the speed, never a result.
+between tasks. Texts and the pre-tokens to be counted never leave the task that read them. The frequent
+pre-tokens come from mergeable counters over all texts, of which each task sends a fixed number of
+entries; only these are shuffled, and they decide only the speed, never a result.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,12 @@ _cache: dict[str, dict[str, int]] = {}
 
 @cache
 def _tokenizer(path: str):
+    """The tokenizer in `path`. PATTERN is how it splits texts; files that split or change them otherwise are refused."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    split = parts.get("pre_tokenizer") or {}
+    if parts.get("normalizer") is not None or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{path} doesn't split texts by the byte-level pattern alone")
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -78,8 +85,8 @@ def token_counts(texts: DataFrame, path: str, id_column: str = "doc_id", column:
 
     No begin, end or added special tokens; a special string inside a text is one token, as is the
     library's default. A null text counts as empty: 0 bytes, 0 tokens. Rows are kept one for one,
-    repeated ids included; other columns of the input are ignored. The vocabulary must be a
-    byte-level one without a normaliser (the split above is that of such files).
+    repeated and null ids included; other columns of the input are ignored. The vocabulary must be a
+    byte-level one without a normaliser (the split above is that of such files); others raise ValueError.
     """
     pieces = [r.piece for r in frequent_pretokens(texts, column, top).collect()]  # at most `top` short strings
     frequent = texts.sparkSession.sparkContext.broadcast(dict(zip(pieces, _lengths(path, pieces), strict=True)))

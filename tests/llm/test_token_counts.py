@@ -18,3 +18,20 @@ def test_equals_the_library(spark):
 
 def test_empty_table(spark):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_null_ids_and_other_vocabularies(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from chainlake.llm import token_counts as x
+
+    df = spark.createDataFrame([(None, "a b"), (None, None), (1, "a b")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts(df, PATH).collect()) == [(0, 0), (0, 2), (1, 2)]
+    made = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": made["pre_tokenizer"] | {"add_prefix_space": True}}):
+        other = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        other.write_text(json.dumps(made | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            x._tokenizer(str(other))
