@@ -35,8 +35,10 @@ def with_bucket(df: DataFrame) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table with rows; an insert of none leaves an empty folder."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(at))
 
 
 def remove(spark: SparkSession, path: str) -> None:
