@@ -28,7 +28,7 @@ SIMILARITY = 0.8
 RECALL = 0.995
 POSITIONS = 64
 #: Levels of the tree that are walked before buckets are counted, and per round after that.
-LEVELS, MORE_LEVELS, ROUNDS = 3, 2, 3
+LEVELS, MORE_LEVELS, ROUNDS = 3, 2, 2
 SMALL = 100
 BLOCK = 256
 #: Standard deviations below the threshold at which the share of equal positions still makes texts neighbours.
