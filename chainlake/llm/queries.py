@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm import decontamination, importance, licences, mixing, ngram_join, periodic_runs, quality_rules, substring_dedup, surrogates, token_counts, toxicity
+from chainlake.llm import decontamination, importance, lexical_search, licences, mixing, ngram_join, periodic_runs, quality_rules, substring_dedup, surrogates, token_counts, toxicity
 
 
 #: Rows of whole texts that a task holds at a time.
@@ -116,6 +116,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(docs))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: Terms of every text, the counts that weigh them, and every document's score for every item.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d),
+f AS (SELECT t, doc_id, CAST(any_value(n) AS BIGINT) AS n, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY t, doc_id),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM f GROUP BY t), s),
+x AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN f USING (t) JOIN w USING (t), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -129,8 +145,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_surrogates": op9_surrogates,
         "op10_quality_rules": op10_quality_rules,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_lexical_search": op12_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": OP7_SQL, "op10_quality_rules": _op10_sql()}
+    return {"op7_substring_dedup": OP7_SQL, "op10_quality_rules": _op10_sql(), "op12_lexical_search": OP12_SQL}
