@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm import decontamination, importance, lexical_search, licences, mixing, ngram_join, periodic_runs, quality_rules, substring_dedup, surrogates, token_counts, toxicity
+from chainlake.llm import decontamination, importance, language_id, lexical_search, licences, mixing, ngram_join, periodic_runs, quality_rules, substring_dedup, surrogates, token_counts, toxicity
 
 
 #: Rows of whole texts that a task holds at a time.
@@ -132,6 +132,10 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 """
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -146,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": op10_quality_rules,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_lexical_search": op12_lexical_search,
+        "op13_language_id": op13_language_id,
     }
 
 
