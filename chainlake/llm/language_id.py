@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,12 @@ from chainlake.llm.toxicity import held_out
 
 LONGEST = 5
 #: At most so many labelled texts of each language are learned from (by hash order of the id), and so many languages, those with most texts.
-MOST_TEXTS, MOST_LANGUAGES = 10_000, 500
+MOST_TEXTS, MOST_LANGUAGES = 5_000, 500
 #: Words, and n-grams of each length, that a language keeps, and what all languages keep in all.
 MOST_KEPT, MOST_ENTRIES = 20_000, 2_000_000
 #: Words of a text beyond so many don't make the posterior any surer.
 EVIDENCE = 50
-WORKER_CACHE = 200_000
+WORKER_CACHE = 300_000
 PIECE = 1 << 20
 
 _WORD = r"\p{L}[\p{L}\p{M}]*"
@@ -89,45 +90,60 @@ class LanguageModel:
 
     def __init__(self, languages: list[str], tables: list[dict[str, int]], spans: np.ndarray, of: np.ndarray, more: np.ndarray, absent: np.ndarray, prior: np.ndarray):
         self.languages, self.tables, self.spans, self.of, self.more, self.absent, self.prior = languages, tables, spans, of, more, absent, prior
+        self.size_of = np.repeat(np.arange(LONGEST + 1), [len(t) for t in tables])
 
     @classmethod
     def empty(cls) -> LanguageModel:
-        return cls([], [{} for _ in range(LONGEST + 1)], np.zeros(1, np.int64), np.zeros(0, np.int16), np.zeros(0), np.zeros((LONGEST + 1, 0)), np.zeros(0))
+        return cls([], [{} for _ in range(LONGEST + 1)], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((LONGEST + 1, 0)), np.zeros(0))
 
-    def known(self, word: str) -> tuple[int, list[int]]:
-        """Size and places of what scores a word: itself, or its longest known n-grams; none if not even a letter is known."""
+    def known(self, word: str) -> tuple[int, ...]:
+        """Places of what scores a word: itself, or its longest known n-grams; none if not even a letter is known."""
         if (own := self.tables[0].get(word)) is not None:
-            return 0, [own]
+            return (own,)
         for size in range(LONGEST, 0, -1):
-            if found := [at for g in _grams(word, size) if (at := self.tables[size].get(g)) is not None]:
-                return size, found
-        return 0, []
-
-    def word(self, word: str) -> np.ndarray:
-        size, found = self.known(word)
-        total = np.zeros(len(self.languages))
-        for at in found:
-            here = slice(self.spans[at], self.spans[at + 1])
-            total += self.absent[size]
-            total[self.of[here]] += self.more[here]
-        return total / max(len(found), 1)
-
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        """(language, posterior). `und` and 0 for a text without letters, or where nothing was learned."""
-        counts = Counter(_words(text or ""))
-        if not counts or not self.languages:
-            return "und", 0.0
-        total = np.zeros(len(self.languages))
-        for word, n in counts.items():
-            if (of := cache.get(word)) is None:
-                if len(cache) >= WORKER_CACHE:
-                    cache.clear()
-                of = cache[word] = self.word(word)
-            total += n * of
-        many = counts.total()
-        total = self.prior + total * (min(many, EVIDENCE) / many)
-        best = int(total.argmax())  # ties: the first language in order
-        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+            table = self.tables[size]
+            if found := tuple(table[g] for g in _grams(word, size) if g in table):
+                return found
+        return ()
+
+    def scores(self, texts: list[str | None], cache: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """(words of each text, a row of summed word scores for each): a word scores its own log frequency, or the mean of its n-grams'."""
+        many, kinds, counts, found = [], [], [], []
+        for text in texts:
+            words = Counter(_words(text)) if text else {}
+            many.append(sum(words.values()))
+            kinds.append(len(words))
+            counts += words.values()
+            for word in words:
+                if (at := cache.get(word)) is None:
+                    if len(cache) >= WORKER_CACHE:
+                        cache.clear()
+                    at = cache[word] = self.known(word)
+                found.append(at)
+        n, k = len(texts), len(self.languages)
+        parts = np.fromiter(map(len, found), np.int64, len(found))
+        places = np.fromiter(chain.from_iterable(found), np.int64, int(parts.sum()))
+        weight = np.repeat(np.array(counts, float) / np.maximum(parts, 1), parts)
+        doc = np.repeat(np.repeat(np.arange(n), kinds), parts)
+        by_size = np.bincount(doc * (LONGEST + 1) + self.size_of[places], weights=weight, minlength=n * (LONGEST + 1)).reshape(n, LONGEST + 1)
+        total = by_size @ self.absent
+        for low in range(0, len(places), 1 << 18):
+            here = places[low : low + (1 << 18)]
+            wide = self.spans[here + 1] - self.spans[here]
+            at = np.repeat(self.spans[here] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+            cell = np.repeat(doc[low : low + (1 << 18)] * k, wide) + self.of[at]
+            total += np.bincount(cell, weights=np.repeat(weight[low : low + (1 << 18)], wide) * self.more[at], minlength=n * k).reshape(n, k)
+        return np.array(many), total
+
+    def predict(self, texts: list[str | None], cache: dict[str, tuple[int, ...]]) -> tuple[list[str], np.ndarray]:
+        """(languages, posteriors). `und` and 0 for texts without letters, or where nothing was learned."""
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        many, total = self.scores(texts, cache)
+        total = self.prior + total * (np.minimum(many, EVIDENCE) / np.maximum(many, 1))[:, None]
+        best = total.argmax(axis=1)  # ties: the first language in order
+        sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.languages[i] if n else "und" for i, n in zip(best, many, strict=True)], np.where(many > 0, sure, 0.0)
 
 
 def fit(docs: DataFrame, where: Column | None = None, id_column: str = "doc_id", column: str = "text", lang: str = "lang", most: int = MOST_TEXTS) -> LanguageModel:
@@ -157,14 +173,15 @@ def fit(docs: DataFrame, where: Column | None = None, id_column: str = "doc_id",
     bound = min(MOST_KEPT, MOST_ENTRIES // ((LONGEST + 1) * len(languages)))
     commonest = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
     kept = counts.where("n > 1 or size between 1 and 3").withColumn("_n", F.row_number().over(commonest)).where(F.col("_n") <= bound)
-    by_gram: dict[tuple[int, str], list[tuple[int, float]]] = {}
-    for r in kept.toLocalIterator():  # at most MOST_ENTRIES rows
-        by_gram.setdefault((r["size"], r.gram), []).append((place[r.lang], np.log((r.n + 1) / 0.5)))
-    tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    for i, (size, gram) in enumerate(by_gram):
-        tables[size][gram] = i
-    spans = np.concatenate([[0], np.cumsum([len(x) for x in by_gram.values()])]).astype(np.int64)
-    of, more = np.array([k for x in by_gram.values() for k, _ in x], np.int16), np.array([v for x in by_gram.values() for _, v in x])
+    by_gram: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(LONGEST + 1)]
+    for r in kept.select("size", "gram", "lang", "n").toLocalIterator():  # at most MOST_ENTRIES rows
+        by_gram[r["size"]].setdefault(r.gram, []).append((place[r.lang], r.n))
+    tables, places = [], iter(range(sum(map(len, by_gram))))
+    for grams in by_gram:
+        tables.append({g: next(places) for g in grams})
+    lists = [x for grams in by_gram for x in grams.values()]
+    spans = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    of, more = np.array([k for x in lists for k, _ in x], np.int64), np.log(np.array([n + 1 for x in lists for _, n in x], float) / 0.5)
     absent = np.log([[0.5 / totals.get((k, size), 1) for k in languages] for size in range(LONGEST + 1)])
     prior = np.array([sizes[k] for k in languages], float)
     return LanguageModel(languages, tables, spans, of, more, absent, np.log(prior / prior.sum()))
@@ -182,8 +199,10 @@ def language_id(docs: DataFrame, id_column: str = "doc_id", column: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cache = model.value, {}
         for batch in batches:
-            found = [known.predict(t.as_py(), cache) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["_id", "held_out", "lang_pred", "score"])
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                of, score = known.predict(part.column(2).to_pylist(), cache)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(of, pa.string()), pa.array(score, pa.float64())], ["_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_column].dataType.simpleString()
     plain = docs.select(F.col(id_column).alias("_id"), held_out(id_column).alias("held_out"), F.col(column).alias("_text"))

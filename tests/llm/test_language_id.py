@@ -39,16 +39,17 @@ def test_held_out_rows_and_other_columns_decide_nothing(spark):
 def test_words_first_then_longest_known_ngrams(spark):
     rows = [(1, "banana banana banda", "a"), (2, "kiwi kiwi kilo", "b")]
     model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.languages == ["a", "b"] and model.known("banana") == (0, [model.tables[0]["banana"]])
-    size, found = model.known("bananas")
-    assert size == LONGEST and {g for g, at in model.tables[size].items() if at in found} == {"<bana", "banan", "anana"}
-    assert model.known("xaq")[0] == 1 and model.known("東")[1] == []
+    assert model.languages == ["a", "b"] and model.known("banana") == (model.tables[0]["banana"],)
+    found = model.known("bananas")
+    assert {g for g, at in model.tables[LONGEST].items() if at in found} == {"<bana", "banan", "anana"} and len(found) == 3
+    assert model.known("xaq") == (model.tables[1]["a"],) and model.known("東") == ()
     # by hand: banana twice of 3 words and 2 kinds in a, never in b
-    assert np.allclose(model.word("banana"), np.log([3 / (3 + 2 + 1), 0.5 / (3 + 2 + 1)]))
+    n, rows = model.scores(["banana", "Bananas, banana!", None], {})
+    assert n.tolist() == [1, 2, 0] and np.allclose(rows[0], np.log([3 / (3 + 2 + 1), 0.5 / (3 + 2 + 1)])) and not rows[2].any()
     counts = {"a": {"<bana": 2, "banan": 2, "anana": 2}, "b": {}}
     totals = {"a": (2 * 4 + 3, 4 + 3), "b": (2 * 2 + 2, 2 + 2)}
     by_hand = [np.mean([np.log((counts[k].get(g, -0.5) + 1) / (sum(totals[k]) + 1)) for g in counts["a"]]) for k in "ab"]
-    assert np.allclose(model.word("bananas"), by_hand)
+    assert np.allclose(rows[1] - rows[0], by_hand)
 
 
 def test_odd_rows(spark):
