@@ -56,24 +56,24 @@ class DomainModel:
     def __init__(self, domains: list[str], weights: np.ndarray, bias: np.ndarray):
         self.domains, self.weights, self.bias = domains, weights, bias
 
-    def posteriors(self, docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-        """(id, n_tokens, p) of every row: whitespace tokens and an array in the order of `domains`."""
-        weights, bias, k = self.weights, self.bias, len(self.domains)
+    def posteriors(self, docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
+        """The columns `keys` of every row with n_tokens and p: whitespace tokens and an array in the order of `domains`."""
+        weights, bias, k, width = self.weights, self.bias, len(self.domains), len(keys)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 tokens, p = [np.zeros(0, np.int64)], [np.zeros((0, k))]
-                for _, _, offsets, data in runs(batch.column(1)):
+                for _, _, offsets, data in runs(batch.column(width)):
                     tokens.append(words(offsets, data).counts)
                     z = _features(offsets, data) @ weights.T + bias
                     z = np.exp(z - z.max(1, keepdims=True))
                     p.append(z / z.sum(1, keepdims=True))
                 flat = np.concatenate(p).reshape(-1)
                 ends = np.arange(0, len(flat) + 1, k, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(tokens), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [id_column, "n_tokens", "p"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(np.concatenate(tokens), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*keys, "n_tokens", "p"])
 
-        kind = docs.schema[id_column].dataType.simpleString()
-        return docs.select(id_column, column).mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, p array<double>")
+        kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keys)
+        return docs.select(*keys, F.col(column).alias("_text_of")).mapInArrow(run, f"{kinds}n_tokens long, p array<double>")
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_column: str = "doc_id", column: str = "text", label: str = "domain", most: int = MAX_LABELLED) -> DomainModel:
@@ -86,7 +86,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], id_colum
     known = labels.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), place.alias("label")).where("label >= 0").groupBy("_id").agg(F.min("label").cast("double").alias("label"))
     known = F.broadcast(stored(least_by_hash(known, "_id", most), "labelled"))  # at most `most` ids
     rows = docs.select(F.col(id_column).alias("_id"), F.col(column).alias("_text")).join(known, "_id").select("label", "_text")
-    rows = stored(rows.mapInArrow(_vectors, "label double, features array<double>").coalesce(6), "vectors")
+    rows = stored(rows.mapInArrow(_vectors, "label double, features array<double>"), "vectors").coalesce(6)  # bounded by `most`; the scan above keeps its tasks
     size = WORD_FEATURES + SHAPE_FEATURES
     weights, bias = np.zeros((len(domains), size)), np.zeros(len(domains))
     if rows.select("label").distinct().count() > 1:
@@ -126,7 +126,7 @@ def fit_rates(posteriors: DataFrame, targets: list[float], steps: int = STEPS, t
         taken.append(inverse @ (totals - target))
 
 
-def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], id_column: str = "doc_id", column: str = "text", label: str = "domain", tokens: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], id_column: str = "doc_id", column: str = "text", label: str = "domain", tokens: float | None = None, carry: list[str] = ()) -> DataFrame:
     """(id, n_tokens, p_<domain>..., rate, reached_<domain>...) of every row of `docs`.
 
     shares: the wanted share of tokens of each domain; tokens: their sum, by default the number of
@@ -134,11 +134,18 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], id_column:
     tokens, the classifier's posterior of a text without words, and the rate that follows from it.
     Targets that no nonnegative rates reach are met as nearly as the steps get: reached_<domain>, the same
     in each row, is the share of tokens that the rates give the domain in expectation. An empty table
-    gives an empty table; other columns are ignored.
+    gives an empty table; other columns are ignored, but for those in `carry`, which stand in the id's place
+    (without those that have a name of the result): then posteriors are taken a second time beside them, so that no text is shuffled.
     """
     domains = list(shares)
-    found = stored(fit_domains(docs, labels, domains, id_column, column, label).posteriors(docs, id_column, column), "posteriors")
+    model = fit_domains(docs, labels, domains, id_column, column, label)
+    found = stored(model.posteriors(docs, [id_column], column), "posteriors")
     total = found.agg(F.sum("n_tokens")).first()[0] or 0 if tokens is None else tokens
     rate, totals = fit_rates(found, [total * x / sum(shares.values()) for x in shares.values()])
     reached = totals / max(totals.sum(), 1e-300)
-    return found.select(id_column, "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"), *[F.lit(float(x)).alias(f"reached_{d}") for d, x in zip(domains, reached, strict=True)])
+    out = [F.col("n_tokens"), *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], rate.alias("rate"), *[F.lit(float(x)).alias(f"reached_{d}") for d, x in zip(domains, reached, strict=True)]]
+    named = {"n_tokens", "rate", *[f"{kind}_{d}" for kind in ("p", "reached") for d in domains]}
+    if not carry:
+        return found.select(id_column, *out)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col(column).alias("_text"))
+    return model.posteriors(rows, ["_row"], "_text").select(*[F.col(f"_row.`{c}`") for c in carry if c not in named], *out)

@@ -63,3 +63,17 @@ def test_whole_operator(spark):
     flat = x.mix(docs, known.limit(0), {"a": 1.0, "b": 1.0}).first()
     assert flat.p_a == flat.p_b == 0.5
     assert x.mix(docs.limit(0), known, {"a": 1.0, "b": 1.0}).count() == 0
+
+
+def test_corpus_is_read_in_as_many_tasks_as_it_has_and_columns_are_carried(spark):
+    docs = spark.createDataFrame([(i, "ab " * (i % 7 + 1), "s", [i], "clash") for i in range(300)], "doc_id long, text string, source string, p array<int>, rate string").repartition(17)
+    known = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(100)], "doc_id long, domain string")
+    tracker, group = spark.sparkContext.statusTracker(), "mix-tasks"
+    spark.sparkContext.setJobGroup(group, group)
+    out = x.mix(docs, known, {"a": 1.0, "b": 1.0}, carry=docs.columns)
+    rows = out.collect()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks.count(17) >= 3  # labelled texts, posteriors, and the rows with them
+    assert out.columns[:5] == [*docs.columns[:4], "n_tokens"] and len(rows) == 300 and all(r.p == [r.doc_id] for r in rows)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
