@@ -1,11 +1,9 @@
 """Quality selection by importance resampling.
 
 Two bag-of-n-grams models over hashed features, one of target texts (those labelled good) and one
-of all raw texts, give each text the log ratio of its probabilities. The features of a text aren't
-independent, so a long one counts as EVIDENCE of them at its mean ratio: weights then don't grow with
-length, and good texts differ by no more than the noise does. A sample without replacement in
-proportion to the weights is the top k of log weight plus Gumbel noise. Features are words, word pairs
-and pairs of word shapes (case, length, marks, digits, repetition).
+of all raw texts, give each text the log ratio of its probabilities: its log weight, whatever its length. A
+sample without replacement in proportion to the weights is the top k of log weight plus Gumbel noise. Features
+are words, word pairs and pairs of word shapes (case, length, marks, digits, repetition).
 """
 
 from __future__ import annotations
@@ -23,8 +21,6 @@ from chainlake.llm.words import mix, runs, words
 #: Buckets of each of the three kinds of feature.
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
-#: The most features that a text's log ratio counts for.
-EVIDENCE = 32
 #: The most labelled texts that the target model is fitted on, by hash order of their id.
 MAX_TARGET = 20_000
 #: The share of target texts whose weight the sample's size is meant to reach.
@@ -115,37 +111,65 @@ def gumbel(id_column: str | Column, seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "quality", size: int | None = None, seed: int = SEED) -> DataFrame:
-    """(id, n_features, log_weight, key, kept) of every row of `docs`.
+class ImportanceModel:
+    """Log ratios of the buckets, and the least key of the sample: `last`, None for a sample of none."""
 
-    log_weight is the sum of the log ratios of a text's features, scaled down to EVIDENCE of them; key is log_weight plus Gumbel noise; kept marks the `size` largest keys, ties with the last
-    one included. Without a size it is the number of texts whose log_weight is no less than that
-    of TARGET_SHARE of a quarter of the target texts, which the model isn't fitted on. Null and empty texts have no features and log_weight 0.
-    Without target labels every log_weight is 0 and all rows are kept. Rows of equal id have equal
-    noise. An empty table gives an empty table; other columns are ignored.
-    """
+    def __init__(self, ratios: np.ndarray, seed: int):
+        self.ratios, self.seed, self.last = ratios, seed, None
+
+    def weigh(self, docs: DataFrame, keys: list[str], id_column: str = "doc_id", column: str = "text") -> DataFrame:
+        """The columns `keys` of every row with n_features, log_weight and key."""
+        ratios, width = docs.sparkSession.sparkContext.broadcast(self.ratios), len(keys)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, w = [np.zeros(0, np.int64)], [np.zeros(0)]
+                for lo, hi, offsets, data in runs(batch.column(width)):
+                    doc, bucket = _buckets(offsets, data)
+                    n.append(np.bincount(doc, minlength=hi - lo))
+                    w.append(np.bincount(doc, weights=ratios.value[bucket], minlength=hi - lo))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(np.concatenate(n)), pa.array(np.concatenate(w))], [*keys, "n_features", "log_weight"])
+
+        kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keys)
+        weighed = docs.select(*keys, F.col(column).alias("_text_of")).mapInArrow(run, f"{kinds}n_features long, log_weight double")
+        return weighed.withColumn("key", F.col("log_weight") + gumbel(id_column, self.seed))
+
+    def kept(self) -> Column:
+        return F.col("key") >= F.lit(self.last) if self.last is not None else F.lit(False)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, id_column: str, column: str, label: str, size: int | None, seed: int) -> tuple[ImportanceModel, DataFrame]:
+    """The model with its cut, and (_id, n_features, log_weight, key) of every row."""
     target = labels.where((F.col(label) == 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id")).distinct()
     target = least_by_hash(target, "_id", MAX_TARGET)
     fitted = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(4)) > 0  # the others set the sample's size
     target = F.broadcast(stored(target, "target").withColumn("is_target", fitted))  # at most MAX_TARGET ids
     plain = docs.select(F.col(id_column).alias("_id"), F.col(column).alias("_text")).join(target, "_id", "left").select("_id", "is_target", "_text")
     counts = plain.select("_text", "is_target").mapInArrow(_counts, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).collect()  # at most 3 * BUCKETS rows
-    ratios = docs.sparkSession.sparkContext.broadcast(_log_ratios(counts) if any(r.target for r in counts) else np.zeros(3 * BUCKETS))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, w = [], []
-            for lo, hi, offsets, data in runs(batch.column(2)):
-                doc, bucket = _buckets(offsets, data)
-                n.append(np.bincount(doc, minlength=hi - lo))
-                w.append(np.bincount(doc, weights=ratios.value[bucket], minlength=hi - lo) * np.minimum(1, EVIDENCE / np.maximum(n[-1], 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(np.concatenate(w) if w else [], pa.float64())], ["_id", "is_target", "n_features", "log_weight"])
-
-    kind = plain.schema["_id"].dataType.simpleString()
-    scored = plain.mapInArrow(weigh, f"_id {kind}, is_target boolean, n_features long, log_weight double")
-    scored = stored(scored.withColumn("key", F.col("log_weight") + gumbel("_id", seed)), "weights")
+    model = ImportanceModel(_log_ratios(counts) if any(r.target for r in counts) else np.zeros(3 * BUCKETS), seed)
+    scored = stored(model.weigh(plain, ["_id", "is_target"], "_id", "_text"), "weights")
     if size is None:
         least = scored.where("not is_target").agg(F.percentile_approx("log_weight", 1 - TARGET_SHARE, 100_000).alias("x")).first().x
         size = scored.where(F.col("log_weight") >= F.lit(least)).count() if least is not None else scored.count()
-    last = kth_largest(scored, "key", min(size, scored.count()))
-    return scored.select(F.col("_id").alias(id_column), "n_features", "log_weight", "key", (F.col("key") >= F.lit(last)).alias("kept") if last is not None else F.lit(False).alias("kept"))
+    model.last = kth_largest(scored, "key", min(size, scored.count()))
+    return model, scored
+
+
+def importance_sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "quality", size: int | None = None, seed: int = SEED) -> DataFrame:
+    """(id, n_features, log_weight, key, kept) of every row of `docs`.
+
+    log_weight is the sum of the log ratios of a text's features; key is log_weight plus Gumbel noise; kept marks the `size` largest keys, ties with the last
+    one included. Without a size it is the number of texts whose log_weight is no less than that
+    of TARGET_SHARE of a quarter of the target texts, which the model isn't fitted on. Null and empty texts have no features and log_weight 0.
+    Without target labels every log_weight is 0 and all rows are kept. Rows of equal id have equal
+    noise. An empty table gives an empty table; other columns are ignored.
+    """
+    model, scored = _fitted(docs, labels, id_column, column, label, size, seed)
+    return scored.select(F.col("_id").alias(id_column), "n_features", "log_weight", "key", model.kept().alias("kept"))
+
+
+def important_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", column: str = "text", label: str = "quality", size: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of `docs` that importance_sample keeps, with all their columns. They are weighed a second time in the task that reads them, so that no text is shuffled."""
+    model, _ = _fitted(docs, labels, id_column, column, label, size, seed)
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_column).alias("_id"), F.col(column).alias("_text"))
+    return model.weigh(plain, ["_id", "_row"], "_id", "_text").where(model.kept()).select("_row.*")
