@@ -1,11 +1,11 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Base metrics come from each whole text. Instead of fixed cutoffs, each of four ratios is held
-against a fence taken from mergeable quantile sketches of its own language and source: the upper
-quartile and a multiple of the distance between the quartiles, whatever these are. What is held
-against it is the lower bound of the text's ratio, as a count of a few says little of a rate: so
-short texts aren't judged on noise, and groups of which most texts have none of a kind need no least
-fence. The sketches are aggregates with partial results per task, so a hot source is no more than
+against a fence taken from mergeable quantile sketches of its own language and source. What is sketched is how high each
+text's rate may be, given what was counted: (count + 1) / (size + 4), as a text without symbols says
+the less of its rate the shorter it is. The fence is the upper quartile of that and a multiple of the distance
+between the quartiles. The ratio itself is held against it, so that verdicts don't change with the length of a text.
+The sketches are aggregates with partial results per task, so a hot source is no more than
 many partial sketches.
 """
 
@@ -22,10 +22,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Ratio: what it counts, and of how many.
 RATIOS = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "_lines"), "upper_ratio": ("_upper", "word_chars"), "bang_ratio": ("_bangs", "n_words")}
 ACCURACY = 10_000
-#: Distances between the quartiles that a fence stands above the upper one.
-SPREADS = 1.5
-#: Standard deviations of a count (its square root) that are taken off for the lower bound.
-DOUBT = 2.0
+#: Distances between the quartiles that a fence stands above the upper one ("far out").
+SPREADS = 3.0
+#: What a count and its size are taken to be more, in the rate that a text may have.
+MORE, OF = 1.0, 4.0
 SHORT_WORDS, LONG_WORDS = 10, 20
 
 
@@ -55,8 +55,8 @@ def _repeat_words() -> Column:
 
 def base_metrics(docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """`keys` and, of each whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    the lower bounds of the ratios of RATIOS, and _<ratio>, the ratios themselves. A null text has no
-    words; an empty text has ratios 0."""
+    the ratios of RATIOS, and _<ratio>, how high each may be. A null text has no words; an empty text
+    has ratios 0."""
     text = F.coalesce(F.col(column), F.lit(""))
     out = docs.select(*keys, text.alias("_t")).withColumn("words", F.array_remove(F.split("_t", SPACES), ""))
     out = out.withColumn("n_words", F.size("words").cast("long")).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -76,10 +76,9 @@ def base_metrics(docs: DataFrame, keys: list[str], column: str = "text") -> Data
         count("!").alias("_bangs"),
     )
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    least = lambda n: F.greatest(n - F.lit(DOUBT) * F.sqrt(n), F.lit(0.0))
     return out.select(
         *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        *[ratio(least(F.col(n)), F.col(of)).alias(r) for r, (n, of) in RATIOS.items()], *[ratio(F.col(n), F.col(of)).alias(f"_{r}") for r, (n, of) in RATIOS.items()],
+        *[ratio(F.col(n), F.col(of)).alias(r) for r, (n, of) in RATIOS.items()], *[((F.col(n) + F.lit(MORE)) / (F.col(of) + F.lit(OF))).alias(f"_{r}") for r, (n, of) in RATIOS.items()],
     )
 
 
@@ -95,7 +94,7 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", column: str = "tex
     """One row for each row of `docs`: id, the base metrics, base_failed, kept, the ratios and their fences.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated 5-word windows.
-    kept: not base_failed, and no ratio's lower bound (the column of that name) above its fence. Null
+    kept: not base_failed, and no ratio above its fence. Null
     languages or sources are a group of their own. Ties and repeated rows get the same verdict; an
     empty table gives an empty table. Other columns of the input are ignored, whatever their names.
     """

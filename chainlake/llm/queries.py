@@ -91,9 +91,9 @@ def _op10_sql() -> str:
     """Base metrics by list functions; fences by exact discrete quartiles, which the sketches equal on small groups."""
     r = quality_rules
     of = {"n_symbols": "n_symbols", "n_dup_lines": "n_dup_lines", "_upper": "n_upper", "_bangs": "n_bangs", "word_chars": "word_chars", "_lines": "n_lines", "n_words": "n_words"}
-    ratios = ", ".join(f"coalesce({of[n]} / nullif({of[d]}, 0), 0) AS r_{x}, coalesce(greatest({of[n]} - {r.DOUBT} * sqrt({of[n]}), 0.0) / nullif({of[d]}, 0), 0) AS {x}" for x, (n, d) in r.RATIOS.items())
+    ratios = ", ".join(f"coalesce({of[n]} / nullif({of[d]}, 0), 0) AS {x}, ({of[n]} + {r.MORE}::DOUBLE) / ({of[d]} + {r.OF}::DOUBLE) AS r_{x}" for x, (n, d) in r.RATIOS.items())
     quartile = lambda x, q: f"quantile_disc(r_{x}, {q})"
-    fences = ", ".join(f"{quartile(x, 0.75)} + {r.SPREADS} * ({quartile(x, 0.75)} - {quartile(x, 0.25)}) AS {x}_fence" for x in r.RATIOS)
+    fences = ", ".join(f"{quartile(x, 0.75)} + {r.SPREADS}::DOUBLE * ({quartile(x, 0.75)} - {quartile(x, 0.25)}) AS {x}_fence" for x in r.RATIOS)
     within = " AND ".join(f"{x} <= {x}_fence" for x in r.RATIOS)
     columns = ", ".join(f"{x}, {x}_fence" for x in r.RATIOS)
     return rf"""

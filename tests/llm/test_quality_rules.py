@@ -44,3 +44,20 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "en", "s")], "doc_id long, text string, lang string, source string")
     plan = q.base_metrics(df, ["doc_id"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_length_alone_changes_no_verdict(spark):
+    """A few symbols in a long clean text are let through, and a text twice as long with the same ratios has the same verdict."""
+    own = lambda i, n, every: " ".join(f"w{i}x{j}" + ("%" if every and j % every == 0 else "") for j in range(n))
+    rows = [(i, own(i, 20 + i % 400, 0), "en", "a") for i in range(300)]
+    rows += [(1000 + k, own(1000 + k, 20_000, 20_000 // k), "en", "a") for k in (1, 4, 5, 6, 50)]
+    rows += [(2000 + n, own(2000 + n, 400 * n, 2), "en", "a") for n in (1, 2, 4, 8)] + [(3000 + n, own(3000 + n, 400 * n, 400), "en", "a") for n in (1, 2, 4, 8)]
+    got = {x.doc_id: x.kept for x in q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[1000 + k] for k in (1, 4, 5, 6, 50)) and all(got[i] for i in range(300))
+    assert not any(got[2000 + n] for n in (1, 2, 4, 8)) and all(got[3000 + n] for n in (1, 2, 4, 8))
+
+
+def test_fences_carry_signal(spark):
+    found = q.fences(q.base_metrics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), ["lang", "source"])).toPandas()
+    for r in q.RATIOS:
+        assert found[f"{r}_fence"].nunique() > 10 and (found[f"{r}_fence"] > 0).all()
