@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chainlake.llm import shared
 from chainlake.llm.decontamination import decontaminate
-from chainlake.llm.importance import importance_sample
+from chainlake.llm.importance import important_rows
 from chainlake.llm.mixing import mix
 from chainlake.llm.ngram_join import ngram_join
 from chainlake.llm.queries import MIX_SHARES, PII_KEY, TEXTS_AT_ONCE, domains
@@ -26,8 +26,8 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample keeps; rows of equal id stay if one of them does."""
-    return _only(docs, importance_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept"))
+    """Documents that the importance sample keeps, row by row."""
+    return important_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with n_tokens, their domain posteriors and the rate they are to be used at."""
-    rates = mix(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), MIX_SHARES)
-    rates = rates.groupBy(F.col("doc_id").alias("_id")).agg(*[F.max(c).alias(c) for c in rates.columns if c != "doc_id"])
-    return docs.join(rates, docs["doc_id"].eqNullSafe(rates["_id"]), "left").drop("_id")
+    return mix(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), MIX_SHARES, carry=docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
