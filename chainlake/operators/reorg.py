@@ -90,15 +90,14 @@ def rewrite_reorg(
     """Repair stored tables {name: path}: note the reorganisation, delete (ancestor, tip] everywhere, append the replay, refresh rollups.
 
     Children that were created in deleted blocks go with them, as their table holds block_number too. messages:
-    a table that gets a row (chain_id, ancestor, tip, depth), once. last: the name of the table that tells
+    a table that gets a row (chain_id, ancestor, tip, depth, below_finality), once. A fork deeper than the chain's
+    finality is repaired like any other; below_finality says so. last: the name of the table that tells
     whether a repair is needed; it is repaired after all others, so that an attempt that fails is made again.
-    Refuses to go below what is final. Every step can be repeated after a failure: the deletion
-    removes what an earlier attempt has appended.
+    Every step can be repeated after a failure: the deletion removes what an earlier attempt has appended.
     """
-    if tip - ancestor > FINALITY.get(chain_id, DEFAULT_FINALITY):
-        raise ValueError(f"blocks {ancestor + 1} to {tip} of chain {chain_id} are final in part")
+    below = tip - ancestor > FINALITY.get(chain_id, DEFAULT_FINALITY)
     if messages:
-        row = spark.range(1).select(F.lit(chain_id).cast("int").alias("chain_id"), F.lit(ancestor).cast("bigint").alias("block_number"), F.lit(tip).cast("bigint").alias("tip"), F.lit(tip - ancestor).cast("bigint").alias("depth"))
+        row = spark.range(1).select(F.lit(chain_id).cast("int").alias("chain_id"), F.lit(ancestor).cast("bigint").alias("block_number"), F.lit(tip).cast("bigint").alias("tip"), F.lit(tip - ancestor).cast("bigint").alias("depth"), F.lit(below).alias("below_finality"))
         insert_new(row, messages, ["chain_id", "block_number", "tip"])
     for name in sorted(store, key=lambda n: n == last):
         path = store[name]

@@ -56,27 +56,41 @@ def _replaced(stored: DataFrame, new: DataFrame, start: int, end: int | None) ->
     return stored.where(old if end is None else old | (F.unix_timestamp("bucket") >= end)).unionByName(new)
 
 
-def refresh_stored(spark: SparkSession, events: DataFrame, path: str, interval: str, from_seconds: int, metrics: list[tuple[str, Column | str]] = (), blocks: DataFrame | None = None) -> None:
+def refresh_stored(spark: SparkSession, events: DataFrame, path: str, interval: str, from_seconds: int | dict[int, int], metrics: list[tuple[str, Column | str]] = (), blocks: DataFrame | None = None) -> None:
     """Recompute the buckets from that of `from_seconds` on in a stored rollup, which is partitioned by chain_id and bucket_date.
 
-    Only the days from that bucket's on are rewritten. blocks: headers, whose times give the first block
+    from_seconds: of all chains, or of each chain that is to be recomputed; other chains are neither read nor written.
+    Only the days from that bucket's on are rewritten. blocks: headers, whose times give each chain's first block
     that is needed, so that older partitions of `events` aren't read.
     """
     width, origin = INTERVALS[interval][0], MONDAY if interval == "1w" else 0
-    start = from_seconds - (from_seconds - origin) % width
-    start -= start % 86_400  # whole days, as they are partitions
+
+    def day_of(seconds: int) -> int:
+        start = seconds - (seconds - origin) % width
+        return start - start % 86_400  # whole days, as they are partitions
+
+    of_all = None if isinstance(from_seconds, dict) else day_of(from_seconds)
+    starts = {c: day_of(t) for c, t in from_seconds.items()} if of_all is None else {}
+    chain = F.col("chain_id")
+    either = lambda of: of_all_or({c: (chain == c) & of(t) for c, t in starts.items()}) if of_all is None else of(of_all)
     if blocks is not None:
-        first = blocks.where(F.col("block_timestamp") >= start).agg(F.min("block_number")).first()[0]
-        events = events.where(F.col("block_number") >= (first or 0))
-        if "block_bucket" in events.columns:
-            events = events.where(F.col("block_bucket") >= (first or 0) // BUCKET)
-    new = rollup(touched(events, interval, start), interval, metrics).withColumn("bucket_date", F.to_date("bucket"))
-    there = exists(spark, path)
-    day = F.to_date(F.timestamp_seconds(F.lit(start)))
-    hit = spark.read.parquet(path).where(F.col("bucket_date") >= day) if there else new
+        first = {r.chain_id: r.b for r in blocks.where(either(lambda t: F.col("block_timestamp") >= t)).groupBy("chain_id").agg(F.min("block_number").alias("b")).collect()}  # a row for each chain
+        bucketed = "block_bucket" in events.columns
+        events = events.where(of_all_or({c: (chain == c) & (F.col("block_number") >= b) & ((F.col("block_bucket") >= b // BUCKET) if bucketed else F.lit(True)) for c, b in first.items()}))
+    new = rollup(events.where(either(lambda t: F.col("block_timestamp") >= t)), interval, metrics).withColumn("bucket_date", F.to_date("bucket"))
+    day = lambda t: F.col("bucket_date") >= F.to_date(F.timestamp_seconds(F.lit(t)))
+    hit = spark.read.parquet(path).where(either(day)) if exists(spark, path) else None
     replace_partitions(spark, new, path, ["chain_id", "bucket_date"], hit)
 
 
+def of_all_or(conditions: dict[int, Column]) -> Column:
+    """Any of the conditions, of which there is one for each chain."""
+    out = F.lit(False)
+    for c in conditions.values():
+        out = out | c
+    return out
+
+
 def coarsen(rolled: DataFrame, to: str, sums: list[str] = ()) -> DataFrame:
     """A coarser rollup from a finer one, of what adds up: event_count and the given metrics."""
     bucket = F.timestamp_seconds(bucket_start(F.unix_timestamp("bucket"), to)).alias("bucket")

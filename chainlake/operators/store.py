@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlake.operators.shaping import BUCKET
@@ -54,8 +54,8 @@ def read(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataF
 
 
 def new_rows(df: DataFrame, stored: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Rows whose key isn't stored, one of each key."""
-    return first_by_key(df, keys, order).join(stored.select(*keys), keys, "left_anti")
+    """Rows whose key isn't stored, one of each key: what is stored already goes before keys are made single."""
+    return first_by_key(df.join(stored.select(*keys), keys, "left_anti").select(*df.columns), keys, order)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -70,18 +70,33 @@ def insert_new(df: DataFrame, path: str, keys: list[str], order: list[str] | Non
     append(new_rows(df, of_buckets(df.sparkSession, df, path), keys, order), path)
 
 
+#: Partitions that are named one by one in a filter; of more, each chain's span is.
+NAMED_PARTITIONS = 2_000
+
+
+def bucket_filter(df: DataFrame, below: int = 0, onward: bool = False) -> Column:
+    """A condition on chain_id and block_bucket: the partitions that `df` has rows of, of each chain its own.
+
+    below: how many blocks lower than its lowest a chain's rows may be; onward: whether its higher buckets count too.
+    """
+    pairs = df.select("chain_id", F.floor((F.col("block_number") - below) / BUCKET).cast("bigint").alias("low"), F.floor(F.col("block_number") / BUCKET).cast("bigint").alias("high")).distinct()
+    spans = pairs.groupBy("chain_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("high")), 1, NAMED_PARTITIONS).alias("named")).collect()
+    chain, bucket, out = F.col("chain_id"), F.col("block_bucket"), F.lit(False)
+    few = sum(r.n for r in spans) <= NAMED_PARTITIONS and not below and not onward
+    for r in spans:
+        of_chain = bucket.isin(r.named) if few else bucket >= r.low if onward else bucket.between(r.low, r.high)
+        out = out | ((chain == r.chain_id) & of_chain)
+    return out
+
+
 def of_buckets(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """The stored rows of the block buckets that `df` has rows of; the range reaches the scan as a partition filter."""
-    span = with_bucket(df).agg(F.min("block_bucket").alias("low"), F.max("block_bucket").alias("high")).first()
-    stored = read(spark, path, with_bucket(df))
-    return stored.limit(0) if span.low is None else stored.where(F.col("block_bucket").between(span.low, span.high))
+    """The stored rows of the partitions that `df` has rows of; other chains' and other buckets' files aren't read."""
+    return read(spark, path, with_bucket(df)).where(bucket_filter(df))
 
 
 def of_buckets_from(spark: SparkSession, df: DataFrame, path: str, depth: int) -> DataFrame:
-    """The stored rows from `depth` blocks below the lowest of `df` on."""
-    low = df.agg(F.min("block_number")).first()[0]
-    stored = read(spark, path, with_bucket(df)).drop("block_bucket") if low is None else read(spark, path, with_bucket(df)).where(F.col("block_bucket") >= max(low - depth, 0) // BUCKET).drop("block_bucket")
-    return stored.select(*df.columns)
+    """The stored rows of the chains of `df`, from `depth` blocks below a chain's lowest on."""
+    return read(spark, path, with_bucket(df)).where(bucket_filter(df, depth, onward=True)).select(*df.columns)
 
 
 def conflicts(df: DataFrame, stored: DataFrame, keys: list[str]) -> int:
@@ -107,8 +122,8 @@ def without_range(df: DataFrame, chain_id: int, low: int, high: int, block: str
     return df.where((F.col("chain_id") != chain_id) | ~F.col(block).between(low, high))
 
 
-def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, columns: list[str], hit: DataFrame) -> None:
-    """Replace the partitions in `hit` (a row of `columns` for each) by `rows`, which may come from the same table.
+def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, columns: list[str], hit: DataFrame | None) -> None:
+    """Replace the partitions in `hit` (a row of `columns` for each; None for none) by `rows`, which may come from the same table.
 
     The rows are written aside first, in a folder of their own; partitions without rows are dropped.
     """
@@ -116,7 +131,7 @@ def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, columns:
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     aside = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
     rows.write.partitionBy(*columns).parquet(aside)
-    wanted = {tuple(r) for r in hit.select(*columns).distinct().collect()}  # the partitions that are replaced
+    wanted = {tuple(r) for r in hit.select(*columns).distinct().collect()} if hit is not None else set()  # the partitions that are replaced
     kept = spark.read.schema(rows.schema).parquet(aside)
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
     full = {tuple(r) for r in kept.select(*columns).distinct().collect()}

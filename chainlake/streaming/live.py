@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from chainlake.operators import decode, factory, reorg, rollup, store
+from chainlake.operators import decode, factory, forks, reorg, rollup, store
 from chainlake.operators.filters import Rule, condition
 from chainlake.operators.rollup import INTERVALS
 from chainlake.operators.shaping import BUCKET
 from chainlake.operators.store import with_bucket
+from chainlake.sources import scratch
 from chainlake.sources.abi import Definition
 
 EVENT_KEY = ["chain_id", "block_number", "tx_index", "log_index"]
@@ -67,95 +69,149 @@ def stream_rollup(stream: DataFrame, interval: str, delay: str, metrics: list[tu
 
 
 BLOCK_KEY = ["chain_id", "block_number"]
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+REORG = "chain_id int, block_number long, parent_hash string, stored_hash string"
 
 
-def _one_of_each(blocks: DataFrame) -> DataFrame:
-    """One row of each number: of several, the one that another block of the batch names as its parent, else the least hash."""
-    named = blocks.select("chain_id", (F.col("block_number") - 1).alias("block_number"), F.col("parent_hash").alias("block_hash"), F.lit(0).alias("_other")).distinct()
-    marked = blocks.join(named, [*BLOCK_KEY, "block_hash"], "left").withColumn("_other", F.coalesce("_other", F.lit(1)))
-    return store.first_by_key(marked, BLOCK_KEY, ["_other", "block_hash"]).select(*blocks.columns)
+class Forks(StatefulProcessor):
+    """One chain's blocks of all branches within the newest `depth` numbers of the chosen one, as state.
 
+    The same choice as forks.best_branch, among the state and a batch's blocks of the chain, which the task holds: a
+    source's rate is to be limited accordingly (some 200 bytes a block).
+    """
 
-def _off_chain(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """(chain_id, block_number, parent_hash, stored_hash) of blocks whose parent isn't the block before them, which is looked for in the batch first."""
-    before = lambda df: df.select("chain_id", (F.col("block_number") + 1).alias("block_number"), F.col("block_hash").alias("stored_hash"))
-    parents = before(blocks).unionByName(before(known.join(blocks, BLOCK_KEY, "left_anti")))
-    return blocks.select(*BLOCK_KEY, "parent_hash").join(parents, BLOCK_KEY).where("parent_hash <> stored_hash")
+    def __init__(self, depth: int):
+        self.depth = depth
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.blocks = handle.getListState("blocks", "number long, hash string, parent string, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = {(n, h): [p, told] for n, h, p, told in self.blocks.get()}
+        new = set()
+        for part in rows:
+            for n, h, p in zip(part["block_number"].tolist(), part["block_hash"], part["parent_hash"], strict=True):
+                if (n, h) not in held:
+                    held[n, h] = [p, False]
+                    new.add((n, h))
+        best = {at: (-at[0], at not in new, at[1]) for at in held}
+        chosen: dict[int, tuple[int, str]] = {}
+        for at in sorted(held, key=lambda x: -x[0]):  # from the tips down
+            below = (at[0] - 1, held[at][0])
+            if below in best:
+                best[below] = min(best[below], best[at])
+        for at in held:
+            if at[0] not in chosen or best[at] < best[chosen[at[0]]]:
+                chosen[at[0]] = at
+        found = []
+        for n, at in chosen.items():
+            parent, told = held[at]
+            if n - 1 in chosen and chosen[n - 1][1] != parent and not told:
+                held[at][1] = True
+                found.append((key[0], n, parent, chosen[n - 1][1]))
+        low = sorted(chosen, reverse=True)[: self.depth][-1]
+        self.blocks.put([(n, h, p, told) for (n, h), (p, told) in held.items() if n >= low])
+        yield pd.DataFrame(found, columns=["chain_id", "block_number", "parent_hash", "stored_hash"])
+
+    def close(self) -> None:
+        pass
 
 
 def detect_reorgs(stream: DataFrame, folder: str, depth: int, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Append to `folder`/reorgs (chain_id, block_number, parent_hash, stored_hash) of blocks that don't continue the known ones.
 
-    Known are the newest `depth` blocks of each chain; a batch's blocks replace those from its lowest number on. They
-    are joined by number, so that a long backlog is spread over tasks, and kept in a table for each
-    batch: a batch that is replayed starts from the one before it.
+    Known is, of each chain, the best branch among the blocks of the newest `depth` numbers (highest tip, of equal ones
+    a batch's, then the least hash): keyed state, kept with the checkpoint. A block is told of once. However the
+    stream is cut into batches, the rows are those of all its blocks at once, as long as the branch that wins is the one that stays.
     """
-    columns = ("chain_id", "block_number", "block_hash", "parent_hash")
-
-    def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        blocks = _one_of_each(rows.select(*columns)).persist()
-        try:
-            known = store.read(spark, f"{folder}/known/{number - 1}", blocks)
-            store.insert_new(_off_chain(blocks, known), f"{folder}/reorgs", BLOCK_KEY)
-            lowest = F.broadcast(blocks.groupBy("chain_id").agg(F.min("block_number").alias("_low")))  # a row for each chain
-            below = known.join(lowest, "chain_id", "left").where("_low is null or block_number < _low").drop("_low")
-            reorg.known_window(below.unionByName(blocks), depth).write.mode("overwrite").parquet(f"{folder}/known/{number}")
-            store.remove(spark, f"{folder}/known/{number - 2}")
-        finally:
-            blocks.unpersist()
-
-    return _started(stream, batch, checkpoint, trigger or {"availableNow": True})
+    spark = stream.sparkSession
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)  # as keyed state with several values needs it; the query takes its settings when it starts
+    try:
+        found = stream.select(*BLOCK_KEY, "block_hash", "parent_hash").groupBy("chain_id").transformWithStateInPandas(Forks(depth), REORG, "Append", "None")
+        return found.writeStream.format("parquet").option("path", f"{folder}/reorgs").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 LOG_OF_BLOCK = "array<struct<tx_index:int,log_index:int,block_hash:string,tx_hash:string,address:string,topic0:string,topic1:string,topic2:string,topic3:string,data:string>>"
 
 
 def live_sync(
-    stream: DataFrame, folder: str, registry: list[Definition], rules: list[Rule], factories: list[factory.Factory], checkpoint: str, depth: int = 64, interval: str = "1h", sinks: Callable[[dict[str, DataFrame]], None] | None = None, trigger: dict | None = None
+    stream: DataFrame, folder: str, registry: list[Definition], rules: list[Rule], factories: list[factory.Factory], checkpoint: str, depth: int = 64, interval: str = "1h", sinks: Callable[[dict[str, DataFrame]], None] | None = None, trigger: dict | None = None, also: tuple[str, ...] = ()
 ) -> StreamingQuery:
     """Follow chains block by block, reorganisations included. The stream has a row for each block: chain_id,
     block_number, block_hash, parent_hash, block_timestamp and logs (LOG_OF_BLOCK).
 
-    Each batch: logs whose hash isn't their header's go to `rejected`. Where blocks don't continue the
-    stored chain, or replace stored blocks, everything above the common ancestor is deleted from all tables
-    (children that were created there too) and a row goes to `reorgs`; then blocks, logs, decoded events, factory
-    children and their events are inserted, and the rollup is refreshed from the ancestor's time on.
-    If the batch doesn't reach down to the fork, the whole known window goes, as it may be orphaned, and
-    the source has to send it again. Every write is by key, and blocks are repaired last, so a replayed batch
-    ends in the same state.
+    Each batch joins the stored window and the blocks of all branches that the last `depth` numbers hold
+    (`pool`); of these one chain is chosen (forks.best_branch: highest tip, of equal ones the batch's, then the least hash).
+    Stored blocks that aren't on it go from all tables, and all above them, however deep below finality; so
+    do the rows of `also`, tables under `folder` that others fill (traces, account events and ledgers), and
+    children that were created there. A row goes to `reorgs`. Then what is chosen and not stored is inserted: blocks,
+    logs, decoded events, factory children and their events; logs whose hash isn't their header's go to `rejected`. The
+    rollup is refreshed from the ancestor's time on, of the batch's chains only. So blocks may come in any order and in any batches,
+    as long as branches differ in their last `depth` numbers.
+
+    If a chosen block's parent isn't there and another block stands in its place, then what is known below it
+    may be orphaned: the whole known window goes, and the source has to send it again. Every write is by key, and blocks are
+    written last, so a replayed batch, which starts from the pool before it, ends in the same state.
     """
-    tables = {n: f"{folder}/{n}" for n in ("blocks", "raw_events", "factory_children", "child_events", *(d.table for d in registry))}
-
-    def repair(spark, blocks: DataFrame, stored: DataFrame) -> list[int]:
-        """Times from which rollups are out of date."""
-        since = []
-        known = reorg.known_window(stored, depth)
-        replaced = blocks.select(*BLOCK_KEY, "block_hash").join(known.select(*BLOCK_KEY, F.col("block_hash").alias("_old")), BLOCK_KEY).where("block_hash <> _old")
-        lost = _off_chain(blocks, known).groupBy("chain_id").agg(F.min("block_number").alias("lost"))
-        fork = replaced.groupBy("chain_id").agg(F.min("block_number").alias("fork"))
-        window = known.groupBy("chain_id").agg(F.min("block_number").alias("low"), F.max("block_number").alias("tip"))
-        for r in fork.join(lost, "chain_id", "full_outer").join(window, "chain_id").collect():  # a row for each chain that forks
-            final = r.tip - reorg.FINALITY.get(r.chain_id, reorg.DEFAULT_FINALITY)
-            ancestor = r.fork - 1 if r.lost is None else max(r.low - 1, final)
-            if ancestor < r.tip:
-                since += [x.t for x in [known.where((F.col("chain_id") == r.chain_id) & (F.col("block_number") > ancestor)).agg(F.min("block_timestamp").alias("t")).first()] if x.t is not None]
-                reorg.rewrite_reorg(spark, tables, r.chain_id, ancestor, r.tip, messages=f"{folder}/reorgs", last="blocks")
+    tables = {n: f"{folder}/{n}" for n in ("blocks", "raw_events", "factory_children", "child_events", *also, *(d.table for d in registry))}
+
+    def repair(spark, known: DataFrame, chosen: DataFrame) -> dict[int, int]:
+        """Delete what is stored and not chosen; the times, of each chain, from which rollups are out of date."""
+        since = {}
+        mine = chosen.select(*BLOCK_KEY, F.col("block_hash").alias("_right"))
+        wrong = known.join(mine, BLOCK_KEY, "left").where("not block_hash <=> _right")  # each known number is among the nodes
+        forks = wrong.groupBy("chain_id").agg(F.min("block_number").alias("fork"))
+        tips = known.groupBy("chain_id").agg(F.max("block_number").alias("tip"))
+        for r in forks.join(tips, "chain_id").collect():  # a row for each chain that forks
+            since[r.chain_id] = known.where((F.col("chain_id") == r.chain_id) & (F.col("block_number") >= r.fork)).agg(F.min("block_timestamp")).first()[0]
+            reorg.rewrite_reorg(spark, tables, r.chain_id, r.fork - 1, r.tip, messages=f"{folder}/reorgs", last="blocks")
         return since
 
-    def batch(rows: DataFrame, _id: int) -> None:
+    def settled(nodes: DataFrame, known: DataFrame, aside: str) -> tuple[DataFrame, DataFrame]:
+        """(nodes, chosen ones) without the windows below blocks that don't continue them."""
+        chosen = forks.best_branch(nodes, aside)
+        broken = forks.breaks(chosen).select("chain_id", "block_number", "stored_hash")
+        if not broken.limit(1).count():
+            return nodes, chosen
+        window = known.groupBy("chain_id").agg(F.min("block_number").alias("_low"))
+        held = known.select("chain_id", F.col("block_hash").alias("stored_hash"), F.lit(True).alias("_held"))
+        spans = broken.join(held, ["chain_id", "stored_hash"], "left").join(window, "chain_id", "left")
+        spans = spans.select("chain_id", F.when(F.col("_held"), F.least("_low", F.col("block_number") - depth)).otherwise(F.col("block_number") - depth).alias("_a"), (F.col("block_number") - 1).alias("_b"))
+        spans = spans.groupBy("chain_id").agg(F.collect_list(F.struct("_a", "_b")).alias("_gone"))  # one for each break of a batch
+        out = F.exists(F.coalesce("_gone", F.array().cast("array<struct<_a:bigint,_b:bigint>>")), lambda g: F.col("block_number").between(g["_a"], g["_b"]))
+        drop = lambda df: df.join(F.broadcast(spans), "chain_id", "left").where(~out).drop("_gone")
+        return drop(nodes), drop(chosen)
+
+    def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows = _one_of_each(rows).persist()
+        columns, heads = rows.columns, [c for c in rows.columns if c != "logs"]
+        ordered = rows.withColumn("_fewer", -F.size(F.coalesce("logs", F.array().cast(LOG_OF_BLOCK)))).withColumn("_text", F.xxhash64(*columns))
+        rows = store.first_by_key(ordered, forks.NODE, ["_fewer", "_text"]).select(*columns).persist()
+        aside = scratch.new_folder(spark, "sync")
         try:
-            first = rows.agg(F.min("block_timestamp").alias("t")).first()
-            if first.t is None:
+            first = {r.chain_id: r.t for r in rows.groupBy("chain_id").agg(F.min("block_timestamp").alias("t")).collect()}  # a row for each chain
+            if not first:
                 return
-            blocks = rows.drop("logs")
-            logs = rows.select(*BLOCK_KEY, F.col("block_hash").alias("_head"), "block_timestamp", F.explode("logs").alias("l")).select(*BLOCK_KEY, "_head", "block_timestamp", "l.*")
+            known = scratch.written(reorg.known_window(store.of_buckets_from(spark, rows.select(*heads), tables["blocks"], depth), depth), f"{aside}/known")
+            pool = store.read(spark, f"{folder}/pool/{number - 1}", rows)
+            mine = pool.where(F.col("chain_id").isin(list(first)))
+            side = mine.join(rows, forks.NODE, "left_anti").withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+            bare = known.join(side, forks.NODE, "left_anti").withColumn("logs", F.lit(None).cast(LOG_OF_BLOCK)).withColumn("_new", F.lit(0))
+            nodes = scratch.written(side.unionByName(bare), f"{aside}/nodes")
+            nodes, chosen = settled(nodes, known, f"{aside}/branches")
+            chosen = scratch.written(chosen.drop("_new"), f"{aside}/chosen")
+            since = repair(spark, known, chosen)
+            fresh = chosen.where("logs is not null").join(store.of_buckets(spark, chosen.select(*heads), tables["blocks"]).select(*BLOCK_KEY), BLOCK_KEY, "left_anti")
+            fresh = scratch.written(fresh.select(*columns), f"{aside}/fresh")
+            blocks = fresh.drop("logs")
+            logs = fresh.select(*BLOCK_KEY, F.col("block_hash").alias("_head"), "block_timestamp", F.explode("logs").alias("l")).select(*BLOCK_KEY, "_head", "block_timestamp", "l.*")
             wrong = F.coalesce((F.col("block_hash") != "") & (F.col("_head") != "") & (F.col("block_hash") != F.col("_head")), F.lit(False))
             store.insert_new(logs.where(wrong).drop("_head"), f"{folder}/rejected", [*EVENT_KEY, "block_hash"])
             logs = logs.where(~wrong).drop("_head").withColumn("address", F.lower("address")).select(*EVENT_KEY, "block_hash", "block_timestamp", "tx_hash", "address", "topic0", "topic1", "topic2", "topic3", "data")
-            since = repair(spark, blocks, store.of_buckets_from(spark, blocks, tables["blocks"], depth))
             store.insert_new(logs, tables["raw_events"], EVENT_KEY)
             made = {}
             for d in registry:
@@ -166,11 +222,18 @@ def live_sync(
             store.insert_new(blocks, tables["blocks"], BLOCK_KEY)
             raw = spark.read.parquet(tables["raw_events"]) if store.exists(spark, tables["raw_events"]) else None
             if raw is not None:
-                rollup.refresh_stored(spark, raw, f"{folder}/rollup{INTERVALS[interval][1]}", interval, min([first.t, *since]), blocks=spark.read.parquet(tables["blocks"]))
+                times = {c: min(x) for c in first if (x := [t for t in (first[c], since.get(c)) if t is not None])}
+                rollup.refresh_stored(spark, raw, f"{folder}/rollup{INTERVALS[interval][1]}", interval, times, blocks=spark.read.parquet(tables["blocks"]))
             if sinks:
                 sinks(made)
+            lowest = reorg.known_window(chosen.select(*heads), depth).groupBy("chain_id").agg(F.min("block_number").alias("_low"))
+            kept = nodes.where("logs is not null").drop("_new").join(F.broadcast(lowest), "chain_id", "left").where("_low is null or block_number >= _low").select(*columns)
+            others = pool.where(~F.col("chain_id").isin(list(first)))
+            kept.unionByName(others).write.mode("overwrite").parquet(f"{folder}/pool/{number}")
+            store.remove(spark, f"{folder}/pool/{number - 2}")
         finally:
             rows.unpersist()
+            store.remove(spark, aside)
 
     return _started(stream, batch, checkpoint, trigger or {"availableNow": True})
 
