@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET = 100_000
@@ -34,11 +34,17 @@ def stats(df: DataFrame, keys: tuple[str, ...] = ("chain_id",)) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("block_number").alias("earliest"), F.max("block_number").alias("latest"), F.count("*").alias("rows"))
 
 
-def present(df: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The given blocks (block_number, and chain_id if it is there) with present: without chain_id, whether any chain has the number."""
-    keys = [c for c in ("chain_id", "block_number") if c in blocks.columns]
-    have = df.select(*keys).distinct().withColumn("present", F.lit(True))
-    return blocks.select(*keys).join(have, keys, "left").select(*keys, F.coalesce("present", F.lit(False)).alias("present"))
+def stored_stats(spark: SparkSession, path: str, keys: tuple[str, ...] = ("chain_id",), layout: tuple[str, ...] = ("chain_id", "block_bucket")) -> DataFrame:
+    """`stats` of a stored table, from its files' footers: min, max and count are pushed to the scan, which reads no column.
+
+    keys: partition columns, of which the table has `layout`; the scan has a row for each file and partition. The settings that
+    this needs are those of a session of its own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    parts = stats(own.read.parquet(path), layout)
+    return parts.groupBy(*keys).agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"), F.sum("rows").alias("rows"))
 
 
 def address_set(*frames: DataFrame) -> DataFrame:

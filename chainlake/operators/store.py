@@ -122,7 +122,7 @@ def without_range(df: DataFrame, chain_id: int, low: int, high: int, block: str
     return df.where((F.col("chain_id") != chain_id) | ~F.col(block).between(low, high))
 
 
-def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, columns: list[str], hit: DataFrame | None) -> None:
+def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, columns: list[str], hit: DataFrame | None, options: dict[str, str] = {}) -> None:
     """Replace the partitions in `hit` (a row of `columns` for each; None for none) by `rows`, which may come from the same table.
 
     The rows are written aside first, in a folder of their own; partitions without rows are dropped.
@@ -133,7 +133,7 @@ def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, columns:
     rows.write.partitionBy(*columns).parquet(aside)
     wanted = {tuple(r) for r in hit.select(*columns).distinct().collect()} if hit is not None else set()  # the partitions that are replaced
     kept = spark.read.schema(rows.schema).parquet(aside)
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    kept.write.mode("overwrite").options(**options).option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
     full = {tuple(r) for r in kept.select(*columns).distinct().collect()}
     for gone in wanted - full:
         fs.delete(fs_path("/".join([path.rstrip("/"), *[f"{c}={v}" for c, v in zip(columns, gone, strict=True)]])), True)
@@ -155,15 +155,22 @@ def delete_everywhere(spark: SparkSession, tables: dict[str, str], chain_id: int
     return there
 
 
-def compact(spark: SparkSession, path: str, older_than: int, to: str | None = None) -> None:
+#: How cold partitions are stored: a stronger codec, Bloom filters of what is looked up, row groups small enough to be passed over.
+COLD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.block.size": str(8 << 20)}
+LOOKED_UP = ("address", "topic0", "from_address", "to_address")
+
+
+def compact(spark: SparkSession, path: str, older_than: int, to: str | None = None, options: dict[str, str] = COLD) -> None:
     """Rewrite the buckets whose blocks are all below `older_than`, clustered by bucket, address and newest block first; elsewhere if `to` is given.
 
-    A large bucket is cut by ranges of address and block among several tasks.
+    A large bucket is cut by ranges of address and block among several tasks. The files get `options`, and Bloom filters on
+    the columns of LOOKED_UP, so that a lookup passes over row groups that can't hold its address or topic.
     """
     old = spark.read.parquet(path).where(F.col("block_bucket") < older_than // BUCKET)
     order = [c for c in ("address", "from_address") if c in old.columns][:1]
     clustered = old.repartitionByRange(*LAYOUT, *order, "block_number").sortWithinPartitions(*LAYOUT, *order, F.desc("block_number"))
+    tier = {**options, **{f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP if c in old.columns}}
     if to:
-        clustered.write.mode("overwrite").partitionBy(*LAYOUT).parquet(to)
+        clustered.write.mode("overwrite").options(**tier).partitionBy(*LAYOUT).parquet(to)
     else:
-        replace_partitions(spark, clustered, path, LAYOUT, old)
+        replace_partitions(spark, clustered, path, LAYOUT, old, tier)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chainlake.functions import abi_words, wide
 from chainlake.operators import accounts, decode, factory, filters, progress, quality, reorg, rollup, shaping, sinks, store, views
+from chainlake.operators.snapshots import Snapshots
 from chainlake.plans.contracts import EVENTS, FACTORIES, FACTORY_ADDRESS, FUNCTIONS, GENESIS, RULES
 from chainlake.plans.lenses import lens, with_lenses
 from chainlake.sources import ingest
@@ -51,6 +52,14 @@ def _stamp(c: str) -> Column:
 # -- scans, ingest, shaping
 
 
+@query("SELECT chain_id, min(block_number) AS earliest, max(block_number) AS latest, count(*) AS rows FROM fx_raw_events GROUP BY ALL")
+def stored_table_stats(spark, sf):
+    """From the footers of a stored table."""
+    path = new_folder(spark, "stats")
+    store.append(lens(spark, sf, "fx_raw_events"), path)
+    return shaping.stored_stats(spark, path)
+
+
 @query("SELECT chain_id, block_number, tx_index, log_index, address, topic0 FROM fx_raw_events WHERE chain_id = 1 AND block_number BETWEEN 10000845 AND 10000864")
 def scan_range(spark, sf):
     return shaping.scan_range(lens(spark, sf, "fx_raw_events"), 1, GENESIS + 10, GENESIS + 29).select("chain_id", "block_number", "tx_index", "log_index", "address", "topic0")
@@ -66,7 +75,7 @@ SELECT n.block_number, b.block_number IS NOT NULL AS present
 FROM (SELECT CAST(10000835 + unnest(range(0, 200000, 7)) AS BIGINT) AS block_number) n LEFT JOIN fx_blocks b ON b.block_number = n.block_number""")
 def blocks_present(spark, sf):
     wanted = spark.range(GENESIS, GENESIS + 200_000, 7).toDF("block_number")
-    return shaping.present(lens(spark, sf, "fx_blocks"), wanted)
+    return quality.present(lens(spark, sf, "fx_blocks"), wanted)
 
 
 LOG_COLUMNS = "chain_id, block_number, tx_index, log_index, block_hash, block_timestamp, tx_hash, address, topic0, topic1, topic2, topic3, data"
@@ -220,6 +229,28 @@ def bloom_may_contain(spark, sf):
     return quality.bloom_may_contain(blocks, [FACTORY_ADDRESS]).select("block_number")
 
 
+_BLOOM = "'0x' || " + " || ".join(f"sha256(CAST(block_number * 8 + {i} AS VARCHAR))" for i in range(8))
+
+
+def _some_addresses() -> list[str]:
+    return [f"0x{i * 2654435761 % 2**32:040x}" for i in range(1, 9)]
+
+
+def _bloom_sql() -> str:
+    """The three bits of each address, as places of hex digits and masks, against every block's digits."""
+    bits = ", ".join(str(tuple(quality.bloom_bits(a))) for a in _some_addresses())
+    held = " AND ".join(f"(strpos('0123456789abcdef', substr(bloom, 514 - {c} // 4, 1)) - 1) & (1 << ({c} % 4)) > 0" for c in "abc")
+    return f"""WITH a(a, b, c) AS (VALUES {bits}), k AS (SELECT block_number, {_BLOOM} AS bloom FROM fx_blocks)
+SELECT block_number FROM k WHERE EXISTS (SELECT 1 FROM a WHERE {held})"""
+
+
+@query(_bloom_sql())
+def bloom_may_contain_many(spark, sf):
+    """Eight addresses against blooms made from the block's number, of which half the bits are set."""
+    bloom = F.concat(F.lit("0x"), *[F.sha2((F.col("block_number") * 8 + i).cast("string"), 256) for i in range(8)])
+    return quality.bloom_may_contain(lens(spark, sf, "fx_blocks").withColumn("logs_bloom", bloom), _some_addresses()).select("block_number")
+
+
 @query("SELECT block_number FROM (SELECT CAST(unnest(range(10000835, 10020000)) AS BIGINT) AS block_number) EXCEPT SELECT block_number FROM fx_blocks WHERE block_number % 41 <> 0")
 def missing_blocks(spark, sf):
     return quality.missing_blocks(spark, _damaged(spark, sf)[0], GENESIS, 10_019_999).select("block_number")
@@ -249,7 +280,7 @@ def gap_ranges_by_chain(spark, sf):
 SELECT w.chain_id, w.block_number, two.block_number IS NOT NULL AS present FROM w LEFT JOIN two USING (chain_id, block_number)""")
 def blocks_present_by_chain(spark, sf):
     chains = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("chain_id")
-    return shaping.present(_two_chains(spark, sf), spark.range(GENESIS, GENESIS + 3000, 7).select(chains, F.col("id").alias("block_number")))
+    return quality.present(_two_chains(spark, sf), spark.range(GENESIS, GENESIS + 3000, 7).select(chains, F.col("id").alias("block_number")))
 
 
 @query("""WITH b AS (SELECT block_number, lead(block_number) OVER (ORDER BY block_number) AS n FROM fx_blocks WHERE block_number % 41 <> 0)
@@ -575,6 +606,19 @@ def coarsen(spark, sf):
     return rollup.coarsen(rollup.rollup(lens(spark, sf, "fx_raw_events").where("topic0 is not null"), "1h"), "1d").select("address", _stamp("bucket"), "event_count")
 
 
+@query(f"SELECT address, {_bucket('1d')} AS bucket, count(*) AS event_count, count(DISTINCT tx_hash) AS txs, true AS near FROM fx_raw_events WHERE topic0 IS NOT NULL GROUP BY address, bucket")
+def coarsen_distinct(spark, sf):
+    """Distinct transactions of days from sketches of hours, the days from 2024-01-04 on merged anew: each within 10 % of the exact count (five times the sketch's error), which stands beside it."""
+    events = lens(spark, sf, "fx_raw_events").where("topic0 is not null")
+    hours = rollup.rollup(events, "1h", [("txs", rollup.distinct_sketch("tx_hash"))])
+    old = rollup.coarsen(hours, "1d", sketches=["txs"])
+    old = old.withColumn("txs_estimate", F.when(F.unix_timestamp("bucket") >= 1_704_326_400, 0).otherwise(F.col("txs_estimate")))
+    days = rollup.refresh_coarse(hours, old, "1d", 1_704_330_000, sketches=["txs"])
+    exact = rollup.rollup(events, "1d").select("address", "bucket", F.col("tx_count").alias("exact"))
+    near = F.abs(F.col("txs_estimate") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.1)
+    return days.drop("txs").join(exact, ["address", "bucket"]).select("address", _stamp("bucket"), "event_count", F.col("exact").alias("txs"), near.alias("near"))
+
+
 @query("""WITH s AS (SELECT block_number FROM fx_blocks WHERE block_number % 100 = 0), a AS (SELECT DISTINCT address FROM fx_raw_events)
 SELECT s.block_number, a.address, (SELECT arg_max(r.tx_hash, r.block_number * 100 + r.log_index) FROM fx_raw_events r WHERE r.address = a.address AND r.block_number <= s.block_number) AS tx_hash
 FROM s, a WHERE EXISTS (SELECT 1 FROM fx_raw_events r WHERE r.address = a.address AND r.block_number <= s.block_number)""")
@@ -695,6 +739,24 @@ def compact_in_place(spark, sf):
     return spark.read.parquet(stored).select("block_number", "log_index")
 
 
+@query("""SELECT 'raw' AS what, count(*) AS rows, CAST(sum(block_number) AS BIGINT) AS total FROM fx_raw_events WHERE block_number NOT BETWEEN 10000900 AND 10000950
+UNION ALL SELECT 'traces', count(*), CAST(sum(block_number) AS BIGINT) FROM fx_traces WHERE block_number NOT BETWEEN 10000900 AND 10000950
+UNION ALL SELECT 'replayed', count(*), CAST(sum(block_number) AS BIGINT) FROM fx_raw_events WHERE block_number BETWEEN 10000990 AND 10001000
+UNION ALL SELECT 'restored', count(*), CAST(sum(block_number) AS BIGINT) FROM fx_raw_events""")
+def snapshot_states(spark, sf):
+    """Two tables are deleted from, repaired and compacted, each step in one commit; then the first state is published again."""
+    state = Snapshots(spark, new_folder(spark, "states"))
+    raw, traces = lens(spark, sf, "fx_raw_events"), lens(spark, sf, "fx_traces")
+    state.append({"raw": raw.withColumn("origin", F.lit("first")), "traces": traces})
+    state.delete_range(1, 10_000_900, 10_000_950)
+    state.rewrite_reorg(1, 10_000_989, 10_001_000, {"raw": raw.withColumn("origin", F.lit("replayed")), "traces": traces})
+    state.compact(10_100_000)
+    of = lambda what, df: df.agg(F.lit(what).alias("what"), F.count("*").alias("rows"), F.sum("block_number").alias("total"))
+    now = [of("raw", state.read("raw")), of("traces", state.read("traces")), of("replayed", state.read("raw").where("origin = 'replayed'"))]
+    state.restore(1)
+    return reduce(DataFrame.unionByName, [*now, of("restored", state.read("raw"))])
+
+
 @query(f"SELECT 'old' AS deployment, count(*) AS rows FROM fx_raw_events WHERE topic0 = '{TRANSFER}' UNION ALL SELECT 'new', count(*) FROM fx_raw_events WHERE topic0 = '{SWAP}'")
 def cutover(spark, sf):
     """One reader's view, before and after it is pointed to another deployment."""

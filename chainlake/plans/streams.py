@@ -66,12 +66,10 @@ def stream_rollup(spark, sf):
     return _streamed_days(spark, sf, "rollup").select("address", _stamp("bucket"), "event_count")
 
 
-@query(f"SELECT address, bucket, places, true AS tx_count_near FROM ({_DAYS}), {_CLOSED}")
+@query(f"SELECT address, bucket, places, txs AS tx_count FROM ({_DAYS}), {_CLOSED}")
 def stream_rollup_metrics(spark, sf):
-    """Custom metrics of a stream, and that the approximate tx_count lies within 15 % of the exact one."""
-    exact = _logs(spark, sf).groupBy("address", F.date_format(F.date_trunc("day", F.timestamp_seconds("block_timestamp")), "yyyy-MM-dd HH:mm:ss").alias("bucket")).agg(F.count_distinct("tx_hash").alias("_exact"))
-    got = _streamed_days(spark, sf, "rollup-metrics").withColumn("bucket", _stamp("bucket")).join(exact, ["address", "bucket"])
-    return got.select("address", "bucket", "places", (F.abs(F.col("tx_count") - F.col("_exact")) <= F.greatest(F.lit(1.0), F.col("_exact") * 0.15)).alias("tx_count_near"))
+    """Custom metrics and the exact tx_count of a stream."""
+    return _streamed_days(spark, sf, "rollup-metrics").select("address", _stamp("bucket"), "places", "tx_count")
 
 
 @query(f"SELECT block_number, log_index, CAST(cents AS VARCHAR) AS p_value FROM ({_PURCHASE}) WHERE event_type = 'purchase' AND cents >= 10000")

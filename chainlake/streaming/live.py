@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -58,14 +59,28 @@ def stream_dedup(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return _with_time(stream, delay).dropDuplicatesWithinWatermark(keys).drop("event_time")
 
 
-def stream_rollup(stream: DataFrame, interval: str, delay: str, metrics: list[tuple[str, Column | str]] = ()) -> DataFrame:
-    """Tumbling buckets, emitted once the watermark passes them; tx_count is approximate, as streams have no exact distinct counts."""
+#: How the parts of an aggregate are put together.
+MERGES = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def stream_rollup(stream: DataFrame, interval: str, delay: str, metrics: list[tuple[str, str]] = ()) -> DataFrame:
+    """Tumbling buckets with exact tx_count, emitted once the watermark passes them; rows later than that are dropped.
+
+    Two stateful steps under one watermark: each bucket's rows by transaction, then the bucket's transactions. metrics are
+    SQL aggregates that can be put together from parts: sum, count, min or max of an expression; others raise ValueError.
+    """
+    merges = {}
+    for name, text in metrics:
+        found = re.fullmatch(r"\s*(\w+)\s*\((?!\s*distinct\b).*\)\s*", text, re.IGNORECASE | re.DOTALL)
+        if not found or found[1].lower() not in MERGES:
+            raise ValueError(f"a streamed rollup can't put {text} together from parts")
+        merges[name] = MERGES[found[1].lower()]
     width = f"{INTERVALS[interval][0]} seconds"
-    window = F.window("event_time", width, width, "4 days" if interval == "1w" else "0 seconds")
-    more = [(F.expr(m) if isinstance(m, str) else m).alias(name) for name, m in metrics]
-    grouped = _with_time(stream, delay).groupBy("chain_id", "address", window)
-    out = grouped.agg(F.count("*").alias("event_count"), F.approx_count_distinct("tx_hash").alias("tx_count"), *more)
-    return out.select("chain_id", "address", F.col("window.start").alias("bucket"), "event_count", "tx_count", *[name for name, _ in metrics])
+    shift = "4 days" if interval == "1w" else "0 seconds"
+    by_tx = _with_time(stream, delay).groupBy("chain_id", "address", "tx_hash", F.window("event_time", width, width, shift)).agg(F.count("*").alias("event_count"), *[F.expr(text).alias(name) for name, text in metrics])
+    whole = by_tx.groupBy("chain_id", "address", F.window(F.window_time("window"), width, width, shift).alias("window"))
+    out = whole.agg(F.sum("event_count").alias("event_count"), F.count("tx_hash").alias("tx_count"), *[merge(name).alias(name) for name, merge in merges.items()])
+    return out.select("chain_id", "address", F.col("window.start").alias("bucket"), "event_count", "tx_count", *merges)
 
 
 BLOCK_KEY = ["chain_id", "block_number"]

@@ -171,4 +171,4 @@ def test_windows_and_gaps_by_count_and_chain(spark):
     wide = b(1, [5, 99_999, 100_001, 250_000, 400_001])
     assert sorted(map(tuple, quality.gap_ranges(wide).collect())) == [(1, 6, 99_998), (1, 100_000, 100_000), (1, 100_002, 249_999), (1, 250_001, 400_000)]
     wanted = spark.createDataFrame([(1, 2), (2, 2)], "chain_id int, block_number long")
-    assert sorted(map(tuple, shaping.present(two, wanted).collect())) == [(1, 2, False), (2, 2, True)]
+    assert sorted(map(tuple, quality.present(two, wanted).collect())) == [(1, 2, False), (2, 2, True)]

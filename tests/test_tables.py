@@ -38,8 +38,10 @@ def test_delete_range_and_reorg(spark, tmp_path):
     reorg.rewrite_reorg(spark, {"raw": path}, 1, 249_999, 250_001, {"raw": logs(spark, [250_000, 250_001, 7], "new")}, lambda: refreshed.append(1))
     assert sorted((r.block_number, r.note) for r in spark.read.parquet(path).where("log_index = 0").collect()) == [(5, "a"), (250_000, "new"), (250_001, "new")]
     assert refreshed == [1]
-    with pytest.raises(ValueError):
-        reorg.rewrite_reorg(spark, {"raw": path}, 1, 5, 250_001, {})
+    notes = str(tmp_path / "notes")
+    reorg.rewrite_reorg(spark, {"raw": path}, 1, 249_999, 250_001, {}, messages=notes)  # within finality
+    reorg.rewrite_reorg(spark, {"raw": path}, 1, 99_999, 250_001, {}, messages=notes)  # below it
+    assert sorted((r.block_number, r.below_finality) for r in spark.read.parquet(notes).collect()) == [(99_999, True), (249_999, False)]
     store.compact(spark, path, 200_000, str(tmp_path / "old"))
     assert spark.read.parquet(str(tmp_path / "old")).count() == 2
 
