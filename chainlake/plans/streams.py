@@ -13,7 +13,8 @@ from chainlake.plans.catalog import _FIRST, _PURCHASE, PAIR_CREATED, SWAP, TRANS
 from chainlake.plans.contracts import EVENTS, FACTORIES, GENESIS, RULES
 from chainlake.plans.lenses import lens
 from chainlake.sources.scratch import new_folder
-from chainlake.streaming import live
+from chainlake.operators import sinks
+from chainlake.streaming import live, messages
 
 
 def _fed(spark: SparkSession, parts: list[DataFrame], name: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
@@ -99,8 +100,13 @@ def detect_reorgs(spark, sf):
     return spark.read.parquet(f"{folder}/reorgs").select((F.col("block_number") - 1).alias("block_number"))
 
 
+_SYNCED: dict[tuple[str, str], str] = {}
+
+
 def _synced(spark, sf) -> str:
-    """The folder of a live sync over a fork: the orphaned blocks hold logs (log_index from 100 on) and a child that must not stay."""
+    """The folder of a live sync over a fork, made once in a session: the orphaned blocks hold logs (log_index from 100 on) and a child that must not stay."""
+    if (key := (spark.sparkContext.applicationId, sf)) in _SYNCED:
+        return _SYNCED[key]
     whole, canonical, tip = _forked(spark, sf)
     item = F.struct("tx_index", "log_index", "block_hash", "tx_hash", "address", "topic0", "topic1", "topic2", "topic3", "data")
     events = lens(spark, sf, "fx_raw_events").drop("block_hash", "block_timestamp", "chain_id")
@@ -116,6 +122,7 @@ def _synced(spark, sf) -> str:
     first = blocks_with(whole, both.where(F.col("block_number") <= tip - 7).unionByName(orphaned))
     folder, checkpoint = new_folder(spark, "sync-out"), new_folder(spark, "sync-check")
     _fed(spark, [first, blocks_with(canonical, both)], "sync", lambda stream: live.live_sync(stream, folder, EVENTS, RULES, FACTORIES, checkpoint))
+    _SYNCED[key] = folder
     return folder
 
 
@@ -149,3 +156,20 @@ def stream_children(spark, sf):
     parts = [logs.where("block_number % 2 = 0"), created, logs.where("block_number % 2 = 1"), created]
     _fed(spark, parts, "children", lambda stream: live.stream_children(stream, folder, FACTORIES, EVENTS, checkpoint))
     return spark.read.parquet(f"{folder}/child_events").select("block_number", "log_index")
+
+
+@query("""SELECT 'blocks' AS metric, count(*) + 7 AS value FROM fx_blocks UNION ALL SELECT 'tip', max(block_number) FROM fx_blocks UNION ALL SELECT 'reorgs', 1
+UNION ALL SELECT 'events', (SELECT count(*) FROM fx_raw_events) + (SELECT count(*) FROM fx_raw_events WHERE block_number > (SELECT max(block_number) - 7 FROM fx_blocks)) + (SELECT count(*) FROM fx_factory_logs) + 1""")
+def live_sync_counters(spark, sf):
+    """What was counted while a fork was streamed: orphaned blocks and logs count too."""
+    return messages.counters(spark, _synced(spark, sf)).where("metric <> 'rejected'").select("metric", "value")
+
+
+@query("SELECT 'events:1' AS key, block_number AS position, count(*) OVER (PARTITION BY block_number) AS times FROM fx_blocks")
+def stream_published(spark, sf):
+    """Live blocks as messages, in two runs of the stream; how often each position was delivered."""
+    blocks = lens(spark, sf, "fx_blocks")
+    folder, checkpoint = new_folder(spark, "messages"), new_folder(spark, "messages-check")
+    out = lambda stream: sinks.stream_messages(live=stream).withColumn("position", F.get_json_object("value", "$.block_number").cast("long"))
+    _fed(spark, [blocks.where("block_number % 2 = 0"), blocks.where("block_number % 2 = 1")], "messages-in", lambda s: messages.publish(out(s), folder, checkpoint))
+    return messages.delivered(spark, folder).groupBy("key", "position").agg(F.count("*").alias("times"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -154,7 +154,8 @@ LOG_OF_BLOCK = "array<struct<tx_index:int,log_index:int,block_hash:string,tx_has
 
 
 def live_sync(
-    stream: DataFrame, folder: str, registry: list[Definition], rules: list[Rule], factories: list[factory.Factory], checkpoint: str, depth: int = 64, interval: str = "1h", sinks: Callable[[dict[str, DataFrame]], None] | None = None, trigger: dict | None = None, also: tuple[str, ...] = ()
+    stream: DataFrame, folder: str, registry: list[Definition], rules: list[Rule], factories: list[factory.Factory], checkpoint: str, depth: int = 64, interval: str = "1h", sinks: Callable[[dict[str, DataFrame]], None] | None = None, trigger: dict | None = None, also: tuple[str, ...] = (),
+    publish: Callable[[list[tuple[int, str, int]]], None] | None = None,
 ) -> StreamingQuery:
     """Follow chains block by block, reorganisations included. The stream has a row for each block: chain_id,
     block_number, block_hash, parent_hash, block_timestamp and logs (LOG_OF_BLOCK).
@@ -169,7 +170,9 @@ def live_sync(
     as long as branches differ in their last `depth` numbers.
 
     If a chosen block's parent isn't there and another block stands in its place, then what is known below it
-    may be orphaned: the whole known window goes, and the source has to send it again. Every write is by key, and blocks are
+    may be orphaned: the whole known window goes, and the source has to send it again. Counters (blocks, events, rejected, reorgs) and
+    the tip are observed while a batch is written; `publish` gets them as (chain_id, metric, value), and messages.counters adds
+    them up. Every write is by key, and blocks are
     written last, so a replayed batch, which starts from the pool before it, ends in the same state.
     """
     tables = {n: f"{folder}/{n}" for n in ("blocks", "raw_events", "factory_children", "child_events", *also, *(d.table for d in registry))}
@@ -221,7 +224,13 @@ def live_sync(
             chosen = scratch.written(chosen.drop("_new"), f"{aside}/chosen")
             since = repair(spark, known, chosen)
             fresh = chosen.where("logs is not null").join(store.of_buckets(spark, chosen.select(*heads), tables["blocks"]).select(*BLOCK_KEY), BLOCK_KEY, "left_anti")
-            fresh = scratch.written(fresh.select(*columns), f"{aside}/fresh")
+            seen = Observation("fresh")
+            bad = lambda h: F.coalesce((h["block_hash"] != "") & (F.col("block_hash") != "") & (h["block_hash"] != F.col("block_hash")), F.lit(False))
+            counts = {"blocks": F.lit(1), "events": F.size(F.filter("logs", lambda h: ~bad(h))), "rejected": F.size(F.filter("logs", bad))}
+            of_chain = [F.sum(F.when(F.col("chain_id") == c, x).otherwise(0)).alias(f"{m}:{c}") for c in first for m, x in counts.items()]
+            of_chain += [F.max(F.when(F.col("chain_id") == c, F.col("block_number"))).alias(f"tip:{c}") for c in first]
+            fresh = scratch.written(fresh.select(*columns).observe(seen, *of_chain), f"{aside}/fresh")  # counted as they are written, not in a pass of their own
+            told = {**seen.get, **{f"reorgs:{c}": 1 for c in since}}
             blocks = fresh.drop("logs")
             logs = fresh.select(*BLOCK_KEY, F.col("block_hash").alias("_head"), "block_timestamp", F.explode("logs").alias("l")).select(*BLOCK_KEY, "_head", "block_timestamp", "l.*")
             wrong = F.coalesce((F.col("block_hash") != "") & (F.col("_head") != "") & (F.col("block_hash") != F.col("_head")), F.lit(False))
@@ -241,6 +250,10 @@ def live_sync(
                 rollup.refresh_stored(spark, raw, f"{folder}/rollup{INTERVALS[interval][1]}", interval, times, blocks=spark.read.parquet(tables["blocks"]))
             if sinks:
                 sinks(made)
+            counted = [(int(k.split(":")[1]), k.split(":")[0], int(v)) for k, v in told.items() if v]
+            spark.createDataFrame(counted, "chain_id int, metric string, value long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
+            if publish:
+                publish(counted)
             lowest = reorg.known_window(chosen.select(*heads), depth).groupBy("chain_id").agg(F.min("block_number").alias("_low"))
             kept = nodes.where("logs is not null").drop("_new").join(F.broadcast(lowest), "chain_id", "left").where("_low is null or block_number >= _low").select(*columns)
             others = pool.where(~F.col("chain_id").isin(list(first)))
