@@ -52,6 +52,17 @@ _LOWER_LETTER[97:123] = True
 _DIGIT[48:58] = True
 _EDGE[[i for i in range(33, 127) if not (48 <= i < 58 or 65 <= i < 91 or 97 <= i < 123)]] = True
 _BREAK[[33, 46, 58, 63]] = True
+#: Signs that are tokens where they stand alone between two numbers: + - * / = ^ < >
+_SIGN = np.zeros(256, bool)
+_SIGN[[43, 45, 42, 47, 61, 94, 60, 62]] = True
+
+
+def _signs(data: np.ndarray) -> np.ndarray:
+    """Where a sign stands between numbers, one space from each."""
+    out = np.zeros(len(data), bool)
+    if len(data) > 4:
+        out[2:-2] = _SIGN[data[2:-2]] & (data[1:-3] == 32) & (data[3:-1] == 32) & _DIGIT[data[:-4]] & _DIGIT[data[4:]]
+    return out
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -70,6 +81,9 @@ def _term_hashes(terms: list[str]) -> np.ndarray:
 
 
 _UNIT_HASHES = _term_hashes(UNITS)
+#: Words that are numbers (fixed values).
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+_NUMBER_HASHES = _term_hashes(NUMBER_WORDS)
 _NAME_HASHES = _term_hashes([n.lower() for group in GIVEN.values() for n in group])
 
 
@@ -77,7 +91,8 @@ def _templates(offsets: np.ndarray, data: np.ndarray, opening: bool = True) -> t
     """Tokens (marks at a word's edges dropped) with template hashes, and each token's own hash.
 
     opening: whether a text's first token opens a sentence, so that its capital tells nothing.
-    $ € £ % ° stay, as they may be units; a word of marks alone is no token.
+    $ € £ % ° stay, as they may be units; a word of marks alone is no token, but for signs between numbers, so that
+    a sum has the shape of its terms.
     """
     edge = _EDGE.copy()
     edge[[36, 37]] = False
@@ -89,7 +104,10 @@ def _templates(offsets: np.ndarray, data: np.ndarray, opening: bool = True) -> t
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     left[inner] = False
     right[inner - 1] = False
-    keep = ~edge[data] | (left & right)
+    signs = _signs(data)
+    for k in (-2, -1, 0, 1):  # a sign and its numbers lie in one text
+        signs[inner[(inner + k >= 0) & (inner + k < len(data))] + k] = False
+    keep = ~edge[data] | (left & right) | signs
     kept = np.concatenate([[0], np.cumsum(keep)])
     w = words(kept[offsets], lowered[keep])
     own = w.hashes[1]
@@ -99,7 +117,7 @@ def _templates(offsets: np.ndarray, data: np.ndarray, opening: bool = True) -> t
     digits = np.concatenate([[0], np.cumsum(_DIGIT[original], dtype=np.int32)])
     size, n_digits = w.end - w.start, digits[w.end] - digits[w.start]
     marks = np.concatenate([[0], np.cumsum(_EDGE[original], dtype=np.int32)])
-    number = (n_digits > 0) & (n_digits + marks[w.end] - marks[w.start] == size)
+    number = (n_digits > 0) & (n_digits + marks[w.end] - marks[w.start] == size) | np.isin(own, _NUMBER_HASHES)
     second = np.minimum(w.start + 1, len(original) - 1)
     title = _UPPER[original[w.start]] & (size > 1) & (_LOWER_LETTER[original[second]] | (original[second] >= 128))
     place = np.flatnonzero(keep)[w.start]  # where the token starts in the text

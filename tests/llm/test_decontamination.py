@@ -144,3 +144,16 @@ def test_equals_plain_comparison(spark):
     want = plain(docs, items)
     got = {d: set(g.item_ids) for d, g in run(spark, docs, items).items() if g.contaminated}
     assert got == want and 20 < len(want) < 80
+
+
+def test_reparameterised_sums_and_number_words(spark):
+    """Sums keep the shape of their terms; the same number has to stand for the same; number words are numbers."""
+    items = spark.createDataFrame([(1, "What is 12 + 30 * 4 - 6 ?"), (2, "Each of the seven dwarfs carries three heavy bags over twenty small hills, so how many bags?"), (3, "Work out 5 * 5 + 5 - 2 = 28 by hand, then check")], "item_id long, text string")
+    texts = {
+        10: "Well: what is 15 + 22 * 9 - 7 ?", 11: "What is 15 - 22 * 9 + 7 ?", 12: "what is 15 22 9 7", 13: "Each of the 9 dwarfs carries five heavy bags over 31 small hills, so how many bags?",
+        14: "Each of the nine dwarfs eats three heavy meals under twenty small hills, so how many meals?", 15: "Work out 7 * 7 + 7 - 2 = 54 by hand, then check", 16: "Work out 7 * 8 + 9 - 2 = 63 by hand, then check", 17: "1 +", 18: "- 1", 19: "+ 2 * 3",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.item_ids, r.reworded) for r in decontaminate(docs, items).collect()}
+    assert got[10] == (True, [1], True) and got[13] == (True, [2], True) and got[15] == (True, [3], True)
+    assert not any(got[i][0] for i in (11, 12, 14, 16, 17, 18, 19))
