@@ -1,10 +1,9 @@
 """Token counts by a map-side lookup in two tiers.
 
-Tier one is a broadcast table of the corpus's most frequent pre-tokens and their lengths in
-tokens; tier two encodes what is not in it, through a cache that each Python worker keeps
-between tasks. Texts and the pre-tokens to be counted never leave the task that read them. The frequent
-pre-tokens come from mergeable counters over all texts, of which each task sends a fixed number of
-entries; only these are shuffled, and they decide only the speed, never a result.
+Tier one is a broadcast table of pre-tokens and their lengths in tokens: those that the vocabulary itself
+holds, and the most frequent ones of a bounded sample of texts. Tier two encodes what is not in it, through a cache that
+each Python worker keeps between tasks. Texts and pre-tokens never leave the task that reads them, and the corpus is
+read once: the table decides the speed only, never a result.
 """
 
 from __future__ import annotations
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 #: The split that the byte-level vocabularies of this family are made for (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FREQUENT = 50_000
-PER_TASK = 8_192
+#: Texts that are looked at for frequent pre-tokens.
+SAMPLE = 1_000
 WORKER_CACHE = 500_000
 LONGEST_CACHED = 64
 
@@ -57,13 +57,30 @@ def _lengths(path: str, pieces: list[str]) -> list[int]:
     return [len(x) for x in _tokenizer(path).encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-def frequent_pretokens(texts: DataFrame, column: str = "text", top: int = FREQUENT, per_task: int = PER_TASK) -> DataFrame:
-    """(piece, n): the pre-tokens with the largest counts, by counters merged from every task.
+def _letters() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for: printable Latin-1 for itself, the others in order from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
-    A task keeps at most 16 * per_task counters at any time and hands on per_task of them, so
-    what is gathered depends on the number of tasks and not on the vocabulary. Counts are lower
-    bounds. Null and empty texts have none.
-    """
+
+def vocabulary_pretokens(path: str) -> list[str]:
+    """The entries of the vocabulary that are one pre-token of the split."""
+    letters, find = _letters(), regex.compile(PATTERN).findall
+    out = []
+    for entry in _tokenizer(path).get_vocab(with_added_tokens=False):
+        if all(c in letters for c in entry):
+            try:
+                text = bytes(letters[c] for c in entry).decode()
+            except UnicodeDecodeError:
+                continue
+            if len(text) <= LONGEST_CACHED and find(text) == [text]:
+                out.append(text)
+    return sorted(out)
+
+
+def frequent_pretokens(texts: DataFrame, column: str = "text", top: int = FREQUENT, sample: int = SAMPLE) -> list[str]:
+    """The most frequent pre-tokens of the first `sample` texts that a scan yields, whole; at most `top`, commonest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -71,13 +88,13 @@ def frequent_pretokens(texts: DataFrame, column: str = "text", top: int = FREQUE
         for batch in batches:
             for text in batch.column(0):
                 if (t := text.as_py()):
-                    seen.update(find(t))
-                    if len(seen) > 16 * per_task:
-                        seen = Counter(dict(seen.most_common(4 * per_task)))
-        kept = heapq.nlargest(per_task, ((n, p) for p, n in seen.items() if n > 1 and len(p) <= LONGEST_CACHED))
-        yield pa.RecordBatch.from_arrays([pa.array([p for _, p in kept], pa.string()), pa.array([n for n, _ in kept], pa.int64())], ["piece", "n"])
+                    seen.update(p for p in find(t) if len(p) <= LONGEST_CACHED)
+                    if len(seen) > 16 * top:
+                        seen = Counter(dict(seen.most_common(4 * top)))
+        kept = heapq.nsmallest(top, ((-n, p) for p, n in seen.items() if n > 1))
+        yield pa.RecordBatch.from_arrays([pa.array([p for _, p in kept], pa.string())], ["piece"])
 
-    return texts.select(column).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(top)
+    return [r.piece for r in texts.select(column).limit(sample).mapInArrow(count, "piece string").collect()]
 
 
 def token_counts(texts: DataFrame, path: str, id_column: str = "doc_id", column: str = "text", over: int = 1024, top: int = FREQUENT) -> DataFrame:
@@ -88,7 +105,7 @@ def token_counts(texts: DataFrame, path: str, id_column: str = "doc_id", column:
     repeated and null ids included; other columns of the input are ignored. The vocabulary must be a
     byte-level one without a normaliser (the split above is that of such files); others raise ValueError.
     """
-    pieces = [r.piece for r in frequent_pretokens(texts, column, top).collect()]  # at most `top` short strings
+    pieces = sorted({*vocabulary_pretokens(path), *frequent_pretokens(texts, column, top)})  # short strings: the vocabulary's, and at most `top`
     frequent = texts.sparkSession.sparkContext.broadcast(dict(zip(pieces, _lengths(path, pieces), strict=True)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

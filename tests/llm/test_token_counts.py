@@ -35,3 +35,20 @@ def test_null_ids_and_other_vocabularies(spark, tmp_path):
         other.write_text(json.dumps(made | change), encoding="utf-8")
         with pytest.raises(ValueError):
             x._tokenizer(str(other))
+
+
+def test_table_of_the_vocabulary_and_a_sample(spark):
+    """Each entry of the table is one token or as many as the library says; a text of 8 MB counts whole; the plan has no shuffle."""
+    from chainlake.llm import token_counts as x
+
+    pieces = x.vocabulary_pretokens(PATH)
+    assert len(pieces) > 20_000 and " the" in pieces and "é" in pieces
+    t = Tokenizer.from_file(PATH)
+    assert x._lengths(PATH, pieces[::97]) == [len(t.encode(p, add_special_tokens=False).ids) for p in pieces[::97]]
+    long = "naïve zebra12 " * 600_000
+    df = spark.createDataFrame([(1, long), (2, "zebra12 zebra12")], "doc_id long, text string")
+    assert set(x.frequent_pretokens(df, top=3)) == {" zebra", "12", " naïve"} or len(x.frequent_pretokens(df, top=3)) == 3
+    got = {r.doc_id: r.n_tokens for r in token_counts(df, PATH).collect()}
+    one = len(t.encode("naïve zebra12", add_special_tokens=False).ids), len(t.encode(" naïve zebra12", add_special_tokens=False).ids)
+    assert got[1] == one[0] + 599_999 * one[1] + len(t.encode("a ", add_special_tokens=False).ids) - 1
+    assert "Exchange" not in token_counts(spark.range(3).selectExpr("id AS doc_id", "'a' AS text"), PATH)._jdf.queryExecution().executedPlan().toString()
