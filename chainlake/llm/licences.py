@@ -1,7 +1,7 @@
 """Licence scan: a trained paragraph classifier whose predictions templates confirm. No Python runs on the executors.
 
-A paragraph is a line, or the fewest consecutive lines around it that together hold a template (wrapped
-notices). It is described by its word 1- and 2-grams. Sparse logistic regression over
+A paragraph is a line, or the fewest words around it, over any number of lines, that together hold a template (wrapped
+notices); words that are looked at are twice as many as the longest template has. It is described by its word 1- and 2-grams. Sparse logistic regression over
 hashed grams tells licence families and an unknown class apart. It learns families from variations of
 their notices (words left out, others put in front and behind), and the unknown class from sentences and from
 the corpus's own paragraphs that are far from every template, so its labels don't come from the rule that
@@ -25,19 +25,26 @@ from chainlake.llm.shared import least_by_hash, stored
 
 #: Notices by family. Families are classes; a family's notices are its templates.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "You may not use this file except in compliance with the Apache License", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "LGPL": ["Licensed under the GNU Lesser General Public License", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3", "modify it under the terms of the GNU Affero General Public License"],
-    "BSD": ["Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC0": ["Released under CC0 1.0 Universal", "dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication license"],
-    "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "Unlicense": ["Released under the Unlicense", "This is free and unencumbered software released into the public domain"],
+    "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "SPDX-License-Identifier: MIT"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "You may not use this file except in compliance with the Apache License", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", "SPDX-License-Identifier: Apache-2.0"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "SPDX-License-Identifier: GPL-2.0"],
+    "LGPL": ["Licensed under the GNU Lesser General Public License", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL"],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3", "modify it under the terms of the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0"],
+    "BSD": ["Licensed under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "SPDX-License-Identifier: BSD"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "SPDX-License-Identifier: CC-BY-NC"],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-SA"],
+    "CC-BY": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY"],
+    "CC-BY-ND": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "SPDX-License-Identifier: CC-BY-ND"],
+    "CC-BY-NC-SA": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-SA"],
+    "CC-BY-NC-ND": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "SPDX-License-Identifier: CC-BY-NC-ND"],
+    "CC0": ["Released under CC0 1.0 Universal", "dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication license", "SPDX-License-Identifier: CC0-1.0"],
+    "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "SPDX-License-Identifier: ISC"],
+    "Unlicense": ["Released under the Unlicense", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0"],
+    "Zlib": ["Licensed under the zlib License", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "SPDX-License-Identifier: Zlib"],
+    "WTFPL": ["Licensed under the WTFPL", "SPDX-License-Identifier: WTFPL"],
     "proprietary": ["Copyright, all rights reserved", "No part of this publication may be reproduced without the prior written permission of the copyright owner"],
 }
 #: Sentences on licences that name none (fixed values).
@@ -46,15 +53,20 @@ UNKNOWN = [
     "Released under the old name", "Permission to enter was not granted", "He was licensed to practise in the county", "The public domain of the region", "Redistribution of wealth and use of land",
 ]
 #: Words that a template's paragraph must hold if the template does, and words that speak against a family (fixed values).
-TELLING = "mit isc unlicense unencumbered apache gnu lesser affero bsd mozilla cc cc0 nc sa noncommercial sharealike".split()
-FOREIGN = {"GPL-3.0": "affero lesser library".split(), "CC-BY": "nc sa nd noncommercial sharealike noderivatives noderivs".split()}
+TELLING = ["version 2", "version 3", "gpl 2.0", "gpl 3.0", *"mit isc unlicense unencumbered apache gnu lesser affero bsd mozilla cc cc0 nc sa nd noncommercial sharealike noderivatives spdx agpl lgpl mpl boost bsl zlib wtfpl".split()]
+FOREIGN = {
+    "GPL-3.0": "affero lesser library".split(), "GPL-2.0": "affero lesser library".split(), "CC-BY": "nc sa nd noncommercial sharealike noderivatives noderivs".split(), "CC-BY-NC": "sa nd sharealike noderivatives noderivs".split(),
+    "CC-BY-SA": "nc nd noncommercial noderivatives noderivs".split(), "CC-BY-ND": "nc sa noncommercial sharealike".split(), "CC-BY-NC-SA": "nd noderivatives noderivs".split(), "CC-BY-NC-ND": "sa sharealike".split(),
+}
+#: A notice after these words isn't one.
+NEGATED = r"(?i)(?:\b(?:not|never|neither|nor|no longer|cannot be)|n[’']t)\s+(?:\w+\s+){0,2}(?:released|licen[cs]ed|distributed|available|dedicated|covered|offered|published)\s+(?:to you\s+)?under\b"
 #: Lines that speak of licences; they count as cues whether or not they hold a template.
-CUES = r"(?i)licen[cs]e|copyright|permission is hereby|redistribut|cc0|public domain|reproduced without"
+CUES = r"(?i)licen[cs]e|spdx|wtfpl|copyright|permission is hereby|redistribut|cc0|public domain|reproduced without"
 WORDS = r"([\p{L}\p{N}]+(?:[.][\p{N}]+)*)"
 #: Share of a template's grams that a paragraph must hold.
 CONFIRM = 0.75
-#: Lines before and after an anchor that may belong to its notice, and the characters of each that are looked at.
-AROUND, NEAREST = 6, 1_000
+#: Words before and after an anchor's line that may belong to its notice: twice those of the longest template.
+AROUND = 2 * max(len(t.split()) for group in TEMPLATES.values() for t in group)
 FEATURES = 1 << 12
 #: The most distinct cue paragraphs, and the most other paragraphs, that the classifier is fitted on, by hash order.
 MAX_CUE, MAX_OTHER, OTHER_DOCS = 20_000, 5_000, 1_000
@@ -134,26 +146,33 @@ def paragraphs(docs: DataFrame, known: dict[int, list[list[str]]], id_column: st
     """(id, n_paragraphs, cues): lines with a word, and the paragraphs of lines with a cue or in a notice."""
     anchor = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, anchors())) + r")(?![\p{L}\p{N}])|" + CUES[4:]
     word = r"[\p{L}\p{N}]"
-    near = lambda x, end: F.transform(x, lambda y: F.right(y, F.lit(NEAREST)) if end else F.left(y, F.lit(NEAREST)))
+    first_words = r"^(?:[^\p{L}\p{N}]*[\p{L}\p{N}]+){1,%d}" % AROUND
+    after = lambda text: F.regexp_extract(text, first_words, 0)
+    before = lambda text: F.reverse(after(F.reverse(text)))
+    # a line with a word has at least one, so that AROUND such lines hold all the words that are looked at
     spot = lambda lines: lambda x, i: F.when(
-        x.rlike(anchor), F.struct(x.alias("line"), near(F.slice(lines, F.greatest(i - AROUND + 1, F.lit(1)), F.least(i, F.lit(AROUND))), True).alias("before"), near(F.slice(lines, i + 2, F.lit(AROUND)), False).alias("after"))
+        x.rlike(anchor), F.struct(x.alias("line"), before(F.concat_ws(" ", F.slice(lines, F.greatest(i - AROUND + 1, F.lit(1)), F.least(i, F.lit(AROUND))))).alias("before"), after(F.concat_ws(" ", F.slice(lines, i + 2, F.lit(AROUND)))).alias("after"))
     )
     split = F.split(F.coalesce(F.col(column), F.lit("")), "\n")
-    spots = F.transform(F.array(split), lambda lines: F.filter(F.transform(lines, spot(lines)), lambda x: x.isNotNull())).getItem(0)
+    spots = F.transform(F.array(F.filter(split, lambda x: x.rlike(word))), lambda lines: F.filter(F.transform(lines, spot(lines)), lambda x: x.isNotNull())).getItem(0)
 
     def holds(text: Column) -> Column:
         return F.transform(F.array(_grams(text)), lambda g: F.array_max(_held(g, known)) >= CONFIRM).getItem(0)
 
-    reach = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(((a, b) for a in range(AROUND + 1) for b in range(AROUND + 1) if a + b), key=lambda x: (sum(x), x))])
+    steps = [0, *(AROUND // k for k in (12, 6, 4, 3, 2, 1))]
+    reach = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(((a, b) for a in steps for b in steps if a + b), key=lambda x: (sum(x), x))])
 
     def paragraph(p: Column) -> Column:
-        join = lambda before, after: F.concat_ws("\n", before, F.array(p["line"]), after)
-        n, m = F.size(p["before"]), F.size(p["after"])
-        within = F.filter(reach, lambda r: (r["a"] <= n) & (r["b"] <= m))
-        some = lambda r: join(F.slice(p["before"], n - r["a"] + 1, r["a"]), F.slice(p["after"], F.lit(1), r["b"]))
-        shortest = F.get(F.filter(F.transform(within, some), holds), F.lit(0))
+        def within(w: Column) -> Column:
+            left, right = w["left"], w["right"]
+            some = lambda r: F.concat_ws(" ", F.slice(left, F.greatest(F.size(left) - r["a"] + 1, F.lit(1)), r["a"]), F.array(p["line"]), F.slice(right, F.lit(1), r["b"]))
+            return F.get(F.filter(F.transform(reach, some), holds), F.lit(0))
+
         own = F.when(p["line"].rlike(CUES), p["line"])
-        return F.when(holds(p["line"]), p["line"]).when(holds(join(p["before"], p["after"])), F.coalesce(shortest, own)).otherwise(own)
+        shortest = F.transform(F.array(F.struct(F.split(p["before"], r"\s+").alias("left"), F.split(p["after"], r"\s+").alias("right"))), within).getItem(0)
+        found = F.when(holds(p["line"]), p["line"]).when(holds(F.concat_ws(" ", p["before"], p["line"], p["after"])), F.coalesce(shortest, own)).otherwise(own)
+        whole = F.concat_ws(" ", F.array_join(F.slice(F.split(p["before"], r"\s+"), -4, 4), " "), p["line"])  # a denial may stand on the line before
+        return F.when(found.isNotNull() & whole.rlike(NEGATED) & ~found.rlike(NEGATED), whole).otherwise(found)
 
     rows = docs.select(F.col(id_column).alias("_id"), F.size(F.filter(split, lambda x: x.rlike(word))).cast("long").alias("n_paragraphs"), spots.alias("spots"))
     return rows.select("_id", "n_paragraphs", F.filter(F.transform("spots", paragraph), lambda x: x.isNotNull()).alias("cues"))
@@ -207,7 +226,7 @@ def fit(spark: SparkSession, cues: DataFrame, others: DataFrame) -> LicenceModel
 def licence_scan(docs: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """(id, n_paragraphs, n_cues, families, family, chance, n_unknown) of every row of `docs`.
 
-    families: those confirmed in some paragraph, sorted; family: of the likeliest paragraph, ties
+    families: those confirmed in some paragraph, sorted (not by a notice that is denied: "is not released under"); family: of the likeliest paragraph, ties
     to the first by name; chance: that paragraph's, else the largest of all cue paragraphs, 0
     without any; n_unknown: cue paragraphs that name no confirmed family. Null and empty texts have
     no paragraphs. Rows of equal id (null included) share their families. Other columns are ignored.
@@ -223,7 +242,7 @@ def licence_scan(docs: DataFrame, id_column: str = "doc_id", column: str = "text
     scored = model.predict(cues.withColumn("grams", _grams(F.col("paragraph"))))
     sure = (F.col("chance") >= 0.5) & (F.col("held") >= CONFIRM)
     name = F.when(sure, F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("class")))
-    scored = scored.select("_id", name.alias("name"), "chance").groupBy("_id").agg(
+    scored = scored.select("_id", F.when(~F.col("paragraph").rlike(NEGATED), name).alias("name"), "chance").groupBy("_id").agg(
         F.count("*").alias("n_cues"), F.sort_array(F.collect_set("name")).alias("families"), F.max(F.when(F.col("name").isNotNull(), F.struct("chance", "name"))).alias("best"), F.max("chance").alias("most"), F.count_if(F.col("name").isNull()).alias("n_unknown")
     )
     found = scored.withColumnRenamed("_id", "_of")

@@ -80,3 +80,18 @@ def test_standard_notices_and_held_out_wording(spark):
     assert [(f, tuple(got[i].families)) for i, (f, _) in enumerate(rows) if got[i].families != [f] and f not in ("GPL-3.0",)] == []
     assert all(got[i].families == ["GPL-3.0"] for i in range(2)), [got[i].families for i in range(2)]
     assert all(got[len(rows) + k].families == [] and got[len(rows) + k].n_unknown >= 1 for k in range(len(unknown)))
+
+
+def test_versions_variants_tags_denials_and_one_word_a_line(spark):
+    gnu = "redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+    wanted = {
+        gnu: ["GPL-2.0"], "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"], gnu.replace("version 2", "version 3"): ["GPL-3.0"],
+        "This is not released under the MIT License.": [], "The code was never\nreleased under the MIT License.": [], "It isn't licensed under the Apache License, Version 2.0": [], "Released under the MIT License, not public domain": ["MIT"],
+        "// SPDX-License-Identifier: MIT": ["MIT"], "# SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"], "SPDX-License-Identifier: GPL-2.0-only": ["GPL-2.0"], "SPDX-License-Identifier: GPL-3.0-or-later": ["GPL-3.0"], "SPDX-License-Identifier: LGPL-2.1-only": ["LGPL"],
+        "SPDX-License-Identifier: BSD-3-Clause": ["BSD"], "SPDX-License-Identifier: Foo-1.0": [], "\n".join("Released under the MIT License".split()): ["MIT"], "\n\n".join(x.TEMPLATES["MIT"][2].split()): ["MIT"],
+        "Licensed under CC BY-NC-ND 4.0": ["CC-BY-NC-ND"], "Licensed under CC BY-NC-SA 4.0.": ["CC-BY-NC-SA"], "Licensed under CC BY-ND 4.0": ["CC-BY-ND"], "Distributed under the Boost Software License, Version 1.0": ["BSL-1.0"], "Licensed under the zlib License": ["Zlib"],
+        "x" * 3_000 + " " + x.TEMPLATES["Apache-2.0"][2]: ["Apache-2.0"],
+    }
+    docs = spark.createDataFrame([(i, f"Some words came first.\n\n{t}\n\nOthers followed it.") for i, t in enumerate(wanted)], "doc_id long, text string")
+    got = {g.doc_id: g.families for g in x.licence_scan(docs).collect()}
+    assert {t[:60]: got[i] for i, (t, f) in enumerate(wanted.items()) if got[i] != f} == {}
