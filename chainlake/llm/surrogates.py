@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 #: Given names by script and gender, and the titles that tell a gender or none.
 GIVEN = {
-    ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Peter Paul Hans Karl Jürgen Klaus Stefan Wolfgang Pierre Jean Jacques Michel Philippe José Juan Carlos Miguel Antonio Luis Pedro".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Emily Anna Ursula Monika Petra Sabine Claudia Marie Françoise Isabelle Nathalie Sophie María Carmen Ana Isabel Dolores Pilar Lucía".split(),
+    ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Peter Paul Hans Karl Jürgen Klaus Stefan Wolfgang Pierre Jean Jacques Michel Philippe José Juan Carlos Miguel Antonio Luis Pedro George Edward Henry Frank Andrew Mark Steven Kevin Brian Ahmed Mohammed Raj".split(),
+    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Emily Anna Ursula Monika Petra Sabine Claudia Marie Françoise Isabelle Nathalie Sophie María Carmen Ana Isabel Dolores Pilar Lucía Jane Emma Olivia Alice Helen Laura Julia Priya Fatima Aisha Mei".split(),
     ("cyrillic", "m"): "Иван Сергей Алексей Дмитрий Николай Владимир Михаил Андрей".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Татьяна Наталья Ирина Светлана".split(),
     ("greek", "m"): "Γιώργος Δημήτρης Κώστας Νίκος Γιάννης Παναγιώτης Βασίλης Χρήστος".split(),
@@ -36,10 +36,18 @@ GIVEN = {
 TITLES = {"m": "Mr Herr Señor Monsieur Sir".split(), "f": "Mrs Ms Miss Frau Señora Señorita Madame Mme".split(), "": "Dr Prof".split()}
 #: Letters by script: vowels, then consonants (fixed values).
 LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
-KINDS = ("email", "secret", "ip", "phone", "card", "iban", "name")
+KINDS = ("email", "secret", "ip", "phone", "card", "iban", "ssn", "mac", "name")
 
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
-_NAMES = "|".join(sorted((n for group in GIVEN.values() for n in group), key=lambda n: (-len(n), n)))
+_NAMES = "|".join(sorted({x for group in GIVEN.values() for n in group for x in (n, n.upper())}, key=lambda n: (-len(n), n)))
+#: What a name follows (fixed values).
+_SAID = r"\b(?:[Mm]y name is|[Nn]ame:|[Ss]igned by|[Ss]incerely,|[Kk]ind regards,|[Cc]ontact:)"
+#: Keys whose issuers give them a form (fixed values): a front that stays, then the key.
+_ISSUED = (
+    r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)(?P<aws>[0-9A-Z]{16})(?![0-9A-Za-z])|gh[pousr]_(?P<git>[A-Za-z0-9]{20,255})|xox[abprs]-(?P<chat>[A-Za-z0-9-]{10,255})"
+    r"|[srp]k[-_](?:live|test|proj)[-_](?P<pay>[A-Za-z0-9_-]{8,255})|eyJ(?P<jwt>[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"
+    r"|(?<![^\W_])[Bb](?:earer|EARER)[ ]+(?P<bearer>(?=[A-Za-z.~+/_-]*\d)[\w.~+/-]{16,}=*)"
+)
 #: An assigned secret: within quotes all of the line up to the closing one, else up to a space, a quote, a tag or the next
 #: assignment. Addresses are entities of their own; short values need a digit or a sign.
 _BARE = r"""[^\s"'`]"""
@@ -51,6 +59,8 @@ _VALUE = (
 )
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,126}(?<![-_.]))"
+    r"|" + _ISSUED + r"|(?P<ssn>(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-]))"
+    r"|(?P<mac>(?<![\w:-])[0-9A-Fa-f]{2}(?P<sep>[:-])(?:[0-9A-Fa-f]{2}(?P=sep)){4}[0-9A-Fa-f]{2}(?![\w:-]))"
     r"|(?P<assigned>(?i:(?<![^\W_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b\W{0,3}[=:]\s{0,3}))" + _VALUE +
     r"|(?P<hex>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d))"
@@ -61,10 +71,11 @@ PATTERN = re.compile(
     r"|(?P<trunk>(?<![\w+.,/-])(?!\d\d[./-]\d\d[./-]\d{4})(?=\(?\d(?:\)?[ ./-]?\d){8,10}(?![ ./-]?\w))(?:\(0[1-9]\d{0,3}\)[ ./-]?|0[1-9]\d{0,3}[ ./-])\d{2,8}(?:[ ./-]\d{2,8}){0,4}(?![ ./-]?\d))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w]|-\d))"
     rf"|(?:\b(?P<title>{_TITLE})\b\.?[ ])(?P<titled>[^\W\d_][\w'’-]+(?:[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]+)?)"
+    rf"|(?:{_SAID}\s+)(?P<said>[^\W\d_a-zà-ÿа-яα-ω][\w'’-]+(?:[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]+)?)"
     rf"|(?P<given>\b(?:{_NAMES}))(?P<family>[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]+)"
 )
 #: Texts without any of these hold no entity. Word bounds are left out, as they differ between the two engines.
-HINT = r"@|\p{Nd}|[a-f]{32}|[A-F]{32}|(?i:token|secret|passw|key)|" + _TITLE + "|" + _NAMES
+HINT = r"@|\p{Nd}|[a-f]{32}|[A-F]{32}|(?i:token|secret|passw|key|bearer|my name is|name:|signed by|sincerely,|kind regards,|contact:)|AKIA|ASIA|eyJ|gh[pousr]_|xox|[srp]k[-_]|(?:[A-Fa-f]{2}[:-]){5}|" + _TITLE + "|" + _NAMES
 
 
 #: Characters that are permuted together.
@@ -173,6 +184,18 @@ def _secret(p: Permuter, value: str) -> str:
     return p.text(value, _HEX if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else _WORDS, "secret")
 
 
+def _ssn(p: Permuter, value: str) -> str:
+    """Another number that could have been given out."""
+    out = p.text(value, _DIGITS, "ssn")
+    while re.match(r"000|666|9|...-00|.*-0000", out):
+        out = p.text(out, _DIGITS, "ssn")
+    return out
+
+
+def _mac(p: Permuter, value: str) -> str:
+    return p.text(value, _HEX, "mac")
+
+
 def _private(x: int) -> int:
     a, b = x >> 24, x >> 16 & 255
     return 1 if a == 10 else 2 if a == 127 else 3 if a == 172 and 16 <= b < 32 else 4 if (a, b) == (192, 168) else 0
@@ -264,7 +287,7 @@ def _name(p: Permuter, value: str) -> str:
     return " ".join(out)
 
 
-MAKERS: dict[str, Callable[[Permuter, str], str]] = {"email": _email, "secret": _secret, "ip": _ip, "phone": _phone, "card": _card, "iban": _iban, "name": _name}
+MAKERS: dict[str, Callable[[Permuter, str], str]] = {"email": _email, "secret": _secret, "ip": _ip, "phone": _phone, "card": _card, "iban": _iban, "ssn": _ssn, "mac": _mac, "name": _name}
 
 
 def _is_card(value: str) -> bool:
@@ -289,8 +312,10 @@ def _spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "secret", start, start + len(value)
         elif kind == "hex":
             yield "secret", *m.span()
-        elif kind == "titled":
-            yield "name", *_whole_name(text, *m.span("titled"))
+        elif kind in ("aws", "git", "chat", "pay", "jwt", "bearer"):
+            yield "secret", m.start(kind), m.start(kind) + len(m[kind].rstrip(".,-"))
+        elif kind in ("titled", "said"):
+            yield "name", *_whole_name(text, *m.span(kind))
         elif kind == "family":
             yield "name", *_whole_name(text, *m.span())
         elif kind in ("abroad", "trunk"):
@@ -335,7 +360,7 @@ def _canonical(kind: str, value: str) -> str:
         return str(ipaddress.IPv6Address(value)) if ":" in value else ".".join(str(int(x)) for x in value.split("."))
     if kind == "iban":
         return value.replace(" ", "")
-    return value.lower() if kind == "email" else value
+    return value.lower() if kind in ("email", "mac") else value
 
 
 def _found(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
