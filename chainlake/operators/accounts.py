@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainlake.operators.factory import BROADCAST_ADDRESSES
+
 COLUMNS = ("chain_id", "block_number", "tx_index", "tx_hash", "event_type", "address", "counterparty", "value", "trace_address")
 
 
 def _seen(rows: DataFrame, kind: str, tracked: DataFrame) -> DataFrame:
-    sides = F.array(
-        F.struct(F.lit(f"{kind}:from").alias("event_type"), F.lower("from_address").alias("address"), F.lower("to_address").alias("counterparty")),
-        F.struct(F.lit(f"{kind}:to").alias("event_type"), F.lower("to_address").alias("address"), F.lower("from_address").alias("counterparty")),
-    )
+    """Both sides' rows, each found by a semi join before anything is copied; a set of up to BROADCAST_ADDRESSES is sent to the tasks."""
+    few = tracked.limit(BROADCAST_ADDRESSES + 1).count() <= BROADCAST_ADDRESSES
     if "trace_address" not in rows.columns:
         rows = rows.withColumn("trace_address", F.lit(None).cast("string"))
-    both = rows.select("chain_id", "block_number", "tx_index", "tx_hash", "value", "trace_address", F.explode(sides).alias("s")).select("*", "s.*").where("address is not null").select(*COLUMNS)
-    watched = tracked.select(F.lower("address").alias("address"), F.col("kind").alias("event_type")).distinct()
-    return both.join(watched, ["address", "event_type"], "left_semi").select(*COLUMNS)
+    sides = []
+    for side, other in (("from", "to"), ("to", "from")):
+        own = tracked.where(F.col("kind") == f"{kind}:{side}").select(F.lower("address").alias("_own")).where("_own is not null").distinct()
+        found = rows.join(F.broadcast(own) if few else own, F.lower(f"{side}_address") == F.col("_own"), "left_semi")
+        told = {"event_type": F.lit(f"{kind}:{side}"), "address": F.lower(f"{side}_address"), "counterparty": F.lower(f"{other}_address")}
+        sides.append(found.select(*[told[c].alias(c) if c in told else F.col(c) for c in COLUMNS]))
+    return sides[0].unionByName(sides[1])
 
 
 def account_tx_events(transactions: DataFrame, tracked: DataFrame) -> DataFrame:
