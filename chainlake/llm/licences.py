@@ -116,18 +116,23 @@ def _variations(templates: DataFrame) -> DataFrame:
     return many.select("class", F.array_join(F.concat(before, kept, after), " ").alias("paragraph"), (F.col("v") % 4 == 3).alias("back"))
 
 
+def _constant(grams: list[str]) -> Column:
+    """An array that is folded into one literal, so that expressions with many templates stay short."""
+    return F.split(F.lit("\t".join(grams)), "\t")
+
+
 def _held(grams: Column, known: dict[int, list[list[str]]], telling: bool = True) -> Column:
     """Of each class from 1, the largest share of a template's grams that `grams` holds; with `telling`, 0 without its telling words."""
-    share = lambda t: F.size(F.array_intersect(grams, F.array(*map(F.lit, t)))) / F.lit(float(len(t)))
+    share = lambda t: F.size(F.array_intersect(grams, _constant(t))) / F.lit(float(len(t)))
 
     def told(k: int, t: list[str]) -> Column:
         held = share(t)
         if not telling:
             return held
         if tell := [w for w in TELLING if w in t]:
-            held = F.when(F.size(F.array_intersect(grams, F.array(*map(F.lit, tell)))) == len(tell), held).otherwise(F.lit(0.0))
+            held = F.when(F.size(F.array_intersect(grams, _constant(tell))) == len(tell), held).otherwise(F.lit(0.0))
         if against := FOREIGN.get(FAMILIES[k - 1]):
-            held = F.when(F.arrays_overlap(grams, F.array(*map(F.lit, against))), F.lit(0.0)).otherwise(held)
+            held = F.when(F.arrays_overlap(grams, _constant(against)), F.lit(0.0)).otherwise(held)
         return held
 
     best = [F.greatest(*[told(k, t) for t in known[k]], F.lit(0.0)) for k in sorted(known)]
@@ -170,9 +175,10 @@ def paragraphs(docs: DataFrame, known: dict[int, list[list[str]]], id_column: st
 
         own = F.when(p["line"].rlike(CUES), p["line"])
         shortest = F.transform(F.array(F.struct(F.split(p["before"], r"\s+").alias("left"), F.split(p["after"], r"\s+").alias("right"))), within).getItem(0)
-        found = F.when(holds(p["line"]), p["line"]).when(holds(F.concat_ws(" ", p["before"], p["line"], p["after"])), F.coalesce(shortest, own)).otherwise(own)
+        texts = F.array(p["line"], F.concat_ws(" ", p["before"], p["line"], p["after"]))
+        found = F.transform(F.array(F.transform(texts, holds)), lambda h: F.when(h[0], p["line"]).when(h[1], F.coalesce(shortest, own)).otherwise(own)).getItem(0)
         whole = F.concat_ws(" ", F.array_join(F.slice(F.split(p["before"], r"\s+"), -4, 4), " "), p["line"])  # a denial may stand on the line before
-        return F.when(found.isNotNull() & whole.rlike(NEGATED) & ~found.rlike(NEGATED), whole).otherwise(found)
+        return F.transform(F.array(found), lambda x: F.when(x.isNotNull() & whole.rlike(NEGATED) & ~x.rlike(NEGATED), whole).otherwise(x)).getItem(0)
 
     rows = docs.select(F.col(id_column).alias("_id"), F.size(F.filter(split, lambda x: x.rlike(word))).cast("long").alias("n_paragraphs"), spots.alias("spots"))
     return rows.select("_id", "n_paragraphs", F.filter(F.transform("spots", paragraph), lambda x: x.isNotNull()).alias("cues"))
