@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 #: The split that the byte-level vocabularies of this family are made for (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FREQUENT = 50_000
-#: Texts that are looked at for frequent pre-tokens.
-SAMPLE = 1_000
+#: Texts whose fronts, of so many characters, are looked at for frequent pre-tokens.
+SAMPLE, FRONT = 1_000, 10_000
 WORKER_CACHE = 500_000
 LONGEST_CACHED = 64
 
@@ -79,22 +79,16 @@ def vocabulary_pretokens(path: str) -> list[str]:
     return sorted(out)
 
 
-def frequent_pretokens(texts: DataFrame, column: str = "text", top: int = FREQUENT, sample: int = SAMPLE) -> list[str]:
-    """The most frequent pre-tokens of the first `sample` texts that a scan yields, whole; at most `top`, commonest first."""
+def frequent_pretokens(texts: DataFrame, column: str = "text", top: int = FREQUENT, sample: int = SAMPLE, front: int = FRONT) -> list[str]:
+    """The most frequent pre-tokens of the fronts of the first `sample` texts that a scan yields; at most `top`, commonest first.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        find = regex.compile(PATTERN).findall
-        for batch in batches:
-            for text in batch.column(0):
-                if (t := text.as_py()):
-                    seen.update(p for p in find(t) if len(p) <= LONGEST_CACHED)
-                    if len(seen) > 16 * top:
-                        seen = Counter(dict(seen.most_common(4 * top)))
-        kept = heapq.nsmallest(top, ((-n, p) for p, n in seen.items() if n > 1))
-        yield pa.RecordBatch.from_arrays([pa.array([p for _, p in kept], pa.string())], ["piece"])
-
-    return [r.piece for r in texts.select(column).limit(sample).mapInArrow(count, "piece string").collect()]
+    No more of a table is read than these texts need, and the driver holds `sample` times `front` characters at most.
+    """
+    seen: Counter[str] = Counter()
+    find = regex.compile(PATTERN).findall
+    for r in texts.select(F.left(column, F.lit(front)).alias("front")).limit(sample).collect():
+        seen.update(p for p in find(r.front or "") if len(p) <= LONGEST_CACHED)
+    return [p for _, p in heapq.nsmallest(top, ((-n, p) for p, n in seen.items() if n > 1))]
 
 
 def token_counts(texts: DataFrame, path: str, id_column: str = "doc_id", column: str = "text", over: int = 1024, top: int = FREQUENT) -> DataFrame:
