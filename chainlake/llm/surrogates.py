@@ -39,7 +39,11 @@ LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджз
 KINDS = ("email", "secret", "ip", "phone", "card", "iban", "ssn", "mac", "name")
 
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
-_NAMES = "|".join(sorted({x for group in GIVEN.values() for n in group for x in (n, n.upper())}, key=lambda n: (-len(n), n)))
+_ALL = sorted({x for group in GIVEN.values() for n in group for x in (n, n.upper())}, key=lambda n: (-len(n), n))
+_NAMES = "|".join(_ALL)
+_FIRST = sorted({n[0] for n in _ALL})
+#: The same by first letter, which most words don't begin with.
+_BY_LETTER = f"(?=[{''.join(_FIRST)}])(?:" + "|".join(f"{c}(?:{'|'.join(n[1:] for n in _ALL if n[0] == c)})" for c in _FIRST) + ")"
 #: What a name follows (fixed values).
 _SAID = r"\b(?:[Mm]y name is|[Nn]ame:|[Ss]igned by|[Ss]incerely,|[Kk]ind regards,|[Cc]ontact:)"
 #: Keys whose issuers give them a form (fixed values): a front that stays, then the key.
@@ -72,7 +76,7 @@ PATTERN = re.compile(
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w]|-\d))"
     rf"|(?:\b(?P<title>{_TITLE})\b\.?[ ])(?P<titled>[^\W\d_][\w'’-]+(?:[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]+)?)"
     rf"|(?:{_SAID}\s+)(?P<said>[^\W\d_a-zà-ÿа-яα-ω][\w'’-]+(?:[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]+)?)"
-    rf"|(?P<given>\b(?:{_NAMES}))(?P<family>[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]+)"
+    rf"|(?P<given>\b{_BY_LETTER})(?P<family>[ ][^\W\d_a-zà-ÿа-яα-ω][\w'’-]+)"
 )
 #: Texts without any of these hold no entity. Word bounds are left out, as they differ between the two engines.
 HINT = r"@|\p{Nd}|[a-f]{32}|[A-F]{32}|(?i:token|secret|passw|key|bearer|my name is|name:|signed by|sincerely,|kind regards,|contact:)|AKIA|ASIA|eyJ|gh[pousr]_|xox|[srp]k[-_]|(?:[A-Fa-f]{2}[:-]){5}|" + _TITLE + "|" + _NAMES
