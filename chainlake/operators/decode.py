@@ -101,3 +101,16 @@ def rebuild(raw: DataFrame, registry: list[Definition], rules: list[Rule]) -> di
 def should_rebuild(raw: DataFrame, decoded: DataFrame) -> bool:
     """Whether there are raw logs but no decoded rows."""
     return decoded.limit(1).count() == 0 and raw.limit(1).count() > 0
+
+
+def rebuild_needed(raw: DataFrame, registry: list[Definition], rows_of: DataFrame) -> DataFrame:
+    """(table_name, raw_rows, decoded_rows, needed) for every definition: needed where logs of its topic0 are there and decoded rows aren't.
+
+    rows_of: (table_name, decoded_rows) of the stored tables; a table it doesn't name has none. Logs are counted by topic0 first,
+    so that a row for each definition is all that is joined.
+    """
+    owners = registry_frame(raw.sparkSession, registry).select("key", "table_name")
+    seen = raw.where(F.col("topic0").isin(sorted({d.key for d in registry}))).groupBy(F.col("topic0").alias("key")).agg(F.count("*").alias("raw_rows"))
+    both = owners.join(seen, "key", "left").join(rows_of.groupBy("table_name").agg(F.sum("decoded_rows").alias("decoded_rows")), "table_name", "left")
+    both = both.select("table_name", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("raw_rows", "decoded_rows")])
+    return both.withColumn("needed", (F.col("raw_rows") > 0) & (F.col("decoded_rows") == 0))

@@ -405,6 +405,15 @@ def rebuild_all(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query(f"""WITH n AS (SELECT topic0, count(*) AS raw_rows FROM fx_raw_events GROUP BY ALL), d AS (SELECT o.table_name, coalesce(n.raw_rows, 0) AS raw_rows, CASE WHEN o.table_name LIKE 'event_token_%' THEN coalesce(n.raw_rows, 0) ELSE 0 END AS decoded_rows FROM {_OWNERS} LEFT JOIN n ON n.topic0 = o.topic0)
+SELECT *, raw_rows > 0 AND decoded_rows = 0 AS needed FROM d UNION ALL SELECT 'event_factory_pair_created', 0, 0, false""")
+def rebuild_needed(spark, sf):
+    """Tables that have raw logs but no decoded rows, where the token's events alone have been decoded."""
+    raw = lens(spark, sf, "fx_raw_events")
+    token = [d for d in EVENTS if d.contract == "Token"]
+    return decode.rebuild_needed(raw, EVENTS, decode.decode_events(raw, token).groupBy("table_name").agg(F.count("*").alias("decoded_rows")))
+
+
 @query(f"SELECT block_number, log_index, CAST(cents AS VARCHAR) AS p_value FROM ({_PURCHASE}) WHERE event_type = 'purchase' AND cents >= 10000")
 def apply_filters_integers(spark, sf):
     table = decode.event_table(lens(spark, sf, "fx_raw_events"), EVENTS, "Token", "Transfer")

@@ -135,3 +135,13 @@ def test_filters(spark):
     assert ids(one("memo", "strange", "x")) == ids(one("absent", "eq", "x")) == ids() == ids(Rule("Other", (("value", "eq", "1"),))) == [1, 2, 3, 4]
     assert ids(one("value", "eq", "10"), one("memo", "eq", "abc")) == [1, 3, 4] and ids(Rule("E", (("value", "gt", "0"), ("memo", "neq", "abc")))) == [3, 4]
     assert ids(Rule("E", (("value", "eq", "1"),), contract="D")) == [1, 2, 3, 4]
+
+
+def test_rebuild_is_needed_where_logs_have_no_decoded_rows(spark):
+    registry = event_registry({"A": [{"type": "event", "name": n, "inputs": []} for n in ("One", "Two", "Three")]})
+    raw = spark.createDataFrame([(registry[0].key,), (registry[0].key,), (registry[1].key,), ("0xother",), (None,)], "topic0 string")
+    counts = spark.createDataFrame([("event_a_one", 1), ("event_a_one", 1), ("event_a_two", 0), ("gone", 7)], "table_name string, decoded_rows long")
+    got = {tuple(r) for r in decode.rebuild_needed(raw, registry, counts).collect()}
+    assert got == {("event_a_one", 2, 2, False), ("event_a_two", 1, 0, True), ("event_a_three", 0, 0, False)}
+    none = decode.rebuild_needed(raw.limit(0), registry, counts.limit(0)).collect()
+    assert len(none) == 3 and not any(r.needed for r in none)
