@@ -2,7 +2,7 @@
 
 Every 13-word window of a text has a 56-bit fingerprint. A batch of documents becomes one immutable
 run: a table bucketed by the fingerprint's leading bits, each bucket holding the batch's distinct
-fingerprints in order, each with the smallest document that starts it. Beside it stands the batch's
+fingerprints in order, in rows of some thousands, each with the smallest document that starts it. Beside it stands the batch's
 text log, bucketed by doc_id. A new run is merge-joined with each older one, bucket by bucket and
 without moving either. Equal fingerprints are only candidates: the text logs give a second,
 independent 64-bit hash of their words, which must be the same in all places (120 bits in all); where
@@ -14,7 +14,6 @@ that a third of all documents share costs one entry a task.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
 from collections.abc import Iterator
@@ -39,6 +38,10 @@ COMPARED = 1 << 15
 BATCHES, COMPACT_AT = 3, 2
 #: Characters of all texts to each group of fingerprints, about.
 GROUP = 4_000_000
+#: Fingerprints to a row of a run, rows that a task sends at a time, and bytes that it is sent: memory beside the heap is held in these.
+PIECE, SENT, ARROW_BYTES = 1 << 14, 16, 4 << 20
+#: Runs are written and read back in row groups of about this size, counted from the first few rows, which are large.
+RUN_OPTIONS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "16"}
 #: kind 0: fingerprints and first documents of a run; 1: windows of docs that smaller documents start; 2: windows of docs that larger
 #: ones repeat. The latter two are dealt by document: part.
 RUN_SCHEMA = "bucket int, kind int, part int, prints binary, docs binary"
@@ -60,8 +63,9 @@ def _unplanes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _block(bucket: int, prints: np.ndarray, docs: np.ndarray) -> tuple:
-    return bucket, _RUN, None, _planes(np.diff(prints, prepend=np.uint64(0))), _planes(docs)
+def _pieces(bucket: int, prints: np.ndarray, docs: np.ndarray, size: int) -> list[tuple]:
+    """Rows of at most `size` fingerprints, which are in order."""
+    return [(bucket, _RUN, None, _planes(np.diff(prints[k : k + size], prepend=np.uint64(0))), _planes(docs[k : k + size])) for k in range(0, len(prints), size)]
 
 
 def _first_of(prints: np.ndarray, docs: np.ndarray):
@@ -126,7 +130,8 @@ def _to_blocks(bits: int, window: int, n_parts: int):
         prints, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
         p, first, rows = _merged(prints, docs, None, n_parts)
         edges = np.searchsorted(p, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(PRINT_BITS - bits)) if bits else []
-        rows += [_block(k, x, y) for k, (x, y) in enumerate(zip(np.split(p, edges), np.split(first, edges), strict=True)) if len(x)]
+        for k, (x, y) in enumerate(zip(np.split(p, edges), np.split(first, edges), strict=True)):
+            rows += _pieces(k, x, y, PIECE)
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,23 +155,24 @@ def _to_blocks(bits: int, window: int, n_parts: int):
 
 
 def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and documents of a bucket's blocks, each block in order."""
-    p, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    """Fingerprints and documents of a bucket's pieces by their first fingerprint: in order, if they are one run's."""
+    found = []
     for kind, prints, docs in zip(*(table.column(x) for x in ("kind", "prints", "docs")), strict=True):
         if kind.as_py() == _RUN:
-            p.append(np.cumsum(_unplanes(prints.as_py(), np.uint64)))
-            d.append(_unplanes(docs.as_py(), np.int64))
-    return np.concatenate(p), np.concatenate(d)
+            found.append((np.cumsum(_unplanes(prints.as_py(), np.uint64)), _unplanes(docs.as_py(), np.int64)))
+    found.sort(key=lambda x: x[0][0])
+    return np.concatenate([np.zeros(0, np.uint64), *(p for p, _ in found)]), np.concatenate([np.zeros(0, np.int64), *(d for _, d in found)])
 
 
 def _to_run(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        """A bucket's blocks of one batch, or of several runs, as one block; rows on documents stay and are added to."""
+        """A bucket's pieces of one batch, or of several runs, as those of one run; rows on documents stay and are added to."""
         bucket = table.column("bucket")[0].as_py()
         kinds = np.array(table.column("kind"))
         p, first, rows = _merged(*_blocks(table), bucket, parts)
         known = table.filter(pa.array(kinds != _RUN)).select(["bucket", "kind", "part", "prints", "docs"])
-        made = pa.Table.from_batches([_batch(rows + ([_block(bucket, p, first)] if len(p) else []))])
+        pieces = _pieces(bucket, p, first, PIECE)
+        made = pa.Table.from_batches([_batch(rows), *(_batch(pieces[k : k + SENT]) for k in range(0, len(pieces), SENT))])
         return pa.concat_tables([known.cast(made.schema), made])
 
     return run
@@ -276,12 +282,6 @@ def _digest(window: int):
     return run
 
 
-def _sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -295,11 +295,11 @@ class Stored:
         self.rows = spark.table(self.name)
 
     @classmethod
-    def write(cls, rows: DataFrame, folder: str, kind: str, schema: str, column: str, bits: int) -> Stored:
+    def write(cls, rows: DataFrame, folder: str, kind: str, schema: str, column: str, bits: int, **options: str) -> Stored:
         """Rows of a bucket should come from one task."""
         spark, path = rows.sparkSession, f"{folder}/chainlake-{kind}-{uuid.uuid4().hex}"
         name = f"chainlake_{path.rpartition('/')[2].replace('-', '_')}"
-        rows.write.bucketBy(1 << bits, column).format("parquet").option("path", path).option("compression", "zstd").saveAsTable(name)
+        rows.write.bucketBy(1 << bits, column).format("parquet").option("path", path).option("compression", "zstd").options(**options).saveAsTable(name)
         return cls(spark, path, schema, column, bits)
 
     def forget(self) -> None:
@@ -351,8 +351,9 @@ class SubstringIndex:
         spark.createDataFrame([(self._version, json.dumps(state))], "version long, state string").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
 
     def _settings(self, spark: SparkSession) -> None:
-        """Shuffle files of a finished step go, as its result is stored; enough buckets are allowed."""
+        """Shuffle files of a finished step go, as its result is stored; Python is sent a few MB at a time; enough buckets are allowed."""
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
         if 1 << self.files > int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
             spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(1 << self.files))
 
@@ -370,7 +371,7 @@ class SubstringIndex:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         log = Stored.write(docs.repartition(self.parts, "doc_id"), self.folder, "texts", TEXT_SCHEMA, "doc_id", self.files)
         blocks = log.rows.where("doc_id is not null").mapInArrow(_to_blocks(self.bits, self.window, self.parts), RUN_SCHEMA)
-        new = Stored.write(blocks.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(_to_run(self.parts), RUN_SCHEMA), self.folder, "run", RUN_SCHEMA, "bucket", self.files)
+        new = Stored.write(blocks.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(_to_run(self.parts), RUN_SCHEMA), self.folder, "run", RUN_SCHEMA, "bucket", self.files, **RUN_OPTIONS)
         by_bucket = lambda run: run.rows.where("kind = 0").groupBy("bucket")
         joined = [by_bucket(old).cogroup(by_bucket(new)).applyInArrow(_merge_join(self.parts), RUN_SCHEMA) for old in self.runs]
         held = _union([new.rows.where("kind > 0"), *joined]).repartition(self.parts, "part").groupBy("part").applyInArrow(_by_doc, HELD_SCHEMA)
@@ -423,7 +424,7 @@ class SubstringIndex:
         merged = old[0].rows.where("kind = 0")
         for run in old[1:]:
             merged = merged.groupBy("bucket").cogroup(run.rows.where("kind = 0").groupBy("bucket")).applyInArrow(_two_runs(self.parts), RUN_SCHEMA).where("kind = 0")
-        self.runs = [Stored.write(merged, self.folder, "run", RUN_SCHEMA, "bucket", self.files)]
+        self.runs = [Stored.write(merged, self.folder, "run", RUN_SCHEMA, "bucket", self.files, **RUN_OPTIONS)]
         self._publish(spark)
         for run in old:
             run.forget()
@@ -450,5 +451,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
 
 
 def digests(kept: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of an ingest's result."""
-    return kept.mapInArrow(_sha, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    """(doc_id, n_words, n_removed, kept_sha256) of an ingest's result, without a further Python worker a task."""
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -91,3 +91,23 @@ def test_older_runs_are_not_shuffled(spark):
     a, b = index.runs[0], index.runs[0]
     joined = a.rows.groupBy("bucket").cogroup(b.rows.groupBy("bucket")).applyInArrow(lambda x, y: x, a.rows.schema)
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_have_small_rows_and_merge_in_order(spark, monkeypatch):
+    """A bucket's fingerprints aren't one value of any length; pieces are put in order again where runs meet."""
+    from chainlake.llm import substring_dedup as x
+
+    monkeypatch.setattr(x, "PIECE", 5, raising=False)
+    rows = sorted((r for r in corpus() if r[0] is not None), key=lambda r: r[0])
+    index, got = SubstringIndex(3, most_runs=2), []
+    for a, b in ((0, 10), (10, 25), (25, 40), (40, len(rows))):
+        got += map(tuple, digests(index.ingest(frame(spark, rows[a:b]))).collect())
+        for run in index.runs:
+            assert run.rows.where("kind = 0").selectExpr("max(length(prints)) <= 40 and max(length(docs)) <= 40").first()[0]
+    assert sorted(got, key=str) == brute(rows) and len(index.runs) == 2
+
+
+def test_digests_need_no_further_python_worker(spark):
+    kept = substring_dedup(frame(spark, corpus()[:9]), batches=1)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(digests(kept)).count("MapInArrow") == plan(kept).count("MapInArrow")
