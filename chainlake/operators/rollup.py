@@ -59,8 +59,12 @@ def _replaced(stored: DataFrame, new: DataFrame, start: int, end: int | None) ->
 def refresh_stored(spark: SparkSession, events: DataFrame, path: str, interval: str, from_seconds: int | dict[int, int], metrics: list[tuple[str, Column | str]] = (), blocks: DataFrame | None = None) -> None:
     """Recompute the buckets from that of `from_seconds` on in a stored rollup, which is partitioned by chain_id and bucket_date.
 
+    A partition holds a day, or a month under the name of its first day: months that are written whole, are over (a chain's newest
+    event or header lies in a later one) and aren't stored by days already. So a long history is some folders a year, while
+    a refresh at its end rewrites days. A month's partition into which the refresh falls keeps its rows before that day.
+
     from_seconds: of all chains, or of each chain that is to be recomputed; other chains are neither read nor written.
-    Only the days from that bucket's on are rewritten. blocks: headers, whose times give each chain's first block
+    Only the days from that bucket's on are recomputed. blocks: headers, whose times give each chain's first block
     that is needed, so that older partitions of `events` aren't read.
     """
     width, origin = INTERVALS[interval][0], MONDAY if interval == "1w" else 0
@@ -71,16 +75,37 @@ def refresh_stored(spark: SparkSession, events: DataFrame, path: str, interval:
 
     of_all = None if isinstance(from_seconds, dict) else day_of(from_seconds)
     starts = {c: day_of(t) for c, t in from_seconds.items()} if of_all is None else {}
-    chain = F.col("chain_id")
+    chain, day, month = F.col("chain_id"), F.to_date("bucket"), F.trunc("bucket", "month")
+    at = lambda t: F.timestamp_seconds(F.lit(t))
+    month_of = lambda t: F.trunc(at(t), "month")
     either = lambda of: of_all_or({c: (chain == c) & of(t) for c, t in starts.items()}) if of_all is None else of(of_all)
+    spans = (events if blocks is None else blocks).where(either(lambda t: F.col("block_timestamp") >= t)).groupBy("chain_id")
+    newest = {r.chain_id: r for r in spans.agg(F.max("block_timestamp").alias("t"), *([] if blocks is None else [F.min("block_number").alias("b")])).collect()}  # a row for each chain
     if blocks is not None:
-        first = {r.chain_id: r.b for r in blocks.where(either(lambda t: F.col("block_timestamp") >= t)).groupBy("chain_id").agg(F.min("block_number").alias("b")).collect()}  # a row for each chain
         bucketed = "block_bucket" in events.columns
-        events = events.where(of_all_or({c: (chain == c) & (F.col("block_number") >= b) & ((F.col("block_bucket") >= b // BUCKET) if bucketed else F.lit(True)) for c, b in first.items()}))
-    new = rollup(events.where(either(lambda t: F.col("block_timestamp") >= t)), interval, metrics).withColumn("bucket_date", F.to_date("bucket"))
-    day = lambda t: F.col("bucket_date") >= F.to_date(F.timestamp_seconds(F.lit(t)))
-    hit = spark.read.parquet(path).where(either(day)) if exists(spark, path) else None
-    replace_partitions(spark, new, path, ["chain_id", "bucket_date"], hit)
+        events = events.where(of_all_or({c: (chain == c) & (F.col("block_number") >= r.b) & ((F.col("block_bucket") >= r.b // BUCKET) if bucketed else F.lit(True)) for c, r in newest.items()}))
+    new = rollup(events.where(either(lambda t: F.col("block_timestamp") >= t)), interval, metrics)
+    hit, by_days, entered = None, {}, F.lit(False)
+    if exists(spark, path):
+        stored, label = spark.read.parquet(path), F.col("bucket_date")
+        inside = stored.where(either(lambda t: (label == month_of(t)) & (F.col("bucket") >= at(t)) & (label < F.to_date(at(t)))))
+        chains = [r.chain_id for r in inside.select("chain_id").distinct().collect()]  # whose month goes on beyond the first day
+        entered = chain.isin(chains)
+        hit = stored.where(either(lambda t: (label >= F.to_date(at(t))) | (entered & (label == month_of(t)))))
+        for r in hit.where("day(bucket_date) > 1").select("chain_id", F.trunc("bucket_date", "month").alias("m")).distinct().collect():
+            by_days.setdefault(r.chain_id, []).append(r.m)
+        kept = hit.where(either(lambda t: F.col("bucket") < at(t)))
+        new = new.unionByName(kept.select(*new.columns)) if chains else new
+    over = of_all_or({c: (chain == c) & (month < month_of(r.t)) & ~month.isin(by_days.get(c, [])) for c, r in newest.items()})
+    whole = either(lambda t: (over & (month >= F.to_date(at(t)))) | (entered & (month == month_of(t))))
+    store_rollup(spark, new, path, F.when(whole, month).otherwise(day), hit)
+
+
+def store_rollup(spark: SparkSession, rolled: DataFrame, path: str, span: Column | None = None, hit: DataFrame | None = None) -> None:
+    """Store a rollup by chain_id and bucket_date, in place of the partitions in `hit`. span: the first day of a row's partition, by default of its month."""
+    columns = ["chain_id", "bucket_date"]
+    rows = rolled.withColumn("bucket_date", F.trunc("bucket", "month") if span is None else span)
+    replace_partitions(spark, rows.hint("rebalance", *columns), path, columns, hit)  # a partition's rows meet in one task, or in several if they are many
 
 
 def of_all_or(conditions: dict[int, Column]) -> Column:

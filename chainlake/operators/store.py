@@ -125,12 +125,12 @@ def without_range(df: DataFrame, chain_id: int, low: int, high: int, block: str
 def replace_partitions(spark: SparkSession, rows: DataFrame, path: str, columns: list[str], hit: DataFrame | None, options: dict[str, str] = {}) -> None:
     """Replace the partitions in `hit` (a row of `columns` for each; None for none) by `rows`, which may come from the same table.
 
-    The rows are written aside first, in a folder of their own; partitions without rows are dropped.
+    The rows are written aside first, in a folder of their own and not yet by partition; partitions without rows are dropped.
     """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     aside = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
-    rows.write.partitionBy(*columns).parquet(aside)
+    rows.write.parquet(aside)
     wanted = {tuple(r) for r in hit.select(*columns).distinct().collect()} if hit is not None else set()  # the partitions that are replaced
     kept = spark.read.schema(rows.schema).parquet(aside)
     kept.write.mode("overwrite").options(**options).option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)

@@ -602,10 +602,10 @@ def refresh_rollup_from(spark, sf):
 @query(f"""SELECT address, bucket, n + CASE WHEN h >= 1704326400 THEN 0 ELSE 1 END AS event_count
 FROM (SELECT address, {_bucket("1h")} AS bucket, {_HOUR} AS h, count(*) AS n FROM fx_raw_events WHERE topic0 IS NOT NULL GROUP BY ALL)""")
 def refresh_rollup_stored(spark, sf):
-    """A stored rollup of which the days from 2024-01-04 on are recomputed; the day's partitions before stay as they are."""
+    """A stored rollup of which the days from 2024-01-04 on are recomputed; the days before stay as they are."""
     events, stale = _stale(spark, sf)
     path = new_folder(spark, "rollup")
-    stale.withColumn("bucket_date", F.to_date("bucket")).write.partitionBy("chain_id", "bucket_date").parquet(path)
+    rollup.store_rollup(spark, stale, path)
     rollup.refresh_stored(spark, events, path, "1h", 1_704_340_200, blocks=lens(spark, sf, "fx_blocks"))
     return spark.read.parquet(path).select("address", _stamp("bucket"), "event_count")
 
