@@ -33,8 +33,7 @@ def spark_type(kind: str) -> T.DataType:
 
 def strip(data: Column) -> Column:
     """Lower hex without 0x; null stays null."""
-    low = F.lower(data)
-    return F.when(low.startswith("0x"), F.substring(low, 3, 1 << 30)).otherwise(low)
+    return F.lower(F.when(F.substring(data, 1, 2).isin("0x", "0X"), F.substring(data, 3, 1 << 30)).otherwise(data))
 
 
 def word(body: Column, i: int) -> Column:

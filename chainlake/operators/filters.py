@@ -26,6 +26,10 @@ OPS = {
 }
 
 
+#: Integers that fit a long, and are compared as such.
+SHORT = r"^-?[0-9]{1,18}\z"
+
+
 def compare(text: Column, op: str, value: str) -> Column:
     """Integers, of any size, as numbers; other text by bytes; unknown ops pass."""
     if op == "contains":
@@ -37,7 +41,10 @@ def compare(text: Column, op: str, value: str) -> Column:
         return OPS[op](text, F.lit(value))
     pair = lambda t: F.struct(order_key(t).alias("number"), t.alias("text"))
     held = lambda p: F.when(p["number"].isNotNull(), OPS[op](p["number"], F.lit(key))).otherwise(OPS[op](p["text"], F.lit(value)))
-    return F.transform(F.array(pair(text)), held).getItem(0)  # a decoded value is computed once
+    any_size = lambda t: F.transform(F.array(pair(t)), held).getItem(0)
+    if abs(int(value)) < 10**18:
+        return F.transform(F.array(text), lambda t: F.when(t.rlike(SHORT), OPS[op](t.cast("bigint"), F.lit(int(value)))).otherwise(any_size(t))).getItem(0)
+    return any_size(text)  # a decoded value is computed once
 
 
 def compare_hex(hex64: Column, op: str, value: int) -> Column:

@@ -7,11 +7,13 @@ partitions (dynamic partition overwrite) and touch only those that change.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainlake.operators.shaping import BUCKET
+from chainlake.sources.scratch import written
 
 LAYOUT = ["chain_id", "block_bucket"]
 
@@ -30,6 +32,27 @@ def first_by_key(df: DataFrame, keys: list[str], order: list[str] | None = None)
     return df.groupBy(*keys).agg(least.alias("_r")).select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
+def without(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `df` whose key isn't in `other`; null keys are equal, as in groups."""
+    return _matched(df, other, keys, "left_anti")
+
+
+def _matched(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    same = [F.col(f"own.{k}").eqNullSafe(F.col(f"theirs.{k}")) for k in keys]
+    return df.alias("own").join(other.select(*keys).alias("theirs"), reduce(Column.__and__, same), how)
+
+
+def single_by_key(df: DataFrame, keys: list[str], aside: str, order: list[str] | None = None) -> DataFrame:
+    """As first_by_key, for wide rows of which few keys repeat: only the keys are shuffled, and whole rows of those that repeat.
+
+    `df` is read for the keys and again for the rows, so it should be a stored table. The repeated keys are written to `aside`.
+    """
+    repeated = written(df.groupBy(*keys).count().where("count > 1").select(*keys), aside)
+    if not repeated.limit(1).count():
+        return df
+    return without(df, repeated, keys).unionByName(first_by_key(_matched(df, repeated, keys, "left_semi"), keys, order))
+
+
 def with_bucket(df: DataFrame) -> DataFrame:
     return df.withColumn("block_bucket", F.floor(F.col("block_number") / BUCKET).cast("bigint"))
 
@@ -62,12 +85,15 @@ def append(df: DataFrame, path: str) -> None:
     with_bucket(df).sortWithinPartitions("block_number").write.mode("append").partitionBy(*LAYOUT).parquet(path)
 
 
-def insert_new(df: DataFrame, path: str, keys: list[str], order: list[str] | None = None) -> None:
+def insert_new(df: DataFrame, path: str, keys: list[str], order: list[str] | None = None, buckets: Column | None = None, single: bool = False) -> None:
     """Append rows of absent keys, so that a repeated batch adds nothing.
 
     Only the buckets of the batch are read: both the bucket range and the anti-join's keys reach the scan.
+    buckets: a condition that holds for the partitions of all rows (bucket_filter), where it is known already; it saves a pass
+    over `df`. single: no key repeats in `df`, so that its rows needn't be shuffled.
     """
-    append(new_rows(df, of_buckets(df.sparkSession, df, path), keys, order), path)
+    stored = of_buckets(df.sparkSession, df, path, buckets)
+    append(df.join(stored.select(*keys), keys, "left_anti").select(*df.columns) if single else new_rows(df, stored, keys, order), path)
 
 
 #: Partitions that are named one by one in a filter; of more, each chain's span is.
@@ -89,9 +115,10 @@ def bucket_filter(df: DataFrame, below: int = 0, onward: bool = False) -> Column
     return out
 
 
-def of_buckets(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """The stored rows of the partitions that `df` has rows of; other chains' and other buckets' files aren't read."""
-    return read(spark, path, with_bucket(df)).where(bucket_filter(df))
+def of_buckets(spark: SparkSession, df: DataFrame, path: str, buckets: Column | None = None) -> DataFrame:
+    """The stored rows of the partitions that `df` has rows of; other chains' and other buckets' files aren't read. buckets: that condition, if it is known."""
+    stored = read(spark, path, with_bucket(df))
+    return stored if not exists(spark, path) else stored.where(bucket_filter(df) if buckets is None else buckets)
 
 
 def of_buckets_from(spark: SparkSession, df: DataFrame, path: str, depth: int) -> DataFrame:

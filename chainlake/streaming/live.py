@@ -207,43 +207,49 @@ def live_sync(
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         columns, heads = rows.columns, [c for c in rows.columns if c != "logs"]
-        ordered = rows.withColumn("_fewer", -F.size(F.coalesce("logs", F.array().cast(LOG_OF_BLOCK)))).withColumn("_text", F.xxhash64(*columns))
-        rows = store.first_by_key(ordered, forks.NODE, ["_fewer", "_text"]).select(*columns).persist()
         aside = scratch.new_folder(spark, "sync")
         try:
+            given = scratch.written(rows, f"{aside}/given")  # all that is read of it below is the headers, but for the logs' own pass
+            ordered = given.withColumn("_fewer", -F.size(F.coalesce("logs", F.array().cast(LOG_OF_BLOCK)))).withColumn("_text", F.xxhash64(*columns))
+            rows = store.single_by_key(ordered, forks.NODE, f"{aside}/repeated", ["_fewer", "_text"]).select(*columns)
             first = {r.chain_id: r.t for r in rows.groupBy("chain_id").agg(F.min("block_timestamp").alias("t")).collect()}  # a row for each chain
             if not first:
                 return
             known = scratch.written(reorg.known_window(store.of_buckets_from(spark, rows.select(*heads), tables["blocks"], depth), depth), f"{aside}/known")
             pool = store.read(spark, f"{folder}/pool/{number - 1}", rows)
             mine = pool.where(F.col("chain_id").isin(list(first)))
-            side = mine.join(rows, forks.NODE, "left_anti").withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
-            bare = known.join(side, forks.NODE, "left_anti").withColumn("logs", F.lit(None).cast(LOG_OF_BLOCK)).withColumn("_new", F.lit(0))
-            nodes = scratch.written(side.unionByName(bare), f"{aside}/nodes")
+            side = mine.join(rows.select(*forks.NODE), forks.NODE, "left_anti").withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+            bare = known.join(side.select(*forks.NODE), forks.NODE, "left_anti").withColumn("_new", F.lit(0)).withColumn("_whole", F.lit(False))
+            nodes = scratch.written(side.select(*heads, "_new", F.col("logs").isNotNull().alias("_whole")).unionByName(bare), f"{aside}/nodes")  # the choice takes headers only
             nodes, chosen = settled(nodes, known, f"{aside}/branches")
             chosen = scratch.written(chosen.drop("_new"), f"{aside}/chosen")
             since = repair(spark, known, chosen)
-            fresh = chosen.where("logs is not null").join(store.of_buckets(spark, chosen.select(*heads), tables["blocks"]).select(*BLOCK_KEY), BLOCK_KEY, "left_anti")
+            blocks = chosen.where("_whole").join(store.of_buckets(spark, chosen.select(*heads), tables["blocks"]).select(*BLOCK_KEY), BLOCK_KEY, "left_anti")
+            blocks = scratch.written(blocks.select(*heads), f"{aside}/blocks")
+            gone = scratch.written(store.without(side.select(*forks.NODE), blocks, forks.NODE), f"{aside}/gone")  # few, but for replays
+            fresh = store.without(side, gone, forks.NODE).select(*columns)
             seen = Observation("fresh")
             bad = lambda h: F.coalesce((h["block_hash"] != "") & (F.col("block_hash") != "") & (h["block_hash"] != F.col("block_hash")), F.lit(False))
             counts = {"blocks": F.lit(1), "events": F.size(F.filter("logs", lambda h: ~bad(h))), "rejected": F.size(F.filter("logs", bad))}
             of_chain = [F.sum(F.when(F.col("chain_id") == c, x).otherwise(0)).alias(f"{m}:{c}") for c in first for m, x in counts.items()]
             of_chain += [F.max(F.when(F.col("chain_id") == c, F.col("block_number"))).alias(f"tip:{c}") for c in first]
-            fresh = scratch.written(fresh.select(*columns).observe(seen, *of_chain), f"{aside}/fresh")  # counted as they are written, not in a pass of their own
-            told = {**seen.get, **{f"reorgs:{c}": 1 for c in since}}
-            blocks = fresh.drop("logs")
+            fresh = fresh.observe(seen, *of_chain)  # counted as their logs are written, not in a pass of their own
             logs = fresh.select(*BLOCK_KEY, F.col("block_hash").alias("_head"), "block_timestamp", F.explode("logs").alias("l")).select(*BLOCK_KEY, "_head", "block_timestamp", "l.*")
+            logs = scratch.written(logs, f"{aside}/logs")
+            told = {**seen.get, **{f"reorgs:{c}": 1 for c in since}}
+            buckets = store.bucket_filter(blocks)
             wrong = F.coalesce((F.col("block_hash") != "") & (F.col("_head") != "") & (F.col("block_hash") != F.col("_head")), F.lit(False))
-            store.insert_new(logs.where(wrong).drop("_head"), f"{folder}/rejected", [*EVENT_KEY, "block_hash"])
+            store.insert_new(logs.where(wrong).drop("_head"), f"{folder}/rejected", [*EVENT_KEY, "block_hash"], buckets=buckets)
             logs = logs.where(~wrong).drop("_head").withColumn("address", F.lower("address")).select(*EVENT_KEY, "block_hash", "block_timestamp", "tx_hash", "address", "topic0", "topic1", "topic2", "topic3", "data")
-            store.insert_new(logs, tables["raw_events"], EVENT_KEY)
+            logs = store.single_by_key(logs, EVENT_KEY, f"{aside}/repeated-logs")
+            store.insert_new(logs, tables["raw_events"], EVENT_KEY, buckets=buckets, single=True)
             made = {}
             for d in registry:
                 table = decode.event_table(logs, registry, d.contract, d.name)
                 made[d.table] = table.where(condition(rules, d.contract, d.name, table.columns))
-                store.insert_new(made[d.table], tables[d.table], EVENT_KEY)
-            _follow_children(logs, folder, factories, factory.child_signatures(registry, factories))
-            store.insert_new(blocks, tables["blocks"], BLOCK_KEY)
+                store.insert_new(made[d.table], tables[d.table], EVENT_KEY, buckets=buckets, single=True)
+            _follow_children(logs, folder, factories, factory.child_signatures(registry, factories), buckets)
+            store.insert_new(blocks, tables["blocks"], BLOCK_KEY, buckets=buckets)
             raw = spark.read.parquet(tables["raw_events"]) if store.exists(spark, tables["raw_events"]) else None
             if raw is not None:
                 times = {c: min(x) for c in first if (x := [t for t in (first[c], since.get(c)) if t is not None])}
@@ -255,12 +261,12 @@ def live_sync(
             if publish:
                 publish(counted)
             lowest = reorg.known_window(chosen.select(*heads), depth).groupBy("chain_id").agg(F.min("block_number").alias("_low"))
-            kept = nodes.where("logs is not null").drop("_new").join(F.broadcast(lowest), "chain_id", "left").where("_low is null or block_number >= _low").select(*columns)
+            kept = nodes.where("_whole").join(F.broadcast(lowest), "chain_id", "left").where("_low is null or block_number >= _low").select(*forks.NODE)
+            kept = side.join(F.broadcast(kept), forks.NODE, "left_semi").select(*columns)  # the last `depth` numbers' blocks
             others = pool.where(~F.col("chain_id").isin(list(first)))
             kept.unionByName(others).write.mode("overwrite").parquet(f"{folder}/pool/{number}")
             store.remove(spark, f"{folder}/pool/{number - 2}")
         finally:
-            rows.unpersist()
             store.remove(spark, aside)
 
     return _started(stream, batch, checkpoint, trigger or {"availableNow": True})
@@ -269,12 +275,12 @@ def live_sync(
 CHILD_KEY = ["chain_id", "child_address"]
 
 
-def _follow_children(rows: DataFrame, folder: str, factories: list[factory.Factory], signatures: list[str]) -> None:
+def _follow_children(rows: DataFrame, folder: str, factories: list[factory.Factory], signatures: list[str], buckets: Column | None = None) -> None:
     """Bring factory_children and child_events up to date with logs that raw_events has taken in already.
 
     New children get their events of earlier batches from raw_events, of which only the buckets from the oldest
     creation on are read, and nothing where there are none. The children are stored last: a replay finds them new
-    again until their events are in.
+    again until their events are in. buckets: the condition on the partitions of `rows`, if no key repeats in them.
     """
     spark = rows.sparkSession
     found = factory.dedup_children(factory.discover_children(rows, factories))
@@ -287,7 +293,8 @@ def _follow_children(rows: DataFrame, folder: str, factories: list[factory.Facto
         if oldest is not None:
             raw = store.read(spark, f"{folder}/raw_events", with_bucket(rows)).where(F.col("block_bucket") >= oldest // BUCKET)
             events = events.unionByName(factory.child_events(raw.select(*rows.columns), new, signatures))
-        store.insert_new(events, f"{folder}/child_events", EVENT_KEY)
+        reached = buckets if buckets is None or oldest is None else buckets | (F.col("block_bucket") >= oldest // BUCKET)
+        store.insert_new(events, f"{folder}/child_events", EVENT_KEY, buckets=reached, single=buckets is not None)  # an event is of a known child or of a new one
         if oldest is not None:
             store.append(new, f"{folder}/factory_children")
     finally:

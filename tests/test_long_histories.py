@@ -4,7 +4,10 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from chainlake.operators import rollup
+from chainlake.operators import filters, rollup, store
+from chainlake.plans.contracts import EVENTS, FACTORIES, RULES
+from chainlake.plans.streams import _fed
+from chainlake.streaming import live
 
 START = 1_704_240_000  # 2024-01-03
 DAY = 86_400
@@ -53,3 +56,46 @@ def test_days_that_are_stored_stay_days(spark, tmp_path):
     for since in (START + 20 * DAY, START, 0):
         rollup.refresh_stored(spark, rows, path, "1h", since)
         assert folders(path) == before and counts(spark.read.parquet(path)) == counts(rollup.rollup(rows, "1h"))
+
+
+def test_a_synced_history_is_stored_by_months(spark, tmp_path):
+    """Blocks and logs that come twice, a block without logs and one with null for them; then a fork at the end."""
+
+    def block(n, name, before, logs):
+        return (1, n, f"{name}{n}", f"{before}{n - 1}", START + DAY * n, logs)
+
+    log = lambda n, name, i: (0, i, f"{name}{n}", f"tx{n}.{i}", "0xAA", None, None, None, None, "0x")
+    rows = [block(n, "a", "a", [] if n == 50 else None if n == 120 else [log(n, "a", 0), log(n, "a", 0), log(n, "a", 1)]) for n in range(120, 0, -1)]
+    schema = f"chain_id int, block_number long, block_hash string, parent_hash string, block_timestamp long, logs {live.LOG_OF_BLOCK}"
+    fork = [block(118, "b", "a", [log(118, "b", 5)]), block(119, "b", "b", [log(119, "b", 5)]), block(121, "b", "b", [])]
+    folder = f"file://{tmp_path}/s"
+    parts = [spark.createDataFrame(r, schema).repartition(3) for r in (rows + rows[:40] + [block(60, "a", "a", [])], [*fork, block(120, "b", "b", [log(120, "b", 0)])])]
+    _fed(spark, parts, "months", lambda s: live.live_sync(s, folder, EVENTS[:1], RULES, FACTORIES, f"file://{tmp_path}/s-check", 4))
+    raw = spark.read.parquet(f"{folder}/raw_events")
+    wanted = {(n, i) for n in range(1, 118) if n != 50 for i in (0, 1)} | {(118, 5), (119, 5), (120, 0)}
+    got = [(r.block_number, r.log_index) for r in raw.collect()]
+    assert len(got) == len(wanted) and set(got) == wanted and spark.read.parquet(f"{folder}/blocks").count() == 121
+    assert counts(spark.read.parquet(f"{folder}/rollup_hourly")) == counts(rollup.rollup(raw, "1h"))
+    assert len(folders(tmp_path / "s" / "rollup_hourly")) < 40  # of 121 days
+
+
+def test_few_repeated_keys_are_the_only_rows_that_are_aggregated(spark, tmp_path):
+    rows = [(i, "a", f"v{i}") for i in range(50)] + [(7, "a", "u"), (7, "a", "v7"), (8, None, "y"), (8, None, "x"), (None, None, "z")]
+    df = spark.createDataFrame(rows, "k int, l string, v string")
+    path = str(tmp_path / "t")
+    df.write.parquet(path)
+    got = store.single_by_key(spark.read.parquet(path), ["k", "l"], str(tmp_path / "repeated"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, store.first_by_key(df, ["k", "l"]).collect()))
+    once = store.single_by_key(spark.read.parquet(path).where("k > 10"), ["k", "l"], str(tmp_path / "none"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_integers_compare_as_long_ones(spark):
+    texts = ["5", "-0", "007", "+5", "5\n", " 5", "", "x", "-6", "999999999999999999", "1000000000000000000", "-1000000000000000001", "9" * 70, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for op, f in filters.OPS.items():
+        for value in ("5", "-6", "0", "+7", "-999999999999999999"):
+            whole = F.struct(filters.order_key(F.col("t")).alias("number"))["number"]
+            slow = F.when(whole.isNotNull(), f(whole, F.lit(filters.integer_key(value)))).otherwise(f(F.col("t"), F.lit(value)))
+            got = df.select("t", filters.compare(F.col("t"), op, value).alias("fast"), slow.alias("slow")).collect()
+            assert [r for r in got if r.fast != r.slow] == [], (op, value)
