@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -54,8 +55,15 @@ def _with_time(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withColumn("event_time", F.timestamp_seconds("block_timestamp")).withWatermark("event_time", delay)
 
 
-def stream_dedup(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
-    """The stream without rows whose key has come within the delay."""
+def stream_dedup(stream: DataFrame, keys: list[str], delay: str | None = None) -> DataFrame:
+    """The stream with the first row of each key, in any order of arrival: the state holds every key that has come.
+
+    delay: keys are kept that long of event time only, and rows that come later than it, behind the newest block, are dropped
+    whether their key has come or not; for streams whose rows come in order, up to the delay. Start the stream under
+    `with_state_on_disk`, which keeps the keys out of the executors' heaps.
+    """
+    if delay is None:
+        return stream.dropDuplicates(keys)
     return _with_time(stream, delay).dropDuplicatesWithinWatermark(keys).drop("event_time")
 
 
@@ -85,6 +93,20 @@ def stream_rollup(stream: DataFrame, interval: str, delay: str, metrics: list[tu
 
 BLOCK_KEY = ["chain_id", "block_number"]
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def with_state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB; a query takes its settings when it starts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 REORG = "chain_id int, block_number long, parent_hash string, stored_hash string"
 
 
@@ -139,15 +161,9 @@ def detect_reorgs(stream: DataFrame, folder: str, depth: int, checkpoint: str, t
     a batch's, then the least hash): keyed state, kept with the checkpoint. A block is told of once. However the
     stream is cut into batches, the rows are those of all its blocks at once, as long as the branch that wins is the one that stays.
     """
-    spark = stream.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, STATE_STORE)  # as keyed state with several values needs it; the query takes its settings when it starts
-    try:
+    with with_state_on_disk(stream.sparkSession):  # as keyed state with several values needs it
         found = stream.select(*BLOCK_KEY, "block_hash", "parent_hash").groupBy("chain_id").transformWithStateInPandas(Forks(depth), REORG, "Append", "None")
         return found.writeStream.format("parquet").option("path", f"{folder}/reorgs").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 LOG_OF_BLOCK = "array<struct<tx_index:int,log_index:int,block_hash:string,tx_hash:string,address:string,topic0:string,topic1:string,topic2:string,topic3:string,data:string>>"

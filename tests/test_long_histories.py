@@ -5,7 +5,9 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from chainlake.operators import filters, rollup, store
+from chainlake.plans import streams
 from chainlake.plans.contracts import EVENTS, FACTORIES, RULES
+from chainlake.plans.lenses import lens
 from chainlake.plans.streams import _fed
 from chainlake.streaming import live
 
@@ -99,3 +101,15 @@ def test_short_integers_compare_as_long_ones(spark):
             slow = F.when(whole.isNotNull(), f(whole, F.lit(filters.integer_key(value)))).otherwise(f(F.col("t"), F.lit(value)))
             got = df.select("t", filters.compare(F.col("t"), op, value).alias("fast"), slow.alias("slow")).collect()
             assert [r for r in got if r.fast != r.slow] == [], (op, value)
+
+
+def keys(df):
+    return sorted((r.block_number, r.log_index) for r in df.select("block_number", "log_index").collect())
+
+
+def test_deduplication_loses_nothing_over_decades(spark, tmp_path):
+    """Events of 28 years, of which the first part holds both ends."""
+    few = spark.range(0, 15_000_000, 49_999).selectExpr("id AS event_id", "id % 1000 AS user_id", "'purchase' AS event_type", "1.5D AS value")
+    few.write.parquet(str(tmp_path / "events.parquet"))
+    wanted = keys(lens(spark, str(tmp_path), "fx_raw_events"))
+    assert len(wanted) == 301 and keys(streams.stream_dedup(spark, str(tmp_path))) == wanted
