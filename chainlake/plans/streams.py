@@ -45,13 +45,30 @@ def stream_dedup(spark, sf):
         return _collected(spark, parts, "dedup", lambda stream: live.stream_dedup(stream, live.EVENT_KEY)).select("block_number", "log_index")
 
 
+#: Blocks of a part, and of the one before that come with it again; parts that one run of the stream takes: an eighth of all, this many at most.
+PART, AGAIN, PARTS_AT_ONCE = 2_000, 200, 100
+
+
 @query("SELECT block_number, log_index FROM fx_raw_events WHERE topic0 IS NOT NULL")
 def stream_dedup_evicted(spark, sf):
-    """Blocks come in order, each part with the end of the one before again; a delay of 10 days keeps as much state and no more."""
+    """Blocks come in order, each part with the end of the one before again; a delay of 10 days keeps as much state and no more.
+
+    The logs are dealt out to their parts in one pass. A run of the stream takes an eighth of the parts, or PARTS_AT_ONCE,
+    so that the runs grow slower than the parts and what a run holds stays bounded.
+    """
     logs = _logs(spark, sf)
     n = F.col("block_number") - GENESIS
-    parts = [logs.where((n >= a - 200) & (n < a + 2000)) for a in range(0, logs.agg(F.max(n)).first()[0] + 1, 2000)]
-    return _collected(spark, parts, "evicted", lambda stream: live.stream_dedup(stream, live.EVENT_KEY, "10 days")).select("block_number", "log_index")
+    last = logs.agg(F.max(n)).first()[0] // PART
+    part = F.floor(n / PART)
+    twice = (n % PART >= PART - AGAIN) & (part < last)
+    dealt = logs.withColumn("part", F.explode(F.when(twice, F.array(part, part + 1)).otherwise(F.array(part))))
+    at_once = min(PARTS_AT_ONCE, max(1, (last + 1) // 8))
+    path = new_folder(spark, "parts")
+    dealt.withColumn("run", F.floor(F.col("part") / at_once)).drop("part").hint("rebalance", "run").write.partitionBy("run").parquet(path)
+    landed = spark.read.parquet(path)
+    parts = [landed.where(F.col("run") == i).drop("run") for i in range(last // at_once + 1)]
+    with live.with_state_on_disk(spark):
+        return _collected(spark, parts, "evicted", lambda stream: live.stream_dedup(stream, live.EVENT_KEY, "10 days")).select("block_number", "log_index")
 
 
 _DAYS = f"""SELECT address, {_bucket("1d")} AS bucket, count(*) AS event_count, CAST(sum(log_index) AS BIGINT) AS places, max(epoch(time_bucket(INTERVAL '1 day', make_timestamp(block_timestamp * 1000000)))) AS b, count(DISTINCT tx_hash) AS txs FROM fx_raw_events WHERE topic0 IS NOT NULL GROUP BY address, bucket"""

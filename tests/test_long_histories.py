@@ -113,3 +113,12 @@ def test_deduplication_loses_nothing_over_decades(spark, tmp_path):
     few.write.parquet(str(tmp_path / "events.parquet"))
     wanted = keys(lens(spark, str(tmp_path), "fx_raw_events"))
     assert len(wanted) == 301 and keys(streams.stream_dedup(spark, str(tmp_path))) == wanted
+
+
+def test_runs_of_the_stream_grow_slower_than_the_parts(spark, monkeypatch):
+    sf, starts, dedup = "/root/testdata/sf0.001", [], live.stream_dedup
+    monkeypatch.setattr(streams, "PART", 3)  # 34 parts
+    monkeypatch.setattr(streams, "AGAIN", 1)
+    monkeypatch.setattr(live, "stream_dedup", lambda *a: starts.append(a) or dedup(*a))
+    assert keys(streams.stream_dedup_evicted(spark, sf)) == keys(lens(spark, sf, "fx_raw_events").where("topic0 is not null"))
+    assert len(starts) == 9
