@@ -84,9 +84,9 @@ def _let(value: Column, body) -> Column:
 
 def _tail(body: Column, offset_word: Column, use) -> Column:
     """`use(length, rest of the data)` of a dynamic value, null where its place or length can't be."""
-    at = _small(offset_word) * 2
     rest = lambda o: F.when(o + WORD <= F.length(body), F.substr(body, o + 1))
-    return _let(rest(at), lambda r: use(_small(F.substring(r, 1, WORD)), F.substring(r, WORD + 1, 1 << 30)))
+    split = lambda r: F.struct(_small(F.substring(r, 1, WORD)).alias("n"), F.substring(r, WORD + 1, 1 << 30).alias("r"))
+    return _let(_small(offset_word) * 2, lambda o: _let(rest(o), lambda r: _let(split(r), lambda x: use(x["n"], x["r"]))))  # each step is computed once
 
 
 def dynamic(kind: str, body: Column, offset_word: Column) -> Column:
@@ -120,7 +120,7 @@ def value(param: Param, body: Column, topics: list[Column]) -> Column:
         return static(param.kind, w) if size == 1 and not split_array(param.kind) and not param.kind.startswith("(") else F.concat(F.lit("0x"), w)
     w = word(body, param.slot)
     if size is None:
-        return dynamic(param.kind, body, w)
+        return _let(body, lambda b: dynamic(param.kind, b, word(b, param.slot)))
     if size != 1 or split_array(param.kind) or param.kind.startswith("("):
         return F.when(F.length(body) >= (param.slot + size) * WORD, F.substring(body, param.slot * WORD + 1, size * WORD))
     return static(param.kind, w)
